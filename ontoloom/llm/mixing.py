@@ -58,28 +58,37 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, epochs: f
 def fitted(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each length to take, at most counts, for a sum as near the budget as the program finds.
 
-    lengths: distinct and positive. The program's table has at most two of the largest lengths and some thousand entries.
+    lengths: distinct and positive. The program's table has entries for eight of the largest lengths and some thousand words
+    more, or for two of them beyond four million.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     take = np.floor(counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
     room = int(round(budget)) - int((lengths * take).sum())
-    table = 2 * int(lengths.max(initial=1)) + 4096
-    for k in np.argsort(-lengths):  # large ones first, until the table holds what is left
-        if room <= table // 2:
+    longest = int(lengths.max(initial=1))
+    most = max(min(4 * longest + 32_768, 2**21), longest + 2048)
+    order = np.argsort(-lengths, kind="stable")
+    for k in order:  # large ones first, until the table holds what is left
+        if room <= most:
             break
-        more = min(int(counts[k] - take[k]), (room - table // 2) // int(lengths[k]) + 1)
+        more = min(int(counts[k] - take[k]), (room - most) // int(lengths[k]) + 1)
         take[k] += more
         room -= more * int(lengths[k])
+    for part in (1, 1, 2, 4, 8, 16, 32):  # and back again, so that the program has a choice of lengths
+        for k in order:
+            back = min(part, int(take[k]), (most - room) // int(lengths[k]))
+            if back > 0:
+                take[k] -= back
+                room += back * int(lengths[k])
     if room <= 0:
         return take
     # reachable sums with the item that first reached each; items are powers of two of a length
     size = 2 * room + 1
-    first = np.full(size, -1, np.int64)
+    first = np.full(size, -1, np.int32)
     first[0] = 0
     items: list[tuple[int, int]] = [(0, 0)]
-    for k in np.argsort(-lengths, kind="stable"):
+    for k in order:
         left, part = int(min(counts[k] - take[k], size // max(1, int(lengths[k])))), 1
         while left > 0:
             part = min(part, left)
