@@ -44,11 +44,12 @@ def statistics(text: str | None) -> list[float]:
         np.log1p(nw) / 10, np.log1p(n / nw), float(length.std()) / 10, float(length.max(initial=0) > 40), distinct, len(set(lines)) / len(lines), np.log1p(nw / len(lines)) / 5,
         upper, lower, digit, space, newline, min(1.0, 4 * symbol), min(1.0, 10 * stop), min(1.0, 10 * comma), min(1.0, 10 * mark), min(1.0, 10 * bar), min(1.0, 10 * other), high,
         sum(x.isupper() for x in w) / nw, sum(x.istitle() for x in w) / nw, sum(1 for x in w if _SYMBOL.search(x)) / nw, sum(not x[-1].isalnum() for x in w) / nw, sum(not any(map(str.isalpha, x)) for x in w) / nw,
+        sum(map(str.__eq__, w, w[1:])) / nw, min(1.0, 4 * sum(len(x) == 1 and not x.isalnum() for x in w) / nw),
         float(-(bits * np.log2(bits)).sum()) / 8, len(set(zip(w, w[1:], strict=False))) / max(1, nw - 1), len(set(zip(w, w[1:], w[2:], strict=False))) / max(1, nw - 2),
     ]
 
 
-N_STATISTICS = 27
+N_STATISTICS = 29
 
 
 @dataclass
@@ -94,7 +95,7 @@ def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("y"), flat], ["y", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 200_000, gamma: float = 0.5, ridge: float = 1e-2, seed: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 200_000, gamma: float = 0.1, ridge: float = 1e-2, seed: int = 2) -> Model:
     """Learn from the documents that have a label 0 or 1.
 
     most_rows bounds the labelled rows learned from: with more, an even share of them by a hash of the id is taken. Labels of
