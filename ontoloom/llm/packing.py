@@ -10,13 +10,17 @@ documents, their tokens, ranks and placement, is distributed.
 from __future__ import annotations
 
 import bisect
+import os
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,8 @@ from ontoloom.llm.shared import Tables, batches, ship
 
 #: Parts into which the pieces of one length are dealt for ranking.
 PARTS = 256
-#: Strings whose ids a worker remembers at most, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+#: Strings whose ids a worker remembers in each of two generations, and the longest that it remembers.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 class Encoder:
@@ -37,26 +41,45 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        if sys.byteorder == "big":
+            for x in ids:
+                x.byteswap()
+        return [x.tobytes() for x in ids]
+
+    def learn(self, strings: set[str]) -> None:
+        """Make known the ids of all strings, each with a blank before it."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        whole = [t for t in texts if "  " in t]
-        done = iter(self.direct(whole))
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        new = list({w for s in split if s for w in s[1:] if w not in self.known})
-        fresh = dict(zip(new, self.direct([" " + w for w in new]), strict=True))
-        self.known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST)
-        heads = iter(self.direct([s[0] for s in split if s]))
-        known = self.known
-        return [next(done) if s is None else next(heads) + b"".join([i if (i := known.get(w)) is not None else fresh[w] for w in s[1:]]) for s in split]
+            self.known, self.older = {}, self.known
+        need = strings - self.known.keys()
+        kept = need & self.older.keys()
+        self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        new = list(need - kept)
+        self.known.update(zip(new, self.direct([" " + w for w in new]), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (no nulls)."""
+        runs = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        whole = iter(self.direct(texts.filter(pa.array(runs)).to_pylist()))
+        parts = pc.split_pattern(texts, " ")
+        at, strings = parts.offsets.to_numpy(), parts.values
+        heads = iter(self.direct(strings.take(pa.array(at[:-1][~runs])).to_pylist()))
+        coded = strings.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.learn(set(names))
+        ids = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(coded.indices)
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), memoryview(ids.buffers()[2] or b"")
+        out = [next(whole) if run else next(heads) + data[ends[i + 1] : ends[j]] for run, i, j in zip(runs, at[:-1], at[1:], strict=True)]
+        for w in names:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -75,9 +98,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for b in batches(it):
+        for b in batches(it, 4096):
             out: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(pc.fill_null(b.column("text"), "")), strict=True):
                 ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]

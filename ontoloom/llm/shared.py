@@ -88,8 +88,9 @@ def held_out(doc_id: str, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a few, so that what is computed from long texts stays small."""
+def batches(it: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows and, but for single rows, about so many bytes."""
     for b in it:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)

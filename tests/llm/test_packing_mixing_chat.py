@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ontoloom.llm import chat, mixing, packing, queries
@@ -24,8 +25,10 @@ def test_encoder_equals_whole_texts(tokenizer, rows):
     texts = [r[1] or "" for r in rows]
     enc = packing.Encoder(queries.tokenizer_path())
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert enc.encode(texts) == want
-    assert enc.encode(texts) == want  # from memory
+    assert enc.encode(pa.array(texts)) == want
+    assert enc.encode(pa.array(texts)) == want  # from memory
+    assert enc.encode(pa.array(texts).slice(3, 20)) == want[3:23]
+    assert enc.encode(pa.array([], pa.string())) == []
 
 
 @pytest.mark.parametrize("capacity", [2048, 64])
