@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm.shared import Tables, ship
-from ontoloom.llm.vectors import balanced, batch_rows, comparable, sample
+from ontoloom.llm.vectors import balanced, batch_rows, comparable, number, sample, shipped
 
 #: Vectors and queries of a list that one task scores at a time; longer lists are dealt to several.
 BLOCK = 4096
@@ -87,15 +87,14 @@ class CentroidGraph:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _listed(graph, dim: int, ratio: float, most: int | None):
+def _listed(graph, dim: int, kind: str, ratio: float, most: int | None):
     """Rows (vec_id, embedding) to (list, vec_id, embedding), a row for each list."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in batch_rows(it, dim, 512):
             u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             row, lists = graph.value.within(u, ratio, most, beam=most or 32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * dim + 1, dim), pa.int32()), pa.array(x[row].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(ids[row]), flat], ["list", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(ids[row]), shipped(x[row], kind)], ["list", "vec_id", "embedding"])
 
     return run
 
@@ -122,9 +121,8 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: in
     shared = spark.sparkContext.broadcast(graph)  # at most 2**16 centroids
     q, _ = comparable(queries)
     q = q.filter(F.size("embedding") == dim)
-    schema = "list long, vec_id long, embedding array<double>"
-    member = v.mapInArrow(_listed(shared, dim, boundary, replicas), schema)
-    asked = q.mapInArrow(_listed(shared, dim, probe, None), schema)
+    member = v.mapInArrow(_listed(shared, dim, number(v), boundary, replicas), f"list long, vec_id long, embedding array<{number(v)}>")
+    asked = q.mapInArrow(_listed(shared, dim, number(q), probe, None), f"list long, vec_id long, embedding array<{number(q)}>")
     member, asked = tables.write(member), tables.write(asked)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -139,11 +137,11 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: in
     def score(asked: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(member):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x = np.stack(member["embedding"].to_numpy())
+        x = np.stack(member["embedding"].to_numpy()).astype(np.float64)
         ids, norm = member["vec_id"].to_numpy(np.int64), np.linalg.norm(x, axis=1)
         out = []
         for i in range(0, len(asked), 256):
-            y = np.stack(asked["embedding"].iloc[i : i + 256].to_numpy())
+            y = np.stack(asked["embedding"].iloc[i : i + 256].to_numpy()).astype(np.float64)
             own = asked["vec_id"].to_numpy(np.int64)[i : i + 256]
             s = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * norm)
             s[own[:, None] == ids] = -np.inf

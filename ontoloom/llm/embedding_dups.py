@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.llm.components import components
 from ontoloom.llm.shared import Tables, ship
-from ontoloom.llm.vectors import balanced, batch_rows, comparable, rows_of, sample
+from ontoloom.llm.vectors import balanced, batch_rows, comparable, number, rows_of, sample, shipped
 
 #: Rows of a tile's side.
 TILE = 2048
@@ -68,7 +68,7 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 512, most_cells: int = 4096, most_sample: int = 20_000) -> DataFrame:
+def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 2048, most_cells: int = 4096, most_sample: int = 20_000) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id (the smallest vec_id that links reach), kept.
 
     vectors: vec_id, embedding; other columns are not read. Vectors that are null, zero, hold null or non-finite components, or
@@ -81,6 +81,7 @@ def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 512, most
     tables = Tables(spark)
     all_ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     v, dim = comparable(vectors)
+    kind = number(v)
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in batch_rows(it, dim):
@@ -111,10 +112,9 @@ def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 512, most
                 own = s[np.arange(len(x)), home]
                 # a pair of two cells meets in the cell of the smaller number
                 row, cell = np.nonzero((own[:, None] - s <= reach_to[home]) & (np.arange(len(c))[None, :] <= home[:, None]))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * dim + 1, dim), pa.int32()), pa.array(x[row].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cell == home[row]), part.column("vec_id").take(pa.array(row)), part.column("copies").take(pa.array(row)), flat], ["cell", "home", "vec_id", "copies", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cell == home[row]), part.column("vec_id").take(pa.array(row)), part.column("copies").take(pa.array(row)), shipped(x[row], kind)], ["cell", "home", "vec_id", "copies", "embedding"])
 
-    placed = tables.write(v.select("vec_id", "copies", "embedding").mapInArrow(visits, "cell long, home boolean, vec_id long, copies long, embedding array<double>"))
+    placed = tables.write(v.select("vec_id", "copies", "embedding").mapInArrow(visits, f"cell long, home boolean, vec_id long, copies long, embedding array<{kind}>"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count(F.when(c, 1)) / TILE))
     sizes = placed.groupBy("cell").agg(blocks(F.col("home")).alias("hb"), blocks(~F.col("home")).alias("gb"))
     b = placed.join(F.broadcast(sizes), "cell").withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("gb"))))
@@ -131,7 +131,7 @@ def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 512, most
         a, b = pdf[left], pdf[right]
         if not len(a) or not len(b):
             return pd.DataFrame({"u": [], "v": [], "links": []})
-        r, c = linked(np.stack(a["embedding"].to_numpy()), np.stack(b["embedding"].to_numpy()), threshold)
+        r, c = linked(np.stack(a["embedding"].to_numpy()).astype(np.float64), np.stack(b["embedding"].to_numpy()).astype(np.float64), threshold)
         ia, ib = a["vec_id"].to_numpy(np.int64), b["vec_id"].to_numpy(np.int64)
         if i == j and own[right].all():
             r, c = r[r < c], c[r < c]

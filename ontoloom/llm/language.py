@@ -61,11 +61,22 @@ def _split(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(k[0], k[1], n) for k, n in c.items()], columns=["lang", "gram", "n"])
 
 
+class Table:
+    """Names with one row of numbers each, kept as one matrix."""
+
+    def __init__(self, names: list[str], rows: np.ndarray):
+        self.at, self.rows = {x: i for i, x in enumerate(names)}, rows
+
+    def get(self, name: str) -> np.ndarray | None:
+        i = self.at.get(name)
+        return None if i is None else self.rows[i]
+
+
 class Model:
-    """Languages, priors, and tables of log frequencies of words and of n-grams (rows by language)."""
+    """Languages, and tables of log frequencies by language: of words, and of n-grams by length (0 is empty)."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], parts: list[dict[str, np.ndarray]], unknown: np.ndarray):
-        self.langs, self.words, self.parts, self.unknown = langs, words, parts, unknown
+    def __init__(self, langs: list[str], words: Table, parts: list[Table]):
+        self.langs, self.words, self.parts = langs, words, parts
         self.seen: dict[str, np.ndarray] = {}
 
     def backoff(self, word: str) -> np.ndarray:
@@ -78,7 +89,7 @@ class Model:
                     total, count = total + row, count + 1
                     break
             k += 1
-        return total / count if count else self.unknown
+        return total / max(1, count)
 
     def word(self, w: str) -> np.ndarray:
         row = self.words.get(w)
@@ -103,14 +114,14 @@ class Model:
         return self.langs[best], float(p[best])
 
 
-def _tables(counts: pd.DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
+def _table(counts: pd.DataFrame, key: str, langs: list[str]) -> Table:
     """Log frequencies with half a count for each language that lacks the key."""
     at = {x: i for i, x in enumerate(langs)}
     n = np.zeros((counts[key].nunique(), len(langs)))
     names, rows = np.unique(counts[key].to_numpy(object).astype(str), return_inverse=True) if len(counts) else (np.zeros(0, str), np.zeros(0, int))
     n[rows, counts["lang"].map(at).to_numpy(int)] = counts["n"].to_numpy(float)
     logs = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(names))))
-    return {str(x): logs[i] for i, x in enumerate(names)}
+    return Table([str(x) for x in names], logs)
 
 
 def fit(docs: DataFrame, rows_per_lang: int = 20_000, words_per_lang: int = 50_000, grams_per_lang: int = 20_000, seed: int = 10) -> Model:
@@ -135,8 +146,8 @@ def fit(docs: DataFrame, rows_per_lang: int = 20_000, words_per_lang: int = 50_0
     kept = split.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= grams_per_lang).select("lang", "gram", "n", "size").toPandas()
     langs = sorted(set(known["lang"]) | set(kept["lang"]))
     tables.drop(words)
-    sizes = [_tables(kept[kept["size"] == n].reset_index(drop=True), "gram", langs) for n in range(LONGEST + 1)]
-    return Model(langs, _tables(known, "word", langs), sizes, np.zeros(len(langs)))
+    sizes = [_table(kept[kept["size"] == n].reset_index(drop=True), "gram", langs) for n in range(LONGEST + 1)]
+    return Model(langs, _table(known, "word", langs), sizes)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

@@ -21,13 +21,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def number(vectors: DataFrame) -> str:
+    """The type in which components are shipped: float where they are floats, so nothing is lost, else double."""
+    return "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+
+
+def shipped(rows: np.ndarray, kind: str) -> pa.ListArray:
+    """Rows of doubles as a list column of a type that holds them."""
+    flat = pa.array(rows.ravel().astype(np.float32 if kind == "float" else np.float64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, max(1, rows.shape[1])), pa.int32()), flat)
+
+
 def comparable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, embedding) of the rows that can be compared, and their dimension: the id is not null; the vector is not null, not
     all zero, without null or non-finite components, and of the most frequent dimension (the smallest of several)."""
     ship(vectors.sparkSession)
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(fine)
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number(vectors)}>").alias("embedding")).filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(fine)
     top = v.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = top["dim"] if top else 0
     return v.filter(F.size("embedding") == dim), dim
