@@ -159,7 +159,8 @@ def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             out = [shared.value.score(np.array([statistics(t) for t in texts[k : k + 512]], float)) for k in range(0, len(texts), 512)]
             yield pd.Series(np.concatenate(out) if out else [], dtype=float)
 
-    return docs.withColumn("score", score(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= least).cast("int"))
+    # as nondeterministic, so that no plan evaluates it once for the score and once more for the prediction
+    return docs.withColumn("score", score.asNondeterministic()(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
