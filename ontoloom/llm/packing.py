@@ -29,7 +29,7 @@ from ontoloom.llm.shared import Tables, batches, ship
 #: Parts into which the pieces of one length are dealt for ranking.
 PARTS = 256
 #: Strings whose ids a worker remembers in each of two generations, and the longest that it remembers.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 class Encoder:
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for b in batches(it, 4096):
+        for b in batches(it, 1024):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(pc.fill_null(b.column("text"), "")), strict=True):
                 ids += end

@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 #: A side of a join goes to every executor only when it was counted and has at most so many rows of a few numbers each.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: rows here are whole texts.
+ARROW_ROWS, ARROW_DEFAULT = "1000", "10000"
+
 _shipped: weakref.WeakSet = weakref.WeakSet()
 _own_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, whatever folder the driver was started from."""
+    """Make this package importable in the Python workers, whatever folder the driver was started from, and keep Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == ARROW_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if context in _shipped:
         return
@@ -88,9 +93,10 @@ def held_out(doc_id: str, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many rows and, but for single rows, about so many bytes."""
     for b in it:
         step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
         for k in range(0, b.num_rows, step):
             yield b.slice(k, step)
+        pa.default_memory_pool().release_unused()
