@@ -30,7 +30,9 @@ LONG, MOST_LONG = 64, 20
 #: Share of a set's tokens that a pair must have in common among the short lists.
 SHARE = 0.05
 #: Tokens after which a task counts what it has gathered, and rows that it gives out at a time.
-HELD, OUT = 4_000_000, 500_000
+HELD, OUT = 2_000_000, 200_000
+#: Members from which a list's pairs are made list by list.
+ONE_BY_ONE = 1024
 
 
 def key_of(tokens: np.ndarray) -> int:
@@ -151,18 +153,46 @@ def shared_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apart(percent: int):
     """Rows (token, key, n, label) sorted by token and n to pairs of one list with different labels and sizes that can link."""
 
-    def pairs(key: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (label == label[0]).all():
-            return
+    def given(key: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(i):
+            yield from _chunks([np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.minimum(n[i], n[j])], ["a", "b", "n"])
+
+    def short(key: np.ndarray, n: np.ndarray, label: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Many lists at once: every member with the one that stands d places on in its list, until sizes are too far apart."""
+        i, d, left, right, size = np.arange(len(key)), 0, [], [], 0
+        while len(i):
+            d += 1
+            i = i[i + d < end[i]]
+            i = i[n[i] * 100 >= percent * n[i + d]]
+            x = i[label[i] != label[i + d]]
+            left.append(x)
+            right.append(x + d)
+            size += len(x)
+            if size > OUT or not len(i):
+                yield from given(key, n, np.concatenate(left), np.concatenate(right))
+                left, right, size = [], [], 0
+
+    def long(key: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One list: members outside its most frequent label, each held against all that come after it, that label's last."""
         names, count = np.unique(label, return_counts=True)
         main = label == names[np.argmax(count)]
-        order = np.concatenate([np.flatnonzero(~main), np.flatnonzero(main)])  # the few first: each is held against all after it
-        for i in range(int((~main).sum())):
-            x, rest = order[i], order[i + 1 :]
+        order = np.concatenate([np.flatnonzero(~main), np.flatnonzero(main)])
+        for at in range(int((~main).sum())):
+            x, rest = order[at], order[at + 1 :]
             ok = rest[(label[rest] != label[x]) & (np.minimum(n[rest], n[x]) * 100 >= percent * np.maximum(n[rest], n[x]))]
-            if len(ok):
-                a, b = np.minimum(key[ok], key[x]), np.maximum(key[ok], key[x])
-                yield from _chunks([a, b, np.minimum(n[ok], n[x])], ["a", "b", "n"])
+            yield from given(key, n, np.full(len(ok), x), ok)
+
+    def lists(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, key, n, label = cols
+        if not len(token):
+            return
+        edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+        size = np.diff(edges)
+        for k in np.flatnonzero(size > ONE_BY_ONE):
+            yield from long(*(c[edges[k] : edges[k + 1]] for c in cols[1:]))
+        few = np.repeat(size <= ONE_BY_ONE, size)
+        end = np.repeat(np.cumsum(np.where(size <= ONE_BY_ONE, size, 0)), size)[few]
+        yield from short(key[few], n[few], label[few], end)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -170,20 +200,12 @@ def _apart(percent: int):
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
                 cols = [np.concatenate([x, c]) for x, c in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            edges = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1])
-            small: list[pa.RecordBatch] = []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                small += pairs(*(c[i:j] for c in cols[1:]))
-                if len(small) > 2000:
-                    yield from pa.Table.from_batches(small).combine_chunks().to_batches()
-                    small = []
-            if small:
-                yield from pa.Table.from_batches(small).combine_chunks().to_batches()
-            held = [c[edges[-1] :] for c in cols]
+            if len(cols[0]):
+                last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+                yield from lists([c[:last] for c in cols])
+                held = [c[last:] for c in cols]
         if held is not None:
-            yield from pairs(*held[1:])
+            yield from lists(held)
 
     return run
 
@@ -214,6 +236,22 @@ def _exact(percent: int):
     return run
 
 
+def two_heads(stars: DataFrame) -> DataFrame:
+    """(u, v, c, h) to pairs (u, v): of the heads u that v shares lists with, the one with the most lists c and the first in the order
+    of h. A group of near copies then has a few heads, however many lists it has."""
+    best = stars.groupBy("v").agg(F.min_by("u", F.struct(-F.col("c"), "u")).alias("x"), F.min_by("u", F.struct("h", "u")).alias("y"))
+    return best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("u"), "v")
+
+
+def with_tokens(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """pairs (u, v) and arrays (key, tokens) to (u, v, ta, tb). Pairs that are few go to the arrays, not the arrays to the pairs; what
+    is shuffled is then one array a pair and those of the keys u."""
+    few = pairs.count() <= BROADCAST_ROWS
+    right = arrays.select(F.col("key").alias("v"), F.col("tokens").alias("tb")).join(F.broadcast(pairs) if few else pairs, "v")
+    left = semi(arrays, pairs.select(F.col("u").alias("key")).distinct(), "key").select(F.col("key").alias("u"), F.col("tokens").alias("ta"))
+    return right.join(left, "u").select("u", "v", "ta", "tb")
+
+
 def joined(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -234,8 +272,13 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     long_ = counts.toPandas().sort_values("token")  # at most total / bound, so 2**20 rows
     long_lists = spark.sparkContext.broadcast((long_["token"].to_numpy(np.int64), long_["n"].to_numpy(np.int64)))
 
+    # a list's head is its most copied set: near copies are mostly copies of that one
+    copied = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
     postings = docs.filter("doc_id is not null").select("text").mapInArrow(_postings(words, percent, long_lists), "token long, key long, n long")
-    lists = tables.write(postings.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(shared_runs, "token long, key long, n long, head_key long, head_n long"))
+    postings = postings.join(copied, "key", "left").select("token", "key", "n", F.coalesce("copies", F.lit(1)).alias("copies"))
+    lists = postings.repartition("token").sortWithinPartitions("token", F.desc("copies"), "n", "key").mapInArrow(shared_runs, "token long, key long, n long, copies long, head_key long, head_n long, head_copies long")
+    lists = tables.write(lists.drop("copies"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) of keys, to those that link."""
@@ -243,20 +286,19 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
         ids = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(keys, "key", "left_semi").select("doc_id").distinct()
         arrays = tables.write(semi(docs, tables.write(ids), "doc_id").mapInArrow(_arrays(words), "key long, tokens binary"))
-        full = pairs.join(arrays.select(F.col("key").alias("u"), F.col("tokens").alias("ta")), "u").join(arrays.select(F.col("key").alias("v"), F.col("tokens").alias("tb")), "v")
-        out = tables.write(full.select("u", "v", "ta", "tb").mapInArrow(_exact(percent), "u long, v long"))
+        out = tables.write(with_tokens(pairs, arrays).mapInArrow(_exact(percent), "u long, v long"))
         tables.drop(pairs, arrays)
         return out
 
     least = F.least("n", "head_n")
-    stars = lists.filter("key <> head_key").filter(least * 100 >= F.greatest("n", "head_n") * percent).groupBy(F.col("head_key").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("c"), F.first(least).alias("m")).filter(F.col("c") >= least_count(F.col("m"))).select("u", "v")
-    links = verified(stars)
+    held = lists.filter("key <> head_key").filter(least * 100 >= F.greatest("n", "head_n") * percent).groupBy(F.col("head_key").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("c"), F.first(least).alias("m"), F.first(F.struct(-F.col("head_copies"), F.col("head_n"))).alias("h"))
+    links = verified(two_heads(held.filter(F.col("c") >= least_count(F.col("m")))))
     found = tables.write(components(links))
     labels = found.withColumnRenamed("node", "key").withColumnRenamed("root", "label")
     labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
     labelled = lists.select("token", "key", "n").join(labels, "key", "left").select("token", "key", "n", F.coalesce("label", "key").alias("label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(F.col("token"))
-    apart = labelled.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent), "a long, b long, n long")
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
+    apart = semi(labelled, tables.write(mixed), "token").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent), "a long, b long, n long")
     rest = apart.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_count(F.col("m"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = links.union(verified(rest))
     found = tables.write(components(links))

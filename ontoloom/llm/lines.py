@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm.components import components
-from ontoloom.llm.jaccard import _apart, _chunks, _exact, shared_runs
+from ontoloom.llm.jaccard import _apart, _chunks, _exact, shared_runs, two_heads, with_tokens
 from ontoloom.llm.shared import BROADCAST_ROWS, Tables, batches, semi, ship
 from ontoloom.llm.words import mixed, signed
 
@@ -118,7 +118,12 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     places = tables.write(docs.mapInArrow(_lines(shortest), "doc_id long, line long, key long"))
     buckets = docs.select("text").mapInArrow(_signed(shortest), "token long, key long, n long")
-    lists = tables.write(buckets.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(shared_runs, "token long, key long, n long, head_key long, head_n long"))
+    # a bucket's head is its most frequent line: near copies are mostly copies of that one
+    copied = places.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    buckets = buckets.join(copied, "key", "left").select("token", "key", "n", F.coalesce("copies", F.lit(1)).alias("copies"))
+    lists = buckets.repartition("token").sortWithinPartitions("token", F.desc("copies"), "n", "key").mapInArrow(shared_runs, "token long, key long, n long, copies long, head_key long, head_n long, head_copies long")
+    lists = tables.write(lists.drop("copies"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = tables.write(pairs)
@@ -126,20 +131,19 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20) -> DataFrame
         ids = tables.write(semi(places, keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
         texts = semi(semi(docs, ids, "doc_id").select("text").mapInArrow(_texts(shortest), "key long, text string"), keys, "key")
         arrays = tables.write(texts.dropDuplicates(["key"]).mapInArrow(_arrays, "key long, tokens binary"))
-        full = pairs.join(arrays.select(F.col("key").alias("u"), F.col("tokens").alias("ta")), "u").join(arrays.select(F.col("key").alias("v"), F.col("tokens").alias("tb")), "v")
-        out = tables.write(full.select("u", "v", "ta", "tb").mapInArrow(_exact(percent), "u long, v long"))
+        out = tables.write(with_tokens(pairs, arrays).mapInArrow(_exact(percent), "u long, v long"))
         tables.drop(pairs, keys, ids, arrays)
         return out
 
     fits = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * (percent - 25)  # n counts repeated shingles, so it is no exact bound
-    stars = lists.filter("key <> head_key").filter(fits).select(F.col("head_key").alias("u"), F.col("key").alias("v")).distinct()
+    stars = tables.write(two_heads(lists.filter("key <> head_key").filter(fits).groupBy(F.col("head_key").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("c"), F.first(F.struct(-F.col("head_copies"), F.col("head_n"))).alias("h"))))
     links = verified(stars)
     found = tables.write(components(links))
     labels = found.withColumnRenamed("node", "key").withColumnRenamed("root", "label")
     labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
     labelled = lists.select("token", "key", "n").join(labels, "key", "left").select("token", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed_ = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-    apart = labelled.join(mixed_, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent - 25), "a long, b long, n long")
+    apart = semi(labelled, tables.write(mixed_), "token").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent - 25), "a long, b long, n long")
     rest = apart.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     links = links.union(verified(rest))
     found = tables.write(components(links))
@@ -149,7 +153,7 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20) -> DataFrame
     return rooted.join(firsts, "root").filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", "key")
 
 
-def _without(shortest: int):
+def _without(shortest: int, keep: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             kept, n, gone = [], [], []
@@ -160,13 +164,14 @@ def _without(shortest: int):
                 kept.append(None if t is None else "\n".join(rest))
                 n.append(0 if t is None else len(lines))
                 gone.append(len(lines) - len(rest))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), *map(b.column, keep)], ["doc_id", "text", "n_lines", "n_removed", *keep])
 
     return run
 
 
-def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20) -> DataFrame:
-    """One row for each row of docs: doc_id, text without the lines that repeat an earlier one exactly or nearly, n_lines, n_removed.
+def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, text without the lines that repeat an earlier one exactly or nearly, n_lines, n_removed,
+    and the columns named in keep.
 
     docs: doc_id, text; other columns are not read. Lines are the parts of a text between newlines; those with fewer than
     shortest characters after normalisation always stay, and so do all lines of rows with a null doc_id. A null text stays
@@ -175,11 +180,11 @@ def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20) -> Data
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    schema = "doc_id long, text string, n_lines long, n_removed long"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    schema = "doc_id long, text string, n_lines long, n_removed long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema[2:])
     cuts = tables.write(repeats(docs, percent, shortest).groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("cut")))
     ids = cuts.select("doc_id")
     small = ids.count() <= BROADCAST_ROWS
     whole = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").withColumn("cut", F.lit(None).cast("array<struct<line: bigint, key: bigint>>"))
-    hit = semi(docs, ids, "doc_id").join(cuts, "doc_id").select("doc_id", "text", "cut")
-    return whole.select("doc_id", "text", "cut").union(hit).mapInArrow(_without(shortest), schema)
+    hit = semi(docs, ids, "doc_id").join(cuts, "doc_id")
+    return whole.unionByName(hit).mapInArrow(_without(shortest, keep), schema)

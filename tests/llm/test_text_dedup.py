@@ -152,3 +152,10 @@ def test_lines(docs, rows):
 
 def test_lines_empty(no_docs):
     assert lines.deduplicated(no_docs).collect() == []
+
+
+def test_jaccard_lists_one_by_one(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "ONE_BY_ONE", 3)
+    want = near({r[0]: shingles(r[1]) for r in rows if r[0] is not None})
+    got = jaccard.joined(docs).filter("doc_id is not null").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
