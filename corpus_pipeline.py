@@ -24,11 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; a document of which no text is left goes."""
-    docs = docs.select(*COLUMNS)
-    new = lines.deduplicated(docs).filter("n_removed > 0").select("doc_id", F.col("text").alias("left_text")).filter("doc_id is not null")
-    out = docs.join(Tables(spark).write(new), "doc_id", "left").withColumn("text", F.coalesce("left_text", "text"))
-    out = out.withColumn("n_chars", F.when(F.col("left_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.filter(F.col("left_text").isNull() | F.col("left_text").rlike("\\S")).select(*COLUMNS)
+    out = lines.deduplicated(docs, keep=("lang", "source", "n_chars")).filter((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +36,10 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as often as it is taken, documents that are not taken go. Documents of size 0 stay once."""
+    """The mix: a document as often as it is taken, documents that are not taken go. Documents of size 0 stay once. Rows that repeat
+    a doc_id in a source are taken as often as the one of them that is taken most."""
     mix = mixing.mixed(docs).select("doc_id", "source", F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div size")).cast("int").alias("times")).filter("times > 0")
-    mix = Tables(spark).write(mix.select(F.col("doc_id").alias("id"), F.col("source").alias("s"), "times"))
+    mix = Tables(spark).write(mix.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s")).agg(F.max("times").alias("times")))
     both = docs.select(*COLUMNS).join(mix, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")))
     return both.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
