@@ -121,8 +121,9 @@ def verify(g: Graph, pairs: DataFrame) -> DataFrame:
     indirect = from_a.join(near.toDF("m", "b"), ["m", "b"]).select("a", "b", F.lit(4).alias("k"), F.lit(2).cast("long").alias("depth")).distinct()
     none = real.select("a", "b", F.lit(5).alias("k"), F.lit(None).cast("long").alias("depth"))
     best = up.union(down).union(direct).union(indirect).union(none).groupBy("a", "b").agg(F.min(F.struct("k", "depth")).alias("m"))
-    verdict = F.element_at(F.array(*map(F.lit, ("yes", "reverse", "direct", "indirect", "no"))), F.col("m.k"))
-    return p.join(best, ["a", "b"], "left").select("a", "b", F.coalesce(verdict, F.lit("unknown")).alias("verdict"), F.col("m.depth").alias("depth"))
+    verdict = F.when(F.col("k") == 1, "yes").when(F.col("k") == 2, "reverse").when(F.col("k") == 3, "direct").when(F.col("k") == 4, "indirect").when(F.col("k") == 5, "no").otherwise("unknown")
+    best = best.select("a", "b", F.col("m.k").alias("k"), F.col("m.depth").alias("depth"))
+    return p.join(best, ["a", "b"], "left").select("a", "b", verdict.alias("verdict"), "depth")
 
 
 def tree_up(g: Graph, ids: DataFrame, most: int = 10) -> DataFrame:
