@@ -631,7 +631,7 @@ def grounded_prompts(g: Graph) -> DataFrame:
 
 @query()
 def facts_block(g: Graph) -> DataFrame:
-    return retrieval.facts(g, g.concept.filter("id < 1000").select("id"))
+    return retrieval.facts(g, g.concept.select("id"))
 
 
 _SENT = "SELECT id AS page_id, concat(name, ' is a trading place that lies by the sea, also known as ', name, ' proper or Old ', name, ' and The ', name, '. It stands for the people of ', name, '.') AS text FROM concept WHERE id BETWEEN 100 AND 299 UNION ALL SELECT id, concat(name, ' was the broad market group for buyers; short for market of ', name, ', everyone') FROM concept WHERE id BETWEEN 300 AND 399"
@@ -703,3 +703,47 @@ def qa_messages(g: Graph) -> DataFrame:
 def qa_verified(g: Graph) -> DataFrame:
     """The records held against the graph: every one must be without errors."""
     return qa.verified(g, qa.records(g, seed=42, count=200))
+
+
+# the operators whose SQL above names a part of the ids, over whole concept tables
+def _whole(name: str, f: Callable[[Graph], DataFrame], *swaps: tuple[str, str]) -> None:
+    """Register f as name_all, held against the SQL of name with its id ranges swapped for whole ones."""
+    sql = ORACLE_SQL[name]
+    for old, new in swaps:
+        if old not in sql:
+            raise ValueError(f"{name}: no {old!r} in its SQL")
+        sql = sql.replace(old, new)
+    QUERIES[f"{name}_all"] = lambda spark, sf_dir: f(derived(spark, sf_dir))
+    ORACLE_SQL[f"{name}_all"] = sql
+
+
+def _swapped(sql: str, *swaps: tuple[str, str]) -> str:
+    for old, new in swaps:
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _over(g: Graph, sql: str) -> DataFrame:
+    return g.spark.sql(sql.replace("FROM concept", "FROM {concept}"), concept=g.concept)
+
+
+_ALL_PAIRS = (("BETWEEN 2000001 AND 2000200", "BETWEEN 2000001 AND 2999999"), ("BETWEEN 2000201 AND 2000250", "BETWEEN 2000001 AND 2999999"), ("BETWEEN 3000001 AND 3000010", "BETWEEN 3000001 AND 3999999"))
+_ALL_EDGES = (("BETWEEN 200 AND 204", "BETWEEN 200 AND 224"), ("BETWEEN 2000001 AND 2000300", "BETWEEN 2000001 AND 2999999"), ("BETWEEN 1000001 AND 1000005", "BETWEEN 1000001 AND 1999999"))
+_ALL_MERGES = (("BETWEEN 2000001 AND 2000050", "BETWEEN 2000001 AND 2999999"),)
+_ALL_WORDS = (("id BETWEEN 100 AND 299", "id % 100 = 0"), ("id BETWEEN 200 AND 299", "id % 100 = 0"), ("id BETWEEN 300 AND 399", "id % 100 = 0"))  # a search: every hundredth id
+
+
+def _merged_all(g: Graph) -> Graph:
+    return batch.merged(g, _over(g, _swapped(_MERGES, *_ALL_MERGES)).join(g.concept.select(F.col("id").alias("dst")), "dst", "left_semi"))
+
+
+_whole("neighbour_links", ops.neighbours, (" WHERE x < 1000", ""))
+_whole("closure_extent", lambda g: ops.extents(g, g.concept.select("id")).join(g.concept.select("id"), "id", "left_semi").select("seed", "id"), (_x(100, 101, 102, 103, 104, 301, 302, 303, 304, 305), _SEEDS.replace("SELECT unnest([{}]) AS s", "SELECT id AS s FROM concept")))
+_whole("tree_up", lambda g: ops.tree_up(g, g.concept.select("id")), (" WHERE id BETWEEN 2000001 AND 2000100", ""))
+_whole("verify_pairs", lambda g: ops.verify(g, _over(g, _swapped(_PAIRS, *_ALL_PAIRS)).select(F.col("a").cast("long"), F.col("b").cast("long"))), *_ALL_PAIRS)
+_whole("term_resolve", lambda g: terms.resolve_all(g, g.concept.select(F.upper("name").alias("term")).distinct()), (" WHERE id BETWEEN 100 AND 699 OR id BETWEEN 1000001 AND 1000040", ""))
+_whole("term_fuzzy", lambda g: terms.fuzzy(g, _over(g, _swapped(_WORDS, *_ALL_WORDS))), *_ALL_WORDS)
+_whole("term_phrase_fuzzy", lambda g: terms.fuzzy_phrases(g, g.concept.filter("id % 100 = 0 and instr(name, ' ') > 0").select(F.concat(F.lower("name"), F.lit("s")).alias("phrase"))), ("id BETWEEN 1000001 AND 1000500", "id % 100 = 0 AND contains(name, ' ')"))
+_whole("edge_validate", lambda g: batch.validated(g, _over(g, _swapped(_BATCH, *_ALL_EDGES))), *_ALL_EDGES)
+_whole("merge_retarget", lambda g: _merged_all(g).edge.select("id", "subject", "code", "target", "context", "strength"), (" WHERE subject >= 2000000", ""), *_ALL_MERGES)
+_whole("batch_diff", lambda g: batch.difference(g.edge, _merged_all(g).edge, ["id"]), *_ALL_MERGES)
