@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; a document of which no text is left goes."""
-    out = lines.deduplicated(docs, keep=("lang", "source", "n_chars")).filter((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
+    out = lines.deduplicated(docs, keep=("lang", "source", "n_chars"), exact_short=True).filter((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 

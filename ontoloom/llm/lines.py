@@ -3,7 +3,8 @@
 Lines are compared after lower-casing and with runs of white space as one blank. Each distinct line gets a signature of
 minima over its character shingles; bands of the signature deal it to buckets; bucket members are held against the bucket's
 head, then, where they are not yet linked, against each other; each pair is verified by exact Jaccard similarity; linked
-lines are joined by distributed union-find. Of each component the first line (by doc_id, then place) stays.
+lines are joined by distributed union-find. Of each component the first line (by doc_id, then place) stays. Lines too short for
+shingles to tell apart can be grouped by their exact normalised text.
 """
 
 from __future__ import annotations
@@ -109,14 +110,15 @@ def _arrays(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([np.unique(chars(t)).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["key", "tokens"])
 
 
-def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20) -> DataFrame:
+def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20, exact_short: bool = False) -> DataFrame:
     """(doc_id, line, key): the lines that go, by place in the text split at newlines; each line that stands after another of its
-    component in the order of doc_id and place. Lines with fewer than shortest characters are not compared."""
+    component in the order of doc_id and place. Lines with fewer than shortest characters are not compared; with exact_short those
+    that are not empty are, for equality only."""
     spark = docs.sparkSession
     ship(spark)
     tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    places = tables.write(docs.mapInArrow(_lines(shortest), "doc_id long, line long, key long"))
+    places = tables.write(docs.mapInArrow(_lines(1 if exact_short else shortest), "doc_id long, line long, key long"))
     buckets = docs.select("text").mapInArrow(_signed(shortest), "token long, key long, n long")
     # a bucket's head is its most frequent line: near copies are mostly copies of that one
     copied = places.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
@@ -169,22 +171,22 @@ def _without(shortest: int, keep: tuple[str, ...]):
     return run
 
 
-def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20, keep: tuple[str, ...] = (), exact_short: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, text without the lines that repeat an earlier one exactly or nearly, n_lines, n_removed,
     and the columns named in keep.
 
     docs: doc_id, text; other columns are not read. Lines are the parts of a text between newlines; those with fewer than
-    shortest characters after normalisation always stay, and so do all lines of rows with a null doc_id. A null text stays
-    null and has no lines. Rows that repeat a doc_id and text are one document; rows that repeat a doc_id with different texts
+    shortest characters after normalisation always stay, unless exact_short: then those that repeat an earlier one exactly go,
+    and only lines without text always stay. All lines of rows with a null doc_id stay. A null text stays null and has no lines. Rows that repeat a doc_id and text are one document; rows that repeat a doc_id with different texts
     are compared line by line, places counted in each. No documents: no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     schema = "doc_id long, text string, n_lines long, n_removed long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema[2:])
-    cuts = tables.write(repeats(docs, percent, shortest).groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("cut")))
+    cuts = tables.write(repeats(docs, percent, shortest, exact_short).groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("cut")))
     ids = cuts.select("doc_id")
     small = ids.count() <= BROADCAST_ROWS
     whole = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").withColumn("cut", F.lit(None).cast("array<struct<line: bigint, key: bigint>>"))
     hit = semi(docs, ids, "doc_id").join(cuts, "doc_id")
-    return whole.unionByName(hit).mapInArrow(_without(shortest, keep), schema)
+    return whole.unionByName(hit).mapInArrow(_without(1 if exact_short else shortest, keep), schema)
