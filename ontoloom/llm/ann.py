@@ -139,16 +139,22 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: in
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x = np.stack(member["embedding"].to_numpy()).astype(np.float64)
         ids, norm = member["vec_id"].to_numpy(np.int64), np.linalg.norm(x, axis=1)
+        order = np.argsort(ids, kind="stable")
+        x, norm = x[order], norm[order]
+        ids, first = np.unique(ids[order], return_index=True)
         out = []
         for i in range(0, len(asked), 256):
             y = np.stack(asked["embedding"].iloc[i : i + 256].to_numpy()).astype(np.float64)
             own = asked["vec_id"].to_numpy(np.int64)[i : i + 256]
             s = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * norm)
+            if len(ids) < len(x):
+                s = np.maximum.reduceat(s, first, axis=1)  # a repeated vec_id is one candidate
             s[own[:, None] == ids] = -np.inf
             # all that reach the k-th largest score, so that no tie is lost
             last = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
             r, c = np.nonzero((s >= last[:, None]) & np.isfinite(s))
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": s[r, c]}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k))
+            best = pd.DataFrame({"row": r, "query_id": own[r], "vec_id": ids[c], "score": s[r, c]}).sort_values(["row", "score", "vec_id"], ascending=[True, False, True])
+            out.append(best.groupby("row").head(k).drop(columns="row"))
         return pd.concat(out)
 
     found = dealt(asked, "qb", "mb").groupBy("list", "mb", "qb").cogroup(dealt(member, "mb", "qb").groupBy("list", "mb", "qb")).applyInPandas(score, "query_id long, vec_id long, score double")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline as P
-from ontoloom.llm import lines
+from ontoloom.llm import ann, lines
 from ontoloom.llm.queries import QUERIES
 
 
@@ -15,3 +17,16 @@ def test_short_lines(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in P.dedup_lines(spark, docs, "").collect()} == {i: t for i, t in want.items() if t}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_removed"] for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_copies_of_a_vector_take_no_places(spark):
+    x = np.random.default_rng(5).normal(size=(12, 8)) * 0.1 + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argsort(-(u[0] @ u[1:].T), kind="stable") + 1
+    close = rows + [rows[near[0]]] * 6
+    twice = rows * 2
+    for table in (close, twice):
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = ann.neighbours(df.filter("vec_id = 0"), df, k=5).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == near[:5].tolist()
