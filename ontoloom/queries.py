@@ -602,8 +602,11 @@ _FOUND = f"""qs AS ({_QUESTIONS}), qw AS (SELECT qid, list_filter(string_split(r
   fc AS (SELECT qid, id, n AS words, place FROM (SELECT qid, id, n, place, row_number() OVER (PARTITION BY qid ORDER BY n DESC, place, id) AS k FROM (SELECT g.qid, nm.id, max(g.n) AS n, arg_min(g.place, (-g.n, g.place)) AS place FROM qg g JOIN nm ON nm.key = g.key GROUP BY g.qid, nm.id)) WHERE k <= 8)"""
 
 
-def _questions(g: Graph) -> DataFrame:
-    return g.spark.sql(_QUESTIONS.replace("concept p", "{concept} p").replace("concept n", "{concept} n"), concept=g.concept)
+_ALL_QUESTIONS = (("BETWEEN 1000001 AND 1000060", "BETWEEN 1000001 AND 1999999"),)
+
+
+def _questions(g: Graph, *swaps: tuple[str, str]) -> DataFrame:
+    return g.spark.sql(_swapped(_QUESTIONS, *swaps).replace("concept p", "{concept} p").replace("concept n", "{concept} n"), concept=g.concept)
 
 
 @query("SELECT qid, id, CAST(words AS BIGINT) AS words, CAST(place AS BIGINT) AS place FROM fc", more=_FOUND)
@@ -621,12 +624,12 @@ def related_topk(g: Graph) -> DataFrame:
 
 @query()
 def connected_concepts(g: Graph) -> DataFrame:
-    return retrieval.connected(g, retrieval.found_concepts(g, _questions(g)))
+    return retrieval.connected(g, retrieval.found_concepts(g, _questions(g, *_ALL_QUESTIONS)))
 
 
 @query()
 def grounded_prompts(g: Graph) -> DataFrame:
-    return retrieval.prompts(g, _questions(g))
+    return retrieval.prompts(g, _questions(g, *_ALL_QUESTIONS))
 
 
 @query()
@@ -660,6 +663,18 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", retrieval.page_text().alias("text")))
 
 
+@table_query()
+def extract_synonyms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synonyms in the first sentences of all pages."""
+    return extract_pages(spark, sf_dir).select("page_id", "synonyms")
+
+
+@table_query()
+def extract_genus_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genus and expansion in the first sentences of all pages."""
+    return extract_pages(spark, sf_dir).select("page_id", "genus", "expansion")
+
+
 # questions and answers
 @query("SELECT a, expected FROM (SELECT subject AS a, count(*) AS n, array_to_string(list_sort(list(target)), ',') AS expected FROM g14 GROUP BY subject) WHERE n <= 4")
 def qa_parents(g: Graph) -> DataFrame:
@@ -747,3 +762,5 @@ _whole("term_phrase_fuzzy", lambda g: terms.fuzzy_phrases(g, g.concept.filter("i
 _whole("edge_validate", lambda g: batch.validated(g, _over(g, _swapped(_BATCH, *_ALL_EDGES))), *_ALL_EDGES)
 _whole("merge_retarget", lambda g: _merged_all(g).edge.select("id", "subject", "code", "target", "context", "strength"), (" WHERE subject >= 2000000", ""), *_ALL_MERGES)
 _whole("batch_diff", lambda g: batch.difference(g.edge, _merged_all(g).edge, ["id"]), *_ALL_MERGES)
+_whole("find_concepts", lambda g: retrieval.found_concepts(g, _questions(g, *_ALL_QUESTIONS)), *_ALL_QUESTIONS)
+_whole("related_topk", lambda g: retrieval.related(g, retrieval.found_concepts(g, _questions(g, *_ALL_QUESTIONS))), *_ALL_QUESTIONS)

@@ -19,3 +19,17 @@ def test_facts_of_every_concept(spark):
     from ontoloom.sources.derive import derived
 
     assert core.QUERIES["facts_block"](spark, SF).count() == derived(spark, SF).concept.count() > 300
+
+
+@pytest.mark.parametrize("name", ["find_concepts_all", "related_topk_all", "connected_concepts", "grounded_prompts"])
+def test_questions_of_every_part(spark, name):
+    from ontoloom.sources.derive import derived
+
+    parts = derived(spark, SF).concept.filter("id between 1000001 and 1999999").count()
+    assert core.QUERIES[name](spark, SF).select("qid").distinct().count() == parts > 60
+
+
+@pytest.mark.parametrize("name", ["extract_synonyms_all", "extract_genus_all"])
+def test_every_page_is_read(spark, name):
+    pages = {r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert {r["page_id"] for r in core.QUERIES[name](spark, SF).collect()} == pages
