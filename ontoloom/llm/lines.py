@@ -49,15 +49,20 @@ def multipliers(seed: int = 3) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def distinct(h: np.ndarray) -> int:
+    h = np.sort(h)
+    return 1 + int(np.count_nonzero(h[1:] != h[:-1]))
+
+
 def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """One row of band hashes for each line, and the number of its shingles."""
+    """One row of band hashes for each line, and the number of its distinct shingles."""
     parts = [chars(x) for x in lines]
     n = np.array([len(p) for p in parts])
     h, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum(n)[:-1]])
     out = np.zeros((len(lines), BANDS), np.uint64)
     for j, a in enumerate(multipliers()):
         out[:, j // ROWS] = mixed(out[:, j // ROWS] + np.minimum.reduceat(h * a, starts)) + np.uint64(j // ROWS)
-    return out, n
+    return out, np.array([distinct(p) for p in parts])
 
 
 def _lines(shortest: int):
@@ -137,7 +142,7 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20, exact_short:
         tables.drop(pairs, keys, ids, arrays)
         return out
 
-    fits = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * (percent - 25)  # n counts repeated shingles, so it is no exact bound
+    fits = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
     stars = tables.write(two_heads(lists.filter("key <> head_key").filter(fits).groupBy(F.col("head_key").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("c"), F.first(F.struct(-F.col("head_copies"), F.col("head_n"))).alias("h"))))
     links = verified(stars)
     found = tables.write(components(links))
@@ -145,7 +150,7 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20, exact_short:
     labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
     labelled = lists.select("token", "key", "n").join(labels, "key", "left").select("token", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed_ = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-    apart = semi(labelled, tables.write(mixed_), "token").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent - 25), "a long, b long, n long")
+    apart = semi(labelled, tables.write(mixed_), "token").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent), "a long, b long, n long")
     rest = apart.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     links = links.union(verified(rest))
     found = tables.write(components(links))

@@ -30,3 +30,9 @@ def test_copies_of_a_vector_take_no_places(spark):
         df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
         got = ann.neighbours(df.filter("vec_id = 0"), df, k=5).orderBy("rank").collect()
         assert [r["vec_id"] for r in got] == near[:5].tolist()
+
+
+def test_lines_of_repeated_shingles(spark):
+    texts = ["-" * 30, "-" * 80, "sich " * 40, "sich " * 200, "a line that is like none of the others"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
