@@ -33,3 +33,8 @@ def test_questions_of_every_part(spark, name):
 def test_every_page_is_read(spark, name):
     pages = {r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert {r["page_id"] for r in core.QUERIES[name](spark, SF).collect()} == pages
+
+
+def test_ancestry_is_asked_both_ways(spark):
+    rows = core.QUERIES["qa_messages"](spark, SF).filter("task = 'ancestry'").collect()
+    assert {r["answer"] for r in rows} == {"yes", "no"}
