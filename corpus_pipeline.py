@@ -6,7 +6,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm import jaccard, lines, mixing, packing, quality
@@ -29,10 +29,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near documents the one with the smallest doc_id; documents without words or id stay."""
-    gone = jaccard.joined(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = Tables(spark).write(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near documents the one with the smallest doc_id; documents without words or id stay. Of rows that repeat a
+    doc_id each is a document; among those of one group the one with the least set, then text, stays."""
+    tables = Tables(spark)
+    docs = docs.select(*COLUMNS)
+    found = tables.write(jaccard.joined(docs, with_sets=True).filter("root is not null").select("doc_id", "key", "root"))
+    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    gone = tables.write(found.join(firsts, "root").filter(F.struct("doc_id", "key") != F.col("first")).select("doc_id", "key").distinct())
+    again = tables.write(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    once = docs.join(again, "doc_id", "left_anti").join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = jaccard.keyed(docs.join(again, "doc_id", "left_semi").select(*COLUMNS))
+    rest = rows.filter("key is not null").join(gone, ["doc_id", "key"], "left_anti")
+    k = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("text", "source", "lang", "n_chars"))
+    rest = rest.withColumn("k", k).filter("k = 1").select(*COLUMNS)
+    return once.union(rest).union(rows.filter("key is null").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,13 +252,26 @@ def with_tokens(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return right.join(left, "u").select("u", "v", "ta", "tb")
 
 
-def joined(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+def keyed(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs with the key of each row's set: null for rows without words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            sets = [signed(shingles(t, words)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([key_of(s) if len(s) else None for s in sets], pa.int64())], [*b.schema.names, "key"])
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", key long")
+
+
+def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
     docs: doc_id, text; other columns are not read. Returns one row for each row of docs: doc_id, n_shingles and
     component_id, the smallest doc_id that links reach. Documents without words (null or empty text) have no shingles and
     are alone; so are rows with a null doc_id, whose component_id is null. Rows that repeat a doc_id are documents of their
-    own, each with its own set. No documents: no rows. Sets and shingles are told apart by 64-bit hashes.
+    own, each with its own set. No documents: no rows. Sets and shingles are told apart by 64-bit hashes. with_sets adds key,
+    the row's set, and root, its component's least key; both are null for rows without words or id.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -303,6 +316,6 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     links = links.union(verified(rest))
     found = tables.write(components(links))
     # the class of a row, and the least id of the class's component
-    labelled = rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
+    labelled = rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))
     least_id = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least_id, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return labelled.join(least_id, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(("key", "root") if with_sets else ()))

@@ -36,3 +36,12 @@ def test_lines_of_repeated_shingles(spark):
     texts = ["-" * 30, "-" * 80, "sich " * 40, "sich " * 200, "a line that is like none of the others"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_near_rows_of_one_id(spark):
+    a, c = "one two three four five six seven eight", "quite another text with other words in it"
+    rows = [(1, a), (2, a), (2, c), (3, a), (3, a), (4, c), (5, "x y z"), (5, "x y z"), (6, None), (6, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"]) for r in P.keep_one_of_near(spark, docs, "").collect()}
+    assert got == {(1, a), (2, c), (5, "x y z"), (6, None), (6, ""), (None, a)}
+    assert P.keep_one_of_near(spark, docs, "").count() == 6
