@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.functions import text
 from ontoloom.operators import graph as ops
 from ontoloom.plans.tables import materialized
 from ontoloom.sources.model import GENUS, Graph
@@ -15,20 +18,18 @@ def _ok(g: Graph) -> DataFrame:
 
 
 def structural(g: Graph) -> DataFrame:
-    """(edge, issue): self loops, dangling ends, unknown codes, strengths outside 0 to 100 among accepted edges."""
+    """(edge, issue): self loops, dangling ends, unknown and deprecated codes, strengths outside 0 to 100 among accepted edges."""
     e = _ok(g)
-    ids = g.concept.select("id")
+    ids, rule = g.concept.select("id"), F.broadcast(g.rule.select("code", "name"))  # a few dozen codes
     dangling = e.join(ids.toDF("subject"), "subject", "left_anti").select("id").union(e.join(ids.toDF("target"), "target", "left_anti").select("id")).distinct()
-    parts = [
-        e.filter("subject = target").select("id", F.lit("self_loop").alias("issue")),
-        dangling.select("id", F.lit("dangling")),
-        e.join(F.broadcast(g.rule.select("code")), "code", "left_anti").select("id", F.lit("unknown_code")),  # a few dozen codes
-        e.filter("strength < 0 or strength > 100").select("id", F.lit("strength")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumnRenamed("id", "edge")
+    found = {
+        "self_loop": e.filter("subject = target"),
+        "dangling": dangling,
+        "unknown_code": e.join(rule, "code", "left_anti"),
+        "deprecated_code": e.join(rule, "code").filter(F.col("name").contains("deprecated")),
+        "strength": e.filter("strength < 0 or strength > 100"),
+    }
+    return reduce(DataFrame.union, [df.select(F.col("id").alias("edge"), F.lit(issue).alias("issue")) for issue, df in found.items()])
 
 
 def cycle_edges(g: Graph) -> DataFrame:
@@ -137,10 +138,9 @@ def multi_genus(g: Graph, context: int = 1) -> DataFrame:
     return g.code(context, GENUS).groupBy(F.col("subject").alias("id")).agg(F.countDistinct("target").alias("genera")).filter("genera > 1")
 
 
-def roots(g: Graph, context: int = 1) -> DataFrame:
-    """(id): concepts without a genus in a context that are some concept's genus."""
-    e = g.code(context, GENUS)
-    return e.select(F.col("target").alias("id")).distinct().join(e.select(F.col("subject").alias("id")), "id", "left_anti")
+def roots(g: Graph) -> DataFrame:
+    """(id): concepts that no accepted genus edge leaves, in any context; concepts without any edge are among them."""
+    return g.concept.select("id").join(_ok(g).filter(F.col("code") == GENUS).select(F.col("subject").alias("id")), "id", "left_anti")
 
 
 def genus_only(g: Graph) -> DataFrame:
@@ -157,10 +157,69 @@ def missing_language(g: Graph, langs: tuple[str, ...] = ("en", "ru")) -> DataFra
     return want.join(have, ["id", "lang"], "left_anti").groupBy("lang").agg(F.count("*").alias("concepts"))
 
 
-def frontier(g: Graph, below: int = 2) -> DataFrame:
-    """(id, processed, children): concepts below a level of processing, those with most children first."""
+def frontier(g: Graph, below: int = 2, context: int | None = None) -> DataFrame:
+    """(id, processed, children): concepts below a level of processing, of one home context if it is named."""
     n = _ok(g).filter(F.col("code") == GENUS).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("children"))
-    return g.concept.filter(F.col("processed") < below).join(n, "id", "left").select("id", "processed", F.coalesce("children", F.lit(0)).alias("children"))
+    c = g.concept.filter(F.col("processed") < below)
+    c = c if context is None else c.filter(F.col("context") == context)
+    return c.join(n, "id", "left").select("id", "processed", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def totals(g: Graph) -> DataFrame:
+    """(metric, value): concepts, edges, candidates, paths (pairs of the stored closure), and concepts by context and by level."""
+    one = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+    by = lambda c, name: g.concept.groupBy(c).agg(F.count("*").alias("value")).select(F.concat(F.lit(name), F.col(c).cast("string")).alias("metric"), "value")
+    out = one(g.concept, "concepts").union(one(g.edge, "edges")).union(one(g.edge.filter("status = 'candidate'"), "candidates"))
+    return out.union(one(ops.merged_closure(g), "paths")).union(by("context", "context ")).union(by("processed", "processed "))
+
+
+def report(g: Graph) -> DataFrame:
+    """(metric, value): the counts of a whole audit, one row each, and accepted edges by code."""
+    ok, ids = _ok(g), g.concept.select("id")
+    known = ok.join(ids.toDF("subject"), "subject", "left_semi").join(ids.toDF("target"), "target", "left_semi").withColumn("c", F.expr("try_cast(code as int)"))
+    ruled = known.join(F.broadcast(g.rule.select("code", "name")), "code")  # a few dozen codes
+    wrong = signature_edges(g)
+    english = g.term.filter("lang = 'en'").select("concept_id", F.col("term"), text.has_latin(F.col("term")).alias("latin"), text.has_cyrillic(F.col("term")).alias("cyrillic"))
+    suspect = english.filter("cyrillic and not latin")
+    lack = lambda lang: ids.join(g.term.filter(F.col("lang") == lang).select(F.col("concept_id").alias("id")), "id", "left_anti")
+    specific = ruled.filter("c between 15 and 27 or c between 70 and 74").select(F.col("subject").alias("id")).distinct()
+    parallel = ruled.filter("c between 30 and 64").select(F.col("subject").alias("id")).distinct()
+    tables = {
+        "concepts": ids,
+        "edges": g.edge,
+        "accepted_edges": ok,
+        "terms": g.term.select("concept_id", "term", "lang").distinct(),
+        "signature_invalid_edges": wrong.select("edge").distinct(),
+        "signature_violations": wrong,
+        "self_loops": ok.filter("subject = target"),
+        "taxonomy_cycle_edges": cycle_edges(g),
+        "dangling_edges": ok.select("id").join(known.select("id"), "id", "left_anti"),
+        "deprecated_edges": ruled.filter(F.col("name").contains("deprecated")),
+        "missing_ru": lack("ru"),
+        "missing_en": lack("en"),
+        "concepts_with_cyrillic_only_en": suspect.select("concept_id").distinct(),
+        "cyrillic_only_en_terms": suspect,
+        "concepts_without_latin_en": ids.join(english.filter("latin").select(F.col("concept_id").alias("id")), "id", "left_anti"),
+        "concepts_with_specific_properties": specific,
+        "concepts_with_parallel_relations": parallel,
+        "concepts_without_non_isa": ids.join(specific, "id", "left_anti").join(parallel, "id", "left_anti"),
+    }
+    rows = [t.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value") for name, t in tables.items()]
+    rows.append(ok.groupBy("code").agg(F.count("*").alias("value")).select(F.concat(F.lit("accepted "), "code").alias("metric"), "value"))
+    return reduce(DataFrame.union, rows)
+
+
+def signature_edges(g: Graph) -> DataFrame:
+    """(edge, side): accepted edges, of any context, with known ends and code whose end lies under none of the anchors of that side."""
+    ids = g.concept.select("id")
+    e = _ok(g).join(ids.toDF("subject"), "subject", "left_semi").join(ids.toDF("target"), "target", "left_semi").select("id", "code", "subject", F.col("target").alias("object"))
+    up = ops.merged_closure(g).select(F.col("descendant").alias("end"), F.col("ancestor").alias("anchor")).union(ids.select("id", "id"))
+    out = []
+    for side in ("subject", "object"):
+        rule = F.broadcast(g.anchor.filter(F.col("side") == side).select("code", "anchor"))  # a few anchors a code
+        bound = e.join(rule.select("code").distinct(), "code", "left_semi").select("id", "code", F.col(side).alias("end"))
+        out.append(bound.join(up.join(rule, "anchor").select("code", "end").distinct(), ["code", "end"], "left_anti").select(F.col("id").alias("edge"), F.lit(side).alias("side")))
+    return out[0].union(out[1])
 
 
 def raised_levels(g: Graph) -> DataFrame:

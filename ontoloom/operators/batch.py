@@ -22,8 +22,8 @@ def oriented(g: Graph, edges: DataFrame) -> DataFrame:
 
 def validated(g: Graph, batch: DataFrame) -> DataFrame:
     """batch (subject, code, target, context, strength) with verdict and warning. The first fault in this order counts: unknown_code,
-    missing, duplicate (any context but for genus), cycle, redundant (a genus already reached), signature_subject,
-    signature_object; else ok. warning: an ancestor makes the same assertion."""
+    missing, duplicate (any context but for genus), cycle, redundant (a genus already reached, unless it is a direct one of another
+    context), signature_subject, signature_object; else ok. warning: an ancestor makes the same assertion."""
     b = oriented(g, batch)
     ids, known = g.concept.select("id"), ops.merged_closure(g)
     yes = lambda df, keys, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
@@ -43,15 +43,15 @@ def validated(g: Graph, batch: DataFrame) -> DataFrame:
     on = lambda c: F.coalesce(c, F.lit(False))
     genus = F.col("code") == GENUS
     verdict = F.when(~on("has_code"), "unknown_code").when(~on("has_s") | ~on("has_t"), "missing").when(on("same") | (~genus & on("anywhere")), "duplicate")
-    verdict = verdict.when(genus & ((F.col("subject") == F.col("target")) | on("above")), "cycle").when(genus & on("below"), "redundant")
+    verdict = verdict.when(genus & ((F.col("subject") == F.col("target")) | on("above")), "cycle").when(genus & on("below") & ~on("anywhere"), "redundant")
     verdict = verdict.when(on("bound_subject") & ~on("fits_subject"), "signature_subject").when(on("bound_object") & ~on("fits_object"), "signature_object").otherwise("ok")
     warned = F.col("code").isin("70", *(str(c) for c in range(20, 28))) & on("inherited") & ~F.coalesce(F.col("strength") == 0, F.lit(False))
     return b.select(*KEY, "strength", verdict.alias("verdict"), warned.alias("warning"))
 
 
 def edge_id():
-    """Edges are numbered by their key, so new ones need no counter."""
-    return ((F.col("subject") * 100 + F.col("code").cast("long")) * 10_000_000 + F.col("target")) * 10 + F.col("context")
+    """New edges are numbered by a 62-bit hash of their key, so they need no counter, whatever codes and ids look like."""
+    return F.pmod(F.xxhash64(*KEY), F.lit(2**62))
 
 
 def proposed(g: Graph, batch: DataFrame, status: str = "candidate") -> tuple[DataFrame, DataFrame]:
@@ -142,3 +142,15 @@ def term_repair(g: Graph, before: DataFrame, add: DataFrame, remove: DataFrame)
 
 def g_rows(one: DataFrame) -> tuple:
     return tuple(one.first())
+
+
+def relabelled(rule: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The relation grammar with the names that a map gives to codes."""
+    new = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("code")]
+    return rule.withColumn("name", F.coalesce(new, "name"))
+
+
+def with_genus(g: Graph, pairs: DataFrame, context: int = 1) -> tuple[DataFrame, DataFrame]:
+    """pairs (subject, target) proposed as accepted genus edges of a context: (edges, report by verdict)."""
+    asked = pairs.select("subject", F.lit(GENUS).alias("code"), "target", F.lit(context).cast("long").alias("context"), F.lit(None).cast("long").alias("strength"))
+    return proposed(g, asked, "ok")

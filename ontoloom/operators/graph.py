@@ -105,6 +105,13 @@ def witness_paths(g: Graph, context: int = 1, start: DataFrame | None = None, co
         known.append(new)
 
 
+def edge_records(g: Graph, ids: list[int]) -> list[dict]:
+    """The named edges in the given order, as records of id, subject, code, target, context and strength. For paths and evidence of
+    one concept, which are few."""
+    found = {r["id"]: r.asDict() for r in g.edge.filter(F.col("id").isin(*ids)).drop("status").collect()} if ids else {}
+    return [found[i] for i in ids]
+
+
 def verify(g: Graph, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) to (a, b, verdict, depth): yes (a lies below b), reverse, direct (any accepted relation either way), indirect
     (one concept between), no; unknown if either is no concept. Contexts are merged."""
@@ -192,3 +199,36 @@ def home_parent(g: Graph) -> DataFrame:
 def joined_ids(c: Column | str) -> Column:
     """An array of ids as text."""
     return F.array_join(F.transform(F.col(c) if isinstance(c, str) else c, lambda x: x.cast("string")), ",")
+
+
+#: Views of a concept's relations by code (fixed ranges); negative: stated not to hold.
+VIEWS = {"attributes": (15, 27), "logical": (30, 64), "causal": (70, 74)}
+
+
+def relation_view(g: Graph, view: str) -> DataFrame:
+    """Accepted edges of a view: attributes, logical, causal, negative or all."""
+    e = g.edge.filter("status = 'ok'")
+    if view == "all":
+        return e
+    if view == "negative":
+        return e.filter("strength = 0")
+    low, high = VIEWS[view]
+    return e.filter(F.expr("try_cast(code as int)").between(low, high))
+
+
+def ancestor_layers(g: Graph, ids: DataFrame, most: int = 10) -> DataFrame:
+    """ids (id) to (root, node, level): all that lies above a concept, by the longest simple path that leads there."""
+    return tree_up(g, ids, most).groupBy("root", F.col("parent").alias("node")).agg(F.max("depth").alias("level"))
+
+
+def child_pages(g: Graph, size: int = 50) -> DataFrame:
+    """(parent, node, page): the children of each concept in order of id, in pages from 0."""
+    e = g.edge.filter((F.col("status") == "ok") & (F.col("code") == GENUS)).select(F.col("target").alias("parent"), F.col("subject").alias("node")).distinct()
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("node")) - 1
+    return e.withColumn("page", F.floor(place / size).cast("long"))
+
+
+def tree_view(g: Graph, ids: DataFrame, up: int = 10, down: int = 3) -> DataFrame:
+    """(side, root, node, parent, depth): the trees above and below each concept in one table; side is up or down."""
+    above = tree_up(g, ids, up).select(F.lit("up").alias("side"), "root", "node", "parent", "depth").distinct()
+    return above.union(tree_down(g, ids, down).select(F.lit("down"), "root", "node", "parent", "depth"))

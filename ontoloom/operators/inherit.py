@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.operators.graph import closure
+from ontoloom.operators.graph import closure, edge_records, witness_paths
 from ontoloom.plans.tables import materialized
 from ontoloom.sources.model import INHERITED, Graph, is_positive
 
@@ -48,6 +48,21 @@ def states(g: Graph, code: str, target: int, context: int = 1, ids: DataFrame |
     return (g.concept if ids is None else ids).select("id").join(known, "id", "left").select("id", state.alias("state"))
 
 
+def explained(g: Graph, subject: int, code: str, target: int, context: int = 1) -> dict:
+    """Why a property has its state for one concept: the assertions that decide, each with the genus path from the concept to its
+    owner, and the ids of overridden ones. All of it is evidence of one concept, which is small."""
+    one = g.spark.range(subject, subject + 1).select("id")
+    found = applicable(g, assertions(g, context, code, target), context, one).orderBy("edge").collect()
+    left = [r for r in found if not r["overridden"]]
+    signs = {r["strength"] is None or r["strength"] > 0 for r in left}
+    state = "unknown" if not signs else "conflict" if len(signs) == 2 else "positive" if signs == {True} else "negative"
+    paths = {r["ancestor"]: list(r["edges"]) for r in witness_paths(g, context, one).filter(F.col("ancestor").isin(*[r["owner"] for r in left])).collect()} if left else {}
+    edges = {r["id"]: r for r in edge_records(g, sorted({i for p in paths.values() for i in p} | {r["edge"] for r in left}))}
+    evidence = [{"edge": edges[r["edge"]], "genus_path": [edges[i] for i in paths[r["owner"]]]} for r in left]
+    overridden = sorted(r["edge"] for r in found if r["overridden"])
+    return {"subject": subject, "relation": code, "target": target, "context": context, "state": state, "evidence": evidence, "overridden_edge_ids": overridden}
+
+
 def redundant(g: Graph, context: int = 1) -> DataFrame:
     """(edge, subject, code, target, ancestor): assertions that a proper ancestor makes too, not counting explicit negatives."""
     a = g.scope(context).filter(F.col("code").isin("70", *(str(c) for c in range(20, 28)))).select("id", "subject", "code", "target")

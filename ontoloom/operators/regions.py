@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.operators import graph as ops
 from ontoloom.plans.algebra import sampled
+from ontoloom.plans.tables import materialized
 from ontoloom.sources.model import COEXTENSION, GENUS, Graph
 
 #: Sets of one diagram: a mask has a bit for each.
@@ -54,17 +55,34 @@ def pair_kinds(g: Graph, ids: list[int], context: int = 1) -> DataFrame:
 
 
 def shared_genera(g: Graph, ids: list[int], context: int = 1, most: int = 8) -> DataFrame:
-    """(genus, members): direct genera of at least two selected concepts, neither of which lies below the other; without selected
-    genera, and without a genus above another one found. Most members first, then by id."""
-    sel = g.spark.createDataFrame([(i,) for i in ids], "id long")
+    """(genus, members): direct genera of at least two selected concepts of which neither lies below the other; members counts the
+    selected concepts that have it. Most members first, then by id.
+
+    Concepts that coextension links are one: a concept has the genera of all that are equal to it, and a genus goes by the
+    least id of those equal to it. A genus that is selected, or lies below a concept that has it, does not count. A broader
+    genus goes if a narrower one has all its members."""
+    sel = g.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id long")  # at most MOST rows
     up, same = _upward(g, sel, context)
-    rep = same.groupBy("seed").agg(F.min("id").alias("rep"))
-    nested = up.join(sel, "id", "left_semi").filter("seed <> id").select(F.col("seed").alias("id")).distinct()
-    direct = g.code(context, GENUS).select(F.col("subject").alias("seed"), F.col("target").alias("genus")).join(rep, "seed").join(nested.toDF("seed"), "seed", "left_anti")
-    found = direct.groupBy("genus").agg(F.countDistinct("rep").alias("members")).filter("members >= 2").join(sel.toDF("genus"), "genus", "left_anti")
-    above = ops.closure(g, context).filter("descendant <> ancestor")
-    broader = above.join(found.select(F.col("genus").alias("descendant")), "descendant", "left_semi").select(F.col("ancestor").alias("genus")).distinct()
-    return found.join(broader, "genus", "left_anti").orderBy(F.desc("members"), "genus").limit(most)
+    up = materialized(up)
+    links = same.toDF("member", "subject").join(g.code(context, GENUS).select("subject", "target"), "subject").select("member", "target").distinct()
+    links = materialized(links)
+    _, aliases = _upward(g, links.select(F.col("target").alias("id")).distinct(), context)
+    least = aliases.groupBy(F.col("seed").alias("target")).agg(F.min("id").alias("genus"))
+    chosen = same.groupBy("seed").agg(F.min("id").alias("genus")).select("genus")
+    has = materialized(links.join(least, "target").select("genus", "member").distinct().join(chosen, "genus", "left_anti"))
+    above, _ = _upward(g, has.select(F.col("genus").alias("id")).distinct(), context)
+    above = materialized(above.toDF("genus", "above"))
+    has = materialized(has.join(above.select("genus", F.col("above").alias("member")), ["genus", "member"], "left_anti"))
+    nested = up.toDF("member", "other")
+    pairs = has.join(has.toDF("genus", "other"), "genus").filter("member <> other")  # members are at most MOST
+    apart = pairs.join(nested, ["member", "other"], "left_anti").join(nested.toDF("other", "member"), ["member", "other"], "left_anti")
+    found = materialized(has.join(apart.select("genus").distinct(), "genus", "left_semi"))
+    size = found.groupBy("genus").agg(F.count("*").alias("members"))
+    narrower = above.select(F.col("genus").alias("low"), F.col("above").alias("genus")).join(size, "genus").join(size.select(F.col("genus").alias("low")), "low").filter("low <> genus")
+    narrower = narrower.join(above.toDF("genus", "low"), ["genus", "low"], "left_anti")  # neither of two on a cycle is broader
+    shared = narrower.join(found, "genus").join(found.toDF("low", "member"), ["low", "member"]).groupBy("genus", "low", "members").agg(F.count("*").alias("both"))
+    broader = shared.filter("both = members").select("genus").distinct()
+    return size.join(broader, "genus", "left_anti").orderBy(F.desc("members"), "genus").limit(most)
 
 
 def members(g: Graph, ids: list[int], context: int = 1) -> DataFrame:
@@ -117,3 +135,32 @@ def enclosing(pairs: DataFrame) -> DataFrame:
     inside = pairs.filter("kind = 'inside'").select("a", "b").union(pairs.filter("kind = 'contains'").select("b", "a")).toDF("id", "parent")
     wider = inside.join(inside.toDF("inner", "parent"), "parent").join(inside.toDF("id", "inner"), ["id", "inner"]).select("id", "parent").distinct()
     return inside.join(wider, ["id", "parent"], "left_anti").groupBy("id").agg(F.min("parent").alias("parent"))
+
+
+def set_counts(g: Graph, ids: list[int], context: int = 1) -> DataFrame:
+    """(id, members) of each set, and of their union with a null id."""
+    masks = members(g, ids, context).groupBy("mask").agg(F.count("*").alias("n"))
+    sets = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(i).cast("long")) for k, i in enumerate(ids)])
+    each = masks.select(F.explode(F.array_compact(sets)).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("members"))
+    empty = g.spark.createDataFrame([(i,) for i in ids], "id long").join(each, "id", "left").select("id", F.coalesce("members", F.lit(0)).alias("members"))
+    return empty.union(masks.agg(F.lit(None).cast("long").alias("id"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")))
+
+
+def nesting(pairs: DataFrame, most: int = MOST) -> DataFrame:
+    """pairs (a, b, kind) to (id, level): how many sets stand around each, along the longest chain; 0 for outermost ones."""
+    inside = pairs.filter("kind = 'inside'").select("a", "b").union(pairs.filter("kind = 'contains'").select("b", "a")).toDF("id", "outer")
+    level = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("level", F.lit(0).cast("long"))
+    for _ in range(most):  # a chain is no longer than there are sets
+        higher = inside.join(level.withColumnRenamed("id", "outer"), "outer").groupBy("id").agg((F.max("level") + 1).alias("above"))
+        new = materialized(level.join(higher, "id", "left").select("id", F.coalesce("above", F.lit(0)).cast("long").alias("level")))
+        if new.exceptAll(level).isEmpty():
+            break
+        level = new
+    return level
+
+
+def requested(ids: list, most: int = 8, most_raw: int = 32) -> list[int]:
+    """The distinct ids of a request in their order; refuses what is no positive whole number, and too many."""
+    if len(ids) > most_raw or not all(type(i) is int and i > 0 for i in ids) or len(out := list(dict.fromkeys(ids))) > most:
+        raise ValueError(f"a request names 1 to {most} concepts by positive ids, with repeats at most {most_raw}")
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text
@@ -68,11 +68,21 @@ def prompts(g: Graph, questions: DataFrame) -> DataFrame:
     return questions.join(known, "qid", "left").select("qid", F.concat_ws("\n", F.concat(F.lit("Known:\n"), "known"), F.concat(F.lit("Question: "), "question")).alias("prompt"))
 
 
-def page_text(html: str = "html"):
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(html), "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]+>", " "), "\\s+", " "))
+def page_text(html: str = "html") -> Column:
+    """A page's text: without scripts, styles and tags, runs of white space as one blank."""
+    c = F.col(html)
+    for cut in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "<[^>]+>", "\\s+"):
+        c = F.regexp_replace(c, cut, " ")
+    return F.trim(c)
+
+
+def page_title(html: str = "html") -> Column:
+    return F.trim(F.regexp_extract(F.col(html), "(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """pages (page_id, text) to (page_id, first, genus, expansion, synonyms)."""
-    first = text.first_sentence(F.col("text"))
-    return pages.select("page_id", first.alias("first")).select("page_id", "first", text.genus_phrase(F.col("first")).alias("genus"), text.expansion(F.col("first")).alias("expansion"), F.array_join(text.synonyms(F.col("first")), "|").alias("synonyms"))
+    """pages (page_id, term, text) to (page_id, first, genus, expansion, synonyms): the first sentence, what it calls the term, what the
+    term is short for, and its other names, joined by bars. Whole texts are read."""
+    p = pages.select("page_id", "term", "text", text.first_sentence(F.col("text")).alias("first"))
+    names = F.array_join(text.synonyms(F.col("text")), "|")
+    return p.select("page_id", "first", text.genus_phrase(F.col("first"), F.col("term")).alias("genus"), text.expansion(F.col("text")).alias("expansion"), names.alias("synonyms"))

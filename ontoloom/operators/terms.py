@@ -51,22 +51,31 @@ def search(g: Graph, query: str, limit: int = 100) -> DataFrame:
     return best.orderBy("rank", "context", "name", "id").limit(limit).select("id", "name", "rank")
 
 
-def fuzzy(g: Graph, words: DataFrame, lang: str = "en") -> DataFrame:
-    """words (word) to (word, id, tier): exact one-word terms (1), else near ones (2). Near words share their first two letters,
-    which deals the comparison to blocks."""
-    t = g.term.filter(F.col("lang") == lang).select(F.col("concept_id").alias("id"), text.loose_key(F.col("term")).alias("t")).filter(~F.col("t").contains(" "))
-    w = words.select("word", text.loose_key(F.col("word")).alias("w")).distinct()
-    hit = w.join(t, F.left("w", F.lit(2)) == F.left("t", F.lit(2))).filter(text.near(F.col("w"), F.col("t"))).select("word", "id", F.when(F.col("w") == F.col("t"), 1).otherwise(2).alias("tier"))
-    best = hit.groupBy("word").agg(F.min("tier").alias("best"))
-    return hit.join(best, "word").filter("tier = best").select("word", "id", F.col("tier").cast("long").alias("tier")).distinct()
-
-
-def fuzzy_phrases(g: Graph, phrases: DataFrame, lang: str = "en") -> DataFrame:
-    """phrases (phrase) to (phrase, id): terms of as many words that match word by word."""
-    t = g.term.filter(F.col("lang") == lang).select(F.col("concept_id").alias("id"), text.loose_key(F.col("term")).alias("t"))
+def fuzzy(g: Graph, words: DataFrame, lang: str | None = "en") -> DataFrame:
+    """words (word) to (word, id, tier): exact one-word terms (1), else near ones (2); of a language, or of any. Words meet under keys
+    that near words share, so blocks hold little but matches."""
+    t = (g.term if lang is None else g.term.filter(F.col("lang") == lang)).select(F.col("concept_id").alias("id"), text.loose_key(F.col("term")).alias("t")).filter(~F.col("t").contains(" "))
+    t = t.distinct().withColumn("key", F.explode(text.match_keys(F.col("t"))))
+    w = words.select("word", text.loose_key(F.col("word")).alias("w")).distinct().withColumn("key", F.explode(text.match_keys(F.col("w"))))
+    hit = w.join(t, "key").filter(text.near(F.col("w"), F.col("t"))).select("word", "id", F.when(F.col("w") == F.col("t"), 1).otherwise(2).alias("tier"))
+    best = hit.groupBy("word", "id").agg(F.min("tier").alias("tier"))
+    least = best.groupBy("word").agg(F.min("tier").alias("least"))
+    return best.join(least, "word").filter("tier = least").select("word", "id", F.col("tier").cast("long").alias("tier"))
+
+
+def fuzzy_phrases(g: Graph, phrases: DataFrame, lang: str | None = "en") -> DataFrame:
+    """phrases (phrase) to (phrase, id): terms of as many words that match word by word. They meet under the number of words and keys
+    that their first and their last words share."""
+    t = (g.term if lang is None else g.term.filter(F.col("lang") == lang)).select(F.col("concept_id").alias("id"), text.loose_key(F.col("term")).alias("t")).distinct()
     p = phrases.select("phrase", text.loose_key(F.col("phrase")).alias("p")).distinct()
-    block = lambda c: F.struct(F.left(c, F.lit(2)), F.size(F.split(c, " ")))
-    return p.join(t, block(F.col("p")) == block(F.col("t"))).filter(text.near_phrase(F.col("p"), F.col("t"))).select("phrase", "id").distinct()
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        words = F.split(c, " ")
+        df = df.withColumn("n", F.size(words)).withColumn("head", F.explode(text.match_keys(F.element_at(words, 1))))
+        return df.withColumn("tail", F.explode(text.match_keys(F.element_at(words, -1))))
+
+    both = keyed(p, "p").join(keyed(t, "t"), ["n", "head", "tail"])
+    return both.filter(text.near_phrase(F.col("p"), F.col("t"))).select("phrase", "id").distinct()
 
 
 def display(g: Graph, lang: str = "en") -> DataFrame:
@@ -115,3 +124,23 @@ def script_flags(g: Graph) -> DataFrame:
     t = g.term.filter("lang = 'en'").groupBy(F.col("concept_id").alias("id"))
     c, l = text.has_cyrillic(F.col("term")), text.has_latin(F.col("term"))  # noqa: E741
     return t.agg(F.bool_and(c & ~l).alias("cyrillic_only"), F.bool_or(l).alias("any_latin"))
+
+
+def first_match(g: Graph, words: DataFrame, lang: str | None = None) -> DataFrame:
+    """words (word) to (word, id): the least concept that a term of the language, or any term or name, names."""
+    hit = words.select("word", text.key(F.col("word")).alias("key")).distinct().join(labels(g, lang), "key")
+    return hit.groupBy("word").agg(F.min("id").alias("id"))
+
+
+def by_singular(g: Graph, words: DataFrame, lang: str = "en") -> DataFrame:
+    """words (word) to (word, id): the concepts that a word names, else those that it names without its plural ending s, else es."""
+    tried = words.select("word", F.posexplode(text.singulars(text.key(F.col("word")))).alias("place", "key")).distinct()
+    hit = tried.join(labels(g, lang), "key")
+    best = hit.groupBy("word").agg(F.min("place").alias("place"))
+    return hit.join(best, ["word", "place"]).select("word", "id").distinct()
+
+
+def with_bare_forms(g: Graph, lang: str = "en") -> DataFrame:
+    """All terms, and for each infinitive of the language its bare form."""
+    bare = g.term.filter((F.col("lang") == lang) & F.col("term").startswith("to ")).select("concept_id", text.bare_infinitive(F.col("term")).alias("term"), "lang")
+    return g.term.union(bare).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.operators import graph as ops
 from ontoloom.operators import inherit, terms
-from ontoloom.plans.language import STATES, LanguageError, Node, parse, type_of, written
+from ontoloom.plans.language import STATES, YIELDS, Applied, Combined, Compared, Complement, Concept, Expr, LanguageError, Number, Relation, Whole, parse, parts, type_of, written
 from ontoloom.sources.model import INHERITED, Graph
 
 #: Names of relations (fixed values).
@@ -28,167 +28,226 @@ class Algebra:
     context: int = 1
     lang: str | None = None
 
-    def compile(self, source: str) -> Node:
+    def compile(self, source: str, field: str = "expression") -> Expr:
         """Parse, check types and resolve every reference and relation before anything is computed."""
-        tree = parse(source)
-        type_of(tree, source)
-        return self._resolved(tree, source)
-
-    def _resolved(self, n: Node, source: str) -> Node:
-        if n.kind == "ref":
-            return replace(n, value={"id": self._concept(n, source)})
-        if n.kind == "relation":
-            return replace(n, value=self._relation(n, source))
-        out = replace(n, args=tuple(self._resolved(a, source) for a in n.args))
-        if n.kind == "call" and n.value in STATES and out.args[0].value not in INHERITED:
-            raise LanguageError(f"relation {out.args[0].value} does not inherit", source, n.args[0].start, n.args[0].end)
-        return out
-
-    def _concept(self, n: Node, source: str) -> int:
-        v = n.value
-        found = self.graph.concept.filter(F.col("id") == v["id"]).select("id") if "id" in v else terms.resolved(self.graph, v["term"], v.get("lang", self.lang))
+        try:
+            tree = parse(source)
+            type_of(tree, source)
+            return self._resolved(tree, source)
+        except LanguageError as e:
+            e.field = field
+            raise
+
+    def _resolved(self, e: Expr, source: str) -> Expr:
+        match e:
+            case Concept():
+                return Concept(e.span, id=self._concept(e, source))
+            case Complement():
+                return replace(e, operand=self._resolved(e.operand, source))
+            case Combined() | Compared():
+                return replace(e, left=self._resolved(e.left, source), right=self._resolved(e.right, source))
+            case Applied():
+                relation = self._relation(e.relation, source, e.name in STATES) if e.relation else None
+                return replace(e, relation=relation, operands=tuple(self._resolved(x, source) for x in e.operands))
+        return e
+
+    def _concept(self, e: Concept, source: str) -> int:
+        if e.id is not None:
+            found = self.graph.concept.filter(F.col("id") == e.id).select("id")
+        else:
+            found = terms.resolved(self.graph, e.term, e.lang or self.lang)
         ids = sorted(r["id"] for r in found.limit(50).collect())
         if len(ids) != 1:
-            raise LanguageError(("ambiguous" if ids else "unknown") + f" concept {v.get('term', v.get('id'))!r}", source, n.start, n.end, tuple(ids))
+            raise LanguageError(f"{'ambiguous' if ids else 'unknown'} concept {e.term or e.id!r}", source, e.span, tuple(ids))
         return ids[0]
 
-    def _relation(self, n: Node, source: str) -> str:
-        name = n.value
-        code = RELATIONS.get(name, name)
+    def _relation(self, e: Relation, source: str, inherits: bool) -> Relation:
+        code = RELATIONS.get(e.name, e.name)
         rows = {r["code"]: r["name"] for r in self.graph.rule.collect()}  # the grammar has a few dozen codes
-        if code in rows or code in RELATIONS.values():
-            return code
-        named = [c for c, x in rows.items() if x == name]
-        if len(named) != 1:
-            raise LanguageError(f"unknown relation {name!r}", source, n.start, n.end)
-        return named[0]
-
-    def leaf(self, n: Node, domain: DataFrame) -> DataFrame | None:
-        """The ids of a node that is no Boolean combination, before clipping."""
+        if code not in rows and code not in RELATIONS.values():
+            named = [c for c, name in rows.items() if name == e.name]
+            if len(named) != 1:
+                raise LanguageError(f"unknown relation {e.name!r}", source, e.span)
+            code = named[0]
+        if inherits and code not in INHERITED:
+            raise LanguageError(f"relation {code} does not inherit", source, e.span)
+        return replace(e, found=code)
+
+    def leaf(self, e: Expr, domain: DataFrame) -> DataFrame:
+        """The ids of an expression that is no Boolean combination, before clipping."""
         g, c = self.graph, self.context
-        if n.kind == "ref":
-            seed = g.spark.range(n.value["id"], n.value["id"] + 1).select("id")
-            return ops.extents(g, seed, c).select("id").distinct()
-        if n.value == "exact":
-            return g.spark.range(n.args[0].value["id"], n.args[0].value["id"] + 1).select("id") if n.args[0].kind == "ref" else self.ids(n.args[0], domain)
-        if n.value in STATES:
-            return inherit.states(g, n.args[0].value, n.args[1].value["id"], c, domain).filter(F.col("state") == STATES[n.value]).select("id")
-        if n.value in ("related", "subjects"):
-            return ops.project(g, n.args[0].value, self.ids(n.args[1], domain), n.value == "subjects", c)
-        return ops.navigate(g, self.ids(n.args[0], domain), n.value, c)
-
-    def flags(self, trees: list[Node], domain: DataFrame) -> tuple[DataFrame, list[Column]]:
+        if isinstance(e, Concept):
+            return ops.extents(g, self._one(e.id), c).select("id").distinct()
+        first = e.operands[0]
+        if e.name == "exact":
+            return self._one(first.id)
+        if e.name in STATES:
+            return inherit.states(g, e.relation.found, first.id, c, domain).filter(F.col("state") == STATES[e.name]).select("id")
+        if e.relation:
+            return ops.project(g, e.relation.found, self.ids(first, domain), e.name == "subjects", c)
+        return ops.navigate(g, self.ids(first, domain), e.name, c)
+
+    def _one(self, i: int) -> DataFrame:
+        return self.graph.spark.range(i, i + 1).select("id")
+
+    def flags(self, trees: list[Expr], domain: DataFrame) -> tuple[DataFrame, list[Column]]:
         """The domain with a column for each distinct leaf of the trees, and each tree as a Boolean column."""
         names: dict[str, str] = {}
         df = domain.select("id")
 
-        def column(n: Node) -> Column:
+        def column(e: Expr) -> Column:
             nonlocal df
-            if n.kind in ("universe", "empty"):
-                return F.lit(n.kind == "universe")
-            if n.kind == "unary":
-                return ~column(n.args[0])
-            if n.kind == "binary":
-                a, b = map(column, n.args)
-                return {"|": a | b, "&": a & b, "-": a & ~b, "^": a != b}[n.value]
-            text = written(n)
+            match e:
+                case Whole():
+                    return F.lit(e.full)
+                case Complement():
+                    return ~column(e.operand)
+                case Combined():
+                    a, b = column(e.left), column(e.right)
+                    return {"|": a | b, "&": a & b, "-": a & ~b, "^": a != b}[e.sign]
+            text = written(e)
             if text not in names:
                 names[text] = f"leaf{len(names)}"
-                df = df.join(self.leaf(n, domain).distinct().withColumn(names[text], F.lit(True)), "id", "left")
+                df = df.join(self.leaf(e, domain).distinct().withColumn(names[text], F.lit(True)), "id", "left")
             return F.coalesce(F.col(names[text]), F.lit(False))
 
         columns = [column(t) for t in trees]  # joins the leaves to df
         return df, columns
 
-    def ids(self, n: Node, domain: DataFrame) -> DataFrame:
-        df, (c,) = self.flags([n], domain)
+    def ids(self, e: Expr, domain: DataFrame) -> DataFrame:
+        df, (c,) = self.flags([e], domain)
         return df.filter(c).select("id")
 
     def domain(self, within: str | None) -> DataFrame:
         full = self.graph.concept.select("id")
         if within is None:
             return full
-        n = self.compile(within)
-        if type_of(n) != "set":
-            raise LanguageError("a domain is a set", within)
-        return self.ids(n, full)
+        e = self.compile(within, "within")
+        if type_of(e) != "set":
+            raise LanguageError("a domain is a set", within, e.span, field="within")
+        return self.ids(e, full)
 
     def set(self, source: str, within: str | None = None) -> DataFrame:
         """The members (id) of a set expression."""
-        n = self.compile(source)
-        if type_of(n) != "set":
-            raise LanguageError("the expression is not a set", source)
-        return self.ids(n, self.domain(within))
+        e = self.compile(source)
+        if type_of(e) != "set":
+            raise LanguageError("the expression is not a set", source, e.span)
+        return self.ids(e, self.domain(within))
 
     def value(self, source: str, within: str | None = None) -> DataFrame:
         """One row (value): of a count, a comparison, empty() or disjoint()."""
         return self._scalar(self.compile(source), self.domain(within))
 
-    def _scalar(self, n: Node, domain: DataFrame) -> DataFrame:
+    def _scalar(self, e: Expr, domain: DataFrame) -> DataFrame:
         spark = self.graph.spark
-        if n.kind == "number":
-            return spark.range(1).select(F.lit(n.value).cast("long").alias("value"))
-        if n.kind == "call":
-            df, cs = self.flags(list(n.args), domain)
+        if isinstance(e, Number):
+            return spark.range(1).select(F.lit(e.value).cast("long").alias("value"))
+        if isinstance(e, Applied):
+            df, cs = self.flags(list(e.operands), domain)
             both = F.count_if(cs[0] if len(cs) == 1 else cs[0] & cs[1])
-            return df.agg((both if n.value == "count" else both == 0).alias("value"))
-        if type_of(n.args[0]) != "set":
-            a, b = (self._scalar(x, domain).withColumnRenamed("value", k) for x, k in zip(n.args, "xy", strict=True))
-            return a.crossJoin(b).select(_compared(n.value, F.col("x"), F.col("y")).alias("value"))  # one row each
-        df, (a, b) = self.flags(list(n.args), domain)
+            return df.agg((both if e.name == "count" else both == 0).alias("value"))
+        if type_of(e.left) != "set":
+            a, b = (self._scalar(x, domain).withColumnRenamed("value", k) for x, k in ((e.left, "x"), (e.right, "y")))
+            return a.crossJoin(b).select(_compared(e.sign, F.col("x"), F.col("y")).alias("value"))  # one row each
+        df, (a, b) = self.flags([e.left, e.right], domain)
         left, right = F.count_if(a & ~b), F.count_if(b & ~a)
         out = {"==": (left == 0) & (right == 0), "!=": (left > 0) | (right > 0), "<=": left == 0, "<": (left == 0) & (right > 0), ">=": right == 0, ">": (right == 0) & (left > 0)}
-        return df.agg(out[n.value].alias("value"))
+        return df.agg(out[e.sign].alias("value"))
 
     def regions(self, source: str, within: str | None = None, sample: int = SAMPLE) -> DataFrame:
-        """Diagnostics of a comparison or of disjoint(): (region, members, counterexample, sample, truncated) for the three regions
-        of its operands; of count() or empty(): the one region of its operand."""
-        n = self.compile(source)
-        if not (n.kind == "compare" or n.value in ("count", "empty", "disjoint")) or type_of(n.args[0]) != "set":
-            raise LanguageError("only a comparison of sets, count, empty or disjoint has regions", source)
-        df, cs = self.flags(list(n.args), self.domain(within))
-        if len(cs) == 1:
-            names, region, wrong = ["operand"], F.when(cs[0], "operand"), ["operand"] if n.value == "empty" else []
+        """Diagnostics: (region, members, counterexample, sample, truncated). Of a comparison of sets or disjoint(): the three regions
+        of its operands; of count() or empty(): the one region of its operand; of a comparison of numbers: the sets that its
+        operands count, left_counted and right_counted."""
+        e = self.compile(source)
+        domain = self.domain(within)
+        if isinstance(e, Compared) and type_of(e.left) == "int":
+            counted = [(name, x.operands[0]) for name, x in (("left_counted", e.left), ("right_counted", e.right)) if isinstance(x, Applied)]
+            if not counted:
+                raise LanguageError("a comparison of plain numbers has no regions", source, e.span)
+            df, cs = self.flags([x for _, x in counted], domain)
+            names, wrong = [n for n, _ in counted], []
+            inside = df.select("id", F.explode(F.array_compact(F.array(*(F.when(c, n) for c, n in zip(cs, names, strict=True))))).alias("region"))
         else:
-            a, b = cs
-            names = ["left_only", "intersection", "right_only"]
-            region = F.when(a & ~b, "left_only").when(a & b, "intersection").when(b & ~a, "right_only")
-            wrong = {"<=": ["left_only"], "<": ["left_only"], ">=": ["right_only"], ">": ["right_only"], "==": ["left_only", "right_only"], "disjoint": ["intersection"]}.get(n.value, [])
+            if not isinstance(e, Compared) and not (isinstance(e, Applied) and e.name in YIELDS) or type_of(parts(e)[0]) != "set":
+                raise LanguageError("only a comparison, count, empty or disjoint has regions", source, e.span)
+            df, cs = self.flags(list(parts(e)), domain)
+            if len(cs) == 1:
+                names, region, wrong = ["operand"], F.when(cs[0], "operand"), ["operand"] if e.name == "empty" else []
+            else:
+                a, b = cs
+                names = ["left_only", "intersection", "right_only"]
+                region = F.when(a & ~b, "left_only").when(a & b, "intersection").when(b & ~a, "right_only")
+                sign = e.sign if isinstance(e, Compared) else e.name
+                wrong = {"<=": ["left_only"], "<": ["left_only"], ">=": ["right_only"], ">": ["right_only"], "==": ["left_only", "right_only"], "disjoint": ["intersection"]}.get(sign, [])
+            inside = df.select("id", region.alias("region")).filter("region is not null")
         base = self.graph.spark.createDataFrame([(x, x in wrong) for x in names], "region string, wrong boolean")
-        inside = df.select("id", region.alias("region")).filter("region is not null")
-        return base.join(sampled(inside, "region", sample), "region", "left").select("region", F.coalesce("members", F.lit(0)).alias("members"), (F.col("wrong") & (F.coalesce("members", F.lit(0)) > 0)).alias("counterexample"), F.coalesce("sample", F.lit("")).alias("sample"), (F.coalesce("members", F.lit(0)) > sample).alias("truncated"))
-
-    def explain(self, source: str, concept: int, within: str | None = None) -> list[dict]:
-        """For one concept, whether each set node of the expression holds it, outermost first, with the evidence edges of its leaves."""
-        n = self.compile(source)
+        members = F.coalesce("members", F.lit(0))
+        found = base.join(sampled(inside, "region", sample), "region", "left")
+        return found.select("region", members.alias("members"), (F.col("wrong") & (members > 0)).alias("counterexample"), F.coalesce("sample", F.lit("")).alias("sample"), (members > sample).alias("truncated"))
+
+    def explain(self, source: str, concept: int, within: str | None = None) -> dict:
+        """The trace of an expression for one concept, a record for each part of the expression.
+
+        A set: expression, member, and by what it is: path (of a concept's extent: the edges that lead up to it, None if there
+        are none; of a navigation: from or to the least seed that has one), edges (of a projection), fact (of a property state),
+        record_id (of exact), operands (of set operations). Anything else: expression, kind, value, operands. All memberships
+        are found in one pass over the domain; evidence is read for the one concept alone."""
+        e = self.compile(source)
         domain = self.domain(within)
-        nodes: list[Node] = []
-
-        def walk(x: Node) -> None:
-            if x.kind not in ("relation", "number"):
-                nodes.append(x)
-            for a in x.args:
-                walk(a)
-
-        walk(n)
-        sets = [x for x in nodes if type_of(x) == "set"]
-        df, cs = self.flags(sets, domain)
-        row = df.filter(F.col("id") == concept).select(*[c.alias(f"n{k}") for k, c in enumerate(cs)]).collect()
-        held = list(row[0]) if row else [False] * len(sets)
-        return [{"expression": written(x), "start": x.start, "end": x.end, "member": bool(h), "evidence": self._evidence(x, concept) if h else []} for x, h in zip(sets, held, strict=True)]
-
-    def _evidence(self, n: Node, concept: int) -> list[int]:
-        g, one = self.graph, self.graph.spark.range(concept, concept + 1).select("id")
-        if n.kind == "ref":
-            path = ops.witness_paths(g, self.context, one, coextension=True).filter(F.col("ancestor") == n.value["id"]).select("edges").collect()
-            return list(path[0]["edges"]) if path else []
-        if n.kind == "call" and n.value in STATES:
-            a = inherit.applicable(g, inherit.assertions(g, self.context, n.args[0].value, n.args[1].value["id"]), self.context, one)
-            return sorted(r["edge"] for r in a.filter("not overridden").select("edge").collect())
-        if n.kind == "call" and n.value in ("related", "subjects"):
-            own = "target" if n.value == "related" else "subject"
-            return sorted(r["id"] for r in ops.visible(g, self.context).filter((F.col("code") == n.args[0].value) & (F.col(own) == concept)).select("id").distinct().collect())
-        return []
+        nodes = [x for x in _nodes(e) if type_of(x) == "set"]
+        df, cs = self.flags(nodes, domain) if nodes else (domain.select("id"), [])
+        row = df.filter(F.col("id") == concept).select("id", *[c.alias(f"n{k}") for k, c in enumerate(cs)]).collect()
+        held = {id(x): bool(row and row[0][f"n{k}"]) for k, x in enumerate(nodes)}
+        return self._trace(e, concept, domain, held, bool(row)) | {"concept": concept, "in_domain": bool(row)}
+
+    def _trace(self, e: Expr, concept: int, domain: DataFrame, held: dict[int, bool], inside: bool) -> dict:
+        below = lambda: [self._trace(x, concept, domain, held, inside) for x in parts(e)]
+        if id(e) not in held:
+            value = e.value if isinstance(e, Number) else self._scalar(e, domain).first()["value"]
+            out = {"expression": written(e), "kind": "bool" if isinstance(value, bool) else "int", "value": value}
+            return out | ({"operands": below()} if parts(e) else {})
+        out = {"expression": written(e), "member": held[id(e)]}
+        match e:
+            case Concept():
+                return out | {"path": self._path(concept, e.id, coextension=True) if inside else None}
+            case Complement() | Combined():
+                return out | {"operands": below()}
+            case Applied(name="exact"):
+                return out | {"record_id": e.operands[0].id}
+            case Applied() if e.name in STATES:
+                return out | {"fact": inherit.explained(self.graph, concept, e.relation.found, e.operands[0].id, self.context)}
+            case Applied() if e.relation:
+                own, other = ("target", "subject") if e.name == "related" else ("subject", "target")
+                found = ops.visible(self.graph, self.context).filter((F.col("code") == e.relation.found) & (F.col(own) == concept))
+                found = found.join(self.ids(e.operands[0], domain).withColumnRenamed("id", other), other, "left_semi")
+                return out | {"edges": ops.edge_records(self.graph, [r["id"] for r in found.select("id").distinct().collect()])}
+            case Applied():
+                return out | {"path": self._way(e, concept, domain)}
+        return out
+
+    def _path(self, low: int, high: int, coextension: bool = False) -> list[dict] | None:
+        """The edges of the path from one concept up to another; None if there is none."""
+        found = ops.witness_paths(self.graph, self.context, self._one(low), coextension).filter(F.col("ancestor") == high).select("edges").collect()
+        return ops.edge_records(self.graph, list(found[0]["edges"])) if found else None
+
+    def _way(self, e: Applied, concept: int, domain: DataFrame) -> list[dict] | None:
+        """Of a navigation the genus path between the concept and the least seed that has one; of one step for parents and children."""
+        up, one_step = e.name in ("parents", "ancestors"), e.name in ("parents", "children")
+        seeds = self.ids(e.operands[0], domain).select(F.col("id").alias("seed"))
+        if one_step:
+            links = ops.genus_step(self.graph, self.context).toDF("low", "high")
+        else:
+            links = ops.closure(self.graph, self.context).toDF("low", "high")
+        near, far = ("high", "low") if up else ("low", "high")
+        found = links.filter((F.col(near) == concept) & (F.col("low") != F.col("high"))).join(seeds, F.col(far) == F.col("seed")).agg(F.min("seed").alias("seed")).first()["seed"]
+        if found is None:
+            return None
+        low, high = (found, concept) if up else (concept, found)
+        return self._path(low, high)
+
+
+def _nodes(e: Expr) -> list[Expr]:
+    return [e, *(n for p in parts(e) for n in _nodes(p))]
 
 
 def _compared(op: str, a: Column, b: Column) -> Column:
@@ -204,7 +263,11 @@ def sampled(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def page(ids: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of ids in order with the total: (id, total, has_more)."""
+    """A page of ids in order with the total: (id, total, has_more, truncated); truncated: there are rows that the page does not hold."""
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset are not negative")
     total = ids.agg(F.count("*").alias("total"))
     rows = ids.orderBy("id").offset(offset).limit(limit)
-    return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # total is one row
+    held = F.least(F.greatest(F.col("total") - offset, F.lit(0)), F.lit(limit))
+    paged = rows.crossJoin(F.broadcast(total))  # total is one row
+    return paged.withColumn("has_more", F.col("total") > offset + limit).withColumn("truncated", held < F.col("total"))

@@ -94,14 +94,14 @@ _set("set_xor", "#100 xor #301", f"({_A} EXCEPT {_B}) UNION ({_B} EXCEPT {_A})",
 _set("set_complement", "not (#3 or #4)", "SELECT id FROM concept WHERE id NOT IN (SELECT id FROM x)", more=_x(3, 4))
 _set("set_within", "~#301", f"{_A} EXCEPT {_B}", within="#100", more=_x(100, 301))
 _set("set_precedence", "#100 - #301 & #302 | exact(#5)", f"SELECT id FROM (({_A} EXCEPT {_B}) INTERSECT (SELECT id FROM x WHERE seed = 302)) UNION SELECT CAST(5 AS BIGINT)", more=_x(100, 301, 302))
-_set("set_by_term", 'ru:"Африка" & en:"brand#1"', "SELECT id FROM x WHERE seed = 100 INTERSECT SELECT id FROM x WHERE seed = 501", more=_x(100, 501))
+_set("set_by_term", 'ru:"Африка" & ru:"сегмент" | en:"brand#11"', "SELECT id FROM x WHERE seed = 100 INTERSECT SELECT id FROM x WHERE seed = 6 UNION SELECT id FROM x WHERE seed = 511", more=_x(6, 100, 511))
 _value("set_count", "count(#100 & #301)", f"SELECT count(*) AS value FROM ({_A} INTERSECT {_B})", more=_x(100, 301))
 _value("set_empty", "empty(#100 & #101)", "SELECT count(*) = 0 AS value FROM (SELECT id FROM x WHERE seed = 100 INTERSECT SELECT id FROM x WHERE seed = 101)", more=_x(100, 101))
 _value("set_disjoint", "disjoint(#301, #302)", "SELECT count(*) = 0 AS value FROM (SELECT id FROM x WHERE seed = 301 INTERSECT SELECT id FROM x WHERE seed = 302)", more=_x(301, 302))
 _value("cmp_subset", "#301 ⊆ #6", "SELECT count(*) = 0 AS value FROM (SELECT id FROM x WHERE seed = 301 EXCEPT SELECT id FROM x WHERE seed = 6)", more=_x(6, 301))
 _value("cmp_proper_subset", "#100 < #2", "SELECT (SELECT count(*) FROM (SELECT id FROM x WHERE seed = 100 EXCEPT SELECT id FROM x WHERE seed = 2)) = 0 AND (SELECT count(*) FROM x WHERE seed = 2) > (SELECT count(*) FROM x WHERE seed = 100) AS value", more=_x(2, 100))
 _value("cmp_superset", "#2 ⊇ #3", "SELECT count(*) = 0 AS value FROM (SELECT id FROM x WHERE seed = 3 EXCEPT SELECT id FROM x WHERE seed = 2)", more=_x(2, 3))
-_value("cmp_equal", "#100 & #301 == #301 - ~#100", "SELECT TRUE AS value")
+_value("cmp_equal", "#100 & #301 == #301 - ~#100", f"SELECT count(*) = 0 AS value FROM ((({_A} INTERSECT {_B}) EXCEPT ({_B} EXCEPT (SELECT id FROM concept EXCEPT {_A}))) UNION ALL (({_B} EXCEPT (SELECT id FROM concept EXCEPT {_A})) EXCEPT ({_A} INTERSECT {_B})))", more=_x(100, 301))
 _value("cmp_numeric", "count(#100) > count(#101)", "SELECT (SELECT count(*) FROM x WHERE seed = 100) > (SELECT count(*) FROM x WHERE seed = 101) AS value", more=_x(100, 101))
 
 # navigation, projection, closures
@@ -119,10 +119,9 @@ def closure_genus(g: Graph) -> DataFrame:
     return ops.closure(g)
 
 
-@query("SELECT seed, id FROM x", more=_x(100, 101, 102, 103, 104, 301, 302, 303, 304, 305))
+@query("SELECT seed, id FROM x", more=_SEEDS.replace("SELECT unnest([{}]) AS s", "SELECT id AS s FROM concept"))
 def closure_extent(g: Graph) -> DataFrame:
-    seeds = g.concept.filter("id between 100 and 104 or id between 301 and 305").select("id")
-    return ops.extents(g, seeds).join(g.concept.select("id"), "id", "left_semi").select("seed", "id")
+    return ops.extents(g, g.concept.select("id")).join(g.concept.select("id"), "id", "left_semi").select("seed", "id")
 
 
 @query("SELECT ancestor, descendant, depth FROM kb")
@@ -138,8 +137,8 @@ def witness_path(g: Graph) -> DataFrame:
     return ops.witness_paths(g).filter("depth > 0").select("subject", "ancestor", "depth", ops.joined_ids("edges").alias("path"))
 
 
-_PAIRS = """SELECT a, b FROM (SELECT id AS a, 100 + id % 5 AS b FROM concept WHERE id BETWEEN 2000001 AND 2000200 UNION ALL SELECT 100 + id % 5, id FROM concept WHERE id BETWEEN 2000201 AND 2000250
-  UNION ALL SELECT id, 1000000 + id % 100 FROM concept WHERE id BETWEEN 3000001 AND 3000010 UNION ALL SELECT id, id + 1 FROM concept WHERE id BETWEEN 200 AND 223
+_PAIRS = """SELECT a, b FROM (SELECT id AS a, 100 + id % 5 AS b FROM concept WHERE id BETWEEN 2000001 AND 2999999 UNION ALL SELECT 100 + id % 5, id FROM concept WHERE id BETWEEN 2000001 AND 2999999
+  UNION ALL SELECT id, 1000000 + id % 100 FROM concept WHERE id BETWEEN 3000001 AND 3999999 UNION ALL SELECT id, id + 1 FROM concept WHERE id BETWEEN 200 AND 223
   UNION ALL SELECT id, 9999999 FROM concept WHERE id = 1) q"""
 
 
@@ -159,11 +158,11 @@ def verify_pairs(g: Graph) -> DataFrame:
 
 @query(
     "SELECT DISTINCT root, node, parent, context, CAST(depth AS BIGINT) AS depth FROM t WHERE depth > 0",
-    more="""t AS (SELECT id AS root, CAST(NULL AS BIGINT) AS node, id AS parent, CAST(NULL AS BIGINT) AS context, 0 AS depth, [id] AS path FROM concept WHERE id BETWEEN 2000001 AND 2000100
+    more="""t AS (SELECT id AS root, CAST(NULL AS BIGINT) AS node, id AS parent, CAST(NULL AS BIGINT) AS context, 0 AS depth, [id] AS path FROM concept
       UNION ALL SELECT t.root, e.subject, e.target, e.context, t.depth + 1, list_append(t.path, e.target) FROM t JOIN edge e ON e.subject = t.parent AND e.code = '14' AND e.status = 'ok' WHERE NOT list_contains(t.path, e.target) AND t.depth < 10)""",
 )
 def tree_up(g: Graph) -> DataFrame:
-    return ops.tree_up(g, g.concept.filter("id between 2000001 and 2000100").select("id"))
+    return ops.tree_up(g, g.concept.select("id"))
 
 
 @query(
@@ -192,9 +191,9 @@ def home_parent(g: Graph) -> DataFrame:
     return ops.home_parent(g)
 
 
-@query("SELECT x AS id, y AS other, count(*) AS links FROM (SELECT subject AS x, target AS y FROM edge WHERE status = 'ok' AND subject <> target UNION ALL SELECT target, subject FROM edge WHERE status = 'ok' AND subject <> target) WHERE x < 1000 GROUP BY x, y")
+@query("SELECT x AS id, y AS other, count(*) AS links FROM (SELECT subject AS x, target AS y FROM edge WHERE status = 'ok' AND subject <> target UNION ALL SELECT target, subject FROM edge WHERE status = 'ok' AND subject <> target) GROUP BY x, y")
 def neighbour_links(g: Graph) -> DataFrame:
-    return ops.neighbours(g).filter("id < 1000")
+    return ops.neighbours(g)
 
 
 @query(
@@ -214,7 +213,7 @@ def concept_card(g: Graph) -> DataFrame:
     return g.concept.join(up, "id", "left").join(into, "id", "left").join(out, "id", "left").select("id", "name", F.coalesce("parents", F.lit("")).alias("parents"), zero("children"), zero("outgoing"), zero("incoming"))
 
 
-@query("SELECT id, (SELECT count(*) FROM x) AS total, (SELECT count(*) FROM x) > 30 AS has_more FROM (SELECT id FROM x ORDER BY id LIMIT 10 OFFSET 20)", more=_x(100))
+@query("SELECT id, (SELECT count(*) FROM x) AS total, (SELECT count(*) FROM x) > 30 AS has_more, least(greatest((SELECT count(*) FROM x) - 20, 0), 10) < (SELECT count(*) FROM x) AS truncated FROM (SELECT id FROM x ORDER BY id LIMIT 10 OFFSET 20)", more=_x(100))
 def set_page(g: Graph) -> DataFrame:
     return page(Algebra(g).set("#100"), 20, 10)
 
@@ -337,10 +336,18 @@ _SIB = [200, 201, 205, 300 + 1, 300 + 2, 501, 502, 2000034, 3000034]
 
 
 @query(
-    """SELECT genus, members FROM fnd f WHERE genus NOT IN (SELECT id FROM sel) AND NOT EXISTS (SELECT 1 FROM up JOIN fnd o ON o.genus = up.descendant WHERE up.ancestor = f.genus AND o.genus NOT IN (SELECT id FROM sel)) ORDER BY members DESC, genus LIMIT 8""",
+    """SELECT genus, members FROM sz c WHERE NOT EXISTS (SELECT 1 FROM sz o JOIN gu ON gu.seed = o.genus AND gu.id = c.genus WHERE o.genus <> c.genus
+        AND NOT EXISTS (SELECT 1 FROM gu back WHERE back.seed = c.genus AND back.id = o.genus)
+        AND NOT EXISTS (SELECT 1 FROM hs x WHERE x.genus = c.genus AND NOT EXISTS (SELECT 1 FROM hs y WHERE y.genus = o.genus AND y.member = x.member)))
+      ORDER BY members DESC, genus LIMIT 8""",
     more=_EUP.replace(", ".join(map(str, _EUL)), ", ".join(map(str, _SIB)))
-    + """, rep AS (SELECT seed, min(id) AS r FROM es GROUP BY seed), nest AS (SELECT DISTINCT id FROM eu WHERE seed <> id AND id IN (SELECT id FROM sel)),
-      fnd AS (SELECT e.target AS genus, count(DISTINCT rep.r) AS members FROM pos1 e JOIN rep ON rep.seed = e.subject WHERE e.code = '14' AND e.subject NOT IN (SELECT id FROM nest) GROUP BY e.target HAVING count(DISTINCT rep.r) >= 2)""",
+    + """, lk AS (SELECT DISTINCT es.seed AS member, e.target FROM es JOIN pos1 e ON e.subject = es.id AND e.code = '14'),
+      al AS (SELECT DISTINCT target AS seed, target AS id FROM lk UNION SELECT al.seed, sm.b FROM al JOIN sm ON sm.a = al.id),
+      h0 AS (SELECT DISTINCT m.genus, lk.member FROM lk JOIN (SELECT seed, min(id) AS genus FROM al GROUP BY seed) m ON m.seed = lk.target WHERE m.genus NOT IN (SELECT min(id) FROM es GROUP BY seed)),
+      gu AS (SELECT DISTINCT genus AS seed, genus AS id FROM h0 UNION SELECT gu.seed, w.b FROM gu JOIN (SELECT subject AS a, target AS b FROM g14 UNION SELECT a, b FROM sm) w ON w.a = gu.id),
+      hs AS (SELECT * FROM h0 WHERE (genus, member) NOT IN (SELECT (seed, id) FROM gu)),
+      sz AS (SELECT genus, count(*) AS members FROM hs WHERE genus IN (SELECT x.genus FROM hs x JOIN hs y ON y.genus = x.genus AND x.member < y.member
+        WHERE (x.member, y.member) NOT IN (SELECT (seed, id) FROM eu) AND (y.member, x.member) NOT IN (SELECT (seed, id) FROM eu)) GROUP BY genus)""",
 )
 def euler_shared_genera(g: Graph) -> DataFrame:
     return regions.shared_genera(g, _SIB)
@@ -352,10 +359,10 @@ _KEYS = "ky AS (SELECT DISTINCT concept_id AS id, lower(regexp_replace(trim(term
 
 @query(
     "SELECT w.t AS term, ka.id, n.c AS candidates FROM w JOIN ka ON ka.key = lower(w.t) JOIN (SELECT key, count(DISTINCT id) AS c FROM ka GROUP BY key) n ON n.key = lower(w.t)",
-    more=_KEYS + ", w AS (SELECT DISTINCT upper(name) AS t FROM concept WHERE id BETWEEN 100 AND 699 OR id BETWEEN 1000001 AND 1000040)",
+    more=_KEYS + ", w AS (SELECT DISTINCT upper(name) AS t FROM concept)",
 )
 def term_resolve(g: Graph) -> DataFrame:
-    return terms.resolve_all(g, g.concept.filter("id between 100 and 699 or id between 1000001 and 1000040").select(F.upper("name").alias("term")).distinct())
+    return terms.resolve_all(g, g.concept.select(F.upper("name").alias("term")).distinct())
 
 
 @query("SELECT key, count(*) AS concepts, min(id) AS least FROM ky GROUP BY key HAVING count(*) > 1", more=_KEYS)
@@ -371,13 +378,21 @@ def term_search_ranked(g: Graph) -> DataFrame:
     return terms.search(g, "America")
 
 
+#: Letters left out of a consonant skeleton (fixed value of the word match).
+_SOFT = "аеёиоуыэюяьъaeiouy"
+
+
 def _near(a: str, b: str) -> str:
+    """The word match: lengths at most 3 apart, and a common start or the same first two letters and skeleton."""
     k = f"greatest(4, least(length({a}), length({b})) - 1)"
-    s = lambda x: f"translate({x}, '{text.VOWELS}', '')"
-    return f"({a} = {b} OR (abs(length({a}) - length({b})) <= 3 AND length({a}) >= {k} AND length({b}) >= {k} AND left({a}, {k}) = left({b}, {k})) OR (left({a}, 2) = left({b}, 2) AND {s(a)} = {s(b)} AND length({s(a)}) >= 2))"
+    s = lambda x: f"translate({x}, '{_SOFT}', '')"
+    start = f"length({a}) >= {k} AND length({b}) >= {k} AND left({a}, {k}) = left({b}, {k})"
+    bones = f"left({a}, 2) = left({b}, 2) AND {s(a)} = {s(b)} AND length({s(a)}) >= 2"
+    return f"({a} = {b} OR (abs(length({a}) - length({b})) <= 3 AND (({start}) OR ({bones}))))"
 
 
-_WORDS = "SELECT concat(lower(name), 's') AS word FROM concept WHERE id BETWEEN 100 AND 299 UNION SELECT replace(lower(name), 'a', 'e') FROM concept WHERE id BETWEEN 200 AND 299 UNION SELECT lower(name) FROM concept WHERE id BETWEEN 300 AND 399"
+#: A search asks for every hundredth name, changed a little.
+_WORDS = "SELECT concat(lower(name), 's') AS word FROM concept WHERE id % 100 = 0 UNION SELECT replace(lower(name), 'a', 'e') FROM concept WHERE id % 100 = 0 UNION SELECT lower(name) FROM concept WHERE id % 100 = 0"
 
 
 @query(
@@ -390,10 +405,10 @@ def term_fuzzy(g: Graph) -> DataFrame:
 
 @query(
     f"""SELECT DISTINCT p.phrase, t.id FROM p JOIN t ON p.n = t.n AND left(p.phrase, 2) = left(t.t, 2) WHERE {_near("split_part(p.phrase, ' ', 1)", "split_part(t.t, ' ', 1)")} AND (p.n < 2 OR {_near("split_part(p.phrase, ' ', 2)", "split_part(t.t, ' ', 2)")}) AND (p.n < 3 OR {_near("split_part(p.phrase, ' ', 3)", "split_part(t.t, ' ', 3)")})""",
-    more="p AS (SELECT DISTINCT lower(name) || 's' AS phrase, length(name) - length(replace(name, ' ', '')) + 1 AS n FROM concept WHERE id BETWEEN 1000001 AND 1000500), t AS (SELECT concept_id AS id, lower(term) AS t, length(term) - length(replace(term, ' ', '')) + 1 AS n FROM term WHERE lang = 'en' AND length(term) - length(replace(term, ' ', '')) < 3)",
+    more="p AS (SELECT DISTINCT lower(name) || 's' AS phrase, length(name) - length(replace(name, ' ', '')) + 1 AS n FROM concept WHERE id % 100 = 0), t AS (SELECT concept_id AS id, lower(term) AS t, length(term) - length(replace(term, ' ', '')) + 1 AS n FROM term WHERE lang = 'en' AND length(term) - length(replace(term, ' ', '')) < 3)",
 )
 def term_phrase_fuzzy(g: Graph) -> DataFrame:
-    return terms.fuzzy_phrases(g, g.concept.filter("id between 1000001 and 1000500").select(F.concat(F.lower("name"), F.lit("s")).alias("phrase")))
+    return terms.fuzzy_phrases(g, g.concept.filter("id % 100 = 0").select(F.concat(F.lower("name"), F.lit("s")).alias("phrase")))
 
 
 @query("SELECT c.id, coalesce(t.term, c.name) AS label FROM concept c LEFT JOIN (SELECT concept_id, term, row_number() OVER (PARTITION BY concept_id ORDER BY length(term), lower(term), term) AS k FROM term WHERE lang = 'en') t ON t.concept_id = c.id AND t.k = 1")
@@ -423,7 +438,55 @@ def script_flags(g: Graph) -> DataFrame:
 
 
 # audits and statistics, over a graph with planted faults where that matters
-@query("SELECT id AS edge, 'self_loop' AS issue FROM okx WHERE subject = target UNION ALL SELECT id, 'dangling' FROM okx WHERE subject NOT IN (SELECT id FROM concept) OR target NOT IN (SELECT id FROM concept) UNION ALL SELECT id, 'unknown_code' FROM okx WHERE code NOT IN (SELECT code FROM rule) UNION ALL SELECT id, 'strength' FROM okx WHERE strength < 0 OR strength > 100", more="okx AS (SELECT * FROM edge WHERE status = 'ok')", faults=True)
+_COUNT = "SELECT '{}' AS metric, count(*) AS value FROM {}"
+_TOTALS = [("concepts", "concept"), ("edges", "edge"), ("candidates", "edge WHERE status = 'candidate'"), ("paths", "kb")]
+
+
+@query(
+    " UNION ALL ".join(_COUNT.format(*x) for x in _TOTALS)
+    + " UNION ALL SELECT 'context ' || context, count(*) FROM concept GROUP BY context UNION ALL SELECT 'processed ' || processed, count(*) FROM concept GROUP BY processed",
+    faults=True,
+)
+def audit_totals(g: Graph) -> DataFrame:
+    return audit.totals(g)
+
+
+_REPORT = {
+    "concepts": "concept",
+    "edges": "edge",
+    "accepted_edges": "okx",
+    "terms": "(SELECT DISTINCT concept_id, term, lang FROM term)",
+    "signature_invalid_edges": "(SELECT DISTINCT id FROM sv)",
+    "signature_violations": "sv",
+    "self_loops": "okx WHERE subject = target",
+    "taxonomy_cycle_edges": "okx WHERE code = '14' AND (subject = target OR (subject, target) IN (SELECT (ancestor, descendant) FROM kb))",
+    "dangling_edges": "okx WHERE subject NOT IN (SELECT id FROM concept) OR target NOT IN (SELECT id FROM concept)",
+    "deprecated_edges": "rl WHERE name LIKE '%deprecated%'",
+    "missing_ru": "concept WHERE id NOT IN (SELECT concept_id FROM term WHERE lang = 'ru')",
+    "missing_en": "concept WHERE id NOT IN (SELECT concept_id FROM term WHERE lang = 'en')",
+    "concepts_with_cyrillic_only_en": "(SELECT DISTINCT concept_id FROM term WHERE lang = 'en' AND regexp_matches(term, '[Ѐ-ӿ]') AND NOT regexp_matches(term, '[A-Za-z]'))",
+    "cyrillic_only_en_terms": "term WHERE lang = 'en' AND regexp_matches(term, '[Ѐ-ӿ]') AND NOT regexp_matches(term, '[A-Za-z]')",
+    "concepts_without_latin_en": "concept WHERE id NOT IN (SELECT concept_id FROM term WHERE lang = 'en' AND regexp_matches(term, '[A-Za-z]'))",
+    "concepts_with_specific_properties": "sp",
+    "concepts_with_parallel_relations": "pa",
+    "concepts_without_non_isa": "concept WHERE id NOT IN (SELECT subject FROM sp) AND id NOT IN (SELECT subject FROM pa)",
+}
+
+
+@query(
+    " UNION ALL ".join(_COUNT.format(*x) for x in _REPORT.items()) + " UNION ALL SELECT 'accepted ' || code, count(*) FROM okx GROUP BY code",
+    more="""okx AS (SELECT * FROM edge WHERE status = 'ok'), kr AS (SELECT descendant AS d, ancestor AS a FROM kb UNION ALL SELECT id, id FROM concept),
+      rl AS (SELECT e.*, r.name, CAST(e.code AS INT) AS c FROM okx e JOIN rule r ON r.code = e.code WHERE subject IN (SELECT id FROM concept) AND target IN (SELECT id FROM concept)),
+      sv AS (SELECT e.id, 'subject' AS side FROM rl e WHERE code IN (SELECT code FROM anchor WHERE side = 'subject') AND NOT EXISTS (SELECT 1 FROM anchor a JOIN kr ON kr.a = a.anchor WHERE a.side = 'subject' AND a.code = e.code AND kr.d = e.subject)
+        UNION ALL SELECT e.id, 'object' FROM rl e WHERE code IN (SELECT code FROM anchor WHERE side = 'object') AND NOT EXISTS (SELECT 1 FROM anchor a JOIN kr ON kr.a = a.anchor WHERE a.side = 'object' AND a.code = e.code AND kr.d = e.target)),
+      sp AS (SELECT DISTINCT subject FROM rl WHERE c BETWEEN 15 AND 27 OR c BETWEEN 70 AND 74), pa AS (SELECT DISTINCT subject FROM rl WHERE c BETWEEN 30 AND 64)""",
+    faults=True,
+)
+def audit_report(g: Graph) -> DataFrame:
+    return audit.report(g)
+
+
+@query("SELECT id AS edge, 'self_loop' AS issue FROM okx WHERE subject = target UNION ALL SELECT id, 'dangling' FROM okx WHERE subject NOT IN (SELECT id FROM concept) OR target NOT IN (SELECT id FROM concept) UNION ALL SELECT id, 'unknown_code' FROM okx WHERE code NOT IN (SELECT code FROM rule) UNION ALL SELECT id, 'deprecated_code' FROM okx WHERE code IN (SELECT code FROM rule WHERE contains(name, 'deprecated')) UNION ALL SELECT id, 'strength' FROM okx WHERE strength < 0 OR strength > 100", more="okx AS (SELECT * FROM edge WHERE status = 'ok')", faults=True)
 def audit_structural(g: Graph) -> DataFrame:
     return audit.structural(g)
 
@@ -504,7 +567,7 @@ def descendant_counts(g: Graph) -> DataFrame:
     return audit.descendant_counts(g)
 
 
-@query("SELECT DISTINCT target AS id FROM g14 WHERE target NOT IN (SELECT subject FROM g14)", faults=True)
+@query("SELECT id FROM concept WHERE id NOT IN (SELECT subject FROM edge WHERE status = 'ok' AND code = '14')", faults=True)
 def genus_roots(g: Graph) -> DataFrame:
     return audit.roots(g)
 
@@ -540,9 +603,9 @@ def leaf_groups(g: Graph) -> DataFrame:
 
 # batches
 _BATCH = """SELECT CAST(subject AS BIGINT) AS subject, CAST(code AS STRING) AS code, CAST(target AS BIGINT) AS target, CAST(context AS BIGINT) AS context, CAST(strength AS BIGINT) AS strength FROM (
-  SELECT id AS subject, '14' AS code, 2 AS target, 1 AS context, NULL AS strength FROM concept WHERE id BETWEEN 200 AND 224 UNION ALL SELECT 2, '14', id, 1, NULL FROM concept WHERE id BETWEEN 200 AND 204
-  UNION ALL SELECT id, '22', 401 + id % 5, 1, 50 FROM concept WHERE id BETWEEN 2000001 AND 2000300 UNION ALL SELECT id, '22', 1, 1, 0 FROM concept WHERE id BETWEEN 300 AND 310
-  UNION ALL SELECT 203, '61', 202, 2, NULL UNION ALL SELECT 210, '61', 200, 1, NULL UNION ALL SELECT id, '70', 1000001, 1, 5 FROM concept WHERE id BETWEEN 1000001 AND 1000005
+  SELECT id AS subject, '14' AS code, 2 AS target, 1 AS context, NULL AS strength FROM concept WHERE id BETWEEN 200 AND 224 UNION ALL SELECT 2, '14', id, 1, NULL FROM concept WHERE id BETWEEN 200 AND 224
+  UNION ALL SELECT id, '22', 401 + id % 5, 1, 50 FROM concept WHERE id BETWEEN 2000001 AND 2999999 UNION ALL SELECT id, '22', 1, 1, 0 FROM concept WHERE id BETWEEN 300 AND 310
+  UNION ALL SELECT 203, '61', 202, 2, NULL UNION ALL SELECT 210, '61', 200, 1, NULL UNION ALL SELECT id, '70', 1000001, 1, 5 FROM concept WHERE id BETWEEN 1000001 AND 1999999
   UNION ALL SELECT 5, '99', 6, 1, NULL UNION ALL SELECT 9999999, '14', 1, 1, NULL UNION ALL SELECT 301, '14', 2, 1, NULL UNION ALL SELECT 6, '14', 6, 2, NULL UNION ALL SELECT 301, '14', 6, 3, NULL) q"""
 
 
@@ -550,7 +613,7 @@ _BATCH = """SELECT CAST(subject AS BIGINT) AS subject, CAST(code AS STRING) AS c
     """SELECT subject, code, target, context, strength, CASE WHEN code NOT IN (SELECT code FROM rule) THEN 'unknown_code' WHEN subject NOT IN (SELECT id FROM concept) OR target NOT IN (SELECT id FROM concept) THEN 'missing'
       WHEN EXISTS (SELECT 1 FROM edge e WHERE e.status <> 'rejected' AND e.subject = b.subject AND e.code = b.code AND e.target = b.target AND (e.context = b.context OR b.code <> '14')) THEN 'duplicate'
       WHEN code = '14' AND (subject = target OR EXISTS (SELECT 1 FROM kb WHERE kb.ancestor = b.subject AND kb.descendant = b.target)) THEN 'cycle'
-      WHEN code = '14' AND EXISTS (SELECT 1 FROM kb WHERE kb.descendant = b.subject AND kb.ancestor = b.target) THEN 'redundant'
+      WHEN code = '14' AND EXISTS (SELECT 1 FROM kb WHERE kb.descendant = b.subject AND kb.ancestor = b.target) AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.status <> 'rejected' AND e.subject = b.subject AND e.code = '14' AND e.target = b.target) THEN 'redundant'
       WHEN code IN (SELECT code FROM anchor WHERE side = 'subject') AND NOT EXISTS (SELECT 1 FROM anchor a JOIN kr ON kr.a = a.anchor WHERE a.side = 'subject' AND a.code = b.code AND kr.d = b.subject) THEN 'signature_subject'
       WHEN code IN (SELECT code FROM anchor WHERE side = 'object') AND NOT EXISTS (SELECT 1 FROM anchor a JOIN kr ON kr.a = a.anchor WHERE a.side = 'object' AND a.code = b.code AND kr.d = b.target) THEN 'signature_object' ELSE 'ok' END AS verdict,
       code IN ('20','21','22','23','24','25','26','27','70') AND coalesce(strength, 1) <> 0 AND EXISTS (SELECT 1 FROM kb JOIN edge e ON e.subject = kb.ancestor WHERE kb.descendant = b.subject AND e.status = 'ok' AND (e.strength IS NULL OR e.strength > 0) AND e.code = b.code AND e.target = b.target) AS warning FROM b""",
@@ -560,7 +623,7 @@ def edge_validate(g: Graph) -> DataFrame:
     return batch.validated(g, g.spark.sql(_BATCH.replace("FROM concept", "FROM {concept}"), concept=g.concept))
 
 
-_MERGES = "SELECT id AS src, id + 1000000 AS dst FROM concept WHERE id BETWEEN 2000001 AND 2000050"
+_MERGES = "SELECT id AS src, id + 1000000 AS dst FROM concept WHERE id BETWEEN 2000001 AND 2999999"
 _MERGED = f"""mg AS ({_MERGES}), mv AS (SELECT e.id, coalesce(s.dst, e.subject) AS subject, e.code, coalesce(t.dst, e.target) AS target, e.context, e.strength, e.status, s.dst IS NOT NULL AS sm, t.dst IS NOT NULL AS tm FROM edge e LEFT JOIN mg s ON s.src = e.subject LEFT JOIN mg t ON t.src = e.target),
   me AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, code, target, context ORDER BY CASE WHEN sm OR tm THEN 1 ELSE 0 END, id) AS k FROM mv WHERE NOT (sm AND code = '14') AND NOT ((sm OR tm) AND subject = target)) WHERE k = 1)"""
 
@@ -572,9 +635,9 @@ def _merge(g: Graph) -> Graph:
 _MERGED = _MERGED.replace(f"mg AS ({_MERGES})", f"mg AS (SELECT * FROM ({_MERGES}) WHERE dst IN (SELECT id FROM concept))")
 
 
-@query("SELECT id, subject, code, target, context, strength FROM me WHERE subject >= 2000000", more=_MERGED)
+@query("SELECT id, subject, code, target, context, strength FROM me", more=_MERGED)
 def merge_retarget(g: Graph) -> DataFrame:
-    return _merge(g).edge.filter("subject >= 2000000").select("id", "subject", "code", "target", "context", "strength")
+    return _merge(g).edge.select("id", "subject", "code", "target", "context", "strength")
 
 
 @query("SELECT e.id, CASE WHEN m.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM edge e LEFT JOIN me m ON m.id = e.id WHERE m.id IS NULL OR m.subject <> e.subject OR m.target <> e.target", more=_MERGED)
@@ -593,7 +656,7 @@ def table_fingerprint(g: Graph) -> DataFrame:
 
 
 # retrieval and extraction
-_QUESTIONS = "SELECT p.id AS qid, concat('What is the ', p.name, ' of ', n.name, ' and who sells it?') AS question FROM concept p JOIN concept n ON n.id = 200 + p.id % 25 WHERE p.id BETWEEN 1000001 AND 1000060"
+_QUESTIONS = "SELECT p.id AS qid, concat('What is the ', p.name, ' of ', n.name, ' and who sells it?') AS question FROM concept p JOIN concept n ON n.id = 200 + p.id % 25 WHERE p.id BETWEEN 1000001 AND 1999999"
 _CLEAN = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}#]+', ' ', 'g'))"
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP)
 _FOUND = f"""qs AS ({_QUESTIONS}), qw AS (SELECT qid, list_filter(string_split(regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}#]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({_STOPS})) AS w FROM qs),
@@ -602,11 +665,9 @@ _FOUND = f"""qs AS ({_QUESTIONS}), qw AS (SELECT qid, list_filter(string_split(r
   fc AS (SELECT qid, id, n AS words, place FROM (SELECT qid, id, n, place, row_number() OVER (PARTITION BY qid ORDER BY n DESC, place, id) AS k FROM (SELECT g.qid, nm.id, max(g.n) AS n, arg_min(g.place, (-g.n, g.place)) AS place FROM qg g JOIN nm ON nm.key = g.key GROUP BY g.qid, nm.id)) WHERE k <= 8)"""
 
 
-_ALL_QUESTIONS = (("BETWEEN 1000001 AND 1000060", "BETWEEN 1000001 AND 1999999"),)
-
-
-def _questions(g: Graph, *swaps: tuple[str, str]) -> DataFrame:
-    return g.spark.sql(_swapped(_QUESTIONS, *swaps).replace("concept p", "{concept} p").replace("concept n", "{concept} n"), concept=g.concept)
+def _questions(g: Graph) -> DataFrame:
+    """A question about every part."""
+    return g.spark.sql(_QUESTIONS.replace("concept p", "{concept} p").replace("concept n", "{concept} n"), concept=g.concept)
 
 
 @query("SELECT qid, id, CAST(words AS BIGINT) AS words, CAST(place AS BIGINT) AS place FROM fc", more=_FOUND)
@@ -624,12 +685,12 @@ def related_topk(g: Graph) -> DataFrame:
 
 @query()
 def connected_concepts(g: Graph) -> DataFrame:
-    return retrieval.connected(g, retrieval.found_concepts(g, _questions(g, *_ALL_QUESTIONS)))
+    return retrieval.connected(g, retrieval.found_concepts(g, _questions(g)))
 
 
 @query()
 def grounded_prompts(g: Graph) -> DataFrame:
-    return retrieval.prompts(g, _questions(g, *_ALL_QUESTIONS))
+    return retrieval.prompts(g, _questions(g))
 
 
 @query()
@@ -637,44 +698,226 @@ def facts_block(g: Graph) -> DataFrame:
     return retrieval.facts(g, g.concept.select("id"))
 
 
-_SENT = "SELECT id AS page_id, concat(name, ' is a trading place that lies by the sea, also known as ', name, ' proper or Old ', name, ' and The ', name, '. It stands for the people of ', name, '.') AS text FROM concept WHERE id BETWEEN 100 AND 299 UNION ALL SELECT id, concat(name, ' was the broad market group for buyers; short for market of ', name, ', everyone') FROM concept WHERE id BETWEEN 300 AND 399"
-
-
-def _sentences(g: Graph) -> DataFrame:
-    return g.spark.sql(_SENT.replace("FROM concept", "FROM {concept}"), concept=g.concept)
-
-
-_FIRST = f"sn AS ({_SENT}), fs AS (SELECT page_id, regexp_extract(text, '^\\s*([^.!?]*[.!?])', 1) AS first FROM sn)"
+def _trimmed(x: str) -> str:
+    return f"trim(trim(trim({x}), '.,;:'))"
 
 
-@query("SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(first, '(?i)(?:also known as|also called|or simply)\\s+([^.;()]+)', 1), '(?i),|\\bor\\b|\\band\\b'), lambda x: trim(x)), lambda x: x <> '' AND len(string_split(x, ' ')) <= 5), '|') AS synonyms FROM fs", more=_FIRST)
-def extract_synonyms(g: Graph) -> DataFrame:
-    return retrieval.extracted(_sentences(g)).select("page_id", "synonyms")
+def _cuts(x: str, patterns: tuple[str, ...], by: str, flags: str = "") -> str:
+    for p in patterns:
+        x = f"regexp_replace({x}, '{p}', '{by}'{flags})"
+    return x
 
 
-@query("SELECT page_id, array_to_string(string_split(trim(regexp_replace(regexp_extract(first, '(?i)\\b(?:is|was|are) (?:an?|the) ([^.,;()]+)', 1), '(?i)\\s+\\b(that|which|who|used|of|for|in|with|and|or)\\b.*$', '')), ' ')[1:4], ' ') AS genus, regexp_extract(first, '(?i)(?:stands for|short for|abbreviation of)\\s+([^.,;()]+)', 1) AS expansion FROM fs", more=_FIRST)
-def extract_genus(g: Graph) -> DataFrame:
-    return retrieval.extracted(_sentences(g)).select("page_id", "genus", "expansion")
+_PAGE = "trim(" + _cuts("html", ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "<[^>]+>", "\\s+"), " ", ", 'g'") + ")"
+_NAMES = " || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in text.NAMING)
+_TAIL = f"(?:(?:^|\\s+)(?:{'|'.join(text.EMPTY_TAILS)}))+$"
+_OPENED = _cuts("first", text.OPENINGS, "")
+_DEFINED = _trimmed(f"regexp_extract(trim({_OPENED}), '{text.DEFINITION}', 1)")
+_GENUS_PHRASE = f"trim(regexp_replace(lower({_DEFINED}), '{_TAIL}', ''))"
+_PAGES = f"""WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS term, {_PAGE} AS text FROM pages),
+  f AS (SELECT *, regexp_extract(text, '^\\s*([^.!?]*[.!?])', 1) AS first FROM t), g AS (SELECT *, {_GENUS_PHRASE} AS p FROM f),
+  n AS (SELECT page_id, list_transform(flatten(list_transform({_NAMES}, lambda x: regexp_split_to_array({_trimmed("x")}, '\\s+or\\s+|\\s+and\\s+'))), lambda x: {_trimmed("x")}) AS names FROM f),
+  x AS (SELECT g.page_id, first, CASE WHEN p <> '' AND len(regexp_split_to_array(p, '\\s+')) <= 4 AND p <> lower(term) AND p NOT IN ({", ".join(f"'{w}'" for w in text.NO_KINDS)}) THEN regexp_replace(p, '\\s+', ' ', 'g') END AS genus,
+    nullif({_trimmed(f"regexp_extract(text, '{text.EXPANSION}', 1)")}, '') AS expansion,
+    array_to_string(list_filter(names, lambda x: regexp_matches(x, '^\\p{{L}}') AND len(regexp_split_to_array(x, '\\s+')) <= 5), '|') AS synonyms FROM g JOIN n ON n.page_id = g.page_id)
+"""
 
 
-@table_query()
+@table_query(_PAGES + "SELECT page_id, first, genus, expansion, synonyms FROM x")
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sentences and facts of the raw pages."""
-    return retrieval.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", retrieval.page_text().alias("text")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return retrieval.extracted(pages.select("page_id", retrieval.page_title().alias("term"), retrieval.page_text().alias("text")))
 
 
-@table_query()
-def extract_synonyms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synonyms in the first sentences of all pages."""
+@table_query(_PAGES + "SELECT page_id, synonyms FROM x")
+def extract_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synonyms in all pages."""
     return extract_pages(spark, sf_dir).select("page_id", "synonyms")
 
 
-@table_query()
-def extract_genus_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genus and expansion in the first sentences of all pages."""
+@table_query(_PAGES + "SELECT page_id, genus, expansion FROM x")
+def extract_genus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genus and expansion in all pages."""
     return extract_pages(spark, sf_dir).select("page_id", "genus", "expansion")
 
 
+# views, assemblies and small changes
+@query(
+    """SELECT 'attributes' AS view, id FROM edge WHERE status = 'ok' AND CAST(code AS INT) BETWEEN 15 AND 27 UNION ALL SELECT 'logical', id FROM edge WHERE status = 'ok' AND CAST(code AS INT) BETWEEN 30 AND 64
+      UNION ALL SELECT 'causal', id FROM edge WHERE status = 'ok' AND CAST(code AS INT) BETWEEN 70 AND 74 UNION ALL SELECT 'negative', id FROM edge WHERE status = 'ok' AND strength = 0"""
+)
+def relation_views(g: Graph) -> DataFrame:
+    one = [ops.relation_view(g, v).select(F.lit(v).alias("view"), "id") for v in ("attributes", "logical", "causal", "negative")]
+    return one[0].union(one[1]).union(one[2]).union(one[3])
+
+
+_UP = """t AS (SELECT id AS root, CAST(NULL AS BIGINT) AS node, id AS parent, 0 AS depth, [id] AS path FROM concept
+      UNION ALL SELECT t.root, t.parent, e.target, t.depth + 1, list_append(t.path, e.target) FROM t JOIN (SELECT DISTINCT subject, target FROM edge WHERE status = 'ok' AND code = '14') e ON e.subject = t.parent WHERE NOT list_contains(t.path, e.target) AND t.depth < 10)"""
+
+
+@query("SELECT root, parent AS node, CAST(max(depth) AS BIGINT) AS level FROM t WHERE depth > 0 GROUP BY root, parent", more=_UP)
+def ancestor_layers(g: Graph) -> DataFrame:
+    return ops.ancestor_layers(g, g.concept.select("id"))
+
+
+@query("SELECT parent, node, CAST((row_number() OVER (PARTITION BY parent ORDER BY node) - 1) // 50 AS BIGINT) AS page FROM (SELECT DISTINCT target AS parent, subject AS node FROM edge WHERE status = 'ok' AND code = '14')")
+def child_pages(g: Graph) -> DataFrame:
+    return ops.child_pages(g)
+
+
+@query(
+    """SELECT DISTINCT 'up' AS side, root, node, parent, CAST(depth AS BIGINT) AS depth FROM t WHERE depth > 0 AND root BETWEEN 200 AND 224
+      UNION ALL SELECT 'down', target, subject, target, 1 FROM (SELECT DISTINCT subject, target FROM edge WHERE status = 'ok' AND code = '14') WHERE target BETWEEN 200 AND 224""",
+    more=_UP,
+)
+def tree_views(g: Graph) -> DataFrame:
+    """The trees of every nation; nothing lies more than one link below one."""
+    return ops.tree_view(g, g.concept.filter("id between 200 and 224").select("id"))
+
+
+@query("SELECT w AS word, min(id) AS id FROM (SELECT DISTINCT upper(name) AS w FROM concept) q JOIN ka ON ka.key = lower(w) GROUP BY w", more=_KEYS)
+def term_first_match(g: Graph) -> DataFrame:
+    return terms.first_match(g, g.concept.select(F.upper("name").alias("word")).distinct())
+
+
+@query(
+    """SELECT DISTINCT w AS word, id FROM (SELECT w, id, k, min(k) OVER (PARTITION BY w) AS least FROM (
+        SELECT w, 0 AS k, w AS key FROM q UNION ALL SELECT w, 1, regexp_replace(w, 's$', '') FROM q UNION ALL SELECT w, 2, regexp_replace(w, 'es$', '') FROM q) JOIN ky USING (key)) WHERE k = least""",
+    more=_KEYS + ", q AS (SELECT DISTINCT lower(name) || CASE WHEN id % 2 = 0 THEN 's' ELSE 'es' END AS w FROM concept WHERE id >= 100)",
+)
+def term_by_singular(g: Graph) -> DataFrame:
+    return terms.by_singular(g, g.concept.filter("id >= 100").select(F.concat(F.lower("name"), F.expr("if(id % 2 = 0, 's', 'es')")).alias("word")).distinct())
+
+
+_VERBS = "SELECT id AS concept_id, 'to ' || lower(name) AS term, 'en' AS lang FROM concept WHERE id BETWEEN 200 AND 224 UNION ALL SELECT id, lower(name), 'en' FROM concept WHERE id BETWEEN 200 AND 211"
+
+
+def _with_verbs(g: Graph, names: bool = True) -> Graph:
+    """The graph with infinitives as terms of nations, and without their names as such."""
+    verbs = g.spark.sql(_VERBS.replace("FROM concept", "FROM {concept}"), concept=g.concept)
+    term = g.term.filter("concept_id not between 200 and 205" if names else "concept_id not between 200 and 224").union(verbs)
+    return Graph(g.spark, g.concept, term, g.edge, g.rule, g.anchor, g.context)
+
+
+@query(
+    """SELECT id, CASE WHEN inf THEN substr(term, 4) ELSE term END AS label FROM (SELECT v.*, row_number() OVER (PARTITION BY id ORDER BY tier, length(term), term) AS k FROM (
+        SELECT concept_id AS id, term, term LIKE 'to %' AS inf, CASE WHEN term LIKE 'to %' THEN 2 WHEN (concept_id, term) IN (SELECT (concept_id, substr(term, 4)) FROM vt WHERE term LIKE 'to %') THEN 1 ELSE 0 END AS tier FROM vt) v) WHERE k = 1""",
+    more=f"vt AS (SELECT concept_id, term FROM term WHERE lang = 'en' AND concept_id NOT BETWEEN 200 AND 205 UNION ALL SELECT concept_id, term FROM ({_VERBS}))",
+)
+def term_infinitive_label(g: Graph) -> DataFrame:
+    return terms.infinitive_display(_with_verbs(g))
+
+
+@query(
+    "SELECT concept_id, term, lang FROM vt UNION SELECT concept_id, substr(term, 4), lang FROM vt WHERE lang = 'en' AND term LIKE 'to %'",
+    more=f"vt AS (SELECT concept_id, term, lang FROM term WHERE concept_id NOT BETWEEN 200 AND 224 UNION ALL SELECT * FROM ({_VERBS}))",
+)
+def term_bare_forms(g: Graph) -> DataFrame:
+    return terms.with_bare_forms(_with_verbs(g, names=False))
+
+
+@query(
+    "SELECT v AS id, count(DISTINCT x.id) AS members FROM (SELECT CAST(unnest([100, 101, 301, 302, 2]) AS BIGINT) AS v) q LEFT JOIN x ON x.seed = v GROUP BY v UNION ALL SELECT NULL, count(DISTINCT id) FROM x",
+    more=_x(*_IDS),
+)
+def catalog_counts(g: Graph) -> DataFrame:
+    return regions.set_counts(g, _IDS)
+
+
+@query(
+    "SELECT id, CAST(max(n) AS BIGINT) AS level FROM ch GROUP BY id",
+    more=_EUP + f", kk AS (SELECT a, b, {_KIND} AS kind FROM ek), ins AS (SELECT a AS id, b AS p FROM kk WHERE kind = 'inside' UNION ALL SELECT b, a FROM kk WHERE kind = 'contains'), ch AS (SELECT id, id AS at, 0 AS n FROM sel UNION ALL SELECT ch.id, ins.p, ch.n + 1 FROM ch JOIN ins ON ins.id = ch.at)",
+)
+def euler_nesting(g: Graph) -> DataFrame:
+    return regions.nesting(regions.pair_kinds(g, _EUL))
+
+
+@query(
+    "SELECT id, min(o) AS component FROM (SELECT seed AS id, id AS o FROM es) WHERE o IN (SELECT id FROM sel) GROUP BY id HAVING count(*) > 1",
+    more=_EUP.replace(", ".join(map(str, _EUL)), ", ".join(map(str, _SIB))),
+)
+def euler_equal_groups(g: Graph) -> DataFrame:
+    return regions.equal_groups(regions.pair_kinds(g, _SIB))
+
+
+@query(
+    "SELECT id FROM edge e WHERE code = '22' AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.subject = e.subject AND pl.target = e.target AND (pl.strength IS NULL OR pl.strength = e.strength))",
+    more="pl AS (SELECT id AS subject, 401 + id % 5 AS target, CASE WHEN id % 2 = 0 THEN 80 END AS strength FROM concept)",
+)
+def policy_blocked(g: Graph) -> DataFrame:
+    policy = g.concept.select(F.col("id").alias("subject"), F.lit("22").alias("code"), (401 + F.col("id") % 5).alias("target"), F.expr("if(id % 2 = 0, 80L, null)").alias("strength"))
+    return qa.blocked(g.edge.filter("code = '22'"), policy).select("id")
+
+
+@query("SELECT id, CAST(CASE WHEN id < 300 THEN 3 ELSE processed END AS BIGINT) AS processed FROM concept")
+def level_set(g: Graph) -> DataFrame:
+    return batch.with_level(g.concept, g.concept.filter("id < 300").select("id"), 3).select("id", "processed")
+
+
+@query("SELECT id, CASE code WHEN '61' THEN '64' WHEN '22' THEN '21' ELSE code END AS code, CASE WHEN code IN ('61', '22') THEN coalesce(strength, 100) ELSE strength END AS strength FROM edge")
+def codes_migrated(g: Graph) -> DataFrame:
+    return batch.recoded(g.edge, {"61": "64", "22": "21"}).select("id", "code", "strength")
+
+
+@query("SELECT code, CASE code WHEN '14' THEN 'kind of' WHEN '70' THEN 'brings forth' ELSE name END AS name, mutual FROM rule")
+def relations_relabelled(g: Graph) -> DataFrame:
+    return batch.relabelled(g.rule, {"14": "kind of", "70": "brings forth"})
+
+
+@query(
+    """SELECT verdict, count(*) AS edges FROM (SELECT CASE WHEN (s, t) IN (SELECT (subject, target) FROM ok1 WHERE code = '14') THEN 'duplicate' WHEN s = t OR (s, t) IN (SELECT (ancestor, descendant) FROM kb) THEN 'cycle'
+        WHEN (s, t) IN (SELECT (descendant, ancestor) FROM kb) THEN 'redundant' ELSE 'ok' END AS verdict FROM gp) GROUP BY verdict""",
+    more="gp AS (SELECT id AS s, CAST(100 + id % 5 AS BIGINT) AS t FROM concept)",
+)
+def genus_added(g: Graph) -> DataFrame:
+    return batch.with_genus(g, g.concept.select(F.col("id").alias("subject"), (100 + F.col("id") % 5).alias("target")))[1]
+
+
+def _traced(g: Graph, source: str, concept: int) -> dict:
+    return Algebra(g).explain(source, concept)
+
+
+@query(
+    "SELECT '#100' AS expression, 2000001 IN (SELECT id FROM x WHERE seed = 100) AS member UNION ALL SELECT '#6', 2000001 IN (SELECT id FROM x WHERE seed = 6) UNION ALL SELECT '#3', 2000001 IN (SELECT id FROM x WHERE seed = 3)",
+    more=_x(100, 6, 3),
+)
+def explain_members(g: Graph) -> DataFrame:
+    """The operands of a set expression, and whether they hold one customer."""
+    trace = _traced(g, "#100 | (#6 & #3)", 2000001)
+    left, (right, last) = trace["operands"][0], trace["operands"][1]["operands"]
+    return g.spark.createDataFrame([(x["expression"], x["member"]) for x in (left, right, last)], "expression string, member boolean")
+
+
+_PATH = "p AS (SELECT CAST(2000001 AS BIGINT) AS node, 0 AS depth, CAST([] AS BIGINT[]) AS edges UNION ALL SELECT e.target, p.depth + 1, list_append(p.edges, e.id) FROM p JOIN pos1 e ON e.subject = p.node AND e.code = '14')"
+
+
+@query("SELECT unnest(edges) AS edge, unnest(range(1, len(edges) + 1)) AS place FROM (SELECT edges FROM p WHERE node = 1 ORDER BY depth, edges LIMIT 1)", more=_PATH)
+def explain_path(g: Graph) -> DataFrame:
+    """The witness of one customer's membership in the top concept."""
+    path = _traced(g, "#1", 2000001)["path"]
+    return g.spark.createDataFrame([(e["id"], k) for k, e in enumerate(path, 1)], "edge long, place long")
+
+
+@query("SELECT unnest(edges) AS edge, unnest(range(1, len(edges) + 1)) AS place FROM (SELECT edges FROM p WHERE node = 1 ORDER BY depth, edges LIMIT 1)", more=_PATH)
+def explain_navigation(g: Graph) -> DataFrame:
+    """The witness that the top concept is an ancestor of one customer."""
+    path = _traced(g, "ancestors(exact(#2000001))", 1)["path"]
+    return g.spark.createDataFrame([(e["id"], k) for k, e in enumerate(path, 1)], "edge long, place long")
+
+
+@query("SELECT edge, o.owner IS NOT NULL AS overridden FROM app a LEFT JOIN ovr o ON o.subject = a.subject AND o.owner = a.owner WHERE a.subject = (SELECT min(id) FROM concept WHERE id > 2000000 AND id % 10 = 0)", more=_APP)
+def explain_property(g: Graph) -> DataFrame:
+    """The assertions that decide one customer's property, and those that are overridden."""
+    one = g.concept.filter("id > 2000000 and id % 10 = 0").agg(F.min("id")).first()[0]
+    fact = inherit.explained(g, one, "22", 401)
+    return g.spark.createDataFrame([(x["edge"]["id"], False) for x in fact["evidence"]] + [(i, True) for i in fact["overridden_edge_ids"]], "edge long, overridden boolean")
+
+
+_COUNTED = "SELECT '{0}' AS region, count(*) AS members, FALSE AS counterexample, coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FROM (SELECT id FROM x WHERE seed = {1} ORDER BY id LIMIT 5)), '') AS sample, count(*) > 5 AS truncated FROM x WHERE seed = {1}"
+query(_COUNTED.format("left_counted", 100) + " UNION ALL " + _COUNTED.format("right_counted", 301), more=_x(100, 301), name="counted_regions")(lambda g: Algebra(g).regions("count(#100) > count(#301)"))
+
+
 # questions and answers
 @query("SELECT a, expected FROM (SELECT subject AS a, count(*) AS n, array_to_string(list_sort(list(target)), ',') AS expected FROM g14 GROUP BY subject) WHERE n <= 4")
 def qa_parents(g: Graph) -> DataFrame:
@@ -718,49 +961,3 @@ def qa_messages(g: Graph) -> DataFrame:
 def qa_verified(g: Graph) -> DataFrame:
     """The records held against the graph: every one must be without errors."""
     return qa.verified(g, qa.records(g, seed=42, count=200))
-
-
-# the operators whose SQL above names a part of the ids, over whole concept tables
-def _whole(name: str, f: Callable[[Graph], DataFrame], *swaps: tuple[str, str]) -> None:
-    """Register f as name_all, held against the SQL of name with its id ranges swapped for whole ones."""
-    sql = ORACLE_SQL[name]
-    for old, new in swaps:
-        if old not in sql:
-            raise ValueError(f"{name}: no {old!r} in its SQL")
-        sql = sql.replace(old, new)
-    QUERIES[f"{name}_all"] = lambda spark, sf_dir: f(derived(spark, sf_dir))
-    ORACLE_SQL[f"{name}_all"] = sql
-
-
-def _swapped(sql: str, *swaps: tuple[str, str]) -> str:
-    for old, new in swaps:
-        sql = sql.replace(old, new)
-    return sql
-
-
-def _over(g: Graph, sql: str) -> DataFrame:
-    return g.spark.sql(sql.replace("FROM concept", "FROM {concept}"), concept=g.concept)
-
-
-_ALL_PAIRS = (("BETWEEN 2000001 AND 2000200", "BETWEEN 2000001 AND 2999999"), ("BETWEEN 2000201 AND 2000250", "BETWEEN 2000001 AND 2999999"), ("BETWEEN 3000001 AND 3000010", "BETWEEN 3000001 AND 3999999"))
-_ALL_EDGES = (("BETWEEN 200 AND 204", "BETWEEN 200 AND 224"), ("BETWEEN 2000001 AND 2000300", "BETWEEN 2000001 AND 2999999"), ("BETWEEN 1000001 AND 1000005", "BETWEEN 1000001 AND 1999999"))
-_ALL_MERGES = (("BETWEEN 2000001 AND 2000050", "BETWEEN 2000001 AND 2999999"),)
-_ALL_WORDS = (("id BETWEEN 100 AND 299", "id % 100 = 0"), ("id BETWEEN 200 AND 299", "id % 100 = 0"), ("id BETWEEN 300 AND 399", "id % 100 = 0"))  # a search: every hundredth id
-
-
-def _merged_all(g: Graph) -> Graph:
-    return batch.merged(g, _over(g, _swapped(_MERGES, *_ALL_MERGES)).join(g.concept.select(F.col("id").alias("dst")), "dst", "left_semi"))
-
-
-_whole("neighbour_links", ops.neighbours, (" WHERE x < 1000", ""))
-_whole("closure_extent", lambda g: ops.extents(g, g.concept.select("id")).join(g.concept.select("id"), "id", "left_semi").select("seed", "id"), (_x(100, 101, 102, 103, 104, 301, 302, 303, 304, 305), _SEEDS.replace("SELECT unnest([{}]) AS s", "SELECT id AS s FROM concept")))
-_whole("tree_up", lambda g: ops.tree_up(g, g.concept.select("id")), (" WHERE id BETWEEN 2000001 AND 2000100", ""))
-_whole("verify_pairs", lambda g: ops.verify(g, _over(g, _swapped(_PAIRS, *_ALL_PAIRS)).select(F.col("a").cast("long"), F.col("b").cast("long"))), *_ALL_PAIRS)
-_whole("term_resolve", lambda g: terms.resolve_all(g, g.concept.select(F.upper("name").alias("term")).distinct()), (" WHERE id BETWEEN 100 AND 699 OR id BETWEEN 1000001 AND 1000040", ""))
-_whole("term_fuzzy", lambda g: terms.fuzzy(g, _over(g, _swapped(_WORDS, *_ALL_WORDS))), *_ALL_WORDS)
-_whole("term_phrase_fuzzy", lambda g: terms.fuzzy_phrases(g, g.concept.filter("id % 100 = 0").select(F.concat(F.lower("name"), F.lit("s")).alias("phrase"))), ("id BETWEEN 1000001 AND 1000500", "id % 100 = 0"))
-_whole("edge_validate", lambda g: batch.validated(g, _over(g, _swapped(_BATCH, *_ALL_EDGES))), *_ALL_EDGES)
-_whole("merge_retarget", lambda g: _merged_all(g).edge.select("id", "subject", "code", "target", "context", "strength"), (" WHERE subject >= 2000000", ""), *_ALL_MERGES)
-_whole("batch_diff", lambda g: batch.difference(g.edge, _merged_all(g).edge, ["id"]), *_ALL_MERGES)
-_whole("find_concepts", lambda g: retrieval.found_concepts(g, _questions(g, *_ALL_QUESTIONS)), *_ALL_QUESTIONS)
-_whole("related_topk", lambda g: retrieval.related(g, retrieval.found_concepts(g, _questions(g, *_ALL_QUESTIONS))), *_ALL_QUESTIONS)

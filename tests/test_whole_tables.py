@@ -9,7 +9,7 @@ from ontoloom import queries as core
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize(("name", "column"), [("facts_block", "id"), ("neighbour_links_all", "id"), ("tree_up_all", "root"), ("closure_extent_all", "seed"), ("merge_retarget_all", "subject")])
+@pytest.mark.parametrize(("name", "column"), [("facts_block", "id"), ("neighbour_links", "id"), ("tree_up", "root"), ("closure_extent", "seed"), ("merge_retarget", "subject")])
 def test_every_kind_of_concept_is_there(spark, name, column):
     kinds = {r[column] // 1_000_000 for r in core.QUERIES[name](spark, SF).select(column).distinct().collect()}
     assert kinds == {0, 1, 2, 3}
@@ -21,7 +21,7 @@ def test_facts_of_every_concept(spark):
     assert core.QUERIES["facts_block"](spark, SF).count() == derived(spark, SF).concept.count() > 300
 
 
-@pytest.mark.parametrize("name", ["find_concepts_all", "related_topk_all", "connected_concepts", "grounded_prompts"])
+@pytest.mark.parametrize("name", ["find_concepts", "related_topk", "connected_concepts", "grounded_prompts"])
 def test_questions_of_every_part(spark, name):
     from ontoloom.sources.derive import derived
 
@@ -29,7 +29,7 @@ def test_questions_of_every_part(spark, name):
     assert core.QUERIES[name](spark, SF).select("qid").distinct().count() == parts > 60
 
 
-@pytest.mark.parametrize("name", ["extract_synonyms_all", "extract_genus_all"])
+@pytest.mark.parametrize("name", ["extract_synonyms", "extract_genus"])
 def test_every_page_is_read(spark, name):
     pages = {r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert {r["page_id"] for r in core.QUERIES[name](spark, SF).collect()} == pages
