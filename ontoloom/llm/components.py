@@ -1,7 +1,7 @@
 """Distributed union-find: connected components of an edge table by alternating stars.
 
 Every partition first contracts its own edges with a plain union-find, which leaves at most one edge for each node and
-partition. Then large-star and small-star rounds (each node's neighbours are hung under the least of them) run until the
+partition. If few are left, one task joins them; else large-star and small-star rounds (each node's neighbours are hung under the least of them) run until the
 table of stars stands still. Minima are pre-aggregated before the shuffle, so a hub with any number of neighbours is no
 hot key; rounds are written to the shared folder, so no lineage builds up and lost executors cost one round at most.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ontoloom.llm.shared import Tables, ship
 
 SCHEMA = "u long, v long"
+#: Edges that one task joins by itself when no more are left.
+SMALL = 200_000
 
 
 def contracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,6 +58,10 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _with_roots(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long, neither null) to (node long, root long): each node of an edge between two nodes, and the least
     node of its component. Nodes that are in no such edge are not listed; no edges give no rows. Repeated edges and loops
@@ -64,6 +70,9 @@ def components(edges: DataFrame) -> DataFrame:
     ship(spark)
     tables = Tables(spark)
     kept = tables.write(edges.select("u", "v").mapInArrow(contracted, SCHEMA))
+    if kept.count() <= SMALL:  # what is left is one task's work
+        kept = tables.write(kept.coalesce(1).mapInArrow(contracted, SCHEMA))
+        return _with_roots(kept)
     state = None
     while True:
         now = tables.write(_small(_large(kept)))
@@ -71,5 +80,5 @@ def components(edges: DataFrame) -> DataFrame:
         tables.drop(kept)
         kept = now
         if tuple(sums) == state or sums[0] == 0:
-            return kept.select(F.col("u").alias("node"), F.col("v").alias("root")).union(kept.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return _with_roots(kept)
         state = tuple(sums)

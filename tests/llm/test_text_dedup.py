@@ -6,7 +6,11 @@ import hashlib
 import re
 from itertools import combinations
 
-from ontoloom.llm import jaccard, lines, substrings
+import numpy as np
+import pytest
+
+from ontoloom.llm import components as connected
+from ontoloom.llm import jaccard, lines, search, substrings
 from ontoloom.llm.components import components
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,7 +43,9 @@ def near(sets: dict) -> dict:
     return roots(sets, [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(connected, "SMALL", small)
     edges = [(9, 8), (8, 7), (1, 2), (2, 3), (3, 1), (5, 5), (20, 1), (7, 9)] + [(100 + k, 101 + k) for k in range(40)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(7)
     got = {r["node"]: r["root"] for r in components(df).distinct().collect()}
@@ -127,6 +133,16 @@ def test_substrings_long_prefixes(docs, rows, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in got} == {k: v[1] for k, v in want.items()}
 
 
+def test_substrings_of_repeated_ids(spark):
+    """Each text of an id loses what a smaller id holds, whatever other texts the id has."""
+    w, v = (" ".join(f"{c}{k}" for k in range(20)) for c in "wv")
+    rows = [(1, w), (5, w), (5, v), (5, v), (8, v + " tail end"), (8, "quite short"), (9, "x y " + w)]
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == sorted(
+        [(1, 20, 0, w), (5, 20, 20, ""), (5, 20, 0, v), (5, 20, 0, v), (8, 22, 20, "tail end"), (8, 2, 0, "quite short"), (9, 22, 20, "x y")]
+    )
+
+
 def test_substrings_empty(no_docs):
     assert substrings.deduplicated(no_docs).collect() == []
 
@@ -134,7 +150,7 @@ def test_substrings_empty(no_docs):
 def test_lines(docs, rows):
     """Lines of the fixture are alike in nearly all shingles or in few, so MinHash must find what brute force finds."""
     where = {(i, k): lines.normal(x) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n"))}
-    sets = {p: frozenset(x[k : k + 8] for k in range(max(1, len(x) - 7))) for p, x in where.items() if len(x) >= 20}
+    sets = {p: frozenset(x[k : k + 8] for k in range(max(1, len(x) - 7))) if len(x) >= 20 else frozenset([x]) for p, x in where.items() if x}
     root = roots(sets, [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
     gone = {p for p, r in root.items() if r != p}
     got = lines.deduplicated(docs).collect()
@@ -154,8 +170,49 @@ def test_lines_empty(no_docs):
     assert lines.deduplicated(no_docs).collect() == []
 
 
-def test_jaccard_lists_one_by_one(docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "ONE_BY_ONE", 3)
+def test_search_by_lists():
+    """DivideSkip in a shard against all pairs, with lists of every length, by labels and by blocks."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 40, 80))
+    sets = [np.unique(np.where(rng.random(len(base)) < p, rng.integers(0, 1 << 40, len(base)), base)) for p in rng.choice([0.02, 0.1, 0.15, 0.2], 70)]
+    sets += [np.unique(rng.integers(0, 200, rng.integers(1, 120))) for _ in range(60)] + [base[:1], base[:1], base[:2]]
+    alike = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+    want = roots(range(len(sets)), [(i, j) for i, j in combinations(range(len(sets)), 2) if alike(sets[i], sets[j])])
+    assert roots(range(len(sets)), search.spanning(sets, np.arange(len(sets)), 75)) == want
+    label = np.arange(len(sets))
+    label[:40] = [want[i] for i in range(40)]  # what is known already
+    got = search.spanning(sets, label, 75)
+    assert roots(range(len(sets)), got + [(i, int(label[i])) for i in range(40)]) == want
+    block = rng.integers(0, 2, len(sets))
+    cross = [(i, j) for i, j in combinations(range(len(sets)), 2) if block[i] != block[j] and alike(sets[i], sets[j])]
+    assert roots(range(len(sets)), search.spanning(sets, np.arange(len(sets)), 75, block)) == roots(range(len(sets)), cross)
+
+
+def test_small_blocks(docs, rows, monkeypatch):
+    """Lists cut into many blocks, and firsts of pairs dealt to many tasks, change nothing."""
+    monkeypatch.setattr(jaccard, "LONG", 2)
+    monkeypatch.setattr(search, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(search, "SERVED", 2)
     want = near({r[0]: shingles(r[1]) for r in rows if r[0] is not None})
     got = jaccard.joined(docs).filter("doc_id is not null").collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+    monkeypatch.setattr(lines, "HELD", 50)
+    test_lines(docs, rows)
+
+
+def test_line_signatures():
+    """Signatures do not depend on what is signed together, and equal minima come up as often as sets are similar."""
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    some = [text(int(n)) for n in rng.integers(8, 400, 300)] + [text(lines.SIGNED + 5), text(8), text(9)]
+    together = lines.bands(some)
+    assert all((lines.bands([x])[0] == b).all() for x, b in zip(some, together, strict=True))
+    pairs, met, exact = 300, 0, 0.0
+    for _ in range(pairs):
+        x = text(200)
+        y = x[: (cut := int(rng.integers(150, 190)))] + text(200 - cut)
+        a, b = lines.shingles(x), lines.shingles(y)
+        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        exact += 1 - (1 - j**lines.ROWS) ** lines.BANDS
+        met += bool((lines.bands([x])[0] == lines.bands([y])[0]).any())
+    assert abs(met - exact) < 0.05 * pairs

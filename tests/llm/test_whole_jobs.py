@@ -13,7 +13,7 @@ def test_short_lines(spark, tmp_path):
     texts = ["Share this\nthe first long line of this text", "share  THIS\n\nthe other has quite unlike words", "Share this\n\nshare thin", "Share this"]
     docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     want = {0: texts[0], 1: "\nthe other has quite unlike words", 2: "\nshare thin", 3: ""}
-    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(docs, exact_short=True).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(docs).collect()} == want
     assert {r["doc_id"]: r["text"] for r in P.dedup_lines(spark, docs, "").collect()} == {i: t for i, t in want.items() if t}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_removed"] for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
