@@ -1,14 +1,14 @@
 """N-gram Jaccard join by T-occurrence search over inverted lists.
 
 A document is the set of its word shingles. Two sets that link share at least T of them, so after k - 1 fewer than T tokens
-have been set aside, at least k shared ones lie among the rest. As in DivideSkip the tokens set aside are those with the
-longest lists: all tokens stand in one global order, tokens with long lists last. The short lists are merged: each list
-names its members, and a pair's count over all lists must reach k. What the long lists add is found by binary probes of one
-set's tokens in the other's sorted array, which gives the exact overlap of every pair that is left.
-
-No list is spelled out into all its pairs at once. First each member is held against the head of its list, which links
-most members of a group of near copies; then only members of one list that are still in different components are paired.
-Equal sets are one node throughout.
+have been set aside, at least k shared ones lie among the rest. The tokens set aside are those with the longest lists: all
+tokens stand in one global order, tokens with long lists last.
+
+First each member is held against the head of its list, which links most members of a group of near copies. Then only lists
+with members that are still in different components are searched. Of the short ones, those that a set is in are brought to
+it and merged with counts; what comes up k times is a candidate, and its exact overlap is found by binary probes of one set
+in the other. Long lists are never merged across the cluster: their members' sets meet in square blocks, where DivideSkip
+merges the short lists of the block and probes its long ones (``search.Shard``). Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -22,17 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm.components import components
+from ontoloom.llm.search import bundled, linked_lists, linked_pairs, meeting, runs
 from ontoloom.llm.shared import BROADCAST_ROWS, Tables, batches, semi, ship
 from ontoloom.llm.words import shingles, signed
 
-#: Lists are called long from so many members; with more tokens the bound rises, so that at most 2**20 lists are long.
+#: Lists are long beyond so many members. For the order of tokens the bound rises with them, so that at most 2**20 stand last.
 LONG, MOST_LONG = 64, 20
 #: Share of a set's tokens that a pair must have in common among the short lists.
 SHARE = 0.05
 #: Tokens after which a task counts what it has gathered, and rows that it gives out at a time.
 HELD, OUT = 2_000_000, 200_000
-#: Members from which a list's pairs are made list by list.
-ONE_BY_ONE = 1024
 
 
 def key_of(tokens: np.ndarray) -> int:
@@ -150,88 +149,63 @@ def shared_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in last] + [pa.array([h]) for h in first_head], [*b.schema.names, *(f"head_{n}" for n in b.schema.names[1:])])
 
 
-def _apart(percent: int):
-    """Rows (token, key, n, label) sorted by token and n to pairs of one list with different labels and sizes that can link."""
-
-    def given(key: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(i):
-            yield from _chunks([np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.minimum(n[i], n[j])], ["a", "b", "n"])
-
-    def short(key: np.ndarray, n: np.ndarray, label: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Many lists at once: every member with the one that stands d places on in its list, until sizes are too far apart."""
-        i, d, left, right, size = np.arange(len(key)), 0, [], [], 0
-        while len(i):
-            d += 1
-            i = i[i + d < end[i]]
-            i = i[n[i] * 100 >= percent * n[i + d]]
-            x = i[label[i] != label[i + d]]
-            left.append(x)
-            right.append(x + d)
-            size += len(x)
-            if size > OUT or not len(i):
-                yield from given(key, n, np.concatenate(left), np.concatenate(right))
-                left, right, size = [], [], 0
-
-    def long(key: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """One list: members outside its most frequent label, each held against all that come after it, that label's last."""
-        names, count = np.unique(label, return_counts=True)
-        main = label == names[np.argmax(count)]
-        order = np.concatenate([np.flatnonzero(~main), np.flatnonzero(main)])
-        for at in range(int((~main).sum())):
-            x, rest = order[at], order[at + 1 :]
-            ok = rest[(label[rest] != label[x]) & (np.minimum(n[rest], n[x]) * 100 >= percent * np.maximum(n[rest], n[x]))]
-            yield from given(key, n, np.full(len(ok), x), ok)
-
-    def lists(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _partners(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short lists' rows (token, key, n, label) sorted by token and n, to one row a member: (key, need, list): the members after it
+    with other labels, and how often one must be met in all such lists. No list has more than LONG members."""
+    held: list[np.ndarray] | None = None
+
+    def rows(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         token, key, n, label = cols
         if not len(token):
             return
-        edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-        size = np.diff(edges)
-        for k in np.flatnonzero(size > ONE_BY_ONE):
-            yield from long(*(c[edges[k] : edges[k + 1]] for c in cols[1:]))
-        few = np.repeat(size <= ONE_BY_ONE, size)
-        end = np.repeat(np.cumsum(np.where(size <= ONE_BY_ONE, size, 0)), size)[few]
-        yield from short(key[few], n[few], label[few], end)
+        end = np.searchsorted(token, token, "right")  # token is sorted
+        at, step, left, right = np.arange(len(token)), 0, [], []
+        while len(at):
+            step += 1
+            at = at[at + step < end[at]]
+            other = at[label[at] != label[at + step]]
+            left.append(other)
+            right.append(other + step)
+        left, right = np.concatenate(left), np.concatenate(right)
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        member, start = np.unique(left, return_index=True)
+        for k in range(0, len(member), OUT):
+            m = member[k : k + OUT]
+            ends = np.append(start, len(left))[k : k + len(m) + 1]
+            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(key[right[ends[0] : ends[-1]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(np.maximum(1, (n[m] * SHARE).astype(np.int64))), lists], ["key", "need", "list"])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in it:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                cols = [np.concatenate([x, c]) for x, c in zip(held, cols, strict=True)]
-            if len(cols[0]):
-                last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
-                yield from lists([c[:last] for c in cols])
-                held = [c[last:] for c in cols]
+    for b in it:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if held is not None:
-            yield from lists(held)
-
-    return run
-
-
-def _arrays(words: int):
+            cols = [np.concatenate([x, c]) for x, c in zip(held, cols, strict=True)]
+        if len(cols[0]):
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+            yield from rows([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+    if held is not None:
+        yield from rows(held)
+
+
+def _merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, need, list) sorted by key to the pairs (u, v) of a key with what its lists, merged, hold often enough."""
+    for group in runs(it, 1):
+        merged = np.sort(np.concatenate([b.column("list").flatten().to_numpy() for b in group]))
+        opens = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+        count = np.diff(np.append(opens, len(merged)))
+        key, need = group[0].column("key")[0].as_py(), group[0].column("need")[0].as_py()
+        found = merged[opens][count >= need]
+        for k in range(0, len(found), OUT):
+            x = found[k : k + OUT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, key)), pa.array(np.maximum(x, key))], ["u", "v"])
+
+
+def _texts(words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            sets = [signed(shingles(t, words)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"])
-
-    return run
-
-
-def _exact(percent: int):
-    """Rows (a, b, tokens of a, of b) to the pairs that link: the smaller set is probed in the larger by binary search."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 2048):
-            keep = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            keys = [key_of(shingles(t, words)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("text")], ["key", "text"])
 
     return run
 
@@ -243,15 +217,6 @@ def two_heads(stars: DataFrame) -> DataFrame:
     return best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("u"), "v")
 
 
-def with_tokens(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """pairs (u, v) and arrays (key, tokens) to (u, v, ta, tb). Pairs that are few go to the arrays, not the arrays to the pairs; what
-    is shuffled is then one array a pair and those of the keys u."""
-    few = pairs.count() <= BROADCAST_ROWS
-    right = arrays.select(F.col("key").alias("v"), F.col("tokens").alias("tb")).join(F.broadcast(pairs) if few else pairs, "v")
-    left = semi(arrays, pairs.select(F.col("u").alias("key")).distinct(), "key").select(F.col("key").alias("u"), F.col("tokens").alias("ta"))
-    return right.join(left, "u").select("u", "v", "ta", "tb")
-
-
 def keyed(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs with the key of each row's set: null for rows without words."""
 
@@ -293,29 +258,49 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     lists = postings.repartition("token").sortWithinPartitions("token", F.desc("copies"), "n", "key").mapInArrow(shared_runs, "token long, key long, n long, copies long, head_key long, head_n long, head_copies long")
     lists = tables.write(lists.drop("copies"))
 
+    owner = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """(key, text, size): one text of each key."""
+        keys = tables.write(keys)
+        ids = tables.write(semi(owner, keys, "key").select("doc_id").distinct())
+        found = semi(semi(docs, ids, "doc_id").select("text").mapInArrow(_texts(words), "key long, text string"), keys, "key")
+        return tables.write(found.dropDuplicates(["key"]).withColumn("size", F.length("text")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) of keys, to those that link."""
         pairs = tables.write(pairs)
-        keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-        ids = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(keys, "key", "left_semi").select("doc_id").distinct()
-        arrays = tables.write(semi(docs, tables.write(ids), "doc_id").mapInArrow(_arrays(words), "key long, tokens binary"))
-        out = tables.write(with_tokens(pairs, arrays).mapInArrow(_exact(percent), "u long, v long"))
-        tables.drop(pairs, arrays)
+        texts = texts_of(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct())
+        out = linked_pairs(tables, pairs, texts, to_set, percent)
+        tables.drop(pairs, texts)
         return out
 
+    def to_set(text: str) -> np.ndarray:
+        return shingles(text, words)
+
     least = F.least("n", "head_n")
-    held = lists.filter("key <> head_key").filter(least * 100 >= F.greatest("n", "head_n") * percent).groupBy(F.col("head_key").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("c"), F.first(least).alias("m"), F.first(F.struct(-F.col("head_copies"), F.col("head_n"))).alias("h"))
+    held = lists.filter("key <> head_key").filter(least * 100 >= F.greatest("n", "head_n") * percent)
+    held = held.groupBy(F.col("head_key").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("c"), F.first(least).alias("m"), F.first(F.struct(-F.col("head_copies"), F.col("head_n"))).alias("h"))
     links = verified(two_heads(held.filter(F.col("c") >= least_count(F.col("m")))))
+    labels = tables.write(components(links)).withColumnRenamed("node", "key").withColumnRenamed("root", "label")
+    labelled = meeting(lists.select("token", "key", "n"), labels, "key", "left").select("token", "key", "n", F.coalesce("label", "key").alias("label"))
+    labelled = tables.write(labelled)
+    per_list = labelled.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    per_list = tables.write(per_list.select("token", (F.col("members") > LONG).alias("long")))
+    # long lists: every pair that meets in one is found there, whatever else it shares
+    long_members = semi(labelled, per_list.filter("long").select("token"), "token").select("token", "key", "label")
+    long_members = bundled(tables, long_members)
+    texts = texts_of(long_members.select("key").distinct())
+    links = links.union(linked_lists(tables, long_members, texts, to_set, percent))
+    # short lists: of each set the lists are merged with counts
+    short = semi(labelled, per_list.filter("not long").select("token"), "token").repartition("token").sortWithinPartitions("token", "n")
+    partners = short.select("token", "key", "n", "label").mapInArrow(_partners, "key long, need long, list array<long>")
+    met = partners.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "u long, v long").distinct()
+    links = links.union(verified(met))
     found = tables.write(components(links))
-    labels = found.withColumnRenamed("node", "key").withColumnRenamed("root", "label")
-    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
-    labelled = lists.select("token", "key", "n").join(labels, "key", "left").select("token", "key", "n", F.coalesce("label", "key").alias("label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-    apart = semi(labelled, tables.write(mixed), "token").repartition("token").sortWithinPartitions("token", "n").mapInArrow(_apart(percent), "a long, b long, n long")
-    rest = apart.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_count(F.col("m"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = links.union(verified(rest))
-    found = tables.write(components(links))
+    tables.drop(lists, labelled, long_members, texts, per_list)
     # the class of a row, and the least id of the class's component
-    labelled = rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))
-    least_id = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least_id, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(("key", "root") if with_sets else ()))
+    labelled = tables.write(meeting(rows, found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root")))
+    least_id = tables.write(labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
+    out = meeting(labelled, least_id, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(("key", "root") if with_sets else ()))
