@@ -1,43 +1,48 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Lengths are whole numbers up to the capacity, so documents and gaps in range-sorted order are runs: (length, count) and
-(gap, first sequence, count). One round takes the longest unplaced run, sweeps to the successor of its length among the
-gaps, gives the k-th document of the run to the k-th place in the gap run (conflicts are settled by rank alone), updates
-the gaps and repeats. The number of runs depends on the capacity, never on the number of documents; what grows with the
-documents, their tokens, ranks and placement, is distributed.
+In a round documents and gaps are sorted by size and cut into ranges of equal rank; the k-th ranges of both meet in a task,
+which sweeps them, largest first, and gives each document the successor of its length among the gaps; what is left over
+goes into the next round with the gaps as they are by then. Few rounds are needed, whatever the number of documents.
 """
 
 from __future__ import annotations
 
 import bisect
 import os
+import re
 import sys
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.llm.search import runs
 from ontoloom.llm.shared import Tables, batches, ship
 
-#: Parts into which the pieces of one length are dealt for ranking.
-PARTS = 256
-#: Strings whose ids a worker remembers in each of two generations, and the longest that it remembers.
-REMEMBERED, LONGEST = 100_000, 64
+#: Documents and gaps of a range that one task sweeps, and rows that it gives out at a time.
+BLOCK, OUT = 50_000, 100_000
+#: Strings and units whose ids a worker remembers in each of two generations, and the longest that it remembers.
+REMEMBERED, LONGEST = 200_000, 64
+#: Strings that are made of words and marks alone, their units, and strings of a text with the blanks before them.
+_PLAIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*)*")
+_UNIT = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?]+|\n")
+_STRING = re.compile("[ ]*[^ ]+|[ ]+")
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file, remembered by blank-separated string.
+    """Ids of texts by a ``tokenizers`` file, with a memory of units that the file's pre-tokenizer never looks beyond.
 
-    A byte-level pre-tokenizer never joins what stands on the two sides of a single blank, and it puts the blank before the
-    string that follows, so a text's ids are those of its strings in order. Runs of blanks are the exception; texts that
-    hold one are encoded as they are.
+    A byte-level pre-tokenizer puts the blank before the string that follows and never joins what stands on the two sides of
+    it, so a text's ids are those of its strings in order, each with the blanks before it. It also cuts a string of Latin
+    letters, with marks at the end of words and single newlines between words, at just those places; such a string's ids are
+    those of its words and marks, which come again much more often than the string does. Every other string is a unit.
     """
 
     def __init__(self, path: str):
@@ -53,33 +58,42 @@ class Encoder:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
-    def learn(self, strings: set[str]) -> None:
-        """Make known the ids of all strings, each with a blank before it."""
+    def strings(self, strings: list[str]) -> list[bytes]:
+        """Ids of strings, each with the blanks before it."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        need = strings - self.known.keys()
+        known = self.known
+        need = set(strings) - known.keys()
         kept = need & self.older.keys()
-        self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
-        new = list(need - kept)
-        self.known.update(zip(new, self.direct([" " + w for w in new]), strict=True))
+        known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        parts = {s: _UNIT.findall(s) if _PLAIN.fullmatch(s) else [s] for s in need - kept}
+        units = {u for p in parts.values() for u in p} - known.keys()
+        units = list(units)
+        known.update(zip(units, self.direct(units), strict=True))
+        known.update((s, b"".join([known[u] for u in p])) for s, p in parts.items() if len(p) > 1)
+        out = list(map(known.__getitem__, strings))
+        for s in parts:
+            if len(s) > LONGEST:
+                del known[s]
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (no nulls)."""
         runs = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
-        whole = iter(self.direct(texts.filter(pa.array(runs)).to_pylist()))
+        split = [_STRING.findall(t) for t in texts.filter(pa.array(runs)).to_pylist()]
         parts = pc.split_pattern(texts, " ")
         at, strings = parts.offsets.to_numpy(), parts.values
         heads = iter(self.direct(strings.take(pa.array(at[:-1][~runs])).to_pylist()))
-        coded = strings.dictionary_encode()
+        coded = strings.filter(pa.array(np.repeat(~runs, np.diff(at)))).dictionary_encode()
+        at = np.concatenate([[0], np.cumsum(np.where(runs, 0, np.diff(at)))])
         names = coded.dictionary.to_pylist()
-        self.learn(set(names))
-        ids = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(coded.indices)
+        more = list({s for t in split for s in t})
+        found = self.strings([" " + w for w in names] + more)
+        special = dict(zip(more, found[len(names) :], strict=True))
+        whole = iter([b"".join([special[s] for s in t]) for t in split])
+        ids = pa.array(found[: len(names)], pa.large_binary()).take(coded.indices)
         ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), memoryview(ids.buffers()[2] or b"")
-        out = [next(whole) if run else next(heads) + data[ends[i + 1] : ends[j]] for run, i, j in zip(runs, at[:-1], at[1:], strict=True)]
-        for w in names:
-            if len(w) > LONGEST:
-                del self.known[w]
-        return out
+        return [next(whole) if run else next(heads) + data[ends[i + 1] : ends[j]] for run, i, j in zip(runs, at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -116,59 +130,141 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Counts by length to placements (length, from rank, to rank, first sequence, documents a sequence, offset)."""
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by gap: first sequence and count
-    gaps: list[int] = []  # those with runs, ascending
-    out, opened = [], 0
-
-    def give(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if not runs[gap]:
-                bisect.insort(gaps, gap)
-            runs[gap].append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):
-                count = -(-left // (capacity // length))
-                give(capacity, opened, count)
-                opened += count
-                continue
-            gap = gaps[at]
-            first, count = runs[gap].pop()
-            if not runs[gap]:
-                gaps.pop(at)
-            each = gap // length
-            full = min(count, left // each)
-            if not full:
-                each, full = left, 1
-            out.append((length, rank, rank + each * full, first, each, capacity - gap))
-            rank, left = rank + each * full, left - each * full
-            give(gap - each * length, first, full)
-            give(gap, first + full, count - full)
-    return out
+class Fit:
+    """Gaps of one task by size; a document gets a sequence of the smallest gap that holds it, the successor of its length."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.held, self.sizes = capacity, [[] for _ in range(capacity + 1)], []
+
+    def put(self, gap: int, sequence: int) -> None:
+        if gap:
+            if not self.held[gap]:
+                bisect.insort(self.sizes, gap)
+            self.held[gap].append(sequence)
+
+    def place(self, length: int) -> tuple[int, int] | None:
+        """(sequence, offset) of a document; None if no gap holds it."""
+        at = bisect.bisect_left(self.sizes, length)
+        if at == len(self.sizes):
+            return None
+        gap = self.sizes[at]
+        sequence = self.held[gap].pop()
+        if not self.held[gap]:
+            self.sizes.pop(at)
+        self.put(gap - length, sequence)
+        return sequence, self.capacity - gap
+
+    def rest(self) -> list[tuple[int, int]]:
+        return [(gap, x) for gap in self.sizes for x in self.held[gap]]
+
+
+#: What a row of a round is: a gap, a document without a place, a document with one.
+GAP, FREE, PLACED = 0, 1, 2
+
+
+def _sweep(capacity: int):
+    """Rows (block, size, kind, id) sorted by block, size descending and kind, to the block's gaps, free and placed documents."""
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "id", "size", "sequence", "offset"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(it, 1):
+            fit, out = Fit(capacity), []
+            for b in group:
+                for size, kind, i in zip(*(b.column(c).to_pylist() for c in ("size", "kind", "id")), strict=True):
+                    if kind == GAP:
+                        fit.put(size, i)
+                    elif (at := fit.place(size)) is None:
+                        out.append((FREE, i, size, None, None))
+                    else:
+                        out.append((PLACED, i, size, *at))
+                if len(out) > OUT:
+                    yield given(out)
+                    out = []
+            out += [(GAP, x, gap, None, None) for gap, x in fit.rest()]
+            if out:
+                yield given(out)
+
+    return run
+
+
+def best_fit(tables: Tables, docs: DataFrame, capacity: int) -> DataFrame:
+    """docs (id, size), ids distinct and sizes from 1 to the capacity, to (id, sequence, offset): bulk-synchronous best fit.
+
+    A round opens sequences for the longest documents, as many as the documents' volume needs beyond that of the gaps. Then
+    documents and gaps are sorted by size, largest first, and cut into ranges of equal rank, of which the k-th of both meet in
+    one task; ties are cut by a hash of their ids. Each task gives every document of its range, longest first, the
+    successor of its length among the range's gaps, as they are by then. Gaps and documents that are left go into the next
+    round. Ranks come from how many there are of each size, which is all that the driver sees."""
+    spark = docs.sparkSession
+    free, gaps, placed = docs.select("id", "size"), None, []
+    stuck = False  # whether the round before found places for few
+    for turn in count():
+        waiting = _by_size(free)
+        if not waiting:
+            break
+        there = _by_size(gaps) if gaps is not None else {}
+        usable = {} if stuck else {s: n for s, n in there.items() if s >= min(waiting)}
+        need = sum(s * n for s, n in waiting.items()) - sum(s * n for s, n in usable.items())
+        long = sum(n for s, n in waiting.items() if 2 * s > capacity and s > max(usable, default=0))
+        m = max(long, -(-need // capacity), 0 if usable else 1)
+        if m:
+            rank = _ranked(free, waiting, 2 * turn)
+            new = tables.write(rank.filter(F.col("rank") < m).select("id", (F.lit(capacity) - F.col("size")).alias("size")))
+            placed.append(new.select("id", F.col("id").alias("sequence"), F.lit(0).alias("offset")))
+            free = rank.filter(F.col("rank") >= m).select("id", "size")
+            opened = new.filter("size > 0")
+            gaps = opened if gaps is None else gaps.union(opened)
+            waiting, there = _by_size(free), _by_size(gaps)
+            if not waiting:
+                break
+        fits = {s: n for s, n in there.items() if s >= min(waiting)}
+        idle = gaps.filter(F.col("size") < min(waiting))
+        blocks = max(1, -(-(sum(waiting.values()) + sum(fits.values())) // BLOCK))
+        rows = None
+        for kind, df, sizes in ((GAP, gaps.filter(F.col("size") >= min(waiting)), fits), (FREE, free, waiting)):
+            share = F.col("rank") * blocks / max(1, sum(sizes.values()))
+            part = _ranked(df, sizes, 2 * turn + 1).select(F.least(F.lit(blocks - 1), F.floor(share)).cast("long").alias("block"), "size", F.lit(kind).alias("kind"), "id")
+            rows = part if rows is None else rows.union(part)
+        met = rows.repartition(blocks, "block").sortWithinPartitions("block", F.desc("size"), "kind", "id")
+        met = tables.write(met.mapInArrow(_sweep(capacity), "kind int, id long, size int, sequence long, offset int"))
+        placed.append(met.filter(F.col("kind") == PLACED).select("id", "sequence", "offset"))
+        left = met.filter(F.col("kind") == FREE).select("id", "size")
+        stuck = 5 * left.count() > 4 * sum(waiting.values())
+        free, gaps = left, met.filter(F.col("kind") == GAP).select("id", "size").union(idle)
+    return reduce(DataFrame.union, placed) if placed else spark.createDataFrame([], "id long, sequence long, offset int")
+
+
+def _by_size(df: DataFrame) -> dict[int, int]:
+    """How many rows there are of each size; sizes are whole numbers up to the capacity."""
+    return {r["size"]: r["count"] for r in df.groupBy("size").count().collect()}
+
+
+def _ranked(df: DataFrame, sizes: dict[int, int], salt: int) -> DataFrame:
+    """df with rank, from 0 for the largest size: that of its size plus, among equal ones, the place that a hash of the id has. A salt is
+    used once: what a rank has left behind is no even share by the same hash."""
+    before, rows = 0, []
+    for s in sorted(sizes, reverse=True):
+        rows.append((s, before, sizes[s]))
+        before += sizes[s]
+    first = F.broadcast(df.sparkSession.createDataFrame(rows, "size int, before long, n long"))  # at most one row a size
+    place = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(2**40)) / float(2**40)
+    return df.join(first, "size").select("id", "size", (F.col("before") + F.floor(place * F.col("n"))).alias("rank"))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pack the token ids of every row's text, each ended by end_id, into sequences of at most capacity tokens.
 
     docs: doc_id, text; other columns are not read. A document longer than the capacity is cut into pieces of the capacity,
-    of which the first may be shorter; no other is cut. Returns one row a piece: doc_id, piece, start, length, ids_crc32,
-    (ids,) sequence_id, offset. A null or empty text is packed as its end_id alone; a null doc_id, and rows that repeat a
-    doc_id, are documents like others; ties of length are ordered by a hash of doc_id. No documents: no rows.
+    of which the first may be shorter; no other is cut. Texts are encoded whole, however long. Returns one row a piece: doc_id,
+    piece, start, length, ids_crc32, (ids,) sequence_id, offset. A null or empty text is packed as its end_id alone; a null
+    doc_id, and rows that repeat a doc_id, are documents like others; ties of length are ordered by a hash. No documents: no
+    rows.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark)
-    rows = tables.write(pieces(docs, tokenizer_path, capacity, end_id, with_ids).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")))
-    by_part = tables.write(rows.groupBy("length", "part").agg(F.count("*").alias("n")))
-    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one for each length up to the capacity
-    placed = spark.createDataFrame(best_fit(counts, capacity), "length long, from long, to long, first long, each long, base long")
-    before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k") - 1)
-    r, p = ranked.alias("r"), F.broadcast(placed).alias("p")  # a few placements for each length up to the capacity
-    both = r.join(p, (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
-    nth = F.col("rank") - F.col("from")
-    return both.select("doc_id", "piece", "start", F.col("r.length").alias("length"), "ids_crc32", *(["ids"] if with_ids else []), (F.col("first") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + nth % F.col("each") * F.col("r.length")).cast("long").alias("offset"))
+    tables = Tables(docs.sparkSession)
+    rows = tables.write(pieces(docs, tokenizer_path, capacity, end_id, with_ids).withColumn("id", F.monotonically_increasing_id()))
+    places = tables.write(best_fit(tables, rows.select("id", F.col("length").cast("int").alias("size")), capacity))
+    both = rows.join(places, "id")
+    return both.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), F.col("sequence").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections import defaultdict
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from ontoloom.llm import chat, mixing, packing, queries
+from ontoloom.llm.shared import Tables
 
 
 @pytest.fixture(scope="module")
@@ -62,20 +64,49 @@ def test_packing_empty(no_docs):
     assert packing.packed(no_docs, queries.tokenizer_path()).collect() == []
 
 
-def test_best_fit_places_every_rank_once():
-    counts = {5: 7, 3: 11, 2: 4, 8: 1, 1: 6}
-    seen, fill = defaultdict(set), defaultdict(list)
-    for length, a, b, first, each, base in packing.best_fit(counts, 8):
-        for r in range(a, b):
-            seen[length].add(r)
-            fill[first + (r - a) // each].append((base + (r - a) % each * length, length))
-    assert {k: len(v) for k, v in seen.items()} == counts
-    for p in fill.values():
-        at = 0
-        for o, n in sorted(p):
-            assert o == at
-            at += n
-        assert at <= 8
+def plain_best_fit(sizes: list[int], capacity: int) -> int:
+    """Sequences that best fit needs, longest first, one document after another."""
+    gaps: list[int] = []
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else None
+        bisect.insort(gaps, (capacity if gap is None else gap) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("block", [30, 10**6])
+@pytest.mark.parametrize("kind", ["prose", "equal", "thirds", "tiny", "one"])
+def test_best_fit_rounds(spark, monkeypatch, kind, block):
+    """Rounds over ranges of any length place every document once, without overlap, in hardly more sequences than plain best fit."""
+    monkeypatch.setattr(packing, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    made = {"prose": lambda: np.minimum(512, rng.lognormal(4.2, 1.2, 400)), "equal": lambda: np.full(100, 200), "thirds": lambda: rng.choice([171, 170, 340, 512, 1], 300), "tiny": lambda: rng.integers(1, 9, 500), "one": lambda: [77]}
+    sizes = [max(1, int(x)) for x in made[kind]()]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, size int").repartition(3)
+    got = packing.best_fit(Tables(spark), df, 512).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(sizes)))
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence"]].append((r["offset"], sizes[r["id"]]))
+    for places in filled.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [at for at, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 512
+    assert len(filled) <= plain_best_fit(sizes, 512) * 1.05 + 1
+
+
+def test_packing_against_plain_best_fit(spark):
+    """The table's pieces in as many sequences as plain best fit needs, but for a few."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = packing.packed(docs, queries.tokenizer_path()).select("length", "sequence_id").collect()
+    assert len({r["sequence_id"] for r in out}) <= plain_best_fit([r["length"] for r in out], 2048) * 1.01 + 1
+
+
+@pytest.mark.parametrize("text", ["a", "a  b", "  a", "a ", "a.\nb c,\nd", "a\n\nb", "x\n y", "é è. ÀB!? c2 d_e it's", "<|endoftext|> a<|endoftext|>b", "a\tb \n c", "…. ,,a", "\u00a0a\u2003b", "день 日本 a\u0301"])
+def test_remembered_ids(tokenizer, text):
+    """Ids of strings put together are those of the whole text, when they are met first and when they are remembered."""
+    made = packing.Encoder(queries.tokenizer_path())
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert [made.encode(pa.array([text, text + " " + text, text]))[k] for k in (0, 2)] == [want, want] == [made.encode(pa.array([text]))[0]] * 2
 
 
 def shares(sizes: dict, total: float) -> dict:
