@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.llm.components import components
 from ontoloom.llm.shared import Tables, ship
-from ontoloom.llm.vectors import balanced, batch_rows, comparable, number, rows_of, sample, shipped
+from ontoloom.llm.vectors import balanced, batch_rows, comparable, number, rows_of, sample, scaled, shipped, unit
 
 #: Rows of a tile's side.
 TILE = 2048
@@ -39,6 +39,7 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of x and y (any length) whose cosine reaches the threshold."""
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (qx, sx, lx, ex), (qy, sy, _, ey) = quantised(x / nx[:, None]), quantised(y / ny[:, None])
     kind = np.float32 if x.shape[1] * 127 * 127 < 2**24 else np.float64  # sums of int8 products are exact in it
@@ -107,7 +108,7 @@ def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 2048, mos
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 x = rows_of(part.column("embedding"), dim)
-                s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T
+                s = unit(x) @ c.T
                 home = np.argmax(s, axis=1)
                 own = s[np.arange(len(x)), home]
                 # a pair of two cells meets in the cell of the smaller number

@@ -17,7 +17,14 @@ def rows_of(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their largest component is from 0.5 to 1: no digit is lost, and squares neither
+    overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -45,10 +52,12 @@ def comparable(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def sample(v: DataFrame, count: int, most: int, dim: int, seed: int = 1) -> np.ndarray:
-    """At most about most unit vectors of the count rows of v, chosen by a hash of the id."""
+    """At most most unit vectors of the count rows of v. Rows are chosen one by one, whatever ids they share; of the few more that
+    an even share can give the rest is left out."""
     if count > most:
-        v = v.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_000)) < int(1e6 * most / count) + 1)
-    table = v.select("embedding").toArrow()
+        row = F.pmod(F.xxhash64(F.lit(seed), "vec_id", F.monotonically_increasing_id()), F.lit(2**40))
+        v = v.filter(row < int(2**40 * most / count))
+    table = v.select("embedding").toArrow()[:most]
     return unit(rows_of(table.column(0).combine_chunks(), dim)).astype(np.float32) if table.num_rows else np.zeros((0, dim), np.float32)
 
 

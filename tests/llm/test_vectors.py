@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from ontoloom.llm import ann, embedding_dups
+from ontoloom.llm import ann, embedding_dups, vectors
 from tests.llm.test_text_dedup import roots
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, list string, home string"
@@ -90,6 +90,53 @@ def test_neighbours_empty_and_few(table, spark):
     assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)]
 
 
+def test_neighbours_by_lists(spark):
+    """On the table, which has hardly any clusters: recall by brute force, and what a query reads."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = ann.neighbours(df.filter("vec_id % 50 = 0"), df).collect()
+    hits = total = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[k]
+        s[k] = -2
+        want = ids[np.lexsort((ids, -s))[:5]]
+        hits, total = hits + len(set(want) & {r["vec_id"] for r in out if r["query_id"] == ids[k]}), total + 5
+    assert hits / total >= 0.9 and len(out) == total
+    graph = ann.CentroidGraph(vectors.balanced(u.astype(np.float32), -(-len(u) // 256)))
+    ratio = ann.probe_ratio(graph, u.astype(np.float32), 5, 4, 1.2, 0.95)
+    row, _ = graph.within(u[::50].astype(np.float32), ratio)
+    assert len(row) < 0.5 * len(u[::50]) * len(graph.c)
+
+
+def test_neighbours_in_small_shards(table, monkeypatch):
+    df, _ = table
+    ask = lambda: sorted(tuple(r) for r in ann.neighbours(df.filter("vec_id % 50 = 0"), df, list_size=32).collect())
+    want = ask()
+    monkeypatch.setattr(ann, "SHARD", 100)
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    got = ask()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-15)
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 2e200]), (3, [1e-300, 1.1e-300]), (4, [-1e300, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.neighbours(df, df).collect()}
+    assert got[1, 1] == (3, pytest.approx(2.1 / np.sqrt(2 * 2.21))) and got[1, 2] == (2, pytest.approx(3 / np.sqrt(10))) and got[4, 3][0] == 1
+    near = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dups.near(df, 0.95).collect()}
+    assert near == {1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (0, 4)}  # 2 and 3 have a cosine of 0.963, 1 and 2 of 0.949
+
+
+def test_samples_are_bounded(spark):
+    """One id on all rows is no way past the bound."""
+    df = spark.createDataFrame([(7, [float(i), 1.0]) for i in range(3000)], "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.sample(df, 3000, 500, 2)
+    assert 300 < len(got) <= 500
+
+
 def test_centroid_graph_finds_the_nearest():
     rng = np.random.default_rng(3)
     c = rng.normal(size=(500, 8)).astype(np.float32)
