@@ -16,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm.jaccard import OUT, _chunks, shared_runs
+from ontoloom.llm.search import meeting
 from ontoloom.llm.shared import BROADCAST_ROWS, Tables, batches, semi, ship
 from ontoloom.llm.words import hashes, signed, windows, words
 
 #: Suffixes of one prefix from which it is lengthened; with more suffixes the bound rises, so that at most 2**16 are.
 GROUP, MOST_GROUPS = 20_000, 16
+#: Bits of a position that are its place in a text; the ones above are the text's number among those of its doc_id.
+PLACES = 40
 #: Suffixes that a task gathers before it looks for equal ones among them.
 HELD = 1_000_000
 
@@ -39,6 +42,12 @@ def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "sha"])
 
 
+def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches(it):
+        sha = [hashlib.sha256(b" ".join(words(t))).hexdigest() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(sha, pa.string())], ["doc_id", "text", "sha"])
+
+
 def _named(h: np.ndarray, short: int, length: int) -> np.ndarray:
     """For each window of a text's word hashes the least hash of the grams in it."""
     g = windows(h, short)
@@ -78,12 +87,12 @@ def _suffixes(short: int, length: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches(it):
-            for doc, t, grams in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("grams"), strict=True):
+            for doc, number, t, grams in zip(b.column("doc_id").to_pylist(), b.column("number").to_pylist(), b.column("text").to_pylist(), b.column("grams"), strict=True):
                 h = hashes(words(t))
                 if len(h) < length:
                     continue
                 pos = np.flatnonzero(np.isin(signed(_named(h, short, length)), grams.values.to_numpy()))
-                held.append((signed(windows(h, short))[pos], signed(windows(h, length))[pos], np.full(len(pos), doc, np.int64), pos))
+                held.append((signed(windows(h, short))[pos], signed(windows(h, length))[pos], np.full(len(pos), doc, np.int64), pos + (number << PLACES)))
                 size += len(pos)
                 if size > HELD:
                     yield from settled(held)
@@ -113,8 +122,8 @@ def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(docs: DataFrame, short: int = 5, length: int = 13) -> DataFrame:
-    """(doc_id, starts): the windows of length words that also start in a document with a smaller doc_id. Documents must
-    differ in doc_id; those without such a window are not listed."""
+    """docs (doc_id, number, text) to (doc_id, starts): the windows of length words that also start in a document with a smaller
+    doc_id, each as number << PLACES plus its place. Documents without such a window are not listed."""
     spark = docs.sparkSession
     ship(spark)
     tables = Tables(spark)
@@ -122,7 +131,7 @@ def repeated(docs: DataFrame, short: int = 5, length: int = 13) -> DataFrame:
     grams = tables.write(grams.select("gram", "doc_id"))
     ids = tables.write(grams.select("doc_id").distinct())
     named = grams.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
-    texts = semi(docs.select("doc_id", "text"), ids, "doc_id").join(named, "doc_id").select("doc_id", "text", "grams")
+    texts = semi(docs.select("doc_id", "number", "text"), ids, "doc_id").join(named, "doc_id").select("doc_id", "number", "text", "grams")
     leaves = tables.write(texts.mapInArrow(_suffixes(short, length), "p long, q long, doc_id long, pos long"))
     open_ = leaves.filter("p is not null")
     bound = max(GROUP, open_.count() >> MOST_GROUPS)
@@ -144,9 +153,9 @@ def _kept(length: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n, gone, kept, spans = [], [], [], []
-            for t, starts in zip(b.column("text").to_pylist(), b.column("starts"), strict=True):
-                w = words(t)
-                out = covered(len(w), starts.values.to_numpy(), length)
+            for t, number, starts in zip(b.column("text").to_pylist(), b.column("number").to_pylist(), b.column("starts"), strict=True):
+                w, at = words(t), starts.values.to_numpy()
+                out = covered(len(w), at[at >> PLACES == number] & ((1 << PLACES) - 1), length)
                 n.append(len(w))
                 gone.append(int(out.sum()))
                 kept.append(b" ".join([x for x, o in zip(w, out.tolist(), strict=True) if not o]).decode("utf-8", "surrogatepass"))
@@ -157,28 +166,44 @@ def _kept(length: int):
     return run
 
 
+def _numbered(tables: Tables, docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs and rows with number: of an id's different texts each has its own, from 0; where ids are unique, all have 0."""
+    zero = F.lit(0).cast("long").alias("number")
+    again = tables.write(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("a < b").select("doc_id"))
+    if again.isEmpty():
+        return docs.select("doc_id", "text", zero), rows.select("*", zero)
+    texts = semi(rows, again, "doc_id").select("doc_id", "sha").distinct()
+    texts = tables.write(texts.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha")).cast("long") - 1))
+    rows = rows.join(texts, ["doc_id", "sha"], "left").withColumn("number", F.coalesce("number", F.lit(0)))
+    hashed = semi(docs, again, "doc_id").mapInArrow(_hashed, "doc_id long, text string, sha string").join(texts, ["doc_id", "sha"]).select("doc_id", "text", "number")
+    return docs.join(again, "doc_id", "left_anti").select("doc_id", "text", zero).union(hashed), rows.select("doc_id", "n_words", "sha", "number")
+
+
 def deduplicated(docs: DataFrame, length: int = 13, short: int = 5, with_text: bool = True) -> DataFrame:
     """Remove every word covered by a window of length words that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text; other columns are not read. Returns one row for each row of docs: doc_id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space) and, with_text, kept and spans (from, to, from, to, ... in words).
     Windows are judged on the input. Null texts have no words. Rows with a null doc_id neither lose words nor take any from
-    others. doc_id is meant to be unique: of rows that repeat one with the same text each gets the one result, and rows that
-    repeat one with different texts share the positions found in any of them. No documents: no rows.
+    others. Texts are taken whole, however long. Of rows that repeat a doc_id each text is one of that document: it loses what
+    starts in a smaller doc_id, nothing to the other texts of its own, and rows with the same text get the one result. No
+    documents: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = tables.write(docs.mapInArrow(_whole, "doc_id long, n_words long, sha string"))
+    docs, rows = _numbered(tables, docs, rows)
     # texts that repeat a smaller document's word for word go as a whole and need no search
-    firsts = rows.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    rows = tables.write(rows.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)))
-    copies = rows.filter("copy").select("doc_id").distinct()
+    firsts = rows.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    rows = meeting(rows, tables.write(firsts), "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length))
+    rows = tables.write(rows)
+    copies = tables.write(rows.filter("copy").select("doc_id", "number").distinct())
     small = copies.count() <= BROADCAST_ROWS
-    search = docs.filter("doc_id is not null").join(F.broadcast(copies) if small else copies, "doc_id", "left_anti")
+    search = docs.filter("doc_id is not null").join(F.broadcast(copies) if small else copies, ["doc_id", "number"], "left_anti")
     found = tables.write(repeated(search, short, length))
-    hit = semi(docs, found.select("doc_id"), "doc_id").join(found, "doc_id").select("doc_id", "text", "starts")
+    hit = semi(search, found.select("doc_id"), "doc_id").join(found, "doc_id").select("doc_id", "number", "text", "starts")
     cut = hit.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string, spans array<long>")
     sha = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     extra = [F.col("kept"), F.col("spans")] if with_text else []
@@ -189,7 +214,8 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int = 5, with_text: b
     same = rows.filter("not copy").join(found.select("doc_id"), "doc_id", "left_anti")
     if with_text:
         texts = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).alias("kept"))
-        same = same.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.sha2(F.col("kept").cast("binary"), 256) == F.col("sha"))).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), "kept", F.expr("cast(array() as array<long>)").alias("spans"))
+        texts = texts.withColumn("own", F.sha2(F.col("kept").cast("binary"), 256)).dropDuplicates(["id", "own"])
+        same = same.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha"))).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), "kept", F.expr("cast(array() as array<long>)").alias("spans"))
     else:
         same = same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return out.unionByName(same)
