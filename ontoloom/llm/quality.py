@@ -1,8 +1,9 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, calibrated isotonically.
 
 The features approximate a Gaussian kernel over a few dozen statistics of a whole text. Each task sums the normal equations
-of its labelled documents; the sums of all tasks are added up by row, and one small system is solved. Scores are then made
-probabilities by pooling adjacent violators over score bins.
+of its labelled documents by two folds; the sums of all tasks are added up by row, and one small system is solved. Scores
+are then made probabilities by pooling adjacent violators over score bins; for that each document is scored by the system of
+the fold that it is not in, so that calibration sees no score of a row that was learned from.
 """
 
 from __future__ import annotations
@@ -88,19 +89,26 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools]) if pools else np.zeros(0)
 
 
+def solved(a: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights by normal equations with their right side as the last column; the last feature is 1, so it counts the rows."""
+    n = len(a)
+    return np.linalg.solve(a[:, :n] + ridge * np.eye(n) * max(1.0, a[-1, n - 1] / 1000), a[:, n])
+
+
 def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
         x = np.array([statistics(t) for t in b.column("text").to_pylist()], float).reshape(-1, N_STATISTICS)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_STATISTICS), pa.int32()), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("y"), flat], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), flat], ["fold", "y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 200_000, gamma: float = 0.1, ridge: float = 1e-2, seed: int = 2) -> Model:
     """Learn from the documents that have a label 0 or 1.
 
-    most_rows bounds the labelled rows learned from: with more, an even share of them by a hash of the id is taken. Labels of
-    documents that are not there, null labels and null ids are passed over; without any label of a kind every score is 0.5
-    or that of the other kind.
+    most_rows bounds the labelled rows learned from: with more, an even share of them is drawn row by row. Labels of documents
+    that are not there, null labels and null ids are passed over; without any label of a kind every score is 0.5 or that of
+    the other kind. Repeated labels of a document, and rows that repeat a doc_id, each count. Texts are read whole, however
+    long; a null text is an empty one. No documents: nothing is learned.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -108,9 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)")
     n = y.count()
     if n > most_rows:
-        y = y.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(0.97e6 * most_rows / n))
+        y = y.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(2**40)) < int(0.97 * 2**40 * most_rows / n))
+    y = y.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")  # at most most_rows rows
-    rows = tables.write(joined.select("y", "text").mapInArrow(_stats, "y double, x array<double>"))
+    rows = tables.write(joined.select("fold", "y", "text").mapInArrow(_stats, "fold int, y double, x array<double>"))
     moments = rows.select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg("y").alias("y")).orderBy("i").toPandas()
     rng = np.random.default_rng(seed)
     mean, sd = (moments["m"].to_numpy(), moments["s"].to_numpy()) if len(moments) else (np.zeros(N_STATISTICS), np.ones(N_STATISTICS))
@@ -120,23 +129,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
         return model
 
     def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = np.zeros((FEATURES + 1, FEATURES + 2))
+        a = np.zeros((2, FEATURES + 1, FEATURES + 2))
         for pdf in it:
-            if len(pdf):
-                z = model.features(np.stack(pdf["x"].to_numpy()))
-                a += z.T @ np.hstack([z, pdf["y"].to_numpy()[:, None]])
-        yield pd.DataFrame({"i": np.arange(len(a)), "row": list(a)})
-
-    parts = rows.mapInPandas(sums, "i int, row array<double>")
-    added = parts.groupBy("i").applyInPandas(lambda key, pdf: pd.DataFrame({"i": [key[0]], "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]}), "i int, row array<double>").toPandas().sort_values("i")
-    a = np.stack(added["row"].to_numpy())
-    count = a[-1, FEATURES]  # the last feature is 1
-    model.weights = np.linalg.solve(a[:, :-1] + ridge * np.eye(FEATURES + 1) * max(1.0, count / 1000), a[:, -1])
+            for fold, part in pdf.groupby("fold"):
+                z = model.features(np.stack(part["x"].to_numpy()))
+                a[fold] += z.T @ np.hstack([z, part["y"].to_numpy()[:, None]])
+        for fold in (0, 1):
+            yield pd.DataFrame({"fold": fold, "i": np.arange(FEATURES + 1), "row": list(a[fold])})
+
+    parts = rows.mapInPandas(sums, "fold int, i int, row array<double>")
+    added = parts.groupBy("fold", "i").applyInPandas(lambda key, pdf: pd.DataFrame({"fold": [key[0]], "i": [key[1]], "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]}), "fold int, i int, row array<double>")
+    a = np.stack(added.toPandas().sort_values(["fold", "i"])["row"].to_numpy()).reshape(2, FEATURES + 1, FEATURES + 2)
+    model.weights = solved(a.sum(axis=0), ridge)
+    others = np.stack([solved(a[1], ridge), solved(a[0], ridge)], axis=1)  # by fold, what was learned from the other one
 
     def binned(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                s = model.raw(np.stack(pdf["x"].to_numpy()))
+                s = (model.features(np.stack(pdf["x"].to_numpy())) @ others)[np.arange(len(pdf)), pdf["fold"].to_numpy()]
                 yield pd.DataFrame({"bin": np.clip(np.floor((s + 0.5) / 2 * BINS), 0, BINS - 1).astype(int), "s": s, "y": pdf["y"]}).groupby("bin", as_index=False).agg(n=("y", "size"), s=("s", "sum"), y=("y", "sum"))
 
     bins = rows.mapInPandas(binned, "bin int, n long, s double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("y").alias("y")).orderBy("bin").toPandas()
@@ -165,6 +175,7 @@ def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
 
 def classified(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, learned from labels of ids that are not held out (crc32 of the
-    id as text leaves 0 modulo 5). Only texts enter a score."""
+    id as text leaves 0 modulo 5; a null id is not held out). Only texts enter a score; equal texts get equal scores; other
+    columns are not read; no rows: no rows."""
     model = fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
     return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, least).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
