@@ -20,7 +20,7 @@ BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch where the session has Spark's default of 10,000: rows here are whole texts.
 ARROW_ROWS, ARROW_DEFAULT = "1000", "10000"
 
-_shipped: weakref.WeakSet = weakref.WeakSet()
+_archives: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _own_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -29,15 +29,15 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == ARROW_DEFAULT:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
-    if context in _shipped:
+    if context in _archives:
         return
     package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    folder = _archives[context] = tempfile.TemporaryDirectory(prefix="ontoloom-code-")
+    archive = Path(folder.name) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(str(archive))
-    _shipped.add(context)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.TemporaryDirectory(prefix="ontoloom-")
