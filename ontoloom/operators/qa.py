@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,22 +12,27 @@ from pyspark.sql import functions as F
 from ontoloom.operators import graph as ops
 from ontoloom.operators import inherit, terms
 from ontoloom.plans.tables import materialized
-from ontoloom.sources.model import GENUS, Graph
+from ontoloom.sources.model import COEXTENSION, GENUS, Graph, is_positive
 
 MAX_FACTS, MAX_BYTES = 36, 24_576
-#: Wording of questions by task and language.
+#: Members of a set question's domain, and concepts added to that of a count which are in neither set.
+DOMAIN, DISTRACTORS = (3, 24), 2
+SETS = ("intersection", "difference", "count")
+#: Wording of questions by task (of inferences by kind) and language: of a, b and what the property is.
 WORDING = {
-    "parents": {"en": "What is %s directly a kind of?", "ru": "К каким понятиям напрямую относится %s?"},
-    "ancestry": {"en": "Is %s a kind of %s?", "ru": "Является ли %s видом %s?"},
-    "shared_genus": {"en": "Which direct genus do %s and %s share?", "ru": "Какой общий род у %s и %s?"},
-    "property": {"en": "Does %s have action %s?", "ru": "Присуще ли %s действие %s?"},
-    "count": {"en": "How many members have both %s and %s?", "ru": "Сколько общих членов у %s и %s?"},
+    "parents": {"en": "What is %1$s directly a kind of?", "ru": "К каким понятиям напрямую относится %1$s?"},
+    "ancestry": {"en": "Is %1$s a kind of %2$s?", "ru": "Является ли %1$s видом %2$s?"},
+    "shared_genus": {"en": "Which direct genus do %1$s and %2$s share?", "ru": "Какой общий род у %1$s и %2$s?"},
+    "property": {"en": "By these facts, does %1$s stand in relation %3$s (positive, negative, conflict or unknown)?", "ru": "Состоит ли %1$s по этим фактам в отношении %3$s (positive, negative, conflict или unknown)?"},
+    "intersection": {"en": "Of the concepts listed, which are in both %1$s and %2$s?", "ru": "Какие из перечисленных понятий входят и в %1$s, и в %2$s?"},
+    "difference": {"en": "Of the concepts listed, which are in %1$s and not in %2$s?", "ru": "Какие из перечисленных понятий входят в %1$s, но не в %2$s?"},
+    "count": {"en": "How many of the concepts listed are in %1$s or in %2$s?", "ru": "Сколько из перечисленных понятий входит в %1$s или в %2$s?"},
+    "siblings_disjoint": {"en": "%1$s and %2$s are kinds of one thing. Does it follow that nothing is both?", "ru": "%1$s и %2$s одного рода. Следует ли, что ничто не бывает и тем и другим?"},
+    "shared_membership": {"en": "Does it follow that %1$s and %2$s are kinds of one thing?", "ru": "Следует ли, что %1$s и %2$s одного рода?"},
+    "reverse_genus": {"en": "%1$s is a kind of %2$s. Does it follow that %2$s is a kind of %1$s?", "ru": "%1$s есть вид %2$s. Следует ли, что %2$s есть вид %1$s?"},
 }
-
-
-def seeded(seed: int, *cols: str):
-    """Order that depends on the seed and the record alone."""
-    return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in cols]).cast("binary"), 256)
+#: Functions of the set language by the state that they select.
+STATE_CALLS = {"positive": "has", "negative": "lacks", "unknown": "unknown", "conflict": "conflicts"}
 
 
 def _facts(g: Graph, context: int) -> DataFrame:
@@ -84,74 +90,224 @@ def grounded(g: Graph, seeds: DataFrame, context: int = 1, most: int = MAX_FACTS
     return f.agg(F.array_sort(F.collect_list(F.struct("edge", "subject", "target"))).alias("facts")).filter(F.size("facts") <= most)
 
 
+def inference_pool(g: Graph, seed: int, context: int = 1) -> DataFrame:
+    """(a, b, genus, kind, answer): what follows from genus facts and what does not. Siblings are of one kind, but need not be apart;
+    a genus need not be a kind of its species (pairs that reach each other are left out)."""
+    third = F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(3)) == 0
+    sib = shared_genus_pool(g, context, 1).withColumn("kind", F.when(third, "shared_membership").otherwise("siblings_disjoint"))
+    sib = sib.select("a", "b", "genus", "kind", F.when(third, "entailed").otherwise("not_entailed").alias("answer"))
+    up = _facts(g, context).select(F.col("subject").alias("a"), F.col("target").alias("b")).distinct().filter(F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(2)) == 0)
+    back = ops.closure(g, context).select(F.col("ancestor").alias("a"), F.col("descendant").alias("b"))
+    one_way = up.join(back, ["a", "b"], "left_anti")
+    return sib.union(one_way.select("a", "b", F.lit(None).cast("long"), F.lit("reverse_genus"), F.lit("not_entailed")))
+
+
+def states_pool(g: Graph, context: int = 1, children: int = 5) -> DataFrame:
+    """(a, code, target, state, edge): for each property that is stated anywhere its owners, their first children and their parents;
+    edge is the least statement that brought the concept in."""
+    own = inherit.assertions(g, context).select("owner", "code", "target", "edge")
+    e = _facts(g, context).select("subject", F.col("target").alias("genus"))
+    first = e.withColumn("k", F.row_number().over(Window.partitionBy("genus").orderBy("subject"))).filter(F.col("k") <= children)
+    kids = own.join(first.select(F.col("genus").alias("owner"), F.col("subject").alias("a")), "owner")
+    up = own.join(e.select(F.col("subject").alias("owner"), F.col("genus").alias("a")), "owner")
+    near = own.withColumn("a", F.col("owner")).select("a", "code", "target", "edge").union(kids.select("a", "code", "target", "edge")).union(up.select("a", "code", "target", "edge"))
+    near = materialized(near.groupBy("a", "code", "target").agg(F.min("edge").alias("edge")))
+    left = inherit.applicable(g, inherit.assertions(g, context), context, near.select(F.col("a").alias("id")).distinct()).filter("not overridden")
+    held = left.groupBy(F.col("subject").alias("a"), "code", "target").agg(F.bool_or(is_positive()).alias("p"), F.bool_or(~is_positive()).alias("n"))
+    state = F.when(F.col("p") & F.col("n"), "conflict").when(F.col("p"), "positive").when(F.col("n"), "negative").otherwise("unknown")
+    return near.join(held, ["a", "code", "target"], "left").select("a", "code", "target", state.alias("state"), "edge")
+
+
+def pair_pool(g: Graph, context: int = 1) -> DataFrame:
+    """(a, b): siblings, and genera of one concept, whose own extents are no larger than a domain may be."""
+    e = _facts(g, context).select("subject", "target").distinct()
+    parents = e.toDF("s", "a").join(e.toDF("s", "b"), "s").filter("a < b").select("a", "b")
+    sib = shared_genus_pool(g, context, 1).select("a", "b")
+    small = ops.closure(g, context).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") <= DOMAIN[1]).select("id")
+    return sib.union(parents).distinct().join(small.toDF("a"), "a", "left_semi").join(small.toDF("b"), "b", "left_semi").select("a", "b")
+
+
+def domains(g: Graph, pairs: DataFrame, context: int = 1) -> DataFrame:
+    """pairs (a, b) to (a, b, both, left, domain, outside): the members of both extents, of the first alone, of either, and the first
+    concepts above a or b that are in neither; pairs whose domain is too small or too large are left out."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ext = materialized(ops.extents(g, ends, context).join(g.concept.select("id"), "id", "left_semi").select("seed", "id"))
+    flag = lambda c: pairs.join(ext.toDF(c, "id"), c).select("a", "b", "id", F.lit(c).alias("side"))
+    each = flag("a").union(flag("b")).groupBy("a", "b", "id").agg(F.collect_set("side").alias("sides"))
+    held = each.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("id", F.array_contains("sides", "a").alias("x"), F.array_contains("sides", "b").alias("y")))).alias("m"))
+    ids = lambda keep: F.transform(F.filter("m", keep), lambda r: r["id"])
+    held = held.select("a", "b", ids(lambda r: r["x"] & r["y"]).alias("both"), ids(lambda r: r["x"] & ~r["y"]).alias("left"), ids(lambda r: F.lit(True)).alias("domain"))
+    held = materialized(held.filter(F.size("domain").between(*DOMAIN)))
+    above = ops.closure(g, context).toDF("low", "id").join(ends.toDF("low"), "low", "left_semi")
+    up = held.select("a", "b", F.explode(F.array("a", "b")).alias("low"), "domain").join(above, "low").filter(~F.array_contains("domain", F.col("id")))
+    outside = up.groupBy("a", "b").agg(F.slice(F.array_sort(F.collect_set("id")), 1, DISTRACTORS).alias("outside"))
+    return held.join(outside, ["a", "b"], "left").withColumn("outside", F.coalesce("outside", F.expr("cast(array() as array<long>)")))
+
+
+def _domain_facts(g: Graph, asked: DataFrame, context: int) -> DataFrame:
+    """asked (id, domain) to (id, facts): genus and coextension links at and above the domain."""
+    m = materialized(asked.select("id", F.explode("domain").alias("seed")))
+    same = g.code(context, COEXTENSION).select("subject", "target")
+    step = g.code(context, GENUS).select("subject", "target").union(same).union(same.select("target", "subject")).toDF("a", "b").distinct()
+    up = ops.reach(step, m.select("seed", F.col("seed").alias("node")).distinct()).select("seed", "node")
+    e = g.scope(context).filter(F.col("code").isin(GENUS, COEXTENSION))
+    ends = e.withColumn("node", F.explode(F.expr(f"if(code = '{COEXTENSION}', array(subject, target), array(subject))")))
+    hit = m.join(up, "seed").select(F.col("id").alias("rid"), "node").distinct().join(ends.withColumnRenamed("id", "edge"), "node")
+    return hit.groupBy(F.col("rid").alias("id")).agg(F.array_sort(F.collect_set(F.struct("edge", "subject", "code", "target", "strength"))).alias("facts"))
+
+
 def solved(records: DataFrame) -> DataFrame:
-    """records (id, task, a, b, facts) to (id, answer), from the facts alone and by other means than the operators above: each
-    record's few facts are walked as a dictionary."""
-
-    def one(task: str, a: int, b: int, facts: list) -> str:
-        up = defaultdict(set)
-        for f in facts:
-            up[f["subject"]].add(f["target"])
-        if task == "parents":
-            return ",".join(map(str, sorted(up[a])))
-        if task == "shared_genus":
-            return ",".join(map(str, sorted(up[a] & up[b])))
-        seen, todo = set(), [a]
+    """records (id, task, a, b, code, target, kind, domain, facts) to (id, answer), from the facts alone and by other means than the
+    operators above: each record's few facts are walked as a dictionary."""
+
+    def above(x: int, up: dict) -> set:
+        seen, todo = {x}, [x]
         while todo:
-            for x in up[todo.pop()] - seen:
-                seen.add(x)
-                todo.append(x)
-        return "yes" if b in seen else "no"
+            for y in up[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    def one(r) -> str:
+        genus, sets = defaultdict(set), defaultdict(set)
+        for f in r.facts:
+            if f["strength"] == 0:
+                continue
+            if f["code"] == GENUS:
+                genus[f["subject"]].add(f["target"])
+                sets[f["subject"]].add(f["target"])
+            elif f["code"] == COEXTENSION:
+                sets[f["subject"]].add(f["target"])
+                sets[f["target"]].add(f["subject"])
+        listed = lambda ids: ",".join(map(str, sorted(ids)))
+        if r.task == "parents":
+            return listed(genus[r.a])
+        if r.task == "shared_genus":
+            return listed(genus[r.a] & genus[r.b])
+        if r.task == "ancestry":
+            return "yes" if r.b in above(r.a, genus) else "no"
+        if r.task in SETS:
+            a, b = ({i for i in r.domain if end in above(i, sets)} for end in (r.a, r.b))
+            return listed(a & b) if r.task == "intersection" else listed(a - b) if r.task == "difference" else str(len(a | b))
+        if r.task == "property":
+            said = [f for f in r.facts if f["code"] == r.code and f["target"] == r.target and f["subject"] in above(r.a, genus)]
+            own = {f["subject"] for f in said}
+            last = {x for x in own if not any(x in above(y, genus) and y not in above(x, genus) for y in own)}
+            signs = {f["strength"] != 0 for f in said if f["subject"] in last}
+            return "unknown" if not signs else "conflict" if len(signs) == 2 else "positive" if True in signs else "negative"
+        shared = bool(genus[r.a] & genus[r.b])
+        if r.kind == "reverse_genus":
+            return "not_entailed" if r.b in genus[r.a] and r.a not in above(r.b, genus) else "unsound"
+        return "unsound" if not shared else "entailed" if r.kind == "shared_membership" else "not_entailed"
 
     def run(it):
         for pdf in it:
-            yield pd.DataFrame({"id": pdf["id"], "answer": [one(t, a, b, list(f)) for t, a, b, f in zip(pdf["task"], pdf["a"], pdf["b"], pdf["facts"], strict=True)]})
+            yield pd.DataFrame({"id": pdf["id"], "answer": [one(r) for r in pdf.itertuples()]})
 
-    return records.select("id", "task", "a", F.coalesce("b", "a").alias("b"), "facts").mapInPandas(run, "id string, answer string")
+    lone = F.coalesce("b", F.lit(0)).alias("b")
+    return records.select("id", "task", "a", lone, "code", F.coalesce("target", F.lit(0)).alias("target"), "kind", "domain", "facts").mapInPandas(run, "id string, answer string")
 
 
-def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en") -> DataFrame:
-    """(id, group_id, task, a, b, question, answer, facts, messages): count records, tasks in turn, order by the seed; every
-    record's answer is found again by solved(), records over the byte limit or with a repeated question go."""
-    name = terms.display(g, lang)
-    none = F.lit(None).cast("long")
-    pool = parents_pool(g, context).select(F.lit("parents").alias("task"), "a", none.alias("b"), F.col("expected").alias("answer"))
-    # every other pair is asked the wrong way round; of pairs that reach each other solved() drops that question
-    turned = F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(2)) == 0
-    pool = pool.union(ancestry_pool(g, context).select(F.lit("ancestry"), F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b")), F.when(turned, "no").otherwise("yes")))
+def pools(g: Graph, seed: int, context: int = 1) -> DataFrame:
+    """All candidates in eleven pools; answers of set questions are found once their domains are."""
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    row = lambda df, pool, task, a, b, code, target, kind, extra, answer: df.select(pool.alias("pool"), F.lit(task).alias("task"), a, b, code, target, kind, extra, answer).toDF("pool", "task", "a", "b", "code", "target", "kind", "extra", "answer")
+    c = F.col
+    turned = F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(2)) == 0  # every other pair is asked the wrong way round
     genera = _facts(g, context)
     shared = shared_genus_pool(g, context, 1).select("a", "b").distinct()
-    both = shared.join(genera.select(F.col("subject").alias("a"), "target"), "a").join(genera.select(F.col("subject").alias("b"), "target"), ["b", "target"])
-    pool = pool.union(both.groupBy("a", "b").agg(F.array_sort(F.collect_set("target")).alias("t")).select(F.lit("shared_genus"), "a", "b", ops.joined_ids("t")))
-    order = seeded(seed, "task", "a", "b")
-    k = F.row_number().over(Window.partitionBy("task").orderBy("order"))
-    # the first of each task in seeded order: Spark keeps so many rows a task before the shuffle
-    picked = pool.withColumn("order", order).withColumn("k", k).filter(F.col("k") <= 2 * count)
-    ends = materialized(picked)
-    ground = grounded(g, ends.select("a").union(ends.select("b").filter("b is not null")), context)
-    r = ends.join(ground, "a").join(ground.toDF("b", "fb"), "b", "left").filter("b is null or task = 'ancestry' or fb is not null")
-    r = r.withColumn("facts", F.when(F.col("task") == "shared_genus", F.array_sort(F.array_union("facts", "fb"))).otherwise(F.col("facts"))).drop("fb").filter(F.size("facts") <= MAX_FACTS)
-    r = r.withColumn("id", F.sha2(F.concat_ws("|", "task", "a", "b").cast("binary"), 256)).withColumn("group_id", F.sha2(F.concat_ws("|", F.lit(context), "a").cast("binary"), 256))
-    r = r.join(name.toDF("a", "na"), "a").join(name.toDF("b", "nb"), "b", "left")
-    question = F.when(F.col("task") == "parents", F.format_string(WORDING["parents"][lang], F.col("na")))
-    for task in ("ancestry", "shared_genus"):
-        question = question.when(F.col("task") == task, F.format_string(WORDING[task][lang], F.col("na"), F.col("nb")))
-    r = r.withColumn("question", question)
+    both = shared.join(genera.select(c("subject").alias("a"), "target"), "a").join(genera.select(c("subject").alias("b"), "target"), ["b", "target"])
+    both = both.groupBy("a", "b").agg(ops.joined_ids(F.array_sort(F.collect_set("target"))).alias("t"))
+    out = [
+        row(parents_pool(g, context), F.lit("parents"), "parents", c("a"), none, text, none, text, none, c("expected")),
+        row(ancestry_pool(g, context), F.lit("ancestry"), "ancestry", F.when(turned, c("b")).otherwise(c("a")), F.when(turned, c("a")).otherwise(c("b")), text, none, text, none, F.when(turned, "no").otherwise("yes")),
+        row(both, F.lit("shared_genus"), "shared_genus", c("a"), c("b"), text, none, text, none, c("t")),
+        row(inference_pool(g, seed, context), F.lit("inference"), "inference", c("a"), c("b"), text, c("genus"), c("kind"), none, c("answer")),
+        row(states_pool(g, context), F.concat(F.lit("property_"), c("state")), "property", c("a"), none, c("code"), c("target"), text, F.when(c("state") == "unknown", c("edge")), c("state")),
+    ]
+    pairs = materialized(pair_pool(g, context))
+    out += [row(pairs, F.lit(task), task, c("a"), c("b"), text, none, text, none, text) for task in SETS]
+    return reduce(DataFrame.union, out)
+
+
+def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en") -> DataFrame:
+    """(id, group_id, task, a, b, code, target, kind, domain, question, answer, algebra, facts, messages): count records, pools in
+    turn, each in an order that the seed gives; every record's answer is found again by solved(), records over the limits of
+    facts and bytes or with a repeated question go. algebra is an expression that gives the answer, where there is one."""
+    key = ("task", "a", "b", "code", "target", "kind")
+    order = F.sha2(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).cast("binary"), 256)
+    k = F.row_number().over(Window.partitionBy("pool").orderBy("order"))
+    # the first of each pool in seeded order: Spark keeps so many rows a pool before the shuffle
+    picked = materialized(pools(g, seed, context).withColumn("order", order).withColumn("k", k).filter(F.col("k") <= 2 * count).drop("k"))
+    picked = picked.withColumn("id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key]).cast("binary"), 256))
+    nothing = F.expr("cast(array() as array<long>)")
+    sets = picked.filter(F.col("task").isin(*SETS)).drop("answer").join(domains(g, picked.filter(F.col("task").isin(*SETS)).select("a", "b").distinct(), context), ["a", "b"])
+    listed = F.when(F.col("task") == "intersection", ops.joined_ids("both")).when(F.col("task") == "difference", ops.joined_ids("left")).otherwise(F.size("domain").cast("string"))
+    wide = F.when(F.col("task") == "count", F.concat("domain", "outside")).otherwise(F.col("domain"))
+    sets = sets.withColumn("answer", listed).withColumn("empty", (F.col("task") == "intersection") & (F.size("both") == 0))
+    sets = sets.filter((F.col("task") != "count") | (F.size("outside") > 0)).withColumn("domain", F.array_sort(wide)).filter(F.size("domain") <= DOMAIN[1])
+    cols = ["id", "pool", "order", *key, "extra", "answer", "domain", "empty"]
+    sets = materialized(sets.select(*cols))
+    rest = picked.filter(~F.col("task").isin(*SETS)).withColumn("domain", nothing).withColumn("empty", F.lit(False)).select(*cols)
+
+    # facts: of set questions those above the domain, of inferences the links themselves, of others those above a and b
+    edge = g.scope(context, positive=False).select(F.struct(F.col("id").alias("edge"), "subject", "code", "target", "strength").alias("f"), "id", "subject", "code", "target")
+    genus = g.code(context, GENUS).select(F.struct(F.col("id").alias("edge"), "subject", "code", "target", "strength").alias("f"), "subject", "target")
+    ends = rest.select("id", F.explode(F.array_compact(F.array("a", "b"))).alias("low"), "task", "kind", "target", "b")
+    up = ops.closure(g, context).toDF("low", "node")
+    wider = ends.filter("task <> 'inference'").join(up, "low").join(genus.select("f", F.col("subject").alias("node")), "node").select("id", "f")
+    links = ends.filter("task = 'inference'").join(genus.toDF("f", "low", "high"), "low").filter("high = if(kind = 'reverse_genus', b, target)").select("id", "f")
+    asked = rest.filter("task = 'property'").select("id", "a", "code", F.col("target"), "extra")
+    stated = asked.join(up.toDF("a", "subject"), "a").join(edge.drop("id"), ["subject", "code", "target"]).select("id", "f")
+    far = asked.filter("extra is not null").select(F.col("id").alias("rid"), F.col("extra").alias("id")).join(edge, "id").select("rid", "f", "subject")
+    near = far.join(genus.toDF("g", "subject", "t"), "subject").select("rid", F.col("g").alias("f"))
+    gathered = wider.union(links).union(stated).union(far.select("rid", "f")).union(near).groupBy("id").agg(F.array_sort(F.collect_set("f")).alias("facts"))
+    gathered = gathered.union(_domain_facts(g, sets.select("id", "domain"), context)).filter(F.size("facts").between(1, MAX_FACTS))
+    r = materialized(rest.union(sets).join(gathered, "id"))
+
+    name = terms.display(g, lang)
+    names = name.withColumnRenamed("label", "name")
+    r = r.join(names.toDF("a", "na"), "a").join(names.toDF("b", "nb"), "b", "left").join(names.toDF("target", "nt"), "target", "left")
+    r = r.withColumn("group_id", F.sha2(F.concat_ws("|", F.lit(context), "a").cast("binary"), 256))
+    shape, question = F.coalesce("kind", "task"), F.lit(None).cast("string")
+    what = F.concat_ws(" ", "code", "nt")
+    for form, words in WORDING.items():
+        question = F.when(shape == form, F.format_string(words[lang], F.col("na"), F.coalesce("nb", F.lit("")), what)).otherwise(question)
+    of = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
+    state = F.create_map(*[F.lit(x) for k, v in STATE_CALLS.items() for x in (k, v)])[F.col("answer")]
+    algebra = F.when(F.col("task") == "parents", F.concat(F.lit("parents(exact("), of("a"), F.lit("))"))).when(F.col("task") == "ancestry", F.concat(F.lit("exact("), of("a"), F.lit(") & "), of("b")))
+    algebra = algebra.when(F.col("task") == "shared_genus", F.concat(F.lit("parents(exact("), of("a"), F.lit(")) & parents(exact("), of("b"), F.lit("))")))
+    algebra = algebra.when(F.col("task") == "intersection", F.concat(of("a"), F.lit(" & "), of("b"))).when(F.col("task") == "difference", F.concat(of("a"), F.lit(" - "), of("b")))
+    algebra = algebra.when(F.col("task") == "count", F.concat(F.lit("count("), of("a"), F.lit(" | "), of("b"), F.lit(")"))).when(F.col("task") == "property", F.concat(state, F.lit("("), "code", F.lit(", "), of("target"), F.lit(")")))
+    r = r.withColumn("question", question).withColumn("algebra", algebra)
     r = r.join(solved(r).withColumnRenamed("answer", "again"), "id").filter("answer = again")
-    messages = F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", F.lit("Answer from the facts.")), ("user", F.col("question")), ("assistant", F.col("answer")))])
+    user = F.concat_ws("\n", F.col("question"), F.when(F.size("domain") > 0, F.concat(F.lit("Concepts: "), ops.joined_ids("domain"))))
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", F.lit("Answer from the facts.")), ("user", user), ("assistant", F.col("answer")))])
     r = r.withColumn("messages", messages).filter(F.octet_length(F.to_json(F.struct("messages", "facts"))) <= MAX_BYTES)
-    r = r.withColumn("q", F.row_number().over(Window.partitionBy("question").orderBy("k", "task", "id"))).filter("q = 1")
-    turn = F.row_number().over(Window.partitionBy("task").orderBy("order"))
-    return r.withColumn("turn", turn).orderBy("turn", "task").limit(count).select("id", "group_id", "task", "a", "b", "question", "answer", "facts", "messages")
+    r = materialized(r.withColumn("q", F.row_number().over(Window.partitionBy("question", "domain").orderBy("order", "id"))).filter("q = 1").drop("q"))
+    # empty and witnessed intersections alternate, and so do the pools
+    place = F.row_number().over(Window.partitionBy("pool", "empty").orderBy("order"))
+    turn = F.row_number().over(Window.partitionBy("pool").orderBy("place", F.desc("empty")))
+    chosen = r.withColumn("place", place).withColumn("turn", turn).orderBy("turn", "pool").limit(count)
+    return chosen.select("id", "group_id", *key, "domain", "question", "answer", "algebra", "facts", "messages")
 
 
 def verified(g: Graph, made: DataFrame, context: int = 1) -> DataFrame:
-    """(id, errors): each record held against the graph: unknown facts, facts left out, a wrong answer."""
-    f = made.select("id", "a", F.explode("facts").alias("f")).select("id", "a", "f.*")
-    known = _facts(g, context)
-    bad = f.join(known, ["edge", "subject", "target"], "left_anti").select("id", F.lit("fact").alias("error"))
-    full = grounded(g, made.select("a"), context).select("a", F.explode("facts").alias("f")).select("a", "f.edge")
-    left_out = made.select("id", "a").join(full, "a").join(f.select("id", "edge"), ["id", "edge"], "left_anti").select("id", F.lit("missing").alias("error"))
+    """(id, errors): each record held against the graph: unknown facts, genus facts above a left out, a wrong answer, a question or
+    answer that the messages do not hold."""
+    f = made.select(F.col("id").alias("rid"), F.explode("facts").alias("f")).select("rid", "f.*")
+    known = g.scope(context, positive=False).select(F.col("id").alias("edge"), "subject", "code", "target", F.coalesce("strength", F.lit(-1)).alias("strength"))
+    bad = f.withColumn("strength", F.coalesce("strength", F.lit(-1))).join(known, ["edge", "subject", "code", "target", "strength"], "left_anti").select(F.col("rid").alias("id"), F.lit("fact").alias("error"))
+    whole = made.filter("task <> 'inference'").select(F.col("id").alias("rid"), F.col("a").alias("descendant"))
+    full = whole.join(ops.closure(g, context), "descendant").join(_facts(g, context), F.col("ancestor") == F.col("subject")).select("rid", "edge").distinct()
+    left_out = full.join(f.select("rid", "edge"), ["rid", "edge"], "left_anti").select(F.col("rid").alias("id"), F.lit("missing").alias("error"))
     wrong = made.join(solved(made).toDF("id", "again"), "id").filter("answer <> again").select("id", F.lit("answer").alias("error"))
-    e = bad.union(left_out).union(wrong).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("error")), ",").alias("errors"))
+    said = made.filter((F.col("messages")[2]["content"] != F.col("answer")) | ~F.col("messages")[1]["content"].startswith(F.col("question"))).select("id", F.lit("wording").alias("error"))
+    e = bad.union(left_out).union(wrong).union(said).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("error")), ",").alias("errors"))
     return made.select("id").join(e, "id", "left").select("id", F.coalesce("errors", F.lit("")).alias("errors"))
+
+
+def report(made: DataFrame) -> DataFrame:
+    """(task, answer, records): how many records of each task, by state or verdict where the answer is one; empty sets apart."""
+    word = F.when(F.col("task").isin("property", "inference", "ancestry"), F.col("answer")).when(F.col("answer") == "", "empty").otherwise("")
+    return made.groupBy("task", word.alias("answer")).agg(F.count("*").alias("records"))

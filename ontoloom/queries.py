@@ -951,6 +951,18 @@ def qa_count(g: Graph) -> DataFrame:
     return qa.count_pool(g, a.join(b, F.lit(True)))  # five by three
 
 
+@query("SELECT a.subject AS a, a.code, a.target, coalesce(t.state, 'unknown') AS state FROM nr a LEFT JOIN st2 t ON t.subject = a.subject AND t.code = a.code AND t.target = a.target",
+    more="""asr AS (SELECT subject AS owner, code, target, strength, id FROM ok1 WHERE code IN ('15','20','21','22','23','24','25','26','27')),
+      kd AS (SELECT subject, target AS genus FROM (SELECT subject, target, row_number() OVER (PARTITION BY target ORDER BY subject) AS k FROM g14) WHERE k <= 5),
+      nr AS (SELECT owner AS subject, code, target FROM asr UNION SELECT kd.subject, code, asr.target FROM asr JOIN kd ON kd.genus = owner UNION SELECT g.target, code, asr.target FROM asr JOIN g14 g ON g.subject = owner),
+      ap2 AS (SELECT n.subject, n.code, n.target, a.owner, a.strength FROM nr n JOIN clo c ON c.descendant = n.subject JOIN asr a ON a.owner = c.ancestor AND a.code = n.code AND a.target = n.target),
+      ef2 AS (SELECT * FROM ap2 x WHERE NOT EXISTS (SELECT 1 FROM ap2 y JOIN up u ON u.descendant = y.owner AND u.ancestor = x.owner WHERE y.subject = x.subject AND y.code = x.code AND y.target = x.target AND NOT EXISTS (SELECT 1 FROM up r WHERE r.descendant = x.owner AND r.ancestor = y.owner))),
+      st2 AS (SELECT subject, code, target, CASE WHEN bool_or(strength = 0) AND bool_or(strength IS NULL OR strength > 0) THEN 'conflict' WHEN bool_or(strength = 0) THEN 'negative' ELSE 'positive' END AS state FROM ef2 GROUP BY subject, code, target)""",
+)
+def qa_states(g: Graph) -> DataFrame:
+    return qa.states_pool(g).select("a", "code", "target", "state")
+
+
 @query()
 def qa_messages(g: Graph) -> DataFrame:
     """A batch of records as chat messages."""
@@ -961,3 +973,9 @@ def qa_messages(g: Graph) -> DataFrame:
 def qa_verified(g: Graph) -> DataFrame:
     """The records held against the graph: every one must be without errors."""
     return qa.verified(g, qa.records(g, seed=42, count=200))
+
+
+@query()
+def qa_report(g: Graph) -> DataFrame:
+    """What a batch of records holds."""
+    return qa.report(qa.records(g, seed=42, count=200))
