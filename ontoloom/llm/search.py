@@ -177,13 +177,19 @@ def bundled(tables: Tables, members: DataFrame) -> DataFrame:
 
 def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
     """members (bundle, key, label) and texts (key, text, size) to links (u, v) that connect all keys of a bundle which similar sets
-    connect. A bundle's members are cut into blocks; a task holds two blocks at a time."""
-    sized = meeting(members, texts.select("key", "size"), "key")
-    blocks = tables.write(sized.groupBy("bundle").agg(F.ceil(F.sum("size") / BLOCK_CHARS).cast("int").alias("blocks")))
-    dealt = meeting(members, blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = dealt.withColumn("other", other).select("bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label")
+    connect. Members outside a bundle's most frequent label are cut into blocks that meet each other and the blocks of that
+    label's members, which need not meet among themselves; a task holds two blocks at a time."""
+    most = members.groupBy("bundle", "label").agg(F.count("*").alias("n")).groupBy("bundle").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    sized = meeting(meeting(members, tables.write(texts.select("key", "size")), "key"), tables.write(most), "bundle").withColumn("out", F.col("label") != F.col("main"))
+    sized = tables.write(sized.select("bundle", "key", "label", "size", "out"))
+    many = lambda own, chars: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("size"))) / chars)).cast("int")
+    blocks = sized.groupBy("bundle").agg(many(F.col("out"), BLOCK_CHARS).alias("few"), many(~F.col("out"), 4 * BLOCK_CHARS).alias("rest"))
+    dealt = meeting(sized, tables.write(blocks), "bundle").withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("out"), F.col("few")).otherwise(F.col("rest"))).cast("int"))
+    outside = "concat(transform(sequence(0, few - 1), k -> struct(least(own, k) as i, greatest(own, k) as j)), transform(sequence(0, rest - 1), k -> struct(own as i, few + k as j)))"
+    inside = "transform(sequence(0, few - 1), k -> struct(k as i, few + own as j))"
+    rows = dealt.withColumn("at", F.explode(F.expr(f"if(out, {outside}, {inside})"))).select("bundle", "at.i", "at.j", F.expr("if(out, own, few + own)").alias("block"), "key", "label")
     rows = tables.write(rows)
+    tables.drop(sized)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(it, 3):
@@ -198,5 +204,5 @@ def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_set: T
 
     sent = with_texts(rows, texts).repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "key")
     out = tables.write(sent.select("bundle", "i", "j", "block", "key", "label", "text").mapInArrow(run, "u long, v long"))
-    tables.drop(rows, blocks)
+    tables.drop(rows)
     return out
