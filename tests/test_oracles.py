@@ -60,7 +60,7 @@ def test_records_of_every_family(spark):
     from ontoloom.sources.derive import derived
 
     g = derived(spark, SF)
-    made = materialized(qa.records(g, 42, 120))
+    made = materialized(qa.records(g, 42, 200))
     rows = made.collect()
     assert {r["task"] for r in rows} == {"parents", "ancestry", "shared_genus", "inference", "intersection", "difference", "count", "property"}
     assert {r["answer"] for r in rows if r["task"] == "property"} >= {"positive", "negative", "unknown"}
