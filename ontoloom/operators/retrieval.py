@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text
 from ontoloom.operators import graph as ops
 from ontoloom.operators import terms
+from ontoloom.plans.tables import materialized
 from ontoloom.sources.model import Graph
 
 
@@ -26,6 +29,32 @@ def found_concepts(g: Graph, questions: DataFrame, most: int = 8) -> DataFrame:
     return hit.withColumn("k", k).filter(F.col("k") <= most).select("qid", "id", (-F.col("m.w")).alias("words"), F.col("m.place").cast("long").alias("place"))
 
 
+def asked(g: Graph, questions: DataFrame, most: int = 8) -> DataFrame:
+    """questions (qid, question) to (qid, id, words, place): the concepts that a question is about.
+
+    Its runs of 3, 2 and 1 words are looked up in the question's language, then in any: as they are, and where that finds
+    nothing by near words. Of what is found the largest group of linked concepts stays; of that the first, long runs first."""
+    w = questions.select("qid", text.guessed_language(F.col("question")).alias("lang"), text.asked_words(F.col("question")).alias("w"))
+    grams = reduce(DataFrame.union, [w.select("qid", "lang", F.lit(n).cast("long").alias("words"), F.posexplode(text.ngrams(F.col("w"), n)).alias("place", "phrase")) for n in (3, 2, 1)])
+    phrases = materialized(grams.select("lang", "words", "phrase").distinct())
+    hits = []
+    for lang in ("en", "ru"):
+        own = phrases.filter(F.col("lang") == lang)
+        for rank, within in ((0, lang), (2, None)):
+            many, one = own.filter("words > 1").select("phrase").distinct(), own.filter("words = 1").select(F.col("phrase").alias("word")).distinct()
+            exact = terms.resolve_all(g, many.withColumnRenamed("phrase", "term"), within).select(F.col("term").alias("phrase"), "id", F.lit(rank).alias("tier"))
+            near = terms.fuzzy_phrases(g, many, within).select("phrase", "id", F.lit(rank + 1).alias("tier"))
+            single = terms.fuzzy(g, one, within).select(F.col("word").alias("phrase"), "id", F.lit(rank).alias("tier"))
+            hits += [h.withColumn("lang", F.lit(lang)) for h in (exact, near, single)]
+    hit = materialized(reduce(DataFrame.unionByName, hits))
+    best = hit.groupBy("lang", "phrase").agg(F.min("tier").alias("tier"))
+    found = grams.join(hit.join(best, ["lang", "phrase", "tier"]), ["lang", "phrase"]).groupBy("qid", "id").agg(F.min(F.struct((-F.col("words")).alias("w"), "place")).alias("m"))
+    found = materialized(found)
+    k = F.row_number().over(Window.partitionBy("qid").orderBy("m", "id"))
+    kept = found.join(connected(g, found.select("qid", "id")), ["qid", "id"], "left_semi").withColumn("k", k).filter(F.col("k") <= most)
+    return kept.select("qid", "id", (-F.col("m.w")).alias("words"), F.col("m.place").cast("long").alias("place"))
+
+
 def connected(g: Graph, found: DataFrame) -> DataFrame:
     """(qid, id): of each question's concepts the largest group that is linked directly or through one neighbour; all, if no two are."""
     f = found.select("qid", "id")
@@ -62,10 +91,13 @@ def related(g: Graph, found: DataFrame, most: int = 10) -> DataFrame:
 
 
 def prompts(g: Graph, questions: DataFrame) -> DataFrame:
-    """(qid, prompt): the question with what is known about its concepts."""
-    f = found_concepts(g, questions)
+    """(qid, prompt): the question with what is known about its concepts, and the names of concepts related to them."""
+    f = materialized(found_concepts(g, questions))
     known = f.join(facts(g, f), "id").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "fact"))), lambda x: x["fact"]), "\n").alias("known"))
-    return questions.join(known, "qid", "left").select("qid", F.concat_ws("\n", F.concat(F.lit("Known:\n"), "known"), F.concat(F.lit("Question: "), "question")).alias("prompt"))
+    near = related(g, f).join(g.concept.select("id", "name"), "id")
+    near = near.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("links")).alias("l"), "id", "name"))), lambda x: x["name"]), ", ").alias("near"))
+    both = questions.join(known, "qid", "left").join(near, "qid", "left")
+    return both.select("qid", F.concat_ws("\n", F.concat(F.lit("Known:\n"), "known"), F.concat(F.lit("Related: "), "near"), F.concat(F.lit("Question: "), "question")).alias("prompt"))
 
 
 def page_text(html: str = "html") -> Column:

@@ -693,6 +693,12 @@ def grounded_prompts(g: Graph) -> DataFrame:
     return retrieval.prompts(g, _questions(g))
 
 
+@query()
+def asked_concepts(g: Graph) -> DataFrame:
+    """What every question is about: near words too, and only concepts that are linked."""
+    return retrieval.asked(g, _questions(g))
+
+
 @query()
 def facts_block(g: Graph) -> DataFrame:
     return retrieval.facts(g, g.concept.select("id"))
