@@ -93,24 +93,24 @@ def infinitive_display(g: Graph, lang: str = "en") -> DataFrame:
     return r.withColumn("k", k).filter("k = 1").select("id", F.when(F.col("inf"), F.col("bare")).otherwise(F.col("term")).alias("label"))
 
 
-def definitions(g: Graph, most: int = 1000, species: int = 10, relations: int = 20) -> DataFrame:
-    """(id, definition, weak): genera, labelled relations in order of code and target, species; cut at most characters. weak: no
-    relation but genus. Only the first species and relations in order are named, so no concept's links are gathered whole."""
+def definitions(g: Graph, most: int = 1000) -> DataFrame:
+    """(id, definition, weak): genera, labelled relations in order of code and target, species; cut at most characters. weak: genera
+    alone are known. No more than most names can come before the cut, so of a concept's links no more are gathered."""
     name = g.concept.select("id", "name")
     e = g.edge.filter("status = 'ok'")
     up = e.filter(F.col("code") == GENUS).join(name.toDF("target", "name"), "target")
     genera = up.groupBy(F.col("subject").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("genera"))
     w = Window.partitionBy("target").orderBy("name", "subject")
-    down = e.filter(F.col("code") == GENUS).select("subject", "target").distinct().join(name.toDF("subject", "name"), "subject").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= species)
+    down = e.filter(F.col("code") == GENUS).select("subject", "target").distinct().join(name.toDF("subject", "name"), "subject").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
     species_ = down.groupBy(F.col("target").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("species"))
     w = Window.partitionBy("subject").orderBy(F.col("code").cast("int"), "target", F.col("strength").asc_nulls_first(), "id")
-    rel = e.filter(F.col("code") != GENUS).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= relations)
+    rel = e.filter(F.col("code") != GENUS).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
     rel = rel.join(g.rule.select("code", F.col("name").alias("rule")), "code", "left").join(name.toDF("target", "name"), "target", "left")
     word = F.concat(F.coalesce("rule", "code"), F.when(F.col("strength") == 0, " not ").otherwise(" "), F.coalesce("name", F.lit("?")))
     related = rel.groupBy(F.col("subject").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", word.alias("w")))), lambda x: x["w"]), "; ").alias("related"))
     all_ = g.concept.join(genera, "id", "left").join(related, "id", "left").join(species_, "id", "left")
     parts = F.concat_ws("", F.col("name"), F.concat(F.lit(" is "), F.col("genera")), F.concat(F.lit("; "), F.col("related")), F.concat(F.lit(". Species: "), F.col("species")))
-    return all_.select("id", F.left(parts, F.lit(most)).alias("definition"), F.col("related").isNull().alias("weak"))
+    return all_.select("id", F.left(parts, F.lit(most)).alias("definition"), (F.col("related").isNull() & F.col("species").isNull() & F.col("genera").isNotNull()).alias("weak"))
 
 
 def banded(g: Graph, context: int = 1) -> DataFrame:

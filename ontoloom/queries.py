@@ -417,11 +417,11 @@ def term_display_label(g: Graph) -> DataFrame:
 
 
 @query(
-    """SELECT c.id, left(c.name || coalesce(' is ' || ge.v, '') || coalesce('; ' || re.v, '') || coalesce('. Species: ' || sp.v, ''), 1000) AS definition, re.v IS NULL AS weak FROM concept c
+    """SELECT c.id, left(c.name || coalesce(' is ' || ge.v, '') || coalesce('; ' || re.v, '') || coalesce('. Species: ' || sp.v, ''), 1000) AS definition, re.v IS NULL AND sp.v IS NULL AND ge.v IS NOT NULL AS weak FROM concept c
     LEFT JOIN (SELECT e.subject, string_agg(DISTINCT d.name, ', ' ORDER BY d.name) AS v FROM edge e JOIN concept d ON d.id = e.target WHERE e.status = 'ok' AND e.code = '14' GROUP BY e.subject) ge ON ge.subject = c.id
-    LEFT JOIN (SELECT target, string_agg(name, ', ' ORDER BY k) AS v FROM (SELECT o.target, d.name, row_number() OVER (PARTITION BY o.target ORDER BY d.name, o.subject) AS k FROM okg o JOIN concept d ON d.id = o.subject) WHERE k <= 10 GROUP BY target) sp ON sp.target = c.id
+    LEFT JOIN (SELECT target, string_agg(name, ', ' ORDER BY k) AS v FROM (SELECT o.target, d.name, row_number() OVER (PARTITION BY o.target ORDER BY d.name, o.subject) AS k FROM okg o JOIN concept d ON d.id = o.subject) GROUP BY target) sp ON sp.target = c.id
     LEFT JOIN (SELECT subject, string_agg(w, '; ' ORDER BY k) AS v FROM (SELECT e.subject, coalesce(r.name, e.code) || CASE WHEN e.strength = 0 THEN ' not ' ELSE ' ' END || coalesce(d.name, '?') AS w, row_number() OVER (PARTITION BY e.subject ORDER BY CAST(e.code AS INT), e.target, e.strength NULLS FIRST, e.id) AS k
-      FROM edge e LEFT JOIN rule r ON r.code = e.code LEFT JOIN concept d ON d.id = e.target WHERE e.status = 'ok' AND e.code <> '14') WHERE k <= 20 GROUP BY subject) re ON re.subject = c.id"""
+      FROM edge e LEFT JOIN rule r ON r.code = e.code LEFT JOIN concept d ON d.id = e.target WHERE e.status = 'ok' AND e.code <> '14') GROUP BY subject) re ON re.subject = c.id"""
 )
 def concept_definition(g: Graph) -> DataFrame:
     return terms.definitions(g)
