@@ -28,6 +28,8 @@ from ontoloom.llm.words import shingles, signed
 
 #: Lists are long beyond so many members. For the order of tokens the bound rises with them, so that at most 2**20 stand last.
 LONG, MOST_LONG = 64, 20
+#: Characters of a block of documents that are searched for each other.
+BLOCK_CHARS = 4_000_000
 #: Share of a set's tokens that a pair must have in common among the short lists.
 SHARE = 0.05
 #: Tokens after which a task counts what it has gathered, and rows that it gives out at a time.
@@ -291,7 +293,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     long_members = semi(labelled, per_list.filter("long").select("token"), "token").select("token", "key", "label")
     long_members = bundled(tables, long_members)
     texts = texts_of(long_members.select("key").distinct())
-    links = links.union(linked_lists(tables, long_members, texts, to_set, percent))
+    links = links.union(linked_lists(tables, long_members, texts, to_set, percent, BLOCK_CHARS))
     # short lists: of each set the lists are merged with counts
     short = semi(labelled, per_list.filter("not long").select("token"), "token").repartition("token").sortWithinPartitions("token", "n")
     partners = short.select("token", "key", "n", "label").mapInArrow(_partners, "key long, need long, list array<long>")

@@ -30,6 +30,8 @@ from ontoloom.llm.words import mixed, signed
 SIZE, BANDS, ROWS = 8, 16, 4
 #: Characters that are signed at a time (their hashes stay in a core's cache), and buckets that a task gathers before it sends.
 SIGNED, HELD = 1 << 16, 1_000_000
+#: Characters of a block of lines that are searched for each other.
+BLOCK_CHARS = 1_000_000
 #: Buckets that one range of them should have.
 RANGE = 500_000
 _STEP = 0x9E3779B97F4A7C15
@@ -196,7 +198,7 @@ def links(docs: DataFrame, places: DataFrame, tables: Tables, percent: int, shor
     labels = roots.withColumnRenamed("node", "key").withColumnRenamed("root", "label")
     labelled = meeting(members, labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     labelled = bundled(tables, tables.write(labelled))
-    more = linked_lists(tables, labelled, texts, shingles, percent)
+    more = linked_lists(tables, labelled, texts, shingles, percent, BLOCK_CHARS)
     tables.drop(stars, keys, ids, texts, pairs, labelled, roots)
     return found.union(more)
 

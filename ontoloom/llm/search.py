@@ -20,8 +20,8 @@ from ontoloom.llm.shared import BROADCAST_ROWS, Tables
 
 #: Weight in DivideSkip's rule for how many lists are set aside, and sets up to which all pairs are probed at once.
 MU, FEW = 0.1, 4
-#: Characters of a block of a bundle's members, and members that one copy of a pair's first set serves.
-BLOCK_CHARS, SERVED = 1_000_000, 2048
+#: Members that one copy of a pair's first set serves.
+SERVED = 2048
 
 ToSet = Callable[[str], np.ndarray]
 
@@ -175,15 +175,15 @@ def bundled(tables: Tables, members: DataFrame) -> DataFrame:
     return out
 
 
-def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_set: ToSet, percent: int, block: int) -> DataFrame:
     """members (bundle, key, label) and texts (key, text, size) to links (u, v) that connect all keys of a bundle which similar sets
     connect. Members outside a bundle's most frequent label are cut into blocks that meet each other and the blocks of that
-    label's members, which need not meet among themselves; a task holds two blocks at a time."""
+    label's members, which need not meet among themselves; a block has about so many characters, and a task holds two."""
     most = members.groupBy("bundle", "label").agg(F.count("*").alias("n")).groupBy("bundle").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     sized = meeting(meeting(members, tables.write(texts.select("key", "size")), "key"), tables.write(most), "bundle").withColumn("out", F.col("label") != F.col("main"))
     sized = tables.write(sized.select("bundle", "key", "label", "size", "out"))
     many = lambda own, chars: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("size"))) / chars)).cast("int")
-    blocks = sized.groupBy("bundle").agg(many(F.col("out"), BLOCK_CHARS).alias("few"), many(~F.col("out"), 4 * BLOCK_CHARS).alias("rest"))
+    blocks = sized.groupBy("bundle").agg(many(F.col("out"), block).alias("few"), many(~F.col("out"), block).alias("rest"))
     dealt = meeting(sized, tables.write(blocks), "bundle").withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("out"), F.col("few")).otherwise(F.col("rest"))).cast("int"))
     outside = "concat(transform(sequence(0, few - 1), k -> struct(least(own, k) as i, greatest(own, k) as j)), transform(sequence(0, rest - 1), k -> struct(own as i, few + k as j)))"
     inside = "transform(sequence(0, few - 1), k -> struct(k as i, few + own as j))"

@@ -191,7 +191,8 @@ def test_search_by_lists():
 def test_small_blocks(docs, rows, monkeypatch):
     """Lists cut into many blocks, and firsts of pairs dealt to many tasks, change nothing."""
     monkeypatch.setattr(jaccard, "LONG", 2)
-    monkeypatch.setattr(search, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(lines, "BLOCK_CHARS", 400)
     monkeypatch.setattr(search, "SERVED", 2)
     want = near({r[0]: shingles(r[1]) for r in rows if r[0] is not None})
     got = jaccard.joined(docs).filter("doc_id is not null").collect()
