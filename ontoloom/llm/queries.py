@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm import ann, chat, embedding_dups, jaccard, language, lines, mixing, packing, quality, substrings
+from ontoloom.llm import ann, chat, embedding_dups, encoding, jaccard, language, lines, mixing, packing, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,13 +68,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
 
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encoded(*(_table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_chat_formatting, op6_substring_dedup, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_source_mixing, op10_language_id)
+    for f in (op1_nearest_neighbours, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_chat_formatting, op6_substring_dedup, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_source_mixing, op10_language_id, op11_target_encoding)
 }
 
 _ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
+#: crc32 of a number's digits: bytes are folded in one after another, each by eight steps of the reversed polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast({} as varchar), ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::bigint)"""
+
+
+def _history(column: str, name: str) -> str:
+    """Lines of other folds that share a column's value and were sold earlier, and how many of them were returned."""
+    over = "over (partition by {} order by moment range between unbounded preceding and interval 1 microsecond preceding)"
+    part = "cast(coalesce(sum({0}) {1}, 0) - coalesce(sum({0}) {2}, 0) as bigint) as {3}_{0}"
+    return ", ".join(part.format(c, over.format(column), over.format(f"{column}, fold"), name) for c in ("n", "s"))
+
+
+def _sql_rate(name: str, prior: str) -> str:
+    return f"case when {name}_n < 1 then {prior} else (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) end as {name}_rate"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": f"""
         with t as (
@@ -88,4 +108,14 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
             cast(sum(length({_ESC.format('text')}) + case when opens then length({_ESC.format('role')}) + 15 else 6 end) as bigint) as formatted_chars
         from b group by conv_id""",
+    "op11_target_encoding": f"""
+        with own as (
+            select l.sale_id, coalesce(l.item_id, -1) as item_id, l.vendor_id, coalesce(s.client_id, -1) as client_id, s.sold_at as moment, count(*) as n, count(*) filter (l.flag = 'returned') as s,
+                {_CRC.format('l.sale_id')} % 5 as fold
+            from sale_lines l join sales s on s.sale_id = l.sale_id where s.sold_at is not null group by all),
+        e as (select own.*, 0 as whole, i.kind, v.nation_id, c.segment from own left join items i on i.item_id = own.item_id left join vendors v on v.vendor_id = own.vendor_id left join clients c on c.client_id = own.client_id),
+        h as (select *, {', '.join(_history(x, y) for x, y in (('whole', 'all'), ('kind', 'kind'), ('nation_id', 'nation'), ('segment', 'segment'), ('item_id', 'item'), ('vendor_id', 'vendor'), ('client_id', 'client')))} from e),
+        a as (select *, {_sql_rate('all', '500000')} from h),
+        b as (select *, {', '.join(_sql_rate(x, 'all_rate') for x in ('kind', 'nation', 'segment'))} from a)
+        select sale_id, item_id, vendor_id, n as n_lines, s as n_returned, item_n, {_sql_rate('item', 'kind_rate')}, vendor_n, {_sql_rate('vendor', 'nation_rate')}, client_n, {_sql_rate('client', 'segment_rate')} from b""",
 }
