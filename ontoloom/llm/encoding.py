@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ontoloom.llm.shared import Tables, ship
 
 FOLDS = 5
+#: Rows of a shard where there are few.
+ROWS = 2048
 #: Sampled times a slice.
 SAMPLED = 16
 #: What stands for a null key within the exchanges.
@@ -82,20 +84,28 @@ class Slices:
         return slice_, shard
 
 
-def sums_before(value: np.ndarray, at: np.ndarray, fold: np.ndarray, n: np.ndarray, s: np.ndarray, before: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the sums of n and s over rows of its value, of other folds and of an earlier time, and over what ``before`` has of
-    its value: sums of n by fold, then of s by fold."""
+def looked_up(keys: np.ndarray, names: np.ndarray, values: np.ndarray, other: int | np.ndarray) -> np.ndarray:
+    """For each key the value (a number or a row of them) of the equal name, else other. Names are distinct."""
+    if not len(names):
+        return np.broadcast_to(other, (len(keys), *values.shape[1:]))
+    order = np.argsort(names)
+    at = order[np.minimum(np.searchsorted(names[order], keys), len(names) - 1)]
+    hit = names[at] == keys
+    return np.where(hit.reshape(-1, *[1] * (values.ndim - 1)), values[at], other)
+
+
+def sums_before(value: np.ndarray, at: np.ndarray, fold: np.ndarray, n: np.ndarray, s: np.ndarray, names: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the sums of n and s over rows of its value, of other folds and of an earlier time, and over what came before:
+    names, and for each the sums of n by fold and of s by fold."""
+    if not len(value):
+        return n, s
     order = np.lexsort((at, value))
     v, t, f = value[order], at[order], fold[order]
     opens_value = np.concatenate([[True], v[1:] != v[:-1]])
-    opens = opens_value | np.concatenate([[True], t[1:] != t[:-1]])
-    rank = np.cumsum(opens)  # of (value, time)
-    heads = np.flatnonzero(opens_value)
-    which = np.cumsum(opens_value) - 1
+    rank = np.cumsum(opens_value | np.concatenate([[True], t[1:] != t[:-1]]))  # of (value, time)
+    heads, which = np.flatnonzero(opens_value), np.cumsum(opens_value) - 1
     first = rank[heads]  # of each value
-    names = v[heads]
-    none = np.zeros(2 * FOLDS, np.int64)
-    known = np.stack([before.get(x, none) for x in names.tolist()]).reshape(-1, 2, FOLDS)
+    known = looked_up(v[heads], names, before, 0)
     out = np.zeros((2, len(v)), np.int64)
     for k in range(FOLDS):
         mine = np.flatnonzero(f == k)
@@ -103,8 +113,7 @@ def sums_before(value: np.ndarray, at: np.ndarray, fold: np.ndarray, n: np.ndarr
         to, since = np.searchsorted(times, rank, "left"), np.searchsorted(times, first, "left")
         for j, x in enumerate((n, s)):
             prefix = np.concatenate([[0], np.cumsum(x[order][mine])])
-            add = prefix[to] + (known[:, j, k] - prefix[since])[which]
-            out[j] += np.where(f == k, 0, add)
+            out[j] += np.where(f == k, 0, prefix[to] + (known[:, FOLDS * j + k] - prefix[since])[which])
     back = np.empty_like(out)
     back[:, order] = out
     return back[0], back[1]
@@ -115,7 +124,7 @@ def _spread(tables: Tables, rows: DataFrame, count: int, key: str, columns: dict
     the value. Rows are dealt by key (``key`` is ``whole`` to deal by time alone). attributes (id, one value), ids distinct: joined to
     the key on the way; NO_ID where a key has none."""
     spark = rows.sparkSession
-    parts = min(shards, max(16, count // 256))
+    parts = min(shards, max(16, count // ROWS))
     salt = F.xxhash64(F.lit(3), "sale_id", "item_id", "vendor_id").bitwiseAND(F.lit(2**62 - 1))
     base = rows.withColumn("key", F.col(key)).withColumn("salt", salt).withColumn("shard", _bucket(parts))
     many = base.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") * parts > count).select("key")
@@ -142,29 +151,29 @@ def _spread(tables: Tables, rows: DataFrame, count: int, key: str, columns: dict
     seen = dealt(hot_rows).select("key", "slice", "fold", "n", "s", each.alias("e")).groupBy("key", "slice", "e.dim", "e.value").agg(*sums)
     order = Window.partitionBy("key", "dim", "value").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most two slices a shard
     gone = seen.select("key", "slice", "dim", "value", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(c) for c in names])
-    told = gone.join(places, ["key", "slice"]).select("shard", "dim", "value", F.array(*names).alias("sums"), F.lit(0).cast("long").alias("attribute"))
+    told = gone.join(places, ["key", "slice"]).select("shard", "dim", "value", *names, F.lit(0).cast("long").alias("attribute"))
     new = None
     if attributes is not None:
         new = attributes.columns[1]
         a = attributes.toDF("key", "attribute").join(places, "key", "left").withColumn("bucket", _bucket(parts))
-        told = told.union(a.select(F.coalesce("shard", "bucket"), F.lit(-1), "key", F.array(F.lit(0).cast("long")), "attribute"))
+        told = told.union(a.select(F.coalesce("shard", "bucket"), F.lit(-1), "key", *[F.lit(0).cast("long")] * len(names), "attribute"))
     made = [f"{name}_{c}" for name in columns for c in ("n", "s")] + ([new] if new else [])
 
-    def answered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=[*kept, *made])
-        out = left[kept].copy()
-        at, fold, n, s = (left[c].to_numpy() for c in ("at", "fold", "n", "s"))
-        for i, (name, column) in enumerate(columns.items()):
-            mine = right[right["dim"] == i]
-            before = dict(zip(mine["value"].tolist(), mine["sums"], strict=True))
-            out[f"{name}_n"], out[f"{name}_s"] = sums_before(left[column].to_numpy(), at, fold, n, s, before)
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        have = {c: left.column(c).to_numpy() for c in left.column_names}
+        dim, value = right.column("dim").to_numpy(), right.column("value").to_numpy()
+        out = []
+        for i, column in enumerate(columns.values()):
+            mine = np.flatnonzero(dim == i)
+            before = np.stack([right.column(c).to_numpy()[mine] for c in names], axis=1)
+            out += sums_before(have[column], have["at"], have["fold"], have["n"], have["s"], value[mine], before)
         if new:
-            mine = right[right["dim"] == -1].drop_duplicates("value").set_index("value")["attribute"]
-            out[new] = mine.reindex(left["key"].to_numpy(), fill_value=NO_ID).to_numpy(np.int64)
-        return out
+            mine = np.flatnonzero(dim == -1)
+            out.append(looked_up(have["key"], value[mine], right.column("attribute").to_numpy()[mine], NO_ID))
+        return pa.table([*(left.column(c) for c in kept), *map(pa.array, out)], names=[*kept, *made])
 
-    out = dealt(base).groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(answered, schema + "".join(f", {c} long" for c in made))
+    out = dealt(base).groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answered, schema + "".join(f", {c} long" for c in made))
     return tables.write(out)
 
 
