@@ -17,13 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm.components import components
 from ontoloom.llm.shared import Tables, ship
-from ontoloom.llm.vectors import balanced, batch_rows, comparable, number, rows_of, sample, scaled, shipped, unit
+from ontoloom.llm.vectors import balanced, comparable, number, rows_of, sample, scaled, shipped, unit
 
 #: Rows of a tile's side.
 TILE = 2048
@@ -84,15 +83,13 @@ def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 2048, mos
     v, dim = comparable(vectors)
     kind = number(v)
 
-    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in batch_rows(it, dim):
-            x = x + 0.0  # no negative zeros
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([xxhash.xxh3_128_hexdigest(r.tobytes()) for r in x])], ["vec_id", "key"])
-
-    keys = tables.write(v.mapInArrow(keyed, "vec_id long, key string").distinct())
-    classes = tables.write(keys.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    reps = classes.select("vec_id", "copies")
-    v = tables.write(v.join(reps, "vec_id").dropDuplicates(["vec_id", "embedding"]))
+    whole = F.transform("embedding", lambda x: x + F.lit(0).cast(kind))  # no negative zeros
+    v = v.withColumns({"k1": F.xxhash64(F.lit(1), whole), "k2": F.xxhash64(F.lit(2), whole)})
+    keys = tables.write(v.select("vec_id", "k1", "k2").distinct())
+    # a class of equal vectors has a number of its own: one vec_id may be in several classes
+    classes = tables.write(keys.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()))
+    one = v.groupBy("k1", "k2").agg(F.first("embedding").alias("embedding"))
+    v = tables.write(one.join(classes, ["k1", "k2"]).select(F.col("class").alias("vec_id"), "copies", "embedding"))
     n = v.count()
     schema = "u long, v long, links long"
     if not n:
@@ -146,10 +143,11 @@ def near(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 2048, mos
         return pd.DataFrame({"u": node, "v": root, "links": links})
 
     found = tables.write(tiles.groupBy("cell", "i", "j").applyInPandas(tile, schema))
-    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    links = found.groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))
     roots = tables.write(components(found.select("u", "v")))
-    by_class = classes.withColumnRenamed("vec_id", "rep").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    by_id = keys.join(by_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root")), "key")
-    by_id = by_id.groupBy("vec_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    by_class = classes.join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    first = by_class.groupBy("root").agg(F.min("least").alias("first"))
+    by_class = tables.write(by_class.join(first, "root").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "first"))
+    by_id = keys.join(by_class, ["k1", "k2"]).groupBy("vec_id").agg(F.sum("links").alias("links"), F.min("first").alias("root"))
     component = F.coalesce("root", "vec_id")
     return all_ids.join(by_id, "vec_id", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -151,8 +151,15 @@ def shared_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in last] + [pa.array([h]) for h in first_head], [*b.schema.names, *(f"head_{n}" for n in b.schema.names[1:])])
 
 
+def short_partners(short: DataFrame) -> DataFrame:
+    """Short lists' rows (token, key, n, label) in any order, to the pairs (u, v) that meet often enough. In all lists two sets stand in
+    one order, that of size and key, so what they share is counted on one side."""
+    partners = short.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_partners, "key long, need long, list array<long>")
+    return partners.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "u long, v long").distinct()
+
+
 def _partners(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short lists' rows (token, key, n, label) sorted by token and n, to one row a member: (key, need, list): the members after it
+    """Short lists' rows (token, key, n, label) sorted by token, n and key, to one row a member: (key, need, list): the members after it
     with other labels, and how often one must be met in all such lists. No list has more than LONG members."""
     held: list[np.ndarray] | None = None
 
@@ -295,9 +302,8 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     texts = texts_of(long_members.select("key").distinct())
     links = links.union(linked_lists(tables, long_members, texts, to_set, percent, BLOCK_CHARS))
     # short lists: of each set the lists are merged with counts
-    short = semi(labelled, per_list.filter("not long").select("token"), "token").repartition("token").sortWithinPartitions("token", "n")
-    partners = short.select("token", "key", "n", "label").mapInArrow(_partners, "key long, need long, list array<long>")
-    met = partners.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "u long, v long").distinct()
+    short = semi(labelled, per_list.filter("not long").select("token"), "token").select("token", "key", "n", "label")
+    met = short_partners(short)
     links = links.union(verified(met))
     found = tables.write(components(links))
     tables.drop(lists, labelled, long_members, texts, per_list)

@@ -20,7 +20,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm.search import runs
@@ -158,6 +158,8 @@ class Fit:
         return [(gap, x) for gap in self.sizes for x in self.held[gap]]
 
 
+#: Ranges of hashes of one size by which the documents that open sequences are counted.
+RANGES = 4096
 #: What a row of a round is: a gap, a document without a place, a document with one.
 GAP, FREE, PLACED = 0, 1, 2
 
@@ -193,8 +195,8 @@ def _sweep(capacity: int):
 def best_fit(tables: Tables, docs: DataFrame, capacity: int) -> DataFrame:
     """docs (id, size), ids distinct and sizes from 1 to the capacity, to (id, sequence, offset): bulk-synchronous best fit.
 
-    A round opens sequences for the longest documents, as many as the documents' volume needs beyond that of the gaps. Then
-    documents and gaps are sorted by size, largest first, and cut into ranges of equal rank, of which the k-th of both meet in
+    A round opens sequences for the longest documents, exactly as many as the documents' volume needs beyond that of the gaps (after a
+    round that found places for few, as many as half of their volume needs, so that rounds end). Then documents and gaps are sorted by size, largest first, and cut into ranges of equal rank, of which the k-th of both meet in
     one task; ties are cut by a hash of their ids. Each task gives every document of its range, longest first, the
     successor of its length among the range's gaps, as they are by then. Gaps and documents that are left go into the next
     round. Ranks come from how many there are of each size, which is all that the driver sees."""
@@ -206,17 +208,18 @@ def best_fit(tables: Tables, docs: DataFrame, capacity: int) -> DataFrame:
         if not waiting:
             break
         there = _by_size(gaps) if gaps is not None else {}
-        usable = {} if stuck else {s: n for s, n in there.items() if s >= min(waiting)}
-        need = sum(s * n for s, n in waiting.items()) - sum(s * n for s, n in usable.items())
+        usable = {s: n for s, n in there.items() if s >= min(waiting)}
+        volume = sum(s * n for s, n in waiting.items())
+        need = volume - sum(s * n for s, n in usable.items())
         long = sum(n for s, n in waiting.items() if 2 * s > capacity and s > max(usable, default=0))
-        m = max(long, -(-need // capacity), 0 if usable else 1)
+        m = max(long, -(-need // capacity), 0 if usable else 1, -(-volume // (2 * capacity)) if stuck else 0)
         if m:
-            rank = _ranked(free, waiting, 2 * turn)
-            new = tables.write(rank.filter(F.col("rank") < m).select("id", (F.lit(capacity) - F.col("size")).alias("size")))
+            split = tables.write(_opening(free, waiting, m, 2 * turn))
+            new = split.filter("opens").select("id", (F.lit(capacity) - F.col("size")).alias("size"))
             placed.append(new.select("id", F.col("id").alias("sequence"), F.lit(0).alias("offset")))
-            free = rank.filter(F.col("rank") >= m).select("id", "size")
+            free = split.filter("not opens").select("id", "size")
             opened = new.filter("size > 0")
-            gaps = opened if gaps is None else gaps.union(opened)
+            gaps = tables.write(opened if gaps is None else gaps.union(opened))
             waiting, there = _by_size(free), _by_size(gaps)
             if not waiting:
                 break
@@ -233,7 +236,7 @@ def best_fit(tables: Tables, docs: DataFrame, capacity: int) -> DataFrame:
         placed.append(met.filter(F.col("kind") == PLACED).select("id", "sequence", "offset"))
         left = met.filter(F.col("kind") == FREE).select("id", "size")
         stuck = 5 * left.count() > 4 * sum(waiting.values())
-        free, gaps = left, met.filter(F.col("kind") == GAP).select("id", "size").union(idle)
+        free, gaps = left, tables.write(met.filter(F.col("kind") == GAP).select("id", "size").union(idle))
     return reduce(DataFrame.union, placed) if placed else spark.createDataFrame([], "id long, sequence long, offset int")
 
 
@@ -242,6 +245,29 @@ def _by_size(df: DataFrame) -> dict[int, int]:
     return {r["size"]: r["count"] for r in df.groupBy("size").count().collect()}
 
 
+def _opening(df: DataFrame, sizes: dict[int, int], m: int, salt: int) -> DataFrame:
+    """df with opens: whether a document is one of the m longest; of the size where the cut falls those of the least hashes. They are
+    counted by ranges of the hash, and only the range where the cut falls is put in order."""
+    last, left = max(sizes), m
+    for last in sorted(sizes, reverse=True):
+        if left <= sizes[last]:
+            break
+        left -= sizes[last]
+    place = F.xxhash64(F.lit(salt), "id").bitwiseAND(F.lit(RANGES - 1)).cast("long")
+    df = df.select("id", "size", place.alias("range"))
+    cut, rest = RANGES, 0
+    if left < sizes[last]:
+        for r in df.filter(F.col("size") == last).groupBy("range").count().orderBy("range").collect():  # at most RANGES rows
+            if left <= r["count"]:
+                cut, rest = r["range"], left
+                break
+            left -= r["count"]
+    edge = df.filter((F.col("size") == last) & (F.col("range") == cut))
+    k = F.row_number().over(Window.partitionBy("range").orderBy("id"))  # one range of one size
+    sure = df.filter((F.col("size") != last) | (F.col("range") != cut)).select("id", "size", ((F.col("size") > last) | ((F.col("size") == last) & (F.col("range") < cut))).alias("opens"))
+    return sure.union(edge.select("id", "size", (k <= rest).alias("opens")))
+
+
 def _ranked(df: DataFrame, sizes: dict[int, int], salt: int) -> DataFrame:
     """df with rank, from 0 for the largest size: that of its size plus, among equal ones, the place that a hash of the id has. A salt is
     used once: what a rank has left behind is no even share by the same hash."""

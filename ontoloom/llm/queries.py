@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm import ann, chat, embedding_dups, encoding, jaccard, language, lines, mixing, packing, quality, substrings
+from ontoloom.llm import ann, chat, clusters, embedding_dups, encoding, jaccard, language, lines, mixing, packing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +72,17 @@ def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(*(_table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_chat_formatting, op6_substring_dedup, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_source_mixing, op10_language_id, op11_target_encoding)
+    for f in (op1_nearest_neighbours, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_chat_formatting, op6_substring_dedup, op7_ngram_jaccard_join, op8_embedding_near_dedup, op9_source_mixing, op10_language_id, op11_target_encoding, op12_secret_scan, op13_centroid_clustering)
 }
 
 _ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -95,6 +103,18 @@ def _sql_rate(name: str, prior: str) -> str:
     return f"case when {name}_n < 1 then {prior} else (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) end as {name}_rate"
 
 
+def _rounds(rounds: int) -> str:
+    """Whole rounds of clustering in plain SQL: a0 has the first owners, c1 the centroids after a round, and so on."""
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = []
+    for t in range(rounds + 1):
+        parts.append(f"a{t} as (select v.id, v.vec_id, v.x, arg_min(c.c, [{square}, c.c]) as c, min({square}) as d from v, c{t} c group by all)")
+        if t < rounds:
+            parts.append(f"s{t} as (select c, i, sum(x[i])::bigint as s, count(*) as n from a{t}, (select unnest(range(1, 65)) as i) group by c, i)")
+            parts.append(f"m{t} as (select c, list((s - ((s % n) + n) % n) // n order by i) as x from s{t} group by c), c{t + 1} as (select o.c, coalesce(m.x, o.x) as x from c{t} o left join m{t} m on m.c = o.c)")
+    return ", ".join(parts)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": f"""
         with t as (
@@ -118,4 +138,11 @@ ORACLE_SQL: dict[str, str] = {
         a as (select *, {_sql_rate('all', '500000')} from h),
         b as (select *, {', '.join(_sql_rate(x, 'all_rate') for x in ('kind', 'nation', 'segment'))} from a)
         select sale_id, item_id, vendor_id, n as n_lines, s as n_returned, item_n, {_sql_rate('item', 'kind_rate')}, vendor_n, {_sql_rate('vendor', 'nation_rate')}, client_n, {_sql_rate('client', 'segment_rate')} from b""",
+    "op13_centroid_clustering": f"""
+        with v as (select row_number() over () as id, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        c0 as (select row_number() over (order by sha256('1:' || vec_id), x) - 1 as c, x from v qualify row_number() over (order by sha256('1:' || vec_id), x) <= 16),
+        {_rounds(3)}
+        select vec_id, a3.c::int as cluster, d::bigint as distance, (sum(d) over (partition by a3.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c3.x, ',')) as centroid_sha256
+        from a3 join c3 on c3.c = a3.c""",
 }
