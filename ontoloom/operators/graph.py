@@ -92,14 +92,24 @@ def witness_paths(g: Graph, context: int = 1, start: DataFrame | None = None, co
     """(subject, ancestor, depth, edges): for each pair the shortest path whose sequence of edge ids is least."""
     step = g.code(context, GENUS).select(F.col("subject").alias("a"), F.col("target").alias("b"), F.col("id").alias("e"))
     if coextension:
-        same = g.code(context, COEXTENSION)
-        step = step.union(same.select("subject", "target", "id")).union(same.select("target", "subject", "id"))
-    seeds = (start if start is not None else g.concept).select("id")
-    known = [materialized(seeds.select(F.col("id").alias("subject"), F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("depth"), F.expr("cast(array() as array<long>)").alias("edges")))]
+        step = step.union(coextension_steps(g, context))
+    return least_paths(step, (start if start is not None else g.concept).select("id")).withColumnsRenamed({"seed": "subject", "node": "ancestor"})
+
+
+def coextension_steps(g: Graph, context: int = 1) -> DataFrame:
+    """(a, b, e) over coextension, both ways."""
+    same = g.code(context, COEXTENSION).select(F.col("subject").alias("a"), F.col("target").alias("b"), F.col("id").alias("e"))
+    return same.union(same.select("b", "a", "e"))
+
+
+def least_paths(step: DataFrame, seeds: DataFrame) -> DataFrame:
+    """step (a, b, e), seeds (id) to (seed, node, depth, edges): the shortest way to each node that has the least sequence of edge ids,
+    compared from the seed on."""
+    known = [materialized(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).cast("long").alias("depth"), F.expr("cast(array() as array<long>)").alias("edges")))]
     while True:
-        seen = reduce(DataFrame.union, known).select("subject", "ancestor")
-        new = known[-1].join(step, F.col("ancestor") == F.col("a")).groupBy("subject", F.col("b").alias("ancestor")).agg(F.min(F.concat("edges", F.array("e"))).alias("edges"))
-        new = materialized(new.join(seen, ["subject", "ancestor"], "left_anti").select("subject", "ancestor", F.lit(len(known)).cast("long").alias("depth"), "edges"))
+        seen = reduce(DataFrame.union, known).select("seed", "node")
+        new = known[-1].join(step, F.col("node") == F.col("a")).groupBy("seed", F.col("b").alias("node")).agg(F.min(F.concat("edges", F.array("e"))).alias("edges"))
+        new = materialized(new.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(len(known)).cast("long").alias("depth"), "edges"))
         if new.isEmpty():
             return reduce(DataFrame.union, known)
         known.append(new)

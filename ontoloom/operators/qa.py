@@ -6,18 +6,21 @@ from collections import defaultdict
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoloom.functions import text
 from ontoloom.operators import graph as ops
 from ontoloom.operators import inherit, terms
 from ontoloom.plans.tables import materialized
-from ontoloom.sources.model import COEXTENSION, GENUS, Graph, is_positive
+from ontoloom.sources.model import COEXTENSION, GENUS, INHERITED, Graph, is_positive
 
 MAX_FACTS, MAX_BYTES = 36, 24_576
 #: Members of a set question's domain, and concepts added to that of a count which are in neither set.
 DOMAIN, DISTRACTORS = (3, 24), 2
 SETS = ("intersection", "difference", "count")
+TASKS = ("parents", "ancestry", "shared_genus", "inference", "property", *SETS)
+KINDS = ("siblings_disjoint", "shared_membership", "reverse_genus")
 #: Wording of questions by task (of inferences by kind) and language: of a, b and what the property is.
 WORDING = {
     "parents": {"en": "What is %1$s directly a kind of?", "ru": "К каким понятиям напрямую относится %1$s?"},
@@ -157,8 +160,8 @@ def _domain_facts(g: Graph, asked: DataFrame, context: int) -> DataFrame:
 
 
 def solved(records: DataFrame) -> DataFrame:
-    """records (id, task, a, b, code, target, kind, domain, facts) to (id, answer), from the facts alone and by other means than the
-    operators above: each record's few facts are walked as a dictionary."""
+    """records (id, task, a, b, code, target, kind, domain, facts) to (id, answer, cyclic), from the facts alone and by other means than the
+    operators above: each record's few facts are walked as a dictionary. cyclic: genus facts lead back to where they start."""
 
     def above(x: int, up: dict) -> set:
         seen, todo = {x}, [x]
@@ -168,7 +171,7 @@ def solved(records: DataFrame) -> DataFrame:
                 todo.append(y)
         return seen
 
-    def one(r) -> str:
+    def links(r) -> tuple[dict, dict]:
         genus, sets = defaultdict(set), defaultdict(set)
         for f in r.facts:
             if f["strength"] == 0:
@@ -179,6 +182,12 @@ def solved(records: DataFrame) -> DataFrame:
             elif f["code"] == COEXTENSION:
                 sets[f["subject"]].add(f["target"])
                 sets[f["target"]].add(f["subject"])
+        return genus, sets
+
+    def cyclic(genus: dict) -> bool:
+        return any(x in above(y, genus) for x in list(genus) for y in list(genus[x]))
+
+    def one(r, genus: dict, sets: dict) -> str:
         listed = lambda ids: ",".join(map(str, sorted(ids)))
         if r.task == "parents":
             return listed(genus[r.a])
@@ -202,10 +211,11 @@ def solved(records: DataFrame) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            yield pd.DataFrame({"id": pdf["id"], "answer": [one(r) for r in pdf.itertuples()]})
+            both = [(r, *links(r)) for r in pdf.itertuples()]
+            yield pd.DataFrame({"id": pdf["id"], "answer": [one(*x) for x in both], "cyclic": [cyclic(genus) for _, genus, _ in both]})
 
     lone = F.coalesce("b", F.lit(0)).alias("b")
-    return records.select("id", "task", "a", lone, "code", F.coalesce("target", F.lit(0)).alias("target"), "kind", "domain", "facts").mapInPandas(run, "id string, answer string")
+    return records.select("id", "task", "a", lone, "code", F.coalesce("target", F.lit(0)).alias("target"), "kind", "domain", "facts").mapInPandas(run, "id string, answer string, cyclic boolean")
 
 
 def pools(g: Graph, seed: int, context: int = 1) -> DataFrame:
@@ -231,14 +241,29 @@ def pools(g: Graph, seed: int, context: int = 1) -> DataFrame:
 
 
 def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en") -> DataFrame:
-    """(id, group_id, task, a, b, code, target, kind, domain, question, answer, algebra, facts, messages): count records, pools in
-    turn, each in an order that the seed gives; every record's answer is found again by solved(), records over the limits of
+    """count records as ``drawn`` makes them. Of each pool twice as many candidates are tried first, as some are rejected; where that leaves too
+    few records, four times as many again and again, until there are enough or the pools are at their end."""
+    sizes = pools(g, seed, context).groupBy("pool").count().agg(F.max("count")).first()[0] or 0
+    tried = 2 * count
+    while True:
+        made = drawn(g, seed, count, tried, context, lang)
+        if tried >= sizes:
+            return made
+        made = materialized(made)
+        if made.count() >= count:
+            return made
+        tried *= 4
+
+
+def drawn(g: Graph, seed: int, count: int, tried: int, context: int = 1, lang: str = "en") -> DataFrame:
+    """(id, group_id, task, a, b, code, target, kind, domain, question, answer, algebra, facts, messages): at most count records from the first
+    ``tried`` candidates of each pool, pools in turn, each in an order that the seed gives; every record's answer is found again by solved(), records over the limits of
     facts and bytes or with a repeated question go. algebra is an expression that gives the answer, where there is one."""
     key = ("task", "a", "b", "code", "target", "kind")
     order = F.sha2(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).cast("binary"), 256)
     k = F.row_number().over(Window.partitionBy("pool").orderBy("order"))
     # the first of each pool in seeded order: Spark keeps so many rows a pool before the shuffle
-    picked = materialized(pools(g, seed, context).withColumn("order", order).withColumn("k", k).filter(F.col("k") <= 2 * count).drop("k"))
+    picked = materialized(pools(g, seed, context).withColumn("order", order).withColumn("k", k).filter(F.col("k") <= tried).drop("k"))
     picked = picked.withColumn("id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key]).cast("binary"), 256))
     nothing = F.expr("cast(array() as array<long>)")
     sets = picked.filter(F.col("task").isin(*SETS)).drop("answer").join(domains(g, picked.filter(F.col("task").isin(*SETS)).select("a", "b").distinct(), context), ["a", "b"])
@@ -269,10 +294,7 @@ def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en")
     names = name.withColumnRenamed("label", "name")
     r = r.join(names.toDF("a", "na"), "a").join(names.toDF("b", "nb"), "b", "left").join(names.toDF("target", "nt"), "target", "left")
     r = r.withColumn("group_id", F.sha2(F.concat_ws("|", F.lit(context), "a").cast("binary"), 256))
-    shape, question = F.coalesce("kind", "task"), F.lit(None).cast("string")
-    what = F.concat_ws(" ", "code", "nt")
-    for form, words in WORDING.items():
-        question = F.when(shape == form, F.format_string(words[lang], F.col("na"), F.coalesce("nb", F.lit("")), what)).otherwise(question)
+    question = worded(lang)
     of = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
     state = F.create_map(*[F.lit(x) for k, v in STATE_CALLS.items() for x in (k, v)])[F.col("answer")]
     algebra = F.when(F.col("task") == "parents", F.concat(F.lit("parents(exact("), of("a"), F.lit("))"))).when(F.col("task") == "ancestry", F.concat(F.lit("exact("), of("a"), F.lit(") & "), of("b")))
@@ -280,10 +302,8 @@ def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en")
     algebra = algebra.when(F.col("task") == "intersection", F.concat(of("a"), F.lit(" & "), of("b"))).when(F.col("task") == "difference", F.concat(of("a"), F.lit(" - "), of("b")))
     algebra = algebra.when(F.col("task") == "count", F.concat(F.lit("count("), of("a"), F.lit(" | "), of("b"), F.lit(")"))).when(F.col("task") == "property", F.concat(state, F.lit("("), "code", F.lit(", "), of("target"), F.lit(")")))
     r = r.withColumn("question", question).withColumn("algebra", algebra)
-    r = r.join(solved(r).withColumnRenamed("answer", "again"), "id").filter("answer = again")
-    user = F.concat_ws("\n", F.col("question"), F.when(F.size("domain") > 0, F.concat(F.lit("Concepts: "), ops.joined_ids("domain"))))
-    messages = F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", F.lit("Answer from the facts.")), ("user", user), ("assistant", F.col("answer")))])
-    r = r.withColumn("messages", messages).filter(F.octet_length(F.to_json(F.struct("messages", "facts"))) <= MAX_BYTES)
+    r = r.join(solved(r).select("id", F.col("answer").alias("again")), "id").filter("answer = again").drop("again")
+    r = r.withColumn("messages", chat()).filter(F.octet_length(F.to_json(F.struct("messages", "facts"))) <= MAX_BYTES)
     r = materialized(r.withColumn("q", F.row_number().over(Window.partitionBy("question", "domain").orderBy("order", "id"))).filter("q = 1").drop("q"))
     # empty and witnessed intersections alternate, and so do the pools
     place = F.row_number().over(Window.partitionBy("pool", "empty").orderBy("order"))
@@ -292,21 +312,106 @@ def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en")
     return chosen.select("id", "group_id", *key, "domain", "question", "answer", "algebra", "facts", "messages")
 
 
-def verified(g: Graph, made: DataFrame, context: int = 1) -> DataFrame:
-    """(id, errors): each record held against the graph: unknown facts, genus facts above a left out, a wrong answer, a question or
-    answer that the messages do not hold."""
+def worded(lang: str) -> Column:
+    """The question of a record (task, kind, code; na, nb, nt: names of a, b and target)."""
+    shape, question = F.coalesce("kind", "task"), F.lit(None).cast("string")
+    for form, words in WORDING.items():
+        question = F.when(shape == form, F.format_string(words[lang], F.col("na"), F.coalesce("nb", F.lit("")), F.concat_ws(" ", "code", "nt"))).otherwise(question)
+    return question
+
+
+def chat(question: str = "question", answer: str = "answer") -> Column:
+    """A record's messages."""
+    user = F.concat_ws("\n", F.col(question), F.when(F.size("domain") > 0, F.concat(F.lit("Concepts: "), ops.joined_ids("domain"))))
+    return F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", F.lit("Answer from the facts.")), ("user", user), ("assistant", F.col(answer)))])
+
+
+def verified(g: Graph, made: DataFrame, context: int = 1, lang: str = "en") -> DataFrame:
+    """(id, errors): each record held against its own form and the graph; errors joined by commas, none for a sound record.
+
+    schema: an unknown task or kind of inference, or an end that the task needs is missing. fact: facts that the graph does not have so.
+    facts: a fact twice, of a code that records do not use, or of a strength beyond 0 to 100. limits: more facts, bytes or members of a domain
+    than a record may have. domain: a member twice, or one that is no concept. cycle: genus facts that lead back. missing: genus facts above
+    a that are left out. answer: not what the facts give. wording, messages: not what the task says in this language. genus, catalog and
+    property: what the whole graph answers, by the operators and not from the facts, is something else."""
     f = made.select(F.col("id").alias("rid"), F.explode("facts").alias("f")).select("rid", "f.*")
     known = g.scope(context, positive=False).select(F.col("id").alias("edge"), "subject", "code", "target", F.coalesce("strength", F.lit(-1)).alias("strength"))
-    bad = f.withColumn("strength", F.coalesce("strength", F.lit(-1))).join(known, ["edge", "subject", "code", "target", "strength"], "left_anti").select(F.col("rid").alias("id"), F.lit("fact").alias("error"))
+    err = lambda df, name: df.select("id", F.lit(name).alias("error"))
+    pairs = (*SETS, "ancestry", "shared_genus", "inference")
+    ends = F.col("a").isNull() | (F.col("task").isin(*pairs) & F.col("b").isNull()) | ((F.col("task") == "property") & (F.col("code").isNull() | F.col("target").isNull()))
+    shapes = ~F.col("task").isin(*TASKS) | ((F.col("task") == "inference") & ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))) | ends
+    ids = F.transform("facts", lambda x: x["edge"])
+    odd = (F.size(F.array_distinct(ids)) < F.size("facts")) | F.exists("facts", lambda x: ~x["code"].isin(GENUS, COEXTENSION, *INHERITED) | (x["strength"] < 0) | (x["strength"] > 100))
+    large = (F.size("facts") > MAX_FACTS) | (F.size("domain") > DOMAIN[1]) | (F.octet_length(F.to_json(F.struct("messages", "facts"))) > MAX_BYTES)
+    member = made.select("id", F.explode("domain").alias("m"))
+    strange = member.join(g.concept.select(F.col("id").alias("m")), "m", "left_anti").select("id").distinct()
+    bad = f.withColumn("strength", F.coalesce("strength", F.lit(-1))).join(known, ["edge", "subject", "code", "target", "strength"], "left_anti").select(F.col("rid").alias("id"))
     whole = made.filter("task <> 'inference'").select(F.col("id").alias("rid"), F.col("a").alias("descendant"))
     full = whole.join(ops.closure(g, context), "descendant").join(_facts(g, context), F.col("ancestor") == F.col("subject")).select("rid", "edge").distinct()
-    left_out = full.join(f.select("rid", "edge"), ["rid", "edge"], "left_anti").select(F.col("rid").alias("id"), F.lit("missing").alias("error"))
-    wrong = made.join(solved(made).toDF("id", "again"), "id").filter("answer <> again").select("id", F.lit("answer").alias("error"))
-    said = made.filter((F.col("messages")[2]["content"] != F.col("answer")) | ~F.col("messages")[1]["content"].startswith(F.col("question"))).select("id", F.lit("wording").alias("error"))
-    e = bad.union(left_out).union(wrong).union(said).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("error")), ",").alias("errors"))
+    left_out = full.join(f.select("rid", "edge"), ["rid", "edge"], "left_anti").select(F.col("rid").alias("id"))
+    again = materialized(solved(made.filter(~shapes)).toDF("id", "again", "cyclic"))
+    names = terms.display(g, lang).withColumnRenamed("label", "name")
+    said = made.join(names.toDF("a", "na"), "a", "left").join(names.toDF("b", "nb"), "b", "left").join(names.toDF("target", "nt"), "target", "left").withColumn("q", worded(lang))
+    found = [
+        err(made.filter(shapes), "schema"), err(made.filter(odd), "facts"), err(made.filter(large), "limits"), err(made.filter(F.size(F.array_distinct("domain")) < F.size("domain")), "domain"), err(strange, "domain"), err(bad, "fact"), err(left_out, "missing"),
+        err(again.filter("cyclic"), "cycle"), err(made.join(again, "id").filter("not (answer <=> again)"), "answer"), err(said.filter("not (question <=> q)"), "wording"), err(said.filter(~F.col("messages").eqNullSafe(chat("q"))), "messages"),
+        *(err(made.join(held.toDF("id", "right"), "id").filter("not (answer <=> right)"), name) for name, held in _by_graph(g, made, context).items()),
+    ]
+    e = reduce(DataFrame.union, found).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("error")), ",").alias("errors"))
     return made.select("id").join(e, "id", "left").select("id", F.coalesce("errors", F.lit("")).alias("errors"))
 
 
+def _by_graph(g: Graph, made: DataFrame, context: int) -> dict[str, DataFrame]:
+    """(id, answer) of records as the operators over the whole graph give it, by family: genera, sets over the domain, property states."""
+    up = _facts(g, context).select("subject", F.col("target").alias("genus")).distinct()
+    own = made.filter("task in ('parents', 'shared_genus')").select("id", "task", "a", "b")
+    a, b = own.join(up.toDF("a", "genus"), "a"), own.join(up.toDF("b", "genus"), "b").select("id", "genus")
+    kept = a.join(b.withColumn("both", F.lit(True)), ["id", "genus"], "left").filter("task = 'parents' or both")
+    genus = own.select("id").join(kept.groupBy("id").agg(F.collect_set("genus").alias("s")), "id", "left").select("id", ops.joined_ids(F.array_sort(F.coalesce("s", F.expr("cast(array() as array<long>)")))))
+    sets = made.filter(F.col("task").isin(*SETS)).select("id", "task", "a", "b", "domain")
+    ext = materialized(ops.extents(g, sets.select(F.col("a").alias("id")).union(sets.select("b")).distinct(), context).select("seed", F.col("id").alias("m")))
+    each = sets.select("id", "a", "b", F.explode("domain").alias("m"))
+    flag = lambda c: ext.select(F.col("seed").alias(c), "m", F.lit(True).alias(f"in_{c}"))
+    each = each.join(flag("a"), ["a", "m"], "left").join(flag("b"), ["b", "m"], "left").fillna(False, ["in_a", "in_b"])
+    pick = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("m"))))
+    held = each.groupBy("id").agg(pick(F.col("in_a") & F.col("in_b")).alias("both"), pick(F.col("in_a") & ~F.col("in_b")).alias("left"), F.count_if(F.col("in_a") | F.col("in_b")).alias("n"))
+    catalog = sets.join(held, "id").select("id", F.when(F.col("task") == "intersection", ops.joined_ids("both")).when(F.col("task") == "difference", ops.joined_ids("left")).otherwise(F.col("n").cast("string")))
+    asked = made.filter("task = 'property'").select("id", "a", "code", "target")
+    left = inherit.applicable(g, inherit.assertions(g, context), context, asked.select(F.col("a").alias("id")).distinct()).filter("not overridden")
+    state = left.groupBy(F.col("subject").alias("a"), "code", "target").agg(F.bool_or(is_positive()).alias("p"), F.bool_or(~is_positive()).alias("n"))
+    word = F.when(F.col("p") & F.col("n"), "conflict").when(F.col("p"), "positive").when(F.col("n"), "negative").otherwise("unknown")
+    return {"genus": genus, "catalog": catalog, "property": asked.join(state, ["a", "code", "target"], "left").select("id", word)}
+
+
+def question_labels(g: Graph, lang: str = "en", preferred: DataFrame | None = None, excluded: DataFrame | None = None, english: bool = True, most: int = 90) -> DataFrame:
+    """(id, label, reason): the name by which a question calls a concept, or why none may. Terms of the language that are usable: not blank, at
+    most so many letters, no control characters, in the language's script, no English infinitives. Of these the one that a policy prefers
+    (preferred: id, term), then one that names no other concept, then the shortest, by lower case and text. reason: excluded (a policy names
+    the concept; excluded: id) or unsuitable (no usable term, or with ``english`` no English term in Latin letters alone)."""
+    cyrillic, latin = F.col("term").rlike("[А-Яа-яЁё]"), F.col("term").rlike("[A-Za-z]")
+    own = g.term.filter(F.col("lang") == lang).select(F.col("concept_id").alias("id"), "term").distinct()
+    canonical = g.concept.select("id", F.col("name").alias("term"))
+    if lang == "ru":
+        own = own.union(canonical.join(own.select("id").distinct(), "id", "left_anti"))
+    fine = (F.trim("term") != "") & (F.length("term") <= most) & ~F.col("term").rlike("[\\x{00}-\\x{1F}\\x{FFFD}]")
+    fine &= (latin & ~cyrillic & ~F.lower("term").startswith("to ")) if lang == "en" else cyrillic
+    key = text.key(F.col("term"))
+    shared = g.term.filter(F.col("lang") == lang).select(F.col("concept_id").alias("i"), key.alias("key")).distinct().groupBy("key").agg(F.count("*").alias("holders"))
+    liked = canonical if preferred is None and lang == "ru" else preferred
+    if preferred is not None and lang == "ru":
+        liked = preferred.union(canonical.join(preferred.select("id"), "id", "left_anti"))
+    t = own.filter(fine).withColumn("key", key).join(shared, "key", "left")
+    t = t.withColumn("other", F.lit(False)) if liked is None else t.join(liked.select("id", F.col("term").alias("liked")), "id", "left").withColumn("other", F.coalesce(F.col("term") != F.col("liked"), F.lit(False)))
+    best = t.groupBy("id").agg(F.min(F.struct("other", (F.coalesce("holders", F.lit(0)) != 1).alias("h"), F.length("term").alias("n"), F.lower("term").alias("l"), "term"))["term"].alias("label"))
+    out = g.concept.select("id").join(best, "id", "left")
+    if english:
+        plain = g.term.filter("lang = 'en'").filter(latin & ~cyrillic).select(F.col("concept_id").alias("id"), F.lit(True).alias("plain")).distinct()
+        out = out.join(plain, "id", "left").withColumn("label", F.when(F.col("plain"), F.col("label")))
+    out = out.withColumn("gone", F.lit(None).cast("boolean")) if excluded is None else out.join(excluded.select("id", F.lit(True).alias("gone")).distinct(), "id", "left")
+    reason = F.when(F.col("gone"), "excluded").when(F.col("label").isNull(), "unsuitable")
+    return out.select("id", F.when(reason.isNull(), F.col("label")).alias("label"), reason.alias("reason"))
+
+
 def report(made: DataFrame) -> DataFrame:
     """(task, answer, records): how many records of each task, by state or verdict where the answer is one; empty sets apart."""
     word = F.when(F.col("task").isin("property", "inference", "ancestry"), F.col("answer")).when(F.col("answer") == "", "empty").otherwise("")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.operators import graph as ops
+from ontoloom.operators import terms
 from ontoloom.plans.algebra import sampled
 from ontoloom.plans.tables import materialized
 from ontoloom.sources.model import COEXTENSION, GENUS, Graph
@@ -164,3 +165,84 @@ def requested(ids: list, most: int = 8, most_raw: int = 32) -> list[int]:
     if len(ids) > most_raw or not all(type(i) is int and i > 0 for i in ids) or len(out := list(dict.fromkeys(ids))) > most:
         raise ValueError(f"a request names 1 to {most} concepts by positive ids, with repeats at most {most_raw}")
     return out
+
+
+def _ways(g: Graph, ids: list[int], context: int) -> tuple[DataFrame, DataFrame]:
+    """(seed, node, edges) upwards by genus and coextension, and by coextension alone."""
+    sel = g.spark.createDataFrame([(i,) for i in ids], "id long")
+    same = ops.coextension_steps(g, context)
+    up = g.code(context, GENUS).select(F.col("subject").alias("a"), F.col("target").alias("b"), F.col("id").alias("e")).union(same)
+    return materialized(ops.least_paths(up, sel).select("seed", "node", "edges")), materialized(ops.least_paths(same, sel).select("seed", "node", "edges"))
+
+
+def evidence(g: Graph, ids: list[int], context: int = 1) -> DataFrame:
+    """(a, b, kind, edges, inferred) for each two of the selected concepts, a < b: the ids of the edges that show the pair's kind.
+
+    A way upwards is the shortest one of the least edge ids. Equal concepts are shown by the way over coextension, nested ones by the way
+    up, a cycle by both. A stated relation (overlap, then exclusion) is shown by the way from a to one of its ends, the relation's edge, and
+    the way from b to the other end: of all relations that apply the one of the least edge id, read forwards rather than backwards.
+    inferred: more than one edge was needed, and they do not contradict each other."""
+    kinds = pair_kinds(g, ids, context)
+    up, same = _ways(g, ids, context)
+    way = lambda ways, a, b, name: ways.select(F.col("seed").alias(a), F.col("node").alias(b), F.col("edges").alias(name))
+
+    def stated(codes: tuple[str, ...], ways: DataFrame, name: str) -> DataFrame:
+        e = g.scope(context).filter(F.col("code").isin(*codes)).select("id", "subject", "target")
+        e = e.select("id", F.lit(0).alias("back"), F.col("subject").alias("x"), F.col("target").alias("y")).union(e.select("id", F.lit(1), "target", "subject"))
+        met = e.join(way(ways, "a", "x", "up_a"), "x").join(way(ways, "b", "y", "up_b"), "y").filter("a < b")
+        shown = F.concat("up_a", F.array("id"), "up_b")
+        return met.groupBy("a", "b").agg(F.min_by(shown, F.struct("id", "back")).alias(name))
+
+    p = kinds
+    for extra in (way(same, "a", "b", "eq"), way(up, "a", "b", "above"), way(up, "b", "a", "below"), stated(("40",), same, "ovl"), stated(("60", "64"), up, "dis")):
+        p = p.join(extra, ["a", "b"], "left")
+    none = F.expr("cast(array() as array<long>)")
+    base = F.when(F.col("eq").isNotNull(), F.col("eq")).otherwise(F.concat(F.coalesce("above", none), F.coalesce("below", none)))
+    edges = F.concat(base, F.coalesce("ovl", none), F.coalesce("dis", none))
+    return p.select("a", "b", "kind", edges.alias("edges"), ((F.size(edges) > 1) & (F.col("kind") != "conflict")).alias("inferred"))
+
+
+def catalog_paths(g: Graph, ids: list[int], context: int = 1, sample: int = 6) -> DataFrame:
+    """(mask, member, root, edges): for the first members of each region and each set that holds them the way from the member to the set's
+    concept. It is looked for from the concept down, so of equally short ways the one whose edge ids are least from there counts."""
+    m = materialized(members(g, ids, context))
+    first = m.withColumn("k", F.row_number().over(Window.partitionBy("mask").orderBy("id"))).filter(F.col("k") <= sample).select("mask", F.col("id").alias("member"))
+    down = g.code(context, GENUS).select(F.col("target").alias("a"), F.col("subject").alias("b"), F.col("id").alias("e"))
+    real = g.concept.select(F.col("id").alias("b"))
+    step = down.union(ops.coextension_steps(g, context)).join(real, "b", "left_semi").select("a", "b", "e")
+    ways = ops.least_paths(step, g.spark.createDataFrame([(i,) for i in ids], "id long"))
+    return first.join(ways.select(F.col("seed").alias("root"), F.col("node").alias("member"), F.reverse("edges").alias("edges")), "member").select("mask", "member", "root", "edges")
+
+
+def assembled(g: Graph, ids: list, context: int = 1, catalog_basis: bool = False, lang: str = "en", most: int = 8) -> DataFrame:
+    """The answer to a request for a diagram as one table (part, place, a, b, label, n, edges):
+
+    concept: a selected or added concept with its label, in order; missing: an id that no concept has; automatic: a shared genus that was
+    added, with the number of selected concepts that have it; omitted: how many more shared genera there are; pair: two concepts with their
+    kind as label, n = 1 if it is inferred, and the edges that show it; with catalog_basis, region: a mask (a) with its members (n) and
+    the first of them as edges, and member: a region's sample member (a) below a concept (b) with its way up. Ids are refused as in
+    ``requested``; pairs are of concepts that are there, at most twice ``most``."""
+    ids = requested(ids, most)
+    sel = g.spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "a long, place int")
+    genera = materialized(shared_genera(g, ids, context, 10**6))
+    added = [(r["genus"], r["members"]) for r in genera.orderBy(F.desc("members"), "genus").limit(most).collect()]  # at most eight
+    automatic = g.spark.createDataFrame([(i, n, len(ids) + k) for k, (i, n) in enumerate(added)], "a long, n long, place int")
+    labels = terms.display(g, lang).select(F.col("id").alias("a"), "label")
+    there = materialized(sel.union(automatic.select("a", "place")).join(labels, "a"))  # at most sixteen rows
+    known = [r["a"] for r in there.orderBy("place").collect()]
+    empty, text, zero = F.expr("cast(array() as array<long>)").alias("edges"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("long")
+    row = lambda df, part, place, a, b, label, n, edges: df.select(F.lit(part).alias("part"), place.cast("int").alias("place"), a.alias("a"), b.alias("b"), label, n.cast("long").alias("n"), edges)
+    at, a = F.col("place"), F.col("a")
+    parts = [
+        row(there, "concept", at, a, zero, F.col("label"), zero, empty),
+        row(sel.join(there.select("a"), "a", "left_anti"), "missing", at, a, zero, text, zero, empty),
+        row(automatic.join(there.select("a"), "a", "left_semi"), "automatic", at, a, zero, text, F.col("n"), empty),
+        row(genera.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n")), "omitted", F.lit(0), zero, zero, text, F.col("n"), empty),
+    ]
+    if known:
+        parts.append(row(evidence(g, known, context), "pair", F.lit(0), a, F.col("b"), F.col("kind").alias("label"), F.col("inferred").cast("long"), F.col("edges")))
+    if catalog_basis and known:
+        first = F.transform(F.filter(F.split("sample", ","), lambda x: x != ""), lambda x: x.cast("long")).alias("edges")
+        parts.append(row(catalog(g, known, context), "region", F.lit(0), F.col("mask"), zero, text, F.col("members"), first))
+        parts.append(row(catalog_paths(g, known, context), "member", F.lit(0), F.col("member"), F.col("root"), text, F.col("mask"), F.col("edges")))
+    return reduce(DataFrame.union, parts)

@@ -90,14 +90,20 @@ def related(g: Graph, found: DataFrame, most: int = 10) -> DataFrame:
     return n.withColumn("k", k).filter(F.col("k") <= most).select("qid", "id", "links")
 
 
-def prompts(g: Graph, questions: DataFrame) -> DataFrame:
-    """(qid, prompt): the question with what is known about its concepts, and the names of concepts related to them."""
-    f = materialized(found_concepts(g, questions))
-    known = f.join(facts(g, f), "id").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "fact"))), lambda x: x["fact"]), "\n").alias("known"))
-    near = related(g, f).join(g.concept.select("id", "name"), "id")
-    near = near.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("links")).alias("l"), "id", "name"))), lambda x: x["name"]), ", ").alias("near"))
-    both = questions.join(known, "qid", "left").join(near, "qid", "left")
-    return both.select("qid", F.concat_ws("\n", F.concat(F.lit("Known:\n"), "known"), F.concat(F.lit("Related: "), "near"), F.concat(F.lit("Question: "), "question")).alias("prompt"))
+def prompts(g: Graph, questions: DataFrame, found: DataFrame | None = None, closing: str = "Answer:") -> DataFrame:
+    """(qid, prompt): what a question's concepts are defined as, one line each in the order in which they were found, the concepts one step away
+    by the number of links, the question and a closing line. found (qid, id, words, place): as ``asked`` finds them, if not given: linked
+    concepts only, of which the first are taken after the others are gone."""
+    f = materialized(asked(g, questions) if found is None else found)
+    known = facts(g, f.select("id").distinct())
+    order = F.struct((-F.col("words")).alias("w"), "place", "id", "fact")
+    lines = lambda df, order, name: df.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.concat(F.lit("- "), x["fact"])), "\n").alias(name))
+    own = lines(f.join(known, "id"), order, "known")
+    near = related(g, f)
+    near = lines(near.join(facts(g, near.select("id").distinct()), "id"), F.struct((-F.col("links")).alias("l"), "id", "fact"), "near")
+    both = questions.join(own, "qid", "left").join(near, "qid", "left")
+    head = F.concat(F.lit("Facts:\n"), F.coalesce("known", F.lit("(none)")))
+    return both.select("qid", F.concat_ws("\n\n", head, F.concat(F.lit("Related facts, one step away:\n"), "near"), F.concat(F.lit("Question: "), "question"), F.lit(closing)).alias("prompt"))
 
 
 def page_text(html: str = "html") -> Column:

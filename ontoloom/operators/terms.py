@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text
@@ -93,24 +93,111 @@ def infinitive_display(g: Graph, lang: str = "en") -> DataFrame:
     return r.withColumn("k", k).filter("k = 1").select("id", F.when(F.col("inf"), F.col("bare")).otherwise(F.col("term")).alias("label"))
 
 
-def definitions(g: Graph, most: int = 1000) -> DataFrame:
-    """(id, definition, weak): genera, labelled relations in order of code and target, species; cut at most characters. weak: genera
-    alone are known. No more than most names can come before the cut, so of a concept's links no more are gathered."""
-    name = g.concept.select("id", "name")
+# Labels of relations in definitions, outgoing and incoming, and of degrees, by language (fixed values).
+LABELS_OUT = {
+    "en": {
+        "15": "essential attribute", "20": "attribute", "21": "purpose", "22": "capable of", "23": "made of", "24": "holds", "25": "acts upon", "26": "intended for", "27": "directed at", "30": "coextensive with",
+        "40": "overlaps", "61": "coordinate with", "62": "mutual with", "63": "opposite", "70": "produces", "71": "hinders", "72": "precedes", "73": "accompanies", "74": "depends on",
+    },
+    "ru": {
+        "15": "существенный признак", "20": "признак", "21": "назначение", "22": "способен к", "23": "сделан из", "24": "содержит", "25": "действует на", "26": "предназначен для", "27": "направлен на", "30": "равнообъёмно с",
+        "40": "пересекается с", "61": "соподчинено с", "62": "взаимно с", "63": "противоположно", "70": "порождает", "71": "препятствует", "72": "предшествует", "73": "сопутствует", "74": "зависит от",
+    },
+}
+LABELS_IN = {
+    "en": {"22": "bearer", "23": "material of", "24": "contained in", "25": "handled by", "26": "used by", "27": "object of", "70": "produced by", "72": "follows", "74": "needed for"},
+    "ru": {"22": "носитель", "23": "материал для", "24": "содержится в", "25": "обрабатывается", "26": "используется", "27": "объект", "70": "порождается", "72": "следует за", "74": "нужен для"},
+}
+DEGREES_RU = {"attribute": "признак", "no": "нет", "inherent": "неотъемлемый", "typical": "типичный", "sometimes": "иногда", "rarely": "редко"}
+WORDS = {"en": ("not ", "universe (no genus)", ". Species: "), "ru": ("не ", "универсум (без рода)", ". Виды: ")}
+
+
+def _mapped(values: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+
+
+def spoken_relations(g: Graph, names: DataFrame, lang: str = "en") -> DataFrame:
+    """(id, incoming, code, other, strength, edge, text): each relation but genus as a definition puts it, from both of its ends. Outgoing ones
+    by their label with ``not`` for a negation and the degree in percents (attributes by how strongly they hold); incoming ones, never
+    negations, by the same label for symmetric codes, else by the label of the other direction. Codes without a label are silent."""
+    e = g.edge.filter((F.col("status") == "ok") & (F.col("code") != GENUS)).select("id", "subject", "code", "target", "strength")
+    e = e.join(F.broadcast(g.rule.select("code", "mutual")), "code", "left")  # a few dozen codes
+    other = names.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    no, *_ = WORDS[lang]
+    negative = F.coalesce(F.col("strength") == 0, F.lit(False))
+    degree = text.band(F.col("strength"))
+    degree = _mapped(DEGREES_RU, degree) if lang == "ru" else degree
+    label = F.when(F.col("code") == "20", degree).otherwise(F.concat(F.when(negative, no).otherwise(""), _mapped(LABELS_OUT[lang], F.col("code"))))
+    share = F.when(F.col("strength") > 0, F.concat(F.lit(" ("), F.col("strength").cast("string"), F.lit("%)"))).otherwise("")
+    out = e.select(F.col("subject").alias("id"), F.lit(0).alias("incoming"), "code", F.col("target").alias("other"), "strength", F.col("id").alias("edge"), label.alias("label"), share.alias("share"))
+    back = F.when(F.coalesce("mutual", F.lit(False)), F.coalesce(_mapped(LABELS_OUT[lang], F.col("code")), _mapped(LABELS_IN[lang], F.col("code")))).otherwise(_mapped(LABELS_IN[lang], F.col("code")))
+    into = e.filter(~negative).select(F.col("target").alias("id"), F.lit(1).alias("incoming"), "code", F.col("subject").alias("other"), "strength", F.col("id").alias("edge"), back.alias("label"), F.lit("").alias("share"))
+    told = out.union(into).filter("label is not null").join(other, "other", "left")
+    return told.select("id", "incoming", "code", "other", "strength", "edge", F.concat("label", F.lit(": "), F.coalesce("other_name", F.lit("?")), "share").alias("text"))
+
+
+def definitions(g: Graph, most: int | None = 1000, lang: str = "en", names: DataFrame | None = None, by_text: bool = False) -> DataFrame:
+    """(id, definition, weak): name, genera, relations and species of every concept, cut at most characters (None: whole).
+
+    Of several genera each is named with the context of its edge, in the order of edges. Relations are those of ``spoken_relations``, first
+    outgoing, then incoming ones, by code, other end and degree (by_text: all by their text). Species are in order of their names, each
+    once. names (id, name): other names than the canonical ones. weak: nothing but genera is known.
+
+    No more links can come before the cut than it has characters, so of a concept's links no more are gathered; whole definitions gather
+    all links of a concept."""
+    name = (g.concept if names is None else names).select("id", "name")
     e = g.edge.filter("status = 'ok'")
-    up = e.filter(F.col("code") == GENUS).join(name.toDF("target", "name"), "target")
-    genera = up.groupBy(F.col("subject").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("genera"))
-    w = Window.partitionBy("target").orderBy("name", "subject")
-    down = e.filter(F.col("code") == GENUS).select("subject", "target").distinct().join(name.toDF("subject", "name"), "subject").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
-    species_ = down.groupBy(F.col("target").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("species"))
-    w = Window.partitionBy("subject").orderBy(F.col("code").cast("int"), "target", F.col("strength").asc_nulls_first(), "id")
-    rel = e.filter(F.col("code") != GENUS).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
-    rel = rel.join(g.rule.select("code", F.col("name").alias("rule")), "code", "left").join(name.toDF("target", "name"), "target", "left")
-    word = F.concat(F.coalesce("rule", "code"), F.when(F.col("strength") == 0, " not ").otherwise(" "), F.coalesce("name", F.lit("?")))
-    related = rel.groupBy(F.col("subject").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", word.alias("w")))), lambda x: x["w"]), "; ").alias("related"))
-    all_ = g.concept.join(genera, "id", "left").join(related, "id", "left").join(species_, "id", "left")
-    parts = F.concat_ws("", F.col("name"), F.concat(F.lit(" is "), F.col("genera")), F.concat(F.lit("; "), F.col("related")), F.concat(F.lit(". Species: "), F.col("species")))
-    return all_.select("id", F.left(parts, F.lit(most)).alias("definition"), (F.col("related").isNull() & F.col("species").isNull() & F.col("genera").isNotNull()).alias("weak"))
+    keep = lambda df: df if most is None else df.filter(F.col("k") <= most)
+    said = lambda df, by, alias: df.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), by).alias(alias))
+    up = e.filter(F.col("code") == GENUS).select("id", "subject", "target", "context").join(name.toDF("target", "name"), "target", "left").join(F.broadcast(g.context.toDF("context", "place")), "context", "left")  # five contexts
+    up = up.select(F.col("subject").alias("id"), F.coalesce("name", F.lit("?")).alias("name"), F.coalesce("place", F.col("context").cast("string")).alias("place"), F.col("id").alias("edge"))
+    up = keep(up.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("edge"))))
+    single = up.groupBy("id").agg(F.max("k").alias("parents"), F.min(F.when(F.col("k") == 1, F.col("name"))).alias("one"))
+    genera = said(up.withColumn("text", F.concat("name", F.lit(" ["), "place", F.lit("]"))), "; ", "genera").join(single, "id").select("id", F.when(F.col("parents") == 1, F.col("one")).otherwise(F.col("genera")).alias("genera"))
+    down = e.filter(F.col("code") == GENUS).select(F.col("target").alias("id"), F.col("subject").alias("other")).distinct().join(name.toDF("other", "text"), "other", "left").withColumn("text", F.coalesce("text", F.lit("?")))
+    species_ = said(keep(down.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("text", "other")))), ", ", "species")
+    order = ("text", "edge") if by_text else ("incoming", "code", "other", F.col("strength").asc_nulls_first(), "edge")
+    related = said(keep(spoken_relations(g, name, lang).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(*order)))), "; ", "related")
+    all_ = g.concept.select("id").join(name, "id", "left").join(genera, "id", "left").join(related, "id", "left").join(species_, "id", "left")
+    _, no_genus, species_word = WORDS[lang]
+    parts = F.concat(F.coalesce("name", F.lit("?")), F.lit(" — "), F.coalesce("genera", F.lit(no_genus)), F.coalesce(F.concat(F.lit("; "), "related"), F.lit("")), F.coalesce(F.concat(F.lit(species_word), "species"), F.lit("")))
+    weak = F.col("related").isNull() & F.col("species").isNull() & F.col("genera").isNotNull()
+    return all_.select("id", (parts if most is None else F.left(parts, F.lit(most))).alias("definition"), weak.alias("weak"))
+
+
+def card_rows(g: Graph, names: DataFrame | None = None) -> DataFrame:
+    """(id, part, other, name, code, context, strength, lang): everything that a concept's card shows, a row each, so that a concept with any
+    number of links is no large row: parent and child (with the context of the link), out and in (relations but genus, with code and
+    degree; a relation with itself is out), term (name is the term). Names of concepts are canonical, or those of names (id, name)."""
+    name = (g.concept if names is None else names).select(F.col("id").alias("other"), "name")
+    e = g.edge.filter("status = 'ok'").select("subject", "code", "target", "context", "strength")
+    genus, none = F.col("code") == GENUS, F.lit(None).cast("string").alias("lang")
+    out = e.select(F.col("subject").alias("id"), F.when(genus, "parent").otherwise("out").alias("part"), F.col("target").alias("other"), "code", "context", "strength")
+    into = e.filter(genus | (F.col("subject") != F.col("target"))).select(F.col("target").alias("id"), F.when(genus, "child").otherwise("in").alias("part"), F.col("subject").alias("other"), "code", "context", "strength")
+    links = out.union(into).join(name, "other").select("id", "part", "other", "name", "code", "context", "strength", none)
+    null = lambda t: F.lit(None).cast(t)
+    said = g.term.select(F.col("concept_id").alias("id"), F.lit("term").alias("part"), null("long").alias("other"), F.col("term").alias("name"), null("string").alias("code"), null("long").alias("context"), null("long").alias("strength"), "lang")
+    return links.union(said)
+
+
+def cards(g: Graph, ids: DataFrame, most: int = 200, lang: str = "en", names: DataFrame | None = None) -> DataFrame:
+    """ids (id) to one row a concept: id, name, context, processed, definition, and parents, children, relations and terms as arrays of structs,
+    each with its total (n_parents, ...). Parents are in order of context and name, children of name, relations of code, then other end,
+    terms of language and text; of each the first ``most`` are nested, as a card can show them, while card_rows has all."""
+    wanted = ids.select("id").distinct()
+    rows = card_rows(g, names).join(wanted, "id", "left_semi")
+    kind = F.when(F.col("part").isin("out", "in"), "relation").otherwise(F.col("part"))
+    order = [F.when(F.col("part") == "parent", F.col("context")), F.when(F.col("part").isin("out", "in"), F.col("code")), F.when(F.col("part").isin("out", "in"), F.col("other")), F.col("lang"), F.col("name"), F.col("other"), F.col("part"), F.col("context"), F.col("strength")]
+    rows = rows.withColumn("kind", kind).withColumn("k", F.row_number().over(Window.partitionBy("id", "kind").orderBy(*order)))
+    fields = {"parent": ("other", "name", "context"), "child": ("other", "name"), "relation": ("code", "part", "other", "name", "strength"), "term": ("name", "lang")}
+    nested = []
+    for one, cols in fields.items():
+        there = (F.col("kind") == one) & (F.col("k") <= most)
+        nested += [F.transform(F.array_sort(F.collect_list(F.when(there, F.struct("k", F.struct(*cols).alias("x"))))), lambda y: y["x"]).alias(f"{one}s" if one != "child" else "children"), F.count_if(F.col("kind") == one).alias("n_children" if one == "child" else f"n_{one}s")]
+    made = rows.groupBy("id").agg(*nested)
+    own = (g.concept if names is None else g.concept.drop("name").join(names, "id", "left")).select("id", "name", "context", "processed")
+    d = definitions(g, None if most is None else 1000, lang, names, by_text=True).select("id", "definition")
+    return own.join(wanted, "id", "left_semi").join(d, "id").join(made, "id", "left")
 
 
 def banded(g: Graph, context: int = 1) -> DataFrame:
@@ -132,7 +219,7 @@ def first_match(g: Graph, words: DataFrame, lang: str | None = None) -> DataFram
     return hit.groupBy("word").agg(F.min("id").alias("id"))
 
 
-def by_singular(g: Graph, words: DataFrame, lang: str = "en") -> DataFrame:
+def by_singular(g: Graph, words: DataFrame, lang: str | None = "en") -> DataFrame:
     """words (word) to (word, id): the concepts that a word names, else those that it names without its plural ending s, else es."""
     tried = words.select("word", F.posexplode(text.singulars(text.key(F.col("word")))).alias("place", "key")).distinct()
     hit = tried.join(labels(g, lang), "key")

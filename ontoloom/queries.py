@@ -19,6 +19,8 @@ from ontoloom.sources.model import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: SQL that is too slow on whole tables (it pairs all homonyms of a question); tests hold its queries against it on the smallest ones.
+SMALL_SQL: dict[str, str] = {}
 
 #: Common table expressions that oracles build on, by name; later ones use earlier ones.
 SHARED = {
@@ -41,14 +43,15 @@ def oracle(body: str, *, uses: tuple[str, ...] = tuple(SHARED), more: str = "",
     return ",\n".join([*parts, *([more] if more else [])]) + "\n" + body
 
 
-def query(sql: str | None = None, *, more: str = "", faults: bool = False, name: str | None = None):
-    """Register f(graph) -> DataFrame as a query over the derived graph."""
+def query(sql: str | None = None, *, more: str = "", faults: bool = False, name: str | None = None, uses: tuple[str, ...] = tuple(SHARED), small: bool = False):
+    """Register f(graph) -> DataFrame as a query over the derived graph; uses: which common table expressions its SQL needs; small: the SQL is
+    for the smallest tables."""
 
     def add(f: Callable[[Graph], DataFrame]):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(derived(spark, sf_dir, faults))
         if sql:
-            ORACLE_SQL[key] = oracle(sql, more=more, faults=faults)
+            (SMALL_SQL if small else ORACLE_SQL)[key] = oracle(sql, uses=uses, more=more, faults=faults)
         return f
 
     return add
@@ -213,6 +216,17 @@ def concept_card(g: Graph) -> DataFrame:
     return g.concept.join(up, "id", "left").join(into, "id", "left").join(out, "id", "left").select("id", "name", F.coalesce("parents", F.lit("")).alias("parents"), zero("children"), zero("outgoing"), zero("incoming"))
 
 
+@query(
+    """SELECT e.subject AS id, CASE code WHEN '14' THEN 'parent' ELSE 'out' END AS part, e.target AS other, d.name, e.code, e.context, e.strength, NULL AS lang FROM edge e JOIN concept d ON d.id = e.target WHERE e.status = 'ok'
+      UNION ALL SELECT e.target, CASE code WHEN '14' THEN 'child' ELSE 'in' END, e.subject, d.name, e.code, e.context, e.strength, NULL FROM edge e JOIN concept d ON d.id = e.subject WHERE e.status = 'ok' AND (e.code = '14' OR e.subject <> e.target)
+      UNION ALL SELECT concept_id, 'term', NULL, term, NULL, NULL, NULL, lang FROM term""",
+    uses=(),
+)
+def concept_card_rows(g: Graph) -> DataFrame:
+    """Everything that the cards of all concepts show."""
+    return terms.card_rows(g)
+
+
 @query("SELECT id, (SELECT count(*) FROM x) AS total, (SELECT count(*) FROM x) > 30 AS has_more, least(greatest((SELECT count(*) FROM x) - 20, 0), 10) < (SELECT count(*) FROM x) AS truncated FROM (SELECT id FROM x ORDER BY id LIMIT 10 OFFSET 20)", more=_x(100))
 def set_page(g: Graph) -> DataFrame:
     return page(Algebra(g).set("#100"), 20, 10)
@@ -335,20 +349,19 @@ def euler_enclosing(g: Graph) -> DataFrame:
 _SIB = [200, 201, 205, 300 + 1, 300 + 2, 501, 502, 2000034, 3000034]
 
 
-@query(
-    """SELECT genus, members FROM sz c WHERE NOT EXISTS (SELECT 1 FROM sz o JOIN gu ON gu.seed = o.genus AND gu.id = c.genus WHERE o.genus <> c.genus
+_GENERA = """SELECT genus, members FROM sz c WHERE NOT EXISTS (SELECT 1 FROM sz o JOIN gu ON gu.seed = o.genus AND gu.id = c.genus WHERE o.genus <> c.genus
         AND NOT EXISTS (SELECT 1 FROM gu back WHERE back.seed = c.genus AND back.id = o.genus)
-        AND NOT EXISTS (SELECT 1 FROM hs x WHERE x.genus = c.genus AND NOT EXISTS (SELECT 1 FROM hs y WHERE y.genus = o.genus AND y.member = x.member)))
-      ORDER BY members DESC, genus LIMIT 8""",
-    more=_EUP.replace(", ".join(map(str, _EUL)), ", ".join(map(str, _SIB)))
-    + """, lk AS (SELECT DISTINCT es.seed AS member, e.target FROM es JOIN pos1 e ON e.subject = es.id AND e.code = '14'),
+        AND NOT EXISTS (SELECT 1 FROM hs x WHERE x.genus = c.genus AND NOT EXISTS (SELECT 1 FROM hs y WHERE y.genus = o.genus AND y.member = x.member)))"""
+_GENERA_CTES = """, lk AS (SELECT DISTINCT es.seed AS member, e.target FROM es JOIN pos1 e ON e.subject = es.id AND e.code = '14'),
       al AS (SELECT DISTINCT target AS seed, target AS id FROM lk UNION SELECT al.seed, sm.b FROM al JOIN sm ON sm.a = al.id),
       h0 AS (SELECT DISTINCT m.genus, lk.member FROM lk JOIN (SELECT seed, min(id) AS genus FROM al GROUP BY seed) m ON m.seed = lk.target WHERE m.genus NOT IN (SELECT min(id) FROM es GROUP BY seed)),
       gu AS (SELECT DISTINCT genus AS seed, genus AS id FROM h0 UNION SELECT gu.seed, w.b FROM gu JOIN (SELECT subject AS a, target AS b FROM g14 UNION SELECT a, b FROM sm) w ON w.a = gu.id),
       hs AS (SELECT * FROM h0 WHERE (genus, member) NOT IN (SELECT (seed, id) FROM gu)),
       sz AS (SELECT genus, count(*) AS members FROM hs WHERE genus IN (SELECT x.genus FROM hs x JOIN hs y ON y.genus = x.genus AND x.member < y.member
-        WHERE (x.member, y.member) NOT IN (SELECT (seed, id) FROM eu) AND (y.member, x.member) NOT IN (SELECT (seed, id) FROM eu)) GROUP BY genus)""",
-)
+        WHERE (x.member, y.member) NOT IN (SELECT (seed, id) FROM eu) AND (y.member, x.member) NOT IN (SELECT (seed, id) FROM eu)) GROUP BY genus)"""
+
+
+@query(_GENERA + " ORDER BY members DESC, genus LIMIT 8", more=_EUP.replace(", ".join(map(str, _EUL)), ", ".join(map(str, _SIB))) + _GENERA_CTES)
 def euler_shared_genera(g: Graph) -> DataFrame:
     return regions.shared_genera(g, _SIB)
 
@@ -411,18 +424,26 @@ def term_phrase_fuzzy(g: Graph) -> DataFrame:
     return terms.fuzzy_phrases(g, g.concept.filter("id % 100 = 0").select(F.concat(F.lower("name"), F.lit("s")).alias("phrase")))
 
 
-@query("SELECT c.id, coalesce(t.term, c.name) AS label FROM concept c LEFT JOIN (SELECT concept_id, term, row_number() OVER (PARTITION BY concept_id ORDER BY length(term), lower(term), term) AS k FROM term WHERE lang = 'en') t ON t.concept_id = c.id AND t.k = 1")
+@query("SELECT c.id, coalesce(t.term, c.name) AS label FROM concept c LEFT JOIN (SELECT concept_id, term, row_number() OVER (PARTITION BY concept_id ORDER BY length(term), lower(term), term) AS k FROM term WHERE lang = 'en') t ON t.concept_id = c.id AND t.k = 1", uses=())
 def term_display_label(g: Graph) -> DataFrame:
     return terms.display(g)
 
 
-@query(
-    """SELECT c.id, left(c.name || coalesce(' is ' || ge.v, '') || coalesce('; ' || re.v, '') || coalesce('. Species: ' || sp.v, ''), 1000) AS definition, re.v IS NULL AND sp.v IS NULL AND ge.v IS NOT NULL AS weak FROM concept c
-    LEFT JOIN (SELECT e.subject, string_agg(DISTINCT d.name, ', ' ORDER BY d.name) AS v FROM edge e JOIN concept d ON d.id = e.target WHERE e.status = 'ok' AND e.code = '14' GROUP BY e.subject) ge ON ge.subject = c.id
-    LEFT JOIN (SELECT target, string_agg(name, ', ' ORDER BY k) AS v FROM (SELECT o.target, d.name, row_number() OVER (PARTITION BY o.target ORDER BY d.name, o.subject) AS k FROM okg o JOIN concept d ON d.id = o.subject) GROUP BY target) sp ON sp.target = c.id
-    LEFT JOIN (SELECT subject, string_agg(w, '; ' ORDER BY k) AS v FROM (SELECT e.subject, coalesce(r.name, e.code) || CASE WHEN e.strength = 0 THEN ' not ' ELSE ' ' END || coalesce(d.name, '?') AS w, row_number() OVER (PARTITION BY e.subject ORDER BY CAST(e.code AS INT), e.target, e.strength NULLS FIRST, e.id) AS k
-      FROM edge e LEFT JOIN rule r ON r.code = e.code LEFT JOIN concept d ON d.id = e.target WHERE e.status = 'ok' AND e.code <> '14') GROUP BY subject) re ON re.subject = c.id"""
-)
+def _case(values: dict[str, str], key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+#: Definitions: relations from both ends, genera with contexts, species.
+_DEFINED = f"""sr AS (SELECT e.subject AS id, 0 AS inc, e.code, e.target AS o, e.strength, e.id AS edge, CASE WHEN e.code = '20' THEN CASE WHEN strength IS NULL THEN 'attribute' WHEN strength = 0 THEN 'no' WHEN strength >= 90 THEN 'inherent' WHEN strength >= 50 THEN 'typical' WHEN strength >= 10 THEN 'sometimes' ELSE 'rarely' END
+      ELSE CASE WHEN strength = 0 THEN 'not ' ELSE '' END || {_case(terms.LABELS_OUT["en"], "e.code")} END AS lb, CASE WHEN strength > 0 THEN ' (' || strength || '%)' ELSE '' END AS sh FROM edge e WHERE status = 'ok' AND code <> '14'
+    UNION ALL SELECT e.target, 1, e.code, e.subject, e.strength, e.id, CASE WHEN r.mutual THEN coalesce({_case(terms.LABELS_OUT["en"], "e.code")}, {_case(terms.LABELS_IN["en"], "e.code")}) ELSE {_case(terms.LABELS_IN["en"], "e.code")} END, '' FROM edge e LEFT JOIN rule r ON r.code = e.code WHERE status = 'ok' AND e.code <> '14' AND (strength IS NULL OR strength <> 0)),
+  sx AS (SELECT s.id, string_agg(s.lb || ': ' || coalesce(d.name, '?') || s.sh, '; ' ORDER BY s.inc, s.code, s.o, s.strength NULLS FIRST, s.edge) AS v FROM sr s LEFT JOIN concept d ON d.id = s.o WHERE s.lb IS NOT NULL GROUP BY s.id),
+  gx AS (SELECT e.subject AS id, CASE WHEN count(*) = 1 THEN min(coalesce(d.name, '?')) ELSE string_agg(coalesce(d.name, '?') || ' [' || coalesce(u.name, CAST(e.context AS VARCHAR)) || ']', '; ' ORDER BY e.id) END AS v FROM edge e LEFT JOIN concept d ON d.id = e.target LEFT JOIN universe u ON u.id = e.context WHERE e.status = 'ok' AND e.code = '14' GROUP BY e.subject),
+  kx AS (SELECT o.target AS id, string_agg(coalesce(d.name, '?'), ', ' ORDER BY coalesce(d.name, '?'), o.subject) AS v FROM okg o LEFT JOIN concept d ON d.id = o.subject GROUP BY o.target),
+  df AS (SELECT c.id, c.context, left(c.name || ' — ' || coalesce(g.v, 'universe (no genus)') || coalesce('; ' || s.v, '') || coalesce('. Species: ' || k.v, ''), 1000) AS definition, s.v IS NULL AND k.v IS NULL AND g.v IS NOT NULL AS weak FROM concept c LEFT JOIN gx g ON g.id = c.id LEFT JOIN sx s ON s.id = c.id LEFT JOIN kx k ON k.id = c.id)"""
+
+
+@query("SELECT id, definition, weak FROM df", more=_DEFINED, uses=("okg",))
 def concept_definition(g: Graph) -> DataFrame:
     return terms.definitions(g)
 
@@ -683,23 +704,54 @@ def related_topk(g: Graph) -> DataFrame:
     return retrieval.related(g, retrieval.found_concepts(g, _questions(g)))
 
 
-@query()
+#: The largest group of linked concepts of each question: links are direct or by a common neighbour.
+_LINKED = """nbr AS (SELECT subject AS x, target AS y FROM edge WHERE status = 'ok' AND subject <> target UNION SELECT target, subject FROM edge WHERE status = 'ok' AND subject <> target),
+  fn AS (SELECT f.qid, f.id, n.y FROM {0} f JOIN nbr n ON n.x = f.id), lk AS (SELECT f.qid, f.id AS a, f.y AS b FROM fn f JOIN {0} g ON g.qid = f.qid AND g.id = f.y UNION SELECT f.qid, f.id, g.id FROM fn f JOIN fn g ON g.qid = f.qid AND g.y = f.y AND g.id <> f.id),
+  lr AS (SELECT qid, a AS id, a AS o FROM lk UNION SELECT lr.qid, lr.id, lk.b FROM lr JOIN lk ON lk.qid = lr.qid AND lk.a = lr.o), lc AS (SELECT qid, id, min(o) AS comp FROM lr GROUP BY qid, id),
+  lb AS (SELECT qid, comp FROM (SELECT qid, comp, count(*) AS n FROM lc GROUP BY qid, comp) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC, comp) = 1),
+  cn AS (SELECT f.qid, f.id FROM {0} f LEFT JOIN lc ON lc.qid = f.qid AND lc.id = f.id LEFT JOIN lb ON lb.qid = f.qid WHERE lb.comp IS NULL OR lc.comp = lb.comp)"""
+
+
+@query("SELECT qid, id FROM cn", more=_FOUND + ", " + _LINKED.format("fc"), uses=())
 def connected_concepts(g: Graph) -> DataFrame:
     return retrieval.connected(g, retrieval.found_concepts(g, _questions(g)))
 
 
-@query()
-def grounded_prompts(g: Graph) -> DataFrame:
-    return retrieval.prompts(g, _questions(g))
+#: Names as near words see them, by language, and the words of questions as they are asked.
+_ASKED_WORDS = f"""qs AS ({_QUESTIONS}), aw AS (SELECT qid, 'en' AS lang, list_filter(list_transform(regexp_split_to_array(question, '\\s+'), lambda w: lower(trim(w, '.,?!()\"''«»'))), lambda w: w <> '' AND w NOT IN ({_STOPS})) AS w FROM qs),
+  ag AS (SELECT qid, n, i - 1 AS place, array_to_string(w[i:i + n - 1], ' ') AS ph FROM (SELECT qid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM aw CROSS JOIN (SELECT unnest([3, 2, 1]) AS n) nn)), ph AS (SELECT DISTINCT n, ph FROM ag),
+  tl AS (SELECT DISTINCT concept_id AS id, lang, translate(lower(term), 'ё', 'е') AS t, len(string_split(term, ' ')) AS n FROM term),
+  kl AS (SELECT DISTINCT id, lang, key FROM (SELECT concept_id AS id, lang, lower(regexp_replace(trim(term), '\\s+', ' ', 'g')) AS key FROM term UNION ALL SELECT id, 'name', lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) FROM concept)),
+  ah AS (SELECT p.ph, k.id, CASE WHEN k.lang = 'en' THEN 0 ELSE 20 END AS tier FROM ph p JOIN kl k ON k.key = p.ph WHERE p.n > 1
+    UNION SELECT p.ph, t.id, CASE WHEN t.lang = 'en' THEN 10 ELSE 30 END FROM ph p JOIN tl t ON t.n = p.n AND left(t.t, 2) = left(p.ph, 2) WHERE p.n > 1 AND {_near("split_part(p.ph, ' ', 1)", "split_part(t.t, ' ', 1)")} AND {_near("split_part(p.ph, ' ', 2)", "split_part(t.t, ' ', 2)")} AND (p.n < 3 OR {_near("split_part(p.ph, ' ', 3)", "split_part(t.t, ' ', 3)")})
+    UNION SELECT p.ph, t.id, CASE WHEN t.lang = 'en' THEN 0 ELSE 20 END + CASE WHEN p.ph = t.t THEN 1 ELSE 2 END FROM ph p JOIN tl t ON t.n = 1 AND left(t.t, 2) = left(p.ph, 2) WHERE p.n = 1 AND {_near("p.ph", "t.t")}),
+  ab AS (SELECT ph, id FROM ah QUALIFY tier = min(tier) OVER (PARTITION BY ph)), af AS (SELECT qid, id, -min(st[1]) AS words, arg_min(st[2], st) AS place FROM (SELECT g.qid, b.id, [-g.n, g.place] AS st FROM ag g JOIN ab b ON b.ph = g.ph) GROUP BY qid, id),
+  {_LINKED.format("af")}, aq AS (SELECT af.qid, af.id, words, place FROM af JOIN cn ON cn.qid = af.qid AND cn.id = af.id QUALIFY row_number() OVER (PARTITION BY af.qid ORDER BY words DESC, place, af.id) <= 8)"""
+_FACT = "'[' || u.name || '] ' || array_to_string(string_split(split_part(d.definition, '. Species:', 1), '; ')[1:3], '; ')"
 
 
-@query()
+@query("SELECT qid, id, CAST(words AS BIGINT) AS words, CAST(place AS BIGINT) AS place FROM aq", more=_ASKED_WORDS, uses=(), small=True)
 def asked_concepts(g: Graph) -> DataFrame:
     """What every question is about: near words too, and only concepts that are linked."""
     return retrieval.asked(g, _questions(g))
 
 
-@query()
+@query(
+    """SELECT qs.qid, 'Facts:' || chr(10) || coalesce(k.v, '(none)') || coalesce(chr(10) || chr(10) || 'Related facts, one step away:' || chr(10) || n.v, '') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' AS prompt FROM qs
+      LEFT JOIN (SELECT qid, string_agg('- ' || fact, chr(10) ORDER BY words DESC, place, aq.id) AS v FROM aq JOIN fx ON fx.id = aq.id GROUP BY qid) k ON k.qid = qs.qid LEFT JOIN (SELECT qid, string_agg('- ' || fact, chr(10) ORDER BY links DESC, rl.id) AS v FROM rl JOIN fx ON fx.id = rl.id GROUP BY qid) n ON n.qid = qs.qid""",
+    more=_ASKED_WORDS
+    + ", "
+    + _DEFINED
+    + f""", fx AS (SELECT d.id, {_FACT} AS fact FROM df d JOIN universe u ON u.id = d.context),
+      rl AS (SELECT qid, id, links FROM (SELECT f.qid, l.o AS id, count(*) AS links FROM aq f JOIN (SELECT subject AS i, target AS o FROM edge WHERE status = 'ok' UNION ALL SELECT target, subject FROM edge WHERE status = 'ok' AND code <> '14') l ON l.i = f.id WHERE NOT EXISTS (SELECT 1 FROM aq x WHERE x.qid = f.qid AND x.id = l.o) GROUP BY f.qid, l.o) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY links DESC, id) <= 10)""",
+    uses=("okg",),
+    small=True,
+)
+def grounded_prompts(g: Graph) -> DataFrame:
+    return retrieval.prompts(g, _questions(g))
+
+
+@query(f"SELECT d.id, {_FACT} AS fact FROM df d JOIN universe u ON u.id = d.context", more=_DEFINED, uses=("okg",))
 def facts_block(g: Graph) -> DataFrame:
     return retrieval.facts(g, g.concept.select("id"))
 
@@ -985,3 +1037,7 @@ def qa_verified(g: Graph) -> DataFrame:
 def qa_report(g: Graph) -> DataFrame:
     """What a batch of records holds."""
     return qa.report(qa.records(g, seed=42, count=200))
+
+
+# the queries of changes, words and diagrams register themselves
+from ontoloom import queries_changes  # noqa: E402, F401

@@ -8,7 +8,8 @@ import pytest
 from ontoloom import queries as core
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "pages", "documents")
+SQL = core.ORACLE_SQL | core.SMALL_SQL
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +24,10 @@ def cells(table, cols):
     return sorted(str([r[c] for c in cols]) for r in table.to_pylist())
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, duck, name):
     got = core.QUERIES[name](spark, SF).toArrow()
-    want = duck.sql(core.ORACLE_SQL[name]).arrow()
+    want = duck.sql(SQL[name]).arrow()
     want = want if hasattr(want, "column_names") else want.read_all()
     cols = sorted(got.column_names)
     assert cols == sorted(want.column_names)
