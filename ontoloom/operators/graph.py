@@ -56,10 +56,14 @@ def extents(g: Graph, seeds: DataFrame, context: int = 1) -> DataFrame:
 
 
 def merged_closure(g: Graph, most: int = 25) -> DataFrame:
-    """The stored closure of all contexts: (ancestor, descendant, depth), no concept with itself, explicit negatives counted."""
+    """The stored closure of all contexts: (ancestor, descendant, depth), no concept with itself, explicit negatives counted. Written once for a
+    graph."""
+    if ("merged", most) in g.kept:
+        return g.kept["merged", most]
     step = g.edge.filter((F.col("status") == "ok") & (F.col("code") == GENUS)).select(F.col("subject").alias("a"), F.col("target").alias("b")).distinct()
     all_ = reach(step, g.concept.select(F.col("id").alias("seed"), F.col("id").alias("node")), most)
-    return all_.filter("seed <> node").select(F.col("node").alias("ancestor"), F.col("seed").alias("descendant"), "depth")
+    g.kept["merged", most] = materialized(all_.filter("seed <> node").select(F.col("node").alias("ancestor"), F.col("seed").alias("descendant"), "depth"))
+    return g.kept["merged", most]
 
 
 def navigate(g: Graph, ids: DataFrame, op: str, context: int = 1) -> DataFrame:
