@@ -55,8 +55,8 @@ def fuzzy(g: Graph, words: DataFrame, lang: str | None = "en") -> DataFrame:
     """words (word) to (word, id, tier): exact one-word terms (1), else near ones (2); of a language, or of any. Words meet under keys
     that near words share, so blocks hold little but matches."""
     t = (g.term if lang is None else g.term.filter(F.col("lang") == lang)).select(F.col("concept_id").alias("id"), text.loose_key(F.col("term")).alias("t")).filter(~F.col("t").contains(" "))
-    t = t.distinct().withColumn("key", F.explode(text.match_keys(F.col("t"))))
-    w = words.select("word", text.loose_key(F.col("word")).alias("w")).distinct().withColumn("key", F.explode(text.match_keys(F.col("w"))))
+    t = t.distinct().withColumn("key", F.explode(text.match_keys(F.col("t"), False)))
+    w = words.select("word", text.loose_key(F.col("word")).alias("w")).distinct().withColumn("key", F.explode(text.match_keys(F.col("w"), True)))
     hit = w.join(t, "key").filter(text.near(F.col("w"), F.col("t"))).select("word", "id", F.when(F.col("w") == F.col("t"), 1).otherwise(2).alias("tier"))
     best = hit.groupBy("word", "id").agg(F.min("tier").alias("tier"))
     least = best.groupBy("word").agg(F.min("tier").alias("least"))
@@ -69,12 +69,12 @@ def fuzzy_phrases(g: Graph, phrases: DataFrame, lang: str | None = "en") -> Data
     t = (g.term if lang is None else g.term.filter(F.col("lang") == lang)).select(F.col("concept_id").alias("id"), text.loose_key(F.col("term")).alias("t")).distinct()
     p = phrases.select("phrase", text.loose_key(F.col("phrase")).alias("p")).distinct()
 
-    def keyed(df: DataFrame, c: str) -> DataFrame:
+    def keyed(df: DataFrame, c: str, side: bool) -> DataFrame:
         words = F.split(c, " ")
-        df = df.withColumn("n", F.size(words)).withColumn("head", F.explode(text.match_keys(F.element_at(words, 1))))
-        return df.withColumn("tail", F.explode(text.match_keys(F.element_at(words, -1))))
+        df = df.withColumn("n", F.size(words)).withColumn("head", F.explode(text.match_keys(F.element_at(words, 1), side)))
+        return df.withColumn("tail", F.explode(text.match_keys(F.element_at(words, -1), side)))
 
-    both = keyed(p, "p").join(keyed(t, "t"), ["n", "head", "tail"])
+    both = keyed(p, "p", True).join(keyed(t, "t", False), ["n", "head", "tail"])
     return both.filter(text.near_phrase(F.col("p"), F.col("t"))).select("phrase", "id").distinct()
 
 

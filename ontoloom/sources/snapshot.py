@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +47,26 @@ def from_parquet(spark: SparkSession, folder: str) -> Graph:
     return _graph(spark, {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in LISTS})
 
 
-def from_database(spark: SparkSession, environ: Mapping[str, str] = os.environ) -> Graph:
-    """The five lists as tables of a database, read by JDBC."""
-    options = database_options(environ)
-    return _graph(spark, {name: spark.read.format("jdbc").options(**options, dbtable=name).load() for name in LISTS})
+def from_database(spark: SparkSession, environ: Mapping[str, str] = os.environ, options: Mapping[str, str] | None = None, quote: str = "`") -> Graph:
+    """The five lists as tables of a database, read by JDBC as one snapshot.
+
+    Reads in several connections, or one after another, can see different states. So all lists are read by one statement, which every
+    database answers from one state: a union of the lists, each with columns of its own. It is one task's read, as one connection is, and
+    is written at once; a graph too large for that is kept as files (``from_parquet``). options: JDBC options instead of those of the
+    environment; quote: the database's quotation mark for names."""
+    options = dict(options or database_options(environ))
+    rows = spark.read.format("jdbc").options(**options, query=snapshot_query(quote), numPartitions="1").load()
+    rows = materialized(rows.toDF("of", *(f"{name}_{old}" for name, (_, names) in LISTS.items() for old in names)))
+    return _graph(spark, {name: rows.filter(F.trim("of") == name).select(*[F.col(f"{name}_{old}").alias(old) for old in names]) for name, (_, names) in LISTS.items()})
+
+
+def snapshot_query(quote: str = "`") -> str:
+    """One statement for all lists: the list's name, then the columns of all lists, null but for its own."""
+    number, text = ("SIGNED", "CHAR") if quote == "`" else ("BIGINT", "VARCHAR(2000)")
+    columns = [(name, old, text if schema[new].dataType == T.StringType() else number) for name, (schema, names) in LISTS.items() for old, new in names.items()]
+    q = lambda x: f"{quote}{x}{quote}"
+    one = lambda name: f"SELECT CAST('{name}' AS {text}) AS c0, " + ", ".join(f"{q(old) if of == name else f'CAST(NULL AS {kind})'} AS c{i}" for i, (of, old, kind) in enumerate(columns, 1)) + f" FROM {q(name)}"
+    return " UNION ALL ".join(map(one, LISTS))
 
 
 def database_options(environ: Mapping[str, str]) -> dict[str, str]:
@@ -127,12 +145,66 @@ def write_frequencies(words: DataFrame, path: str) -> None:
 
 
 def write_version(g: Graph, folder: str) -> None:
-    """All tables of a graph as one new version, with the digest of its edges."""
-    for name in ("concept", "term", "edge", "rule", "anchor", "context"):
+    """All tables of a graph as one new version, with the digests of its tables."""
+    for name in VERSIONED:
         getattr(g, name).write.mode("errorifexists").parquet(f"{folder}/{name}.parquet")
-    fingerprint(g.edge).write.mode("errorifexists").parquet(f"{folder}/digest.parquet")
+    _digests(g).write.mode("errorifexists").parquet(f"{folder}/digest.parquet")
+
+
+VERSIONED = ("concept", "term", "edge", "rule", "anchor", "context")
+
+
+def _digests(g: Graph) -> DataFrame:
+    """(table, rows, digest) of every table."""
+    return reduce(DataFrame.union, [fingerprint(getattr(g, name)).select(F.lit(name).alias("table"), "rows", "digest") for name in VERSIONED])
+
+
+def commit_version(g: Graph, folder: str, expected: str | None = None) -> str:
+    """Write a graph as a new version below folder and make it the current one, whose name is returned. The tables of a version are never
+    written again; what is current is one small file, which a rename replaces as a whole, so a reader sees the old version or the new one
+    and a job that fails on its way leaves the old one. expected: refuse if another version than this is current by now."""
+    spark, name = g.spark, uuid.uuid4().hex
+    if expected is not None and current_name(spark, folder) != expected:
+        raise SnapshotError("another version is current")
+    write_version(g, f"{folder}/versions/{name}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}")
+    new = path(f"CURRENT-{name}")
+    out = new.getFileSystem(conf).create(new, False)
+    try:
+        out.write(bytearray(name.encode()))
+    finally:
+        out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, path("CURRENT"), overwrite)
+    return name
+
+
+def current_name(spark: SparkSession, folder: str) -> str | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.text(str(at.toString()), wholetext=True).first()[0]
+
+
+def current_version(spark: SparkSession, folder: str) -> Graph:
+    """The graph of the current version, if its tables have the digests that were written with them."""
+    name = current_name(spark, folder)
+    if name is None:
+        raise SnapshotError("no version is current")
+    at = f"{folder}/versions/{name}"
+    g = Graph(spark, *(spark.read.parquet(f"{at}/{t}.parquet") for t in VERSIONED))
+    if _digests(g).exceptAll(spark.read.parquet(f"{at}/digest.parquet").select("table", "rows", "digest")).take(1):
+        raise SnapshotError(f"version {name} is damaged")
+    return g
 
 
 def collected(examples: DataFrame, identity: list[str], most: int = 50, most_bytes: int = 4 << 20) -> DataFrame:
-    """Saved examples: one of each identity, at most so many, none beyond the size."""
-    return examples.filter(F.octet_length(F.to_json(F.struct(*examples.columns))) <= most_bytes).dropDuplicates(identity).orderBy(*identity).limit(most)
+    """Saved examples: one of each identity, in the order of identities at most so many, and of these the first that fit into so many bytes of
+    JSON lines together."""
+    size = F.octet_length(F.to_json(F.struct(*examples.columns))) + 1
+    first = examples.dropDuplicates(identity).orderBy(*identity).limit(most)  # at most fifty rows
+    total = F.sum(size).over(Window.orderBy(*identity).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("total_", total).filter(F.col("total_") <= most_bytes).drop("total_")
