@@ -151,6 +151,15 @@ def shared_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in last] + [pa.array([h]) for h in first_head], [*b.schema.names, *(f"head_{n}" for n in b.schema.names[1:])])
 
 
+def of_a_size(members: DataFrame, percent: int) -> DataFrame:
+    """members (bundle, key, label, n) to (bundle, key, label), bundles cut by the sets' sizes. The sizes of two sets that link are at least
+    percent / 100 of each other, so their classes by that ratio are the same or next to each other: a set is in the part of its
+    class and in that of the class below, and any two that can link meet in one."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    parts = members.withColumn("c", F.explode(F.array(size, size - 1) if percent < 100 else F.array(size)))
+    return parts.select(F.xxhash64("bundle", "c").alias("bundle"), "key", "label")
+
+
 def short_partners(short: DataFrame) -> DataFrame:
     """Short lists' rows (token, key, n, label) in any order, to the pairs (u, v) that meet often enough. In all lists two sets stand in
     one order, that of size and key, so what they share is counted on one side."""
@@ -297,8 +306,9 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     per_list = labelled.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     per_list = tables.write(per_list.select("token", (F.col("members") > LONG).alias("long")))
     # long lists: every pair that meets in one is found there, whatever else it shares
-    long_members = semi(labelled, per_list.filter("long").select("token"), "token").select("token", "key", "label")
-    long_members = bundled(tables, long_members)
+    long_members = semi(labelled, per_list.filter("long").select("token"), "token").select("token", "key", "n", "label")
+    sizes = long_members.select("key", "n").distinct()
+    long_members = tables.write(of_a_size(bundled(tables, long_members.select("token", "key", "label")).join(sizes, "key"), percent))
     texts = texts_of(long_members.select("key").distinct())
     links = links.union(linked_lists(tables, long_members, texts, to_set, percent, BLOCK_CHARS))
     # short lists: of each set the lists are merged with counts

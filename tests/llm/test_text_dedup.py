@@ -217,3 +217,21 @@ def test_line_signatures():
         exact += 1 - (1 - j**lines.ROWS) ** lines.BANDS
         met += bool((lines.bands([x])[0] == lines.bands([y])[0]).any())
     assert abs(met - exact) < 0.05 * pairs
+
+
+def test_short_lists_with_ties(spark):
+    """Two sets of one size meet in eight lists whichever of them stands first in each; sets of one label do not."""
+    rows = [(t, k, 100, k) for t in range(8) for k in ((1, 2) if t % 2 else (2, 1))] + [(t, k, 100, 7) for t in range(8) for k in (5, 6)]
+    got = jaccard.short_partners(spark.createDataFrame(rows, "token long, key long, n long, label long").repartition(5))
+    pairs = {tuple(r) for r in got.collect()}
+    assert (1, 2) in pairs and (5, 6) not in pairs and len(pairs) == 5
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_parts_by_size(spark, percent):
+    """Any two sizes that can link meet in a part of their bundle."""
+    sizes = [*range(1, 70), 100, 133, 134, 1000, 1333, 1334, 10**6, 4 * 10**6 // 3]
+    got = jaccard.of_a_size(spark.createDataFrame([(1, n, n, n) for n in sizes], "bundle long, key long, label long, n long"), percent).collect()
+    parts = {n: {r["bundle"] for r in got if r["key"] == n} for n in sizes}
+    assert all(parts[a] & parts[b] for a in sizes for b in sizes if a <= b and 100 * a >= percent * b)
+    assert not parts[10] & parts[1000]

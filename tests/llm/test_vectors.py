@@ -146,3 +146,17 @@ def test_centroid_graph_finds_the_nearest():
     ids, dist = ann.CentroidGraph(c).search(q, 32)
     assert (ids[:, 0] == np.argmax(q @ c.T, axis=1)).mean() > 0.95
     assert (np.diff(dist, axis=1) >= 0).all()
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ("1A 1B 2A 5A 3C", {1: 3, 2: 2, 5: 2, 3: 1}),
+        ("0B 1A 1B 3C", {0: 2, 1: 2, 3: 2}),
+    ],
+)
+def test_near_counts_by_class(spark, rows, want):
+    """Of rows that repeat a vec_id with different vectors each counts as a vector; links are those of its own class (C is near B)."""
+    made = {"A": [1.0, 0.0, 0.0], "B": [0.0, 1.0, 0.0], "C": [0.0, 1.0, 0.1]}
+    df = spark.createDataFrame([(int(r[0]), made[r[1]]) for r in rows.split()], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dups.near(df, 0.95).collect()} == want
