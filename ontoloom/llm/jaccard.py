@@ -161,10 +161,18 @@ def of_a_size(members: DataFrame, percent: int) -> DataFrame:
 
 
 def short_partners(short: DataFrame) -> DataFrame:
-    """Short lists' rows (token, key, n, label) in any order, to the pairs (u, v) that meet often enough. In all lists two sets stand in
-    one order, that of size and key, so what they share is counted on one side."""
+    """Short lists' rows (token, key, n, label) in any order, to the pairs (u, v, c) that meet often enough, and how often. In all lists two
+    sets stand in one order, that of size and key, so what they share is counted on one side."""
     partners = short.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_partners, "key long, need long, list array<long>")
-    return partners.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "u long, v long").distinct()
+    return partners.repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "u long, v long, c long").distinct()
+
+
+def can_link(n: Column, m: Column, c: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can link that share c of the tokens kept in lists. Up to where the first of their two prefixes ends in
+    the order of all tokens they share no more than these c, and beyond that no more than the rest of the set whose prefix it is."""
+    rest = lambda x: F.ceil(x * percent / 100) - F.greatest(F.lit(1), F.floor(x * SHARE))
+    needed = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    return (c + F.greatest(rest(n), rest(m)) >= needed) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
 def _partners(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +215,17 @@ def _partners(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, need, list) sorted by key to the pairs (u, v) of a key with what its lists, merged, hold often enough."""
+    """Rows (key, need, list) sorted by key to the pairs (u, v, c) of a key with what its lists, merged, hold often enough."""
     for group in runs(it, 1):
         merged = np.sort(np.concatenate([b.column("list").flatten().to_numpy() for b in group]))
         opens = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         count = np.diff(np.append(opens, len(merged)))
         key, need = group[0].column("key")[0].as_py(), group[0].column("need")[0].as_py()
-        found = merged[opens][count >= need]
+        enough = count >= need
+        found, times = merged[opens][enough], count[enough]
         for k in range(0, len(found), OUT):
             x = found[k : k + OUT]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, key)), pa.array(np.maximum(x, key))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, key)), pa.array(np.maximum(x, key)), pa.array(times[k : k + OUT])], ["u", "v", "c"])
 
 
 def _texts(words: int):
@@ -313,8 +322,11 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     links = links.union(linked_lists(tables, long_members, texts, to_set, percent, BLOCK_CHARS))
     # short lists: of each set the lists are merged with counts
     short = semi(labelled, per_list.filter("not long").select("token"), "token").select("token", "key", "n", "label")
-    met = short_partners(short)
-    links = links.union(verified(met))
+    met = tables.write(short_partners(short))
+    # pairs that meet in a long list were found there; of the rest only those that what they share leaves possible are looked at
+    sizes = tables.write(semi(rows.filter("key is not null").select("key", "n"), met.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key").distinct())
+    sized = meeting(meeting(met, sizes.toDF("u", "n"), "u"), sizes.toDF("v", "m"), "v")
+    links = links.union(verified(sized.filter(can_link(F.col("n"), F.col("m"), F.col("c"), percent)).select("u", "v")))
     found = tables.write(components(links))
     tables.drop(lists, labelled, long_members, texts, per_list)
     # the class of a row, and the least id of the class's component

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ontoloom.llm import components as connected
 from ontoloom.llm import jaccard, lines, search, substrings
@@ -224,7 +225,25 @@ def test_short_lists_with_ties(spark):
     rows = [(t, k, 100, k) for t in range(8) for k in ((1, 2) if t % 2 else (2, 1))] + [(t, k, 100, 7) for t in range(8) for k in (5, 6)]
     got = jaccard.short_partners(spark.createDataFrame(rows, "token long, key long, n long, label long").repartition(5))
     pairs = {tuple(r) for r in got.collect()}
-    assert (1, 2) in pairs and (5, 6) not in pairs and len(pairs) == 5
+    assert (1, 2, 8) in pairs and (5, 6, 8) not in pairs and len(pairs) == 5
+
+
+def test_pairs_that_can_link(spark):
+    """Whatever two sets share, if they link then what their prefixes share does not rule them out."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(400):
+        n = int(rng.integers(1, 60))
+        a = rng.choice(100, n, replace=False)
+        b = np.union1d(rng.permutation(a)[: n - int(rng.integers(0, 1 + n // 6))], 100 + rng.choice(100, int(rng.integers(0, 1 + n // 6)), replace=False))
+        both, order = len(np.intersect1d(a, b)), rng.permutation(200)
+        prefix = lambda x: sorted(x, key=lambda t: order[t])[: len(x) - -(-len(x) * 75 // 100) + max(1, int(len(x) * jaccard.SHARE))]
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            rows.append((len(a), len(b), len(set(prefix(a)) & set(prefix(b)))))
+    assert len(rows) > 100
+    got = spark.createDataFrame(rows, "n long, m long, c long").filter(~jaccard.can_link(F.col("n"), F.col("m"), F.col("c"), 75))
+    assert got.count() == 0
+    assert spark.createDataFrame([(100, 100, 5)], "n long, m long, c long").filter(jaccard.can_link(F.col("n"), F.col("m"), F.col("c"), 75)).count() == 0
 
 
 @pytest.mark.parametrize("percent", [50, 75, 90])
