@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ontoloom.operators import lexical, qa, reviewed
@@ -61,9 +62,10 @@ def test_batch_is_whole_or_nothing(spark):
     new = out.created.first()["id"]
     assert {(r["subject"], r["code"], r["target"], r["status"]) for r in out.graph.edge.collect()} >= {(3, "14", 2, "rejected"), (3, "14", 1, "ok"), (new, "14", 2, "ok"), (new, "22", 4, "ok")}
     assert reviewed.regressions(g, out.graph, batch(spark, checks=[(3, "14", 1, True, None), (3, "14", 2, False, None)], subtree_checks=[(3, 2, False), (new, 1, True)])).filter("issue like '%check'").count() == 0
-    for bad, fault in (({"repairs": [(2, 3, "14", 1, 1)]}, "edge changed"), ({"edges": [(4, None, "22", 1, None, 1, 50)]}, "changes a strength"), ({"edges": [(1, None, "14", 3, None, 1, None)]}, "cycle"), ({"edges": [(1, None, "22", 99, None, 1, None)]}, "missing"), ({"edges": [(2, "none", "22", None, "none", 1, None)]}, "unknown end")):
-        out = reviewed.applied(g, batch(spark, **{**good, **bad}))
-        assert out.graph is g and out.counts.count() == 0 and fault in {r["fault"] for r in out.faults.collect()}, fault
+    bad = {"repairs": [(2, 3, "14", 1, 1)], "edges": [(4, None, "22", 1, None, 1, 50), (1, None, "14", 3, None, 1, None), (1, None, "22", 99, None, 1, None), (2, "none", "22", None, "none", 1, None)]}
+    out = reviewed.applied(g, batch(spark, **{**good, **bad}))
+    assert out.graph is g and out.counts.count() == 0
+    assert {r["fault"] for r in out.faults.collect()} >= {"edge changed", "changes a strength", "cycle", "missing", "unknown end"}
     again = reviewed.applied(reviewed.applied(g, batch(spark, **good)).graph, batch(spark, **good))
     assert again.faults.count() == 0 and dict(rows(again.counts)) == {"edges_reused": 2}
 
@@ -104,7 +106,7 @@ def test_noun_forms(spark):
     assert {"печатание", "печать"} <= one("печатать") and "полание" not in one("поливать")
     assert {"планир", "планирование"} & one("планировать") and "импорт" in one("импортировать") and "импортация" in one("импортировать")
     stem = lambda v: spark.range(1).select(lexical.verb_stem(F.lit(v)), lexical.noun_stem(F.lit(v)), lexical.is_infinitive(F.lit(v))).first()
-    assert tuple(stem("учиться"))[0] == "учить"[:-3] + "ить"[:0] or stem("учиться")[0] in ("уч", "учить")
+    assert stem("учиться")[0] == "учи" and stem("рисовать")[0] == "рис"
     assert stem("твердость")[2] is False and stem("писать")[2] is True and stem("рисование")[1] == "рис"
 
 
@@ -137,7 +139,7 @@ def test_tampering(spark, made, column, value, error, tasks):
     """Whatever is changed in a record of any task is found."""
     g = derived(spark, SF)
     wanted = list(qa.TASKS) if tasks == "all" else tasks.split()
-    part = made.filter(F.col("task").isin(*wanted)).withColumn("n", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("task").orderBy("id"))).filter("n <= 4").drop("n")
+    part = made.filter(F.col("task").isin(*wanted)).withColumn("n", F.row_number().over(Window.partitionBy("task").orderBy("id"))).filter("n <= 4").drop("n")
     kind = dict(part.dtypes)[column]
     out = qa.verified(g, materialized(part.withColumn(column, F.expr(value).cast(kind)))).collect()
     assert len(out) >= len(wanted) and all(error in r["errors"].split(",") for r in out)
