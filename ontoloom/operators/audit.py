@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text
@@ -165,6 +165,13 @@ def frontier(g: Graph, below: int = 2, context: int | None = None) -> DataFrame:
     return c.join(n, "id", "left").select("id", "processed", F.coalesce("children", F.lit(0)).alias("children"))
 
 
+def frontier_first(g: Graph, most: int, below: int = 2, context: int | None = None) -> DataFrame:
+    """(id, place): the first concepts of the frontier: thin branches, by their number of children, then leaves; ties by id."""
+    order = (F.when(F.col("children") > 0, 0).otherwise(1).asc(), F.col("children").asc(), F.col("id").asc())
+    first = frontier(g, below, context).orderBy(*order).limit(most)  # each task keeps so many
+    return first.select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # of these rows alone
+
+
 def totals(g: Graph) -> DataFrame:
     """(metric, value): concepts, edges, candidates, paths (pairs of the stored closure), and concepts by context and by level."""
     one = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")

@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.operators import batch, lexical, qa, regions, reviewed
+from ontoloom.operators import audit, batch, lexical, qa, regions, reviewed
 from ontoloom.operators import graph as ops
 from ontoloom.plans.tables import materialized
 from ontoloom.queries import _EUL, _EUP, _GENERA, _GENERA_CTES, _IDS, _KEYS, _KIND, _MASK, _x, query, table_query
@@ -440,3 +440,37 @@ def qa_labels(g: Graph) -> DataFrame:
     """The names by which questions call concepts."""
     liked = g.concept.filter("id % 3 = 0").select("id", F.upper("name").alias("term"))
     return qa.question_labels(g, "en", liked, g.concept.filter("id between 200 and 224").select("id"))
+
+
+# small changes
+@query("SELECT status, count(*) AS edges FROM (SELECT CASE WHEN status = 'candidate' THEN 'rejected' ELSE status END AS status FROM edge) GROUP BY status", faults=True, uses=())
+def review_reject(g: Graph) -> DataFrame:
+    """Candidates rejected; accepted and rejected edges stay what they are."""
+    return batch.reviewed(g.edge, g.edge.select("id"), False).groupBy("status").agg(F.count("*").alias("edges"))
+
+
+@query(
+    "SELECT id, name, context FROM concept UNION ALL SELECT (SELECT max(id) FROM concept) + row_number() OVER (ORDER BY context, name), name, context FROM (SELECT DISTINCT name || ' annex' AS name, context FROM concept WHERE id BETWEEN 200 AND 224)",
+    uses=(),
+)
+def concepts_added(g: Graph) -> DataFrame:
+    """Names added to their contexts: those that are there keep their ids, new ones get the next ids."""
+    names = g.concept.select("name", "context").union(g.concept.filter("id between 200 and 224").select(F.concat("name", F.lit(" annex")), "context"))
+    return batch.with_concepts(g, names).select("id", "name", "context")
+
+
+@query(
+    "SELECT c.name, t.term, t.lang FROM (SELECT concept_id, term, lang FROM term UNION SELECT id, name, 'en' FROM concept WHERE id BETWEEN 501 AND 599 UNION SELECT id, 'No. ' || id, 'en' FROM concept WHERE id BETWEEN 501 AND 599) t JOIN (SELECT id, CASE WHEN id BETWEEN 501 AND 599 THEN 'No. ' || id ELSE name END AS name FROM concept) c ON c.id = t.concept_id",
+    uses=(),
+)
+def concepts_renamed(g: Graph) -> DataFrame:
+    """Terms after brands were renamed; a name that its context has already is not given."""
+    names = g.concept.filter("id between 501 and 599").select("id", F.concat(F.lit("No. "), F.col("id").cast("string"))).union(g.concept.filter("id = 200").select("id", F.lit("place")))
+    out = batch.renamed(g, names)
+    return out.term.join(out.concept.select(F.col("id").alias("concept_id"), "name"), "concept_id").select("name", "term", "lang")
+
+
+@query("SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN n > 0 THEN 0 ELSE 1 END, n, id) AS BIGINT) AS place FROM (SELECT c.id, coalesce(n.n, 0) AS n FROM concept c LEFT JOIN (SELECT target, count(*) AS n FROM edge WHERE status = 'ok' AND code = '14' GROUP BY target) n ON n.target = c.id WHERE c.processed < 2) QUALIFY place <= 50", uses=())
+def frontier_order(g: Graph) -> DataFrame:
+    """The first concepts to work on: those with few children first, leaves after all others."""
+    return audit.frontier_first(g, 50)
