@@ -1,12 +1,14 @@
-"""Substring dedup: repeated word sequences found by prefix-partitioned suffix trees.
-
-Every word of a text begins a suffix. Only suffixes whose first words can repeat are kept: each window of ``length`` words
-names the least hash among its ``short`` -word grams, equal windows name equal grams, and a gram that one document alone
-names rules its windows out. The suffixes left are dealt to groups by a prefix of ``short`` words, or of the full length
-where a short prefix would make the group too large. In a group, sorted suffixes are the leaves of a subtree in order;
-leaves that agree on ``length`` words hang under one node of that depth, and maximal repeats are the runs of covered words
-that the leaves under such nodes span. Before the shuffle each task keeps, of the leaves of one node, only those of the
-least document that it has met: all others are known to be repeats.
+"""Substring dedup: repeated word sequences of a fixed length, found by grouping windows by their hashes.
+
+This takes the place of a suffix tree: windows are told apart by two hashes of their words, so there is no order of suffixes by their
+words, no common-prefix length and no maximal repeat; removing every window of ``length`` words that starts earlier needs the
+equality of windows alone. The README has the figures for a tree.
+
+Every word of a text begins a suffix. Only suffixes whose first words can repeat are kept: each window of ``length`` words names the
+least hash among its ``short`` -word grams, equal windows name equal grams, and a gram that one document alone names rules its
+windows out. The windows left are dealt to groups by the hash of their first ``short`` words, or of the full length where a group
+would be large; in a group they are sorted by hash and equal ones stand together. Before the shuffle each task keeps, of equal
+windows, only those of the least document that it has met: all others are known to be repeats.
 """
 
 from __future__ import annotations
