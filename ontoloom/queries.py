@@ -168,16 +168,18 @@ def tree_up(g: Graph) -> DataFrame:
     return ops.tree_up(g, g.concept.select("id"))
 
 
-@query(
-    """SELECT CAST(3 AS BIGINT) AS root, parent, node, depth FROM l1 UNION ALL SELECT 3, parent, node, depth FROM l2 UNION ALL SELECT 3, parent, node, depth FROM l3""",
-    more="""dn AS (SELECT target AS parent, subject AS node FROM okg), sz AS (SELECT parent AS node, count(*) AS n FROM dn GROUP BY parent),
+#: Trees below every concept: levels of the first 200 children by their own numbers of children, each node once a tree.
+_DOWN = """dn AS (SELECT target AS parent, subject AS node FROM okg), sz AS (SELECT parent AS node, count(*) AS n FROM dn GROUP BY parent),
       rk AS (SELECT parent, node FROM (SELECT d.parent, d.node, row_number() OVER (PARTITION BY d.parent ORDER BY coalesce(s.n, 0) DESC, d.node) AS k FROM dn d LEFT JOIN sz s ON s.node = d.node) WHERE k <= 200),
-      l1 AS (SELECT min(parent) AS parent, node, CAST(1 AS BIGINT) AS depth FROM rk WHERE parent = 3 AND node <> 3 GROUP BY node),
-      l2 AS (SELECT min(rk.parent) AS parent, rk.node, CAST(2 AS BIGINT) AS depth FROM rk JOIN l1 ON l1.node = rk.parent WHERE rk.node <> 3 AND rk.node NOT IN (SELECT node FROM l1) GROUP BY rk.node),
-      l3 AS (SELECT min(rk.parent) AS parent, rk.node, CAST(3 AS BIGINT) AS depth FROM rk JOIN l2 ON l2.node = rk.parent WHERE rk.node <> 3 AND rk.node NOT IN (SELECT node FROM l1 UNION SELECT node FROM l2) GROUP BY rk.node)""",
-)
+      l1 AS (SELECT parent AS root, parent, node, CAST(1 AS BIGINT) AS depth FROM rk WHERE node <> parent),
+      l2 AS (SELECT l1.root, min(rk.parent) AS parent, rk.node, CAST(2 AS BIGINT) AS depth FROM l1 JOIN rk ON l1.node = rk.parent WHERE rk.node <> l1.root AND (l1.root, rk.node) NOT IN (SELECT (root, node) FROM l1) GROUP BY l1.root, rk.node),
+      l3 AS (SELECT l2.root, min(rk.parent) AS parent, rk.node, CAST(3 AS BIGINT) AS depth FROM l2 JOIN rk ON l2.node = rk.parent WHERE rk.node <> l2.root AND (l2.root, rk.node) NOT IN (SELECT (root, node) FROM l1 UNION ALL SELECT (root, node) FROM l2) GROUP BY l2.root, rk.node),
+      td AS (SELECT root, parent, node, depth FROM l1 UNION ALL SELECT root, parent, node, depth FROM l2 UNION ALL SELECT root, parent, node, depth FROM l3)"""
+
+
+@query("SELECT root, parent, node, depth FROM td", more=_DOWN, uses=("okg",))
 def tree_down(g: Graph) -> DataFrame:
-    return ops.tree_down(g, g.concept.filter("id = 3").select("id"))
+    return ops.tree_down(g, g.concept.select("id"))
 
 
 @query(
@@ -824,14 +826,10 @@ def child_pages(g: Graph) -> DataFrame:
     return ops.child_pages(g)
 
 
-@query(
-    """SELECT DISTINCT 'up' AS side, root, node, parent, CAST(depth AS BIGINT) AS depth FROM t WHERE depth > 0 AND root BETWEEN 200 AND 224
-      UNION ALL SELECT 'down', target, subject, target, 1 FROM (SELECT DISTINCT subject, target FROM edge WHERE status = 'ok' AND code = '14') WHERE target BETWEEN 200 AND 224""",
-    more=_UP,
-)
+@query("SELECT DISTINCT 'up' AS side, root, node, parent, CAST(depth AS BIGINT) AS depth FROM t WHERE depth > 0 UNION ALL SELECT 'down', root, node, parent, depth FROM td", more=_UP + ", " + _DOWN, uses=("okg",))
 def tree_views(g: Graph) -> DataFrame:
-    """The trees of every nation; nothing lies more than one link below one."""
-    return ops.tree_view(g, g.concept.filter("id between 200 and 224").select("id"))
+    """The trees above and below every concept."""
+    return ops.tree_view(g, g.concept.select("id"))
 
 
 @query("SELECT w AS word, min(id) AS id FROM (SELECT DISTINCT upper(name) AS w FROM concept) q JOIN ka ON ka.key = lower(w) GROUP BY w", more=_KEYS)
