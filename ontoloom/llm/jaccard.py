@@ -26,10 +26,13 @@ from ontoloom.llm.search import bundled, linked_lists, linked_pairs, meeting, ru
 from ontoloom.llm.shared import BROADCAST_ROWS, Tables, batches, semi, ship
 from ontoloom.llm.words import shingles, signed
 
-#: Lists are long beyond so many members. For the order of tokens the bound rises with them, so that at most 2**20 stand last.
-LONG, MOST_LONG = 64, 20
+#: Lists are long beyond so many members. For the order of tokens the bound rises with them, so that at most 2**20 stand last. Members of
+#: shorter lists are compared by counts before any text is shipped, which costs at most so many numbers a member.
+LONG, MOST_LONG = 512, 20
 #: Characters of a block of documents that are searched for each other.
 BLOCK_CHARS = 4_000_000
+#: Tokens of a block, with some eight characters for each.
+BLOCK_TOKENS = BLOCK_CHARS // 8
 #: Share of a set's tokens that a pair must have in common among the short lists.
 SHARE = 0.05
 #: Tokens after which a task counts what it has gathered, and rows that it gives out at a time.
@@ -152,11 +155,13 @@ def shared_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def of_a_size(members: DataFrame, percent: int) -> DataFrame:
-    """members (bundle, key, label, n) to (bundle, key, label), bundles cut by the sets' sizes. The sizes of two sets that link are at least
-    percent / 100 of each other, so their classes by that ratio are the same or next to each other: a set is in the part of its
-    class and in that of the class below, and any two that can link meet in one."""
+    """members (bundle, key, label, n) to (bundle, key, label), bundles of more tokens than a block holds cut by the sets' sizes. The sizes of
+    two sets that link are at least percent / 100 of each other, so their classes by that ratio are the same or next to each other: a
+    set is in the part of its class and in that of the class below, and any two that can link meet in one."""
+    large = members.groupBy("bundle").agg((F.sum("n") > BLOCK_TOKENS).alias("large"))
+    members = members.join(large, "bundle")
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
-    parts = members.withColumn("c", F.explode(F.array(size, size - 1) if percent < 100 else F.array(size)))
+    parts = members.withColumn("c", F.explode(F.when(~F.col("large"), F.array(F.lit(None).cast("long"))).otherwise(F.array(size, size - 1) if percent < 100 else F.array(size))))
     return parts.select(F.xxhash64("bundle", "c").alias("bundle"), "key", "label")
 
 

@@ -247,8 +247,9 @@ def test_pairs_that_can_link(spark):
 
 
 @pytest.mark.parametrize("percent", [50, 75, 90])
-def test_parts_by_size(spark, percent):
+def test_parts_by_size(spark, monkeypatch, percent):
     """Any two sizes that can link meet in a part of their bundle."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 10)
     sizes = [*range(1, 70), 100, 133, 134, 1000, 1333, 1334, 10**6, 4 * 10**6 // 3]
     got = jaccard.of_a_size(spark.createDataFrame([(1, n, n, n) for n in sizes], "bundle long, key long, label long, n long"), percent).collect()
     parts = {n: {r["bundle"] for r in got if r["key"] == n} for n in sizes}
