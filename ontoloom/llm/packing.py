@@ -225,7 +225,7 @@ def best_fit(tables: Tables, docs: DataFrame, capacity: int) -> DataFrame:
                 break
         fits = {s: n for s, n in there.items() if s >= min(waiting)}
         idle = gaps.filter(F.col("size") < min(waiting))
-        blocks = max(1, -(-(sum(waiting.values()) + sum(fits.values())) // BLOCK))
+        blocks = max(1, min(-(-(sum(waiting.values()) + sum(fits.values())) // BLOCK), sum(fits.values())))  # a range without a gap places nothing
         rows = None
         for kind, df, sizes in ((GAP, gaps.filter(F.col("size") >= min(waiting)), fits), (FREE, free, waiting)):
             share = F.col("rank") * blocks / max(1, sum(sizes.values()))
