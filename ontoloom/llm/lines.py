@@ -4,11 +4,12 @@ Lines are compared after lower-casing and with runs of white space as one blank.
 minima over its character shingles; bands of the signature deal it to buckets; bucket members are held against the bucket's
 head, then, where they are not yet linked, against each other, list by list; a pair counts only if the exact Jaccard
 similarity of its shingles reaches the threshold; linked lines are joined by distributed union-find. Of each component the
-first line (by doc_id, then place) stays. Lines too short for shingles to tell apart are grouped by their exact normalised text.
+first line (by doc_id, then place) stays. A line shorter than a shingle is one shingle as a whole, so it is like equal ones alone.
 
 Buckets are exchanged as blocks of numbers: a task sorts what it has gathered by bucket and sends each range of buckets as
 one block, so a line costs 16 bytes a band and no row of its own. Of a bucket that a task has filled with several lines only
-the head goes through the exchange's sort, the others are named as its members, so a bucket of any size is no hot key.
+the head goes to the bucket's range; the others, named as its members, are dealt to all ranges evenly and written as they
+come, so a task of a bucket of any size meets one head for each block of lines.
 """
 
 from __future__ import annotations
@@ -114,17 +115,17 @@ def _heads(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
     return token[opens], key[opens], token[~opens], head[~opens], key[~opens]
 
 
-def _blocks(shortest: int, ranges: int):
+def _blocks(ranges: int):
     """Rows to (range, opened, members): blocks of buckets' heads (token, key) and of their other members (token, head, key)."""
 
     def sent(token: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t, k, mt, mh, mk = _heads(np.concatenate(token), np.concatenate(key))
         edges = np.array([r * 2**64 // ranges for r in range(1, ranges)], np.uint64)  # tokens sort as unsigned numbers
         a = np.concatenate([[0], np.searchsorted(t, edges), [len(t)]])
-        m = np.concatenate([[0], np.searchsorted(mt, edges), [len(mt)]])
+        m = np.arange(ranges + 1) * len(mt) // ranges  # members need not meet others of their bucket
         for r in range(ranges):
             x, y = slice(a[r], a[r + 1]), slice(m[r], m[r + 1])
-            if x.stop > x.start:
+            if x.stop > x.start or y.stop > y.start:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r], pa.int32()),
@@ -141,7 +142,7 @@ def _blocks(shortest: int, ranges: int):
             new: dict[int, str] = {}
             for t in b.column("text").to_pylist():
                 for x in (t or "").split("\n"):
-                    if len(x := normal(x)) >= shortest and (k := key_of(x)) not in seen:
+                    if len(x := normal(x)) >= SIZE and (k := key_of(x)) not in seen:
                         seen.add(k)
                         new[k] = x
             if new:
@@ -158,19 +159,19 @@ def _blocks(shortest: int, ranges: int):
 
 
 def _stars(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by range to (token, u, v): each member v of a bucket but the head u, and heads of parts of a bucket."""
+    """Blocks sorted by range to (token, u, v): members v of buckets with head u as they come, then other heads of the range's buckets."""
     for group in runs(it, 1):
-        token, key, rest = [], [], []
+        token, key = [], []
         for b in group:
             for opened, members in zip(b.column("opened"), b.column("members"), strict=True):
                 x, y = np.frombuffer(opened.as_buffer(), np.int64), np.frombuffer(members.as_buffer(), np.int64)
                 token.append(x[: len(x) // 2])
                 key.append(x[len(x) // 2 :])
-                rest.append(y.reshape(3, -1))
-        _, _, t, head, k = _heads(np.concatenate(token), np.concatenate(key))
-        out = np.concatenate([np.stack([t, head, k]), *rest], axis=1)
-        if out.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["token", "u", "v"])
+                if len(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in y.reshape(3, -1)], ["token", "u", "v"])
+        _, _, *heads = _heads(np.concatenate(token), np.concatenate(key))
+        if len(heads[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in heads], ["token", "u", "v"])
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +180,10 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["key", "text"])
 
 
-def links(docs: DataFrame, places: DataFrame, tables: Tables, percent: int, shortest: int) -> DataFrame:
-    """(u, v): links between keys of lines of at least shortest characters that connect all that share a bucket and are similar."""
+def links(docs: DataFrame, places: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """(u, v): links between keys of lines of at least SIZE characters that connect all that share a bucket and are similar."""
     ranges = max(1, -(-places.count() * BANDS // RANGE))
-    blocks = docs.select("text").mapInArrow(_blocks(max(shortest, SIZE), ranges), "range int, opened binary, members binary")
+    blocks = docs.select("text").mapInArrow(_blocks(ranges), "range int, opened binary, members binary")
     stars = tables.write(blocks.repartition("range").sortWithinPartitions("range").mapInArrow(_stars, "token long, u long, v long"))
     members = stars.select("token", F.col("u").alias("key")).union(stars.select("token", F.col("v").alias("key"))).distinct()
     keys = tables.write(stars.select(F.col("u").alias("key")).union(stars.select(F.col("v").alias("key"))).distinct())
@@ -203,16 +204,15 @@ def links(docs: DataFrame, places: DataFrame, tables: Tables, percent: int, shor
     return found.union(more)
 
 
-def repeats(docs: DataFrame, percent: int = 75, shortest: int = 20) -> DataFrame:
+def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, line, key): the lines that go, by place in the text split at newlines; each line that stands after another of its
-    component in the order of doc_id and place. Lines with fewer than shortest characters, but for those without text, are
-    compared for equality only."""
+    component in the order of doc_id and place. Lines without text take no part."""
     spark = docs.sparkSession
     ship(spark)
     tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     places = tables.write(docs.mapInArrow(_lines, "doc_id long, line long, key long"))
-    found = tables.write(components(links(docs, places, tables, percent, shortest)))
+    found = tables.write(components(links(docs, places, tables, percent)))
     rooted = meeting(places, found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "line", "key", F.coalesce("root", "key").alias("root"))
     rooted = tables.write(rooted)
     firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -238,12 +238,12 @@ def _without(keep: tuple[str, ...]):
     return run
 
 
-def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, text without the lines that repeat an earlier one exactly or nearly, n_lines, n_removed,
     and the columns named in keep.
 
-    docs: doc_id, text; other columns are not read. Lines are the parts of a text between newlines; those with fewer than
-    shortest characters after normalisation go if they repeat an earlier one exactly; lines without text always stay. All
+    docs: doc_id, text; other columns are not read. Lines are the parts of a text between newlines, compared by their shingles
+    of SIZE characters after normalisation; a shorter line is one shingle. Lines without text always stay. All
     lines of rows with a null doc_id stay. A null text stays null and has no lines; an empty one is one line without text.
     Texts and lines of any length are taken whole. Rows that repeat a doc_id and text are one document; rows that repeat a
     doc_id with different texts are compared line by line, places counted in each; of equal lines the least doc_id and
@@ -253,7 +253,7 @@ def deduplicated(docs: DataFrame, percent: int = 75, shortest: int = 20, keep: t
     tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     schema = "doc_id long, text string, n_lines long, n_removed long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema[2:])
-    cuts = tables.write(repeats(docs, percent, shortest).groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("cut")).select("doc_id", F.array("cut.line", "cut.key").alias("cut")))
+    cuts = tables.write(repeats(docs, percent).groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("cut")).select("doc_id", F.array("cut.line", "cut.key").alias("cut")))
     ids = cuts.select("doc_id")
     small = ids.count() <= BROADCAST_ROWS
     whole = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").withColumn("cut", F.lit(None).cast("array<array<bigint>>"))

@@ -151,7 +151,7 @@ def test_substrings_empty(no_docs):
 def test_lines(docs, rows):
     """Lines of the fixture are alike in nearly all shingles or in few, so MinHash must find what brute force finds."""
     where = {(i, k): lines.normal(x) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n"))}
-    sets = {p: frozenset(x[k : k + 8] for k in range(max(1, len(x) - 7))) if len(x) >= 20 else frozenset([x]) for p, x in where.items() if x}
+    sets = {p: frozenset(x[k : k + 8] for k in range(max(1, len(x) - 7))) for p, x in where.items() if x}
     root = roots(sets, [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
     gone = {p for p, r in root.items() if r != p}
     got = lines.deduplicated(docs).collect()
@@ -167,6 +167,26 @@ def test_lines(docs, rows):
     assert len(gone) > 15
 
 
+def test_short_lines(spark):
+    """Lines of any length are compared by their shingles: near copies of short ones go too, a line shorter than a shingle only if equal."""
+    texts = ["page one of three pages\nthe end.\nno more", "Page one of three pages.\nthe end!\nno more", "a chapter head\na chapter hea\nno mare", "a chapter head.\nno more"]
+    out = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert got == {0: texts[0], 1: "the end!", 2: "a chapter head\nno mare", 3: ""}
+
+
+def test_hot_bucket(spark, monkeypatch):
+    """Members of a bucket that most lines share go to all ranges, its heads to one; all of them are one component."""
+    monkeypatch.setattr(lines, "HELD", 400)
+    monkeypatch.setattr(lines, "RANGE", 2000)
+    texts = [f"the same long line about the same few things in every text of this table, number {k}" for k in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    blocks = df.select("text").mapInArrow(lines._blocks(8), "range int, opened binary, members binary").collect()
+    sent = [sum(len(b["members"]) for b in blocks if b["range"] == r) for r in range(8)]
+    assert max(sent) < 2 * min(sent)
+    assert sorted(r["doc_id"] for r in lines.deduplicated(df).filter("n_removed = 0").collect()) == [0]
+
+
 def test_lines_empty(no_docs):
     assert lines.deduplicated(no_docs).collect() == []
 
