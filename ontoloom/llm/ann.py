@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ontoloom.llm.shared import Tables, ship
 from ontoloom.llm.vectors import balanced, batch_rows, comparable, number, sample, scaled, shipped, unit
 
-#: Vectors of a list's block, vectors of a shard, and queries that a shard scores at a time.
-BLOCK, SHARD, QUERIES = 4096, 50_000, 4096
+#: Vectors of a list's block, and queries that are scored at a time.
+BLOCK, QUERIES = 4096, 4096
+#: Bytes, as doubles, of the vectors of a shard, and of the queries that meet it in one task.
+TILE_BYTES = 32 << 20
 
 
 class CentroidGraph:
@@ -112,12 +114,14 @@ def probe_ratio(graph: CentroidGraph, x: np.ndarray, k: int, replicas: int, boun
 
 
 def _listed(graph, dim: int, kind: str, ratio: float, most: int):
-    """Rows (vec_id, embedding) to (list, vec_id, embedding), a row for each of at most most lists."""
+    """Rows (vec_id, embedding) to (list, vec_id, place, embedding), a row for each of at most most lists; place is the row's in its task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for ids, x in batch_rows(it, dim, 512):
             row, lists = graph.value.within(unit(x).astype(np.float32), ratio, most, beam=most)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(ids[row]), shipped(x[row], kind)], ["list", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(ids[row]), pa.array(at + row), shipped(x[row], kind)], ["list", "vec_id", "place", "embedding"])
+            at += len(ids)
 
     return run
 
@@ -151,15 +155,24 @@ def _nearest(k: int):
     def matrix(column: pd.Series) -> np.ndarray:
         return scaled(np.stack(column.to_numpy()).astype(np.float64))
 
-    def score(asked: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(asked) or not len(member):
-            return none
-        member = member.sort_values(["list", "vec_id"], kind="stable")
+    def foremost(member: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+        """Places, by list and id, of the members that can be among the best: of equal vectors of a list those of the k + 1 least ids."""
         lists, ids = member["list"].to_numpy(), member["vec_id"].to_numpy(np.int64)
+        same = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)[1]
+        order = np.lexsort((ids, same, lists))
+        opens = np.ones(len(order), bool)
+        opens[1:] = (lists[order[1:]] != lists[order[:-1]]) | (same[order[1:]] != same[order[:-1]])
+        other = opens.copy()
+        other[1:] |= ids[order[1:]] != ids[order[:-1]]
+        order, opens = order[other], opens[other]
+        start = np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
+        order = order[np.arange(len(order)) - start <= k]
+        return order[np.lexsort((ids[order], lists[order]))]
+
+    def part(asked: pd.DataFrame, lists: np.ndarray, ids: np.ndarray, x: np.ndarray, nx: np.ndarray) -> pd.DataFrame:
         own = asked["query_id"].to_numpy(np.int64)
-        x, y = matrix(member["embedding"]), matrix(asked["embedding"])
-        nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        y = matrix(asked["embedding"])
+        ny = np.linalg.norm(y, axis=1)
         wanted = np.concatenate(asked["lists"].to_numpy())
         asker = np.repeat(np.arange(len(asked)), asked["lists"].map(len))
         order = np.argsort(wanted, kind="stable")
@@ -184,6 +197,15 @@ def _nearest(k: int):
         found = found.groupby(["row", "query_id", "vec_id"], as_index=False)["score"].max().sort_values(["row", "score", "vec_id"], ascending=[True, False, True])
         return found.groupby("row").head(k)[["query_id", "vec_id", "score"]]
 
+    def score(asked: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(member):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        x = matrix(member["embedding"])
+        at = foremost(member, x)
+        x, lists, ids = x[at], member["list"].to_numpy()[at], member["vec_id"].to_numpy(np.int64)[at]
+        nx = np.linalg.norm(x, axis=1)
+        return pd.concat([part(asked.iloc[q : q + QUERIES], lists, ids, x, nx) for q in range(0, len(asked), QUERIES)])
+
     return score
 
 
@@ -195,9 +217,9 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: in
     another dimension than most, take no part. Rows that repeat a vec_id count once, with their largest score; of repeated
     queries each row's neighbours are merged likewise. No vectors, or no queries: no rows. Centroids are fitted on at most
     most_sample vectors, and so is the ratio of distances within which a query reads lists: the least at which that share of
-    true neighbours is found there (probe names a ratio instead). Every vector is indexed, in up to replicas lists within
+    true neighbours is found there (probe names a ratio instead). Of equal vectors in a list only those of the least ids are scored. Every vector is indexed, in up to replicas lists within
     the boundary ratio of its nearest centroid. There are at most 2**16 centroids, so beyond that lists grow; long lists are
-    cut into blocks, and blocks are dealt to shards, which score a query once each.
+    cut into blocks, and blocks are dealt to shards of at most about TILE_BYTES, which score a query once each.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -212,18 +234,19 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: in
     shared = spark.sparkContext.broadcast(graph)  # at most 2**16 centroids
     q, _ = comparable(queries)
     q = q.filter(F.size("embedding") == dim)
-    member = tables.write(v.mapInArrow(_listed(shared, dim, number(v), boundary, replicas), f"list long, vec_id long, embedding array<{number(v)}>"))
+    member = tables.write(v.mapInArrow(_listed(shared, dim, number(v), boundary, replicas), f"list long, vec_id long, place long, embedding array<{number(v)}>"))
     sizes = member.groupBy("list").agg(F.count("*").alias("n")).toPandas()  # at most 2**16 lists
     blocks = np.ones(len(graph.c), np.int64)
     blocks[sizes["list"]] = -(-sizes["n"] // BLOCK)
-    shards = max(1, -(-int(sizes["n"].sum()) // SHARD))
+    rows = max(1, TILE_BYTES // (8 * dim))
+    shards = max(1, -(-int(sizes["n"].sum()) // rows))
     dealt = spark.createDataFrame(pd.DataFrame({"list": np.flatnonzero(blocks > 1), "blocks": blocks[blocks > 1]}), "list long, blocks long")
-    block = F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("vec_id", "place"), F.coalesce("blocks", F.lit(1)))  # rows of one id are spread too
     member = member.join(F.broadcast(dealt), "list", "left").withColumn("shard", shard_of(F.col("list"), block, shards))
     asked = q.mapInArrow(_asked(shared, spark.sparkContext.broadcast(blocks), shards, dim, number(q), probe), f"shard long, query_id long, embedding array<{number(q)}>, lists array<long>")
     asked = tables.write(asked)
-    # a shard's queries are cut into blocks, each of which meets the shard's members
-    turns = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).alias("turns")))  # one row a shard
+    # a shard's queries are cut into parts as large as a shard, so that the fewest vectors are copied
+    turns = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / rows).alias("turns")))  # one row a shard
     asked = asked.join(turns, "shard").withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns"))
     member = member.join(turns, "shard").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
     asked, member = asked.select("shard", "turn", "query_id", "embedding", "lists"), member.select("shard", "turn", "list", "vec_id", "embedding")

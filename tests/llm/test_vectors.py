@@ -90,13 +90,27 @@ def test_neighbours_empty_and_few(table, spark):
     assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)]
 
 
-def test_neighbours_by_lists(spark):
-    """On the table, which has hardly any clusters: recall by brute force, and what a query reads."""
+def test_neighbours_of_copies(spark, monkeypatch):
+    """Most vectors are equal, most rows have one id, in blocks and tiles of few rows: the least ids of equal vectors come first."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "TILE_BYTES", 8 * 4 * 20)
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(120)] + [(7, v) for v in rng.normal(size=(200, 4)).tolist()] + [(500 + i, [2.0, 4.0, 6.0, 8.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = ann.neighbours(df.filter("vec_id in (0, 50, 503)"), df, list_size=32).collect()
+    got = {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50, 503)}
+    assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4], 503: [0, 1, 2, 3, 4]}
+
+
+@pytest.mark.parametrize("most_sample", [50_000, 1_500])
+def test_neighbours_by_lists(spark, most_sample):
+    """On the table, which has hardly any clusters: recall by brute force, and what a query reads, whether the sample is all of it or a part."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    out = ann.neighbours(df.filter("vec_id % 50 = 0"), df).collect()
+    out = ann.neighbours(df.filter("vec_id % 50 = 0"), df, most_sample=most_sample).collect()
     hits = total = 0
     for k in np.flatnonzero(ids % 50 == 0):
         s = u @ u[k]
@@ -114,7 +128,7 @@ def test_neighbours_in_small_shards(table, monkeypatch):
     df, _ = table
     ask = lambda: sorted(tuple(r) for r in ann.neighbours(df.filter("vec_id % 50 = 0"), df, list_size=32).collect())
     want = ask()
-    monkeypatch.setattr(ann, "SHARD", 100)
+    monkeypatch.setattr(ann, "TILE_BYTES", 8 * 16 * 100)
     monkeypatch.setattr(ann, "BLOCK", 10)
     monkeypatch.setattr(ann, "QUERIES", 3)
     got = ask()
