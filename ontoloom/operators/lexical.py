@@ -132,7 +132,7 @@ def attested_nouns(g: Graph, excluded: DataFrame | None = None, special: DataFra
     met = v.select("verb", "v", F.explode(noun_forms(F.col("v"))).alias("n"))
     if special is not None:
         met = met.union(v.join(special.toDF("v", "n"), "v").select("verb", "v", "n")).distinct()
-    met = met.join(n, "n").filter("verb <> noun")
+    met = met.join(n.hint("merge"), "n").filter("verb <> noun")  # dozens of forms a verb, which an estimate before the explode leaves out
     if excluded is not None:
         met = met.join(excluded.toDF("v", "n"), ["v", "n"], "left_anti")
     one = met.groupBy("verb", "v", "n").agg(F.countDistinct("noun").alias("k"), F.min("noun").alias("noun"), F.max("rank").alias("rank")).filter("k = 1")
