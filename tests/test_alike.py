@@ -30,3 +30,27 @@ def test_all_reach_what_each_reaches_alone(spark):
         want = {tuple(r) for r in ops.reach(step, seeds.selectExpr("id as seed", "id as node"), most).collect()}
         got = [tuple(r) for r in ops.reach_all(step, seeds, most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trees_by_simple_paths(spark):
+    g = _graph(spark, LINKS)
+    e = [(r["subject"], r["target"], r["context"]) for r in g.edge.collect()]
+
+    def walk(root, node, path, depth):
+        for s, t, c in e:
+            if s == node and t not in path and depth <= 4:
+                yield root, node, t, c, depth
+                yield from walk(root, t, [*path, t], depth + 1)
+
+    want = {row for i in IDS for row in walk(i, i, [i], 1)}
+    got = [tuple(r) for r in ops.tree_up(g, g.concept, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    deepest = {}
+    for root, _, t, _, depth in want:
+        deepest[root, t] = max(depth, deepest.get((root, t), 0))
+    assert {(r["root"], r["node"]): r["level"] for r in ops.ancestor_layers(g, g.concept, 4).collect()} == deepest
+
+
+def test_trees_of_a_graph_without_links(spark):
+    g = _graph(spark, [])
+    assert ops.tree_up(g, g.concept).count() == ops.ancestor_layers(g, g.concept).count() == 0
