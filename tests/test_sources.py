@@ -95,3 +95,14 @@ def test_match_keys_are_narrow(spark):
     assert met.count() <= 50 * 25
     near = met.filter(text.near(F.col("w"), F.col("t"))).count()
     assert near == w.select("w").distinct().join(names, text.near(F.col("w"), F.col("t"))).count()
+
+
+def test_edges_of_small_tables_are_dealt(spark, monkeypatch):
+    from ontoloom.sources import derive
+
+    whole = {tuple(r) for r in derive.derived(spark, "/root/testdata/sf0.001").edge.collect()}
+    monkeypatch.setattr(derive, "TASK_ROWS", 50)
+    monkeypatch.setattr(derive, "_graphs", {})
+    g = derive.derived(spark, "/root/testdata/sf0.001")
+    files = [len(df.inputFiles()) for df in (g.concept, g.edge.filter("code <> '70'"))]
+    assert min(files) > 6 and {tuple(r) for r in g.edge.collect()} == whole
