@@ -243,10 +243,11 @@ def pools(g: Graph, seed: int, context: int = 1) -> DataFrame:
 def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en") -> DataFrame:
     """count records as ``drawn`` makes them. Of each pool twice as many candidates are tried first, as some are rejected; where that leaves too
     few records, four times as many again and again, until there are enough or the pools are at their end."""
-    sizes = pools(g, seed, context).groupBy("pool").count().agg(F.max("count")).first()[0] or 0
+    found = materialized(pools(g, seed, context))
+    sizes = found.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
     tried = 2 * count
     while True:
-        made = drawn(g, seed, count, tried, context, lang)
+        made = drawn(g, seed, count, tried, context, lang, found)
         if tried >= sizes:
             return made
         made = materialized(made)
@@ -255,15 +256,15 @@ def records(g: Graph, seed: int, count: int, context: int = 1, lang: str = "en")
         tried *= 4
 
 
-def drawn(g: Graph, seed: int, count: int, tried: int, context: int = 1, lang: str = "en") -> DataFrame:
+def drawn(g: Graph, seed: int, count: int, tried: int, context: int = 1, lang: str = "en", found: DataFrame | None = None) -> DataFrame:
     """(id, group_id, task, a, b, code, target, kind, domain, question, answer, algebra, facts, messages): at most count records from the first
     ``tried`` candidates of each pool, pools in turn, each in an order that the seed gives; every record's answer is found again by solved(), records over the limits of
-    facts and bytes or with a repeated question go. algebra is an expression that gives the answer, where there is one."""
+    facts and bytes or with a repeated question go. algebra is an expression that gives the answer, where there is one. found: the pools, if made."""
     key = ("task", "a", "b", "code", "target", "kind")
     order = F.sha2(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).cast("binary"), 256)
     k = F.row_number().over(Window.partitionBy("pool").orderBy("order"))
     # the first of each pool in seeded order: Spark keeps so many rows a pool before the shuffle
-    picked = materialized(pools(g, seed, context).withColumn("order", order).withColumn("k", k).filter(F.col("k") <= tried).drop("k"))
+    picked = materialized((pools(g, seed, context) if found is None else found).withColumn("order", order).withColumn("k", k).filter(F.col("k") <= tried).drop("k"))
     picked = picked.withColumn("id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key]).cast("binary"), 256))
     nothing = F.expr("cast(array() as array<long>)")
     sets = picked.filter(F.col("task").isin(*SETS)).drop("answer").join(domains(g, picked.filter(F.col("task").isin(*SETS)).select("a", "b").distinct(), context), ["a", "b"])
