@@ -54,3 +54,20 @@ def test_trees_by_simple_paths(spark):
 def test_trees_of_a_graph_without_links(spark):
     g = _graph(spark, [])
     assert ops.tree_up(g, g.concept).count() == ops.ancestor_layers(g, g.concept).count() == 0
+
+
+def test_least_paths_of_all(spark):
+    rng = random.Random(11)
+    for links in (LINKS, [(rng.choice(IDS), rng.choice(IDS)) for _ in range(25)]):
+        step = spark.createDataFrame([(a, b, 100 - k) for k, (a, b) in enumerate([*links, *links[:5]])], "a long, b long, e long")
+        seeds = spark.createDataFrame([(i,) for i in IDS], "id long")
+        seen = lambda df: sorted((r["seed"], r["node"], r["depth"], tuple(r["edges"])) for r in df.collect())
+        assert seen(ops.all_least_paths(step, seeds)) == seen(ops.least_paths(step, seeds))
+
+
+def test_ends_without_concepts(spark):
+    from ontoloom.operators import audit
+
+    g = _graph(spark, [(10, 1), (10, 77), (78, 1), (78, 77)])
+    want = sorted((r["subject"], r["target"]) for r in g.edge.collect() if {77, 78} & {r["subject"], r["target"]})
+    assert sorted((r["subject"], r["target"]) for r in audit.dangling(g).collect()) == want
