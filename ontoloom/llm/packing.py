@@ -15,7 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import count
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +30,25 @@ from ontoloom.llm.shared import Tables, batches, ship
 BLOCK, OUT = 50_000, 100_000
 #: Strings and units whose ids a worker remembers in each of two generations, and the longest that it remembers.
 REMEMBERED, LONGEST = 200_000, 64
+#: Units that are encoded as one text.
+TOGETHER = 256
 #: Strings that are made of words and marks alone, their units, and strings of a text with the blanks before them.
 _PLAIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*)*")
 _UNIT = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?]+|\n")
-_STRING = re.compile("[ ]*[^ ]+|[ ]+")
+_STRING = re.compile("[ ]?(?:[^ ]|(?<=\\s)[ ])+|[ ]")
+#: A blank behind white space.
+_RUN = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` file, with a memory of units that the file's pre-tokenizer never looks beyond.
 
-    A byte-level pre-tokenizer puts the blank before the string that follows and never joins what stands on the two sides of
-    it, so a text's ids are those of its strings in order, each with the blanks before it. It also cuts a string of Latin
-    letters, with marks at the end of words and single newlines between words, at just those places; such a string's ids are
-    those of its words and marks, which come again much more often than the string does. Every other string is a unit.
+    A byte-level pre-tokenizer always cuts before a blank that follows no white space, so a text's ids are those of its strings
+    in order, each with the blank before it; white space that holds blanks stays whole. It also cuts a string of Latin letters,
+    with marks at the end of words and single newlines between words, at just those places; such a string's ids are those of its
+    words and marks, which come again much more often than the string does. Every other string is a unit. Units that begin with
+    their only blank and do not end with white space are encoded many at a time, as one text: the blanks of that text begin
+    tokens, and no other token begins with one, so they tell where a unit's ids begin.
     """
 
     def __init__(self, path: str):
@@ -50,6 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        names = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, bool)
+        self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True  # how byte-level tokens write a blank
 
     def direct(self, texts: list[str]) -> list[bytes]:
         ids = [array("I", e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
@@ -58,28 +67,45 @@ class Encoder:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
+    def together(self, units: list[str]) -> list[bytes]:
+        """Ids of units, in order."""
+        one = [u.rfind(" ") == 0 and not u[-1].isspace() for u in units]
+        joined, out = list(compress(units, one)), []
+        for k in range(0, len(joined), TOGETHER):
+            ids = np.array(self.tokenizer.encode("".join(joined[k : k + TOGETHER]), add_special_tokens=False).ids, "<u4")
+            at, data = (4 * np.flatnonzero(self.opens[ids])).tolist(), ids.tobytes()
+            out += [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)]
+        if len(out) != len(joined):
+            raise ValueError("the pre-tokenizer does not cut before each blank")
+        rest, out = iter(self.direct([u for u, x in zip(units, one, strict=True) if not x])), iter(out)
+        return [next(out if x else rest) for x in one]
+
     def strings(self, strings: list[str]) -> list[bytes]:
-        """Ids of strings, each with the blanks before it."""
+        """Ids of strings, each with the blank before it."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known = self.known
-        need = set(strings) - known.keys()
+        need = {s for s in strings if s not in known}
         kept = need & self.older.keys()
         known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
-        parts = {s: _UNIT.findall(s) if _PLAIN.fullmatch(s) else [s] for s in need - kept}
-        units = {u for p in parts.values() for u in p} - known.keys()
-        units = list(units)
-        known.update(zip(units, self.direct(units), strict=True))
-        known.update((s, b"".join([known[u] for u in p])) for s, p in parts.items() if len(p) > 1)
+        new = need - kept
+        parts = {s: _UNIT.findall(s) for s in new if not s[1:].isalpha() and _PLAIN.fullmatch(s)}  # letters alone are one unit
+        units = set(chain.from_iterable(parts.values()))
+        units.update(new - parts.keys())
+        units = list(units - known.keys())
+        known.update(zip(units, self.together(units), strict=True))
+        for s, p in parts.items():
+            if len(p) > 1:
+                known[s] = b"".join(map(known.__getitem__, p))
         out = list(map(known.__getitem__, strings))
-        for s in parts:
+        for s in new:
             if len(s) > LONGEST:
                 del known[s]
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (no nulls)."""
-        runs = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        runs = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
         split = [_STRING.findall(t) for t in texts.filter(pa.array(runs)).to_pylist()]
         parts = pc.split_pattern(texts, " ")
         at, strings = parts.offsets.to_numpy(), parts.values

@@ -109,6 +109,24 @@ def test_remembered_ids(tokenizer, text):
     assert [made.encode(pa.array([text, text + " " + text, text]))[k] for k in (0, 2)] == [want, want] == [made.encode(pa.array([text]))[0]] * 2
 
 
+@pytest.mark.parametrize("text", ["a \u00a0 \u00a0", "a\t \u00a0 b\n \n c", "x\u00a0 \u00a0 y z"])
+def test_white_space_with_blanks_stays_whole(tokenizer, text):
+    """A token may hold several blanks with other white space between them."""
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.Encoder(queries.tokenizer_path()).encode(pa.array([text])) == [want]
+
+
+def test_units_are_encoded_together(monkeypatch, tokenizer):
+    """Strings that are met first do not cost a call each, and come out as by themselves."""
+    enc = packing.Encoder(queries.tokenizer_path())
+    strings = [f" w{k}x" for k in range(1000)] + [" ", "  a", " a b", " a\n", "b", " \u00a0", " <|endoftext|>", " a<|endoftext|>b"]
+    want, direct = enc.direct(strings), enc.direct
+    alone = []
+    monkeypatch.setattr(enc, "direct", lambda texts: alone.extend(texts) or direct(texts))
+    assert enc.together(strings) == want
+    assert len(alone) < 10
+
+
 def shares(sizes: dict, total: float) -> dict:
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     target, free, left = {}, set(sizes), total
