@@ -190,6 +190,14 @@ def test_explained_sets(g):
     assert Algebra(g).explain("sailboat", 6, within="raft") == {"expression": "#3", "member": False, "path": None, "concept": 6, "in_domain": False}
 
 
+def test_explained_from_the_concept_upwards(g, monkeypatch):
+    """Whether extents hold one concept is told without making the extents, and as the sets tell it."""
+    source = "sailboat & motorboat | ~vessel"
+    held = {r["id"] for r in Algebra(g).set(source).collect()}
+    monkeypatch.setattr(ops, "extents", None)
+    assert [Algebra(g).explain(source, i)["member"] for i in (11, 6, 16)] == [i in held for i in (11, 6, 16)] == [True, False, True]
+
+
 def test_explained_properties(g):
     fact = Algebra(g).explain("has(22, motoring)", 11)["fact"]
     assert fact["state"] == "positive" and fact["overridden_edge_ids"] == [111, 112]
