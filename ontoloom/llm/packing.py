@@ -10,12 +10,10 @@ from __future__ import annotations
 import bisect
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain, compress, count
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +26,24 @@ from ontoloom.llm.shared import Tables, batches, ship
 
 #: Documents and gaps of a range that one task sweeps, and rows that it gives out at a time.
 BLOCK, OUT = 50_000, 100_000
-#: Strings and units whose ids a worker remembers in each of two generations, and the longest that it remembers.
+#: Strings whose ids a worker remembers in each of two generations, and the longest that it remembers.
 REMEMBERED, LONGEST = 200_000, 64
-#: Units that are encoded as one text.
-TOGETHER = 256
-#: Strings that are made of words and marks alone, their units, and strings of a text with the blanks before them.
-_PLAIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*)*")
-_UNIT = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?]+|\n")
+#: Strings that are encoded as one text, and bytes of text whose strings are told apart at a time.
+TOGETHER, GATHERED = 256, 16 << 20
+#: Strings of a text with the blanks before them.
 _STRING = re.compile("[ ]?(?:[^ ]|(?<=\\s)[ ])+|[ ]")
 #: A blank behind white space.
 _RUN = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file, with a memory of units that the file's pre-tokenizer never looks beyond.
+    """Ids of texts by a ``tokenizers`` file, with a memory of strings that the file's pre-tokenizer never looks beyond.
 
     A byte-level pre-tokenizer always cuts before a blank that follows no white space, so a text's ids are those of its strings
-    in order, each with the blank before it; white space that holds blanks stays whole. It also cuts a string of Latin letters,
-    with marks at the end of words and single newlines between words, at just those places; such a string's ids are those of its
-    words and marks, which come again much more often than the string does. Every other string is a unit. Units that begin with
-    their only blank and do not end with white space are encoded many at a time, as one text: the blanks of that text begin
-    tokens, and no other token begins with one, so they tell where a unit's ids begin.
+    in order, each with the blank before it; white space that holds blanks stays whole. Of many texts each string is looked up
+    once, and those that are not remembered are encoded many at a time, as one text: its blanks begin tokens, and no other token
+    begins with one, so they tell where a string's ids begin. Strings that end with white space, or do not begin with their only
+    blank, are encoded by themselves.
     """
 
     def __init__(self, path: str):
@@ -61,46 +56,40 @@ class Encoder:
         self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True  # how byte-level tokens write a blank
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-        if sys.byteorder == "big":
-            for x in ids:
-                x.byteswap()
-        return [x.tobytes() for x in ids]
-
-    def together(self, units: list[str]) -> list[bytes]:
-        """Ids of units, in order."""
-        one = [u.rfind(" ") == 0 and not u[-1].isspace() for u in units]
-        joined, out = list(compress(units, one)), []
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def together(self, strings: list[str]) -> list[bytes]:
+        """Ids of strings, in order."""
+        one = [s.rfind(" ") == 0 and not s[-1].isspace() for s in strings]
+        joined, out = list(compress(strings, one)), []
         for k in range(0, len(joined), TOGETHER):
-            ids = np.array(self.tokenizer.encode("".join(joined[k : k + TOGETHER]), add_special_tokens=False).ids, "<u4")
+            (e,) = self.tokenizer.encode_batch_fast(["".join(joined[k : k + TOGETHER])], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
             at, data = (4 * np.flatnonzero(self.opens[ids])).tolist(), ids.tobytes()
             out += [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)]
         if len(out) != len(joined):
             raise ValueError("the pre-tokenizer does not cut before each blank")
-        rest, out = iter(self.direct([u for u, x in zip(units, one, strict=True) if not x])), iter(out)
+        if len(out) == len(strings):
+            return out
+        rest, out = iter(self.direct([s for s, x in zip(strings, one, strict=True) if not x])), iter(out)
         return [next(out if x else rest) for x in one]
 
     def strings(self, strings: list[str]) -> list[bytes]:
-        """Ids of strings, each with the blank before it."""
+        """Ids of distinct strings that hold no blank, each with one before it."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known = self.known
-        need = {s for s in strings if s not in known}
-        kept = need & self.older.keys()
-        known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
-        new = need - kept
-        parts = {s: _UNIT.findall(s) for s in new if not s[1:].isalpha() and _PLAIN.fullmatch(s)}  # letters alone are one unit
-        units = set(chain.from_iterable(parts.values()))
-        units.update(new - parts.keys())
-        units = list(units - known.keys())
-        known.update(zip(units, self.together(units), strict=True))
-        for s, p in parts.items():
-            if len(p) > 1:
-                known[s] = b"".join(map(known.__getitem__, p))
-        out = list(map(known.__getitem__, strings))
-        for s in new:
-            if len(s) > LONGEST:
-                del known[s]
+        known, older = self.known, self.older
+        out = list(map(known.get, strings))
+        if older:
+            for k, ids in enumerate(out):
+                if ids is None and (ids := older.get(strings[k])) is not None:
+                    out[k] = known[strings[k]] = ids
+        new = [k for k, ids in enumerate(out) if ids is None]
+        room = max(0, 2 * REMEMBERED - len(known))
+        for n, (k, ids) in enumerate(zip(new, self.together([" " + strings[k] for k in new]), strict=True)):
+            out[k] = ids
+            if n < room and len(strings[k]) <= LONGEST:
+                known[strings[k]] = ids
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -110,18 +99,29 @@ class Encoder:
         parts = pc.split_pattern(texts, " ")
         at, strings = parts.offsets.to_numpy(), parts.values
         heads = iter(self.direct(strings.take(pa.array(at[:-1][~runs])).to_pylist()))
-        coded = strings.filter(pa.array(np.repeat(~runs, np.diff(at)))).dictionary_encode()
+        coded = (strings.filter(pa.array(np.repeat(~runs, np.diff(at)))) if runs.any() else strings).dictionary_encode()
         at = np.concatenate([[0], np.cumsum(np.where(runs, 0, np.diff(at)))])
-        names = coded.dictionary.to_pylist()
         more = list({s for t in split for s in t})
-        found = self.strings([" " + w for w in names] + more)
-        special = dict(zip(more, found[len(names) :], strict=True))
+        special = dict(zip(more, self.direct(more), strict=True))
         whole = iter([b"".join([special[s] for s in t]) for t in split])
-        ids = pa.array(found[: len(names)], pa.large_binary()).take(coded.indices)
+        ids = pa.array(self.strings(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), memoryview(ids.buffers()[2] or b"")
         return [next(whole) if run else next(heads) + data[ends[i + 1] : ends[j]] for run, i, j in zip(runs, at[:-1], at[1:], strict=True)]
 
 
+def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of, but for single rows and the last, at least half of GATHERED bytes."""
+    held, size = [], 0
+    for b in batches(it, 1024):
+        if held and size + b.nbytes > GATHERED:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for b in batches(it, 1024):
+        for b in gathered(it):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(pc.fill_null(b.column("text"), "")), strict=True):
                 ids += end

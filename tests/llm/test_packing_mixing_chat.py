@@ -127,6 +127,21 @@ def test_units_are_encoded_together(monkeypatch, tokenizer):
     assert len(alone) < 10
 
 
+def test_each_string_is_looked_up_once_for_many_rows(monkeypatch):
+    """Small batches of texts are put together, so a string that all of them hold is looked up once; a large row stays by itself."""
+    texts = [f"same words {k}" for k in range(400)] + ["x " * 5000] + ["same words"] * 3
+    rows = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    asked, strings = [], packing.Encoder.strings
+    monkeypatch.setattr(packing, "GATHERED", 8000)
+    monkeypatch.setattr(packing.Encoder, "strings", lambda self, s: asked.extend(s) or strings(self, s))
+    enc, sizes, got = packing.Encoder(queries.tokenizer_path()), [], []
+    for b in packing.gathered(iter(rows)):
+        sizes.append(b.nbytes)
+        got += enc.encode(b.column("text"))
+    assert got == enc.direct(texts) and all(n <= 8000 for n in sizes if n < 10000) and len(sizes) < 8
+    assert asked.count("words") < 8
+
+
 def shares(sizes: dict, total: float) -> dict:
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     target, free, left = {}, set(sizes), total
