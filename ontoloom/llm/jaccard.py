@@ -303,12 +303,12 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
         """pairs (u, v) of keys, to those that link."""
         pairs = tables.write(pairs)
         texts = texts_of(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct())
-        out = linked_pairs(tables, pairs, texts, to_set, percent)
+        out = linked_pairs(tables, pairs, texts, to_sets, percent)
         tables.drop(pairs, texts)
         return out
 
-    def to_set(text: str) -> np.ndarray:
-        return shingles(text, words)
+    def to_sets(texts: list[str]) -> Iterator[np.ndarray]:
+        return (shingles(t, words) for t in texts)
 
     least = F.least("n", "head_n")
     held = lists.filter("key <> head_key").filter(least * 100 >= F.greatest("n", "head_n") * percent)
@@ -324,7 +324,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     sizes = long_members.select("key", "n").distinct()
     long_members = tables.write(of_a_size(bundled(tables, long_members.select("token", "key", "label")).join(sizes, "key"), percent))
     texts = texts_of(long_members.select("key").distinct())
-    links = links.union(linked_lists(tables, long_members, texts, to_set, percent, BLOCK_CHARS))
+    links = links.union(linked_lists(tables, long_members, texts, to_sets, percent, BLOCK_CHARS))
     # short lists: of each set the lists are merged with counts
     short = semi(labelled, per_list.filter("not long").select("token"), "token").select("token", "key", "n", "label")
     met = tables.write(short_partners(short))

@@ -39,6 +39,8 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def normal(line: str) -> str:
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":  # no printable white space but the blank
+        return line.lower()
     return " ".join(line.lower().split())
 
 
@@ -63,6 +65,26 @@ def shingles(line: str) -> np.ndarray:
     return np.unique(chars(line))
 
 
+def sets(lines: list[str]) -> Iterator[np.ndarray]:
+    """The shingles of each line in turn, hashed for many lines at a time."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    total = np.cumsum(size)
+    at = 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SIGNED, "right")))
+        h, start = chars("".join(lines[at:to])), 0
+        for k in range(at, to):
+            if size[k] < SIZE:
+                yield shingles(lines[k])
+            else:
+                own = np.sort(h[start : start + size[k] - SIZE + 1])  # without shingles that span it and the next line
+                new = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                yield own[new]
+            start += size[k]
+        at = to
+
+
 #: Odd numbers that order the hashes anew, one for each minimum.
 _MULTIPLIERS = np.random.default_rng(3).integers(0, 2**31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -104,8 +126,12 @@ def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _heads(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
     """(token, key) to the distinct tokens with their least keys, and (token, head, key) of the other members."""
-    order = np.lexsort((key, token))
+    order = np.argsort(token)
     token, key = token[order], key[order]
+    alone = np.ones(len(token) + 1, bool)
+    np.not_equal(token[1:], token[:-1], out=alone[1:-1])
+    some = np.flatnonzero(~(alone[:-1] & alone[1:]))  # rows whose token stands several times: only these need an order of keys
+    key[some] = key[some[np.lexsort((key[some], token[some]))]]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
     token, key = token[new], key[new]
@@ -194,12 +220,12 @@ def links(docs: DataFrame, places: DataFrame, tables: Tables, percent: int) -> D
     by_pair = stars.groupBy("u", "v").agg(F.count("*").alias("c"))
     best = by_pair.groupBy("v").agg(F.min_by("u", F.struct(-F.col("c"), "u")).alias("x"), F.min("u").alias("y"))
     pairs = tables.write(best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("u"), "v"))
-    found = linked_pairs(tables, pairs, texts, shingles, percent)
+    found = linked_pairs(tables, pairs, texts, sets, percent)
     roots = tables.write(components(found))
     labels = roots.withColumnRenamed("node", "key").withColumnRenamed("root", "label")
     labelled = meeting(members, labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     labelled = bundled(tables, tables.write(labelled))
-    more = linked_lists(tables, labelled, texts, shingles, percent, BLOCK_CHARS)
+    more = linked_lists(tables, labelled, texts, sets, percent, BLOCK_CHARS)
     tables.drop(stars, keys, ids, texts, pairs, labelled, roots)
     return found.union(more)
 

@@ -23,7 +23,8 @@ MU, FEW = 0.1, 4
 #: Members that one copy of a pair's first set serves.
 SERVED = 2048
 
-ToSet = Callable[[str], np.ndarray]
+#: Texts to the set of each, in turn.
+ToSets = Callable[[list[str]], Iterator[np.ndarray]]
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -134,7 +135,7 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(rows), "key") if rows.count() <= BROADCAST_ROWS else rows.join(texts, "key")
 
 
-def linked_pairs(tables: Tables, pairs: DataFrame, texts: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+def linked_pairs(tables: Tables, pairs: DataFrame, texts: DataFrame, to_sets: ToSets, percent: int) -> DataFrame:
     """pairs (u, v) and texts (key, text) to the pairs whose texts' sets are similar. A set u is made once and probed with each
     of its v; a u with many is dealt to several tasks."""
     hot = pairs.groupBy("u").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("parts")).filter("parts > 1")  # at most 1 a SERVED pairs
@@ -148,8 +149,7 @@ def linked_pairs(tables: Tables, pairs: DataFrame, texts: DataFrame, to_set: ToS
         for b in it:
             u, part, late, key = (b.column(i).to_numpy() for i in range(4))
             keep = np.zeros(b.num_rows, bool)
-            for k, text in enumerate(b.column("text").to_pylist()):
-                s = to_set(text)
+            for k, s in enumerate(to_sets(b.column("text").to_pylist())):
                 if not late[k]:
                     head, of = s, (u[k], part[k])
                 elif of == (u[k], part[k]):
@@ -175,7 +175,7 @@ def bundled(tables: Tables, members: DataFrame) -> DataFrame:
     return out
 
 
-def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_set: ToSet, percent: int, block: int) -> DataFrame:
+def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_sets: ToSets, percent: int, block: int) -> DataFrame:
     """members (bundle, key, label) and texts (key, text, size) to links (u, v) that connect all keys of a bundle which similar sets
     connect. Members outside a bundle's most frequent label are cut into blocks that meet each other and the blocks of that
     label's members, which need not meet among themselves; a block has about so many characters, and a task holds two."""
@@ -197,7 +197,7 @@ def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_set: T
             key, label, block = (table.column(c).to_numpy() for c in ("key", "label", "block"))
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             if len(key) > 1 and (label != label[0]).any():
-                links = spanning([to_set(t) for t in table.column("text").to_pylist()], label, percent, block if i < j else None)
+                links = spanning(list(to_sets(table.column("text").to_pylist())), label, percent, block if i < j else None)
                 if links:
                     a, b = (key[list(x)] for x in zip(*links, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])

@@ -275,3 +275,30 @@ def test_parts_by_size(spark, monkeypatch, percent):
     parts = {n: {r["bundle"] for r in got if r["key"] == n} for n in sizes}
     assert all(parts[a] & parts[b] for a in sizes for b in sizes if a <= b and 100 * a >= percent * b)
     assert not parts[10] & parts[1000]
+
+
+def test_sets_of_many_lines(monkeypatch):
+    """Lines hashed together have the shingles that each has by itself, and are not hashed one by one; short ones among them too."""
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcd é\U0001f600"), n))
+    some = [text(int(n)) for n in rng.integers(0, 300, 400)] + ["", "a", text(lines.SIZE), "ab" * 500, text(lines.SIGNED + 9), text(12)]
+    want, calls, chars = [lines.shingles(x) for x in some], [], lines.chars
+    monkeypatch.setattr(lines, "chars", lambda t: calls.append(len(t)) or chars(t))
+    got = list(lines.sets(some))
+    assert len(got) == len(want) and all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
+    assert len([n for n in calls if n >= lines.SIZE]) < 8 and list(lines.sets([])) == []
+
+
+@pytest.mark.parametrize("line", ["", " ", "A b", " A b", "A b ", "A  b", "A\tb", "A\u00a0b", "A\u2003 b", "\x1cA", "ΑΣ ΣΑ", "İ I", "a\u200bb", "a\x00b", "\u0085", "a\u3000"])
+def test_normal_lines(line):
+    assert lines.normal(line) == " ".join(line.lower().split())
+
+
+def test_heads_are_the_least_keys():
+    rng = np.random.default_rng(6)
+    token, key = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(-9, 9, 300)
+    t, k, mt, mh, mk = lines._heads(token, key)
+    held = {int(x): sorted({int(b) for a, b in zip(token, key, strict=True) if a == x}) for x in sorted(set(token.tolist()))}
+    assert t.tolist() == list(held) and k.tolist() == [v[0] for v in held.values()]
+    assert list(zip(mt.tolist(), mh.tolist(), mk.tolist(), strict=True)) == [(x, v[0], y) for x, v in held.items() for y in v[1:]]
+    assert [len(x) for x in lines._heads(token[:0], key[:0])] == [0] * 5
