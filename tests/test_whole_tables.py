@@ -38,3 +38,26 @@ def test_every_page_is_read(spark, name):
 def test_ancestry_is_asked_both_ways(spark):
     rows = core.QUERIES["qa_messages"](spark, SF).filter("task = 'ancestry'").collect()
     assert {r["answer"] for r in rows} == {"yes", "no"}
+
+
+@pytest.fixture(scope="module")
+def beyond(spark, tmp_path_factory):
+    """The smallest tables with every part once more, beyond the first million of keys."""
+    folder = tmp_path_factory.mktemp("beyond")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        more = df.withColumn("p_partkey", (df["p_partkey"] + 1_000_000).cast(df.schema["p_partkey"].dataType)) if name == "part" else df.limit(0)
+        df.union(more).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["connected_concepts"])
+def test_questions_of_parts_beyond_a_million(spark, beyond, name):
+    parts = 2 * spark.read.parquet(f"{SF}/part.parquet").count()
+    asked = {r["qid"] for r in core.QUERIES[name](spark, beyond).select("qid").distinct().collect()}
+    assert len(asked) == parts and max(asked) > 1_000_000_000_000
+
+
+def test_oracles_ask_all_parts():
+    for name in ("connected_concepts",):
+        assert "BETWEEN 1000000000000 AND 1999999999999" in (core.ORACLE_SQL | core.SMALL_SQL)[name]
