@@ -51,7 +51,7 @@ def beyond(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["connected_concepts"])
+@pytest.mark.parametrize("name", ["connected_concepts", "grounded_prompts"])
 def test_questions_of_parts_beyond_a_million(spark, beyond, name):
     parts = 2 * spark.read.parquet(f"{SF}/part.parquet").count()
     asked = {r["qid"] for r in core.QUERIES[name](spark, beyond).select("qid").distinct().collect()}
@@ -59,5 +59,5 @@ def test_questions_of_parts_beyond_a_million(spark, beyond, name):
 
 
 def test_oracles_ask_all_parts():
-    for name in ("connected_concepts",):
+    for name in ("connected_concepts", "grounded_prompts"):
         assert "BETWEEN 1000000000000 AND 1999999999999" in (core.ORACLE_SQL | core.SMALL_SQL)[name]
