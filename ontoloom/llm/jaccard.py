@@ -7,8 +7,9 @@ tokens stand in one global order, tokens with long lists last.
 First each member is held against the head of its list, which links most members of a group of near copies. Then only lists
 with members that are still in different components are searched. Of the short ones, those that a set is in are brought to
 it and merged with counts; what comes up k times is a candidate, and its exact overlap is found by binary probes of one set
-in the other. Long lists are never merged across the cluster: their members' sets meet in square blocks, where DivideSkip
-merges the short lists of the block and probes its long ones (``search.Shard``). Equal sets are one node throughout.
+in the other. Long lists are never merged across the cluster: what their members have of all these lists meets in square
+blocks, where lists are merged with counts (``search.counted_lists``). No text is sent but those of candidates. Equal sets are
+one node throughout.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm.components import components
-from ontoloom.llm.search import bundled, linked_lists, linked_pairs, meeting, runs
+from ontoloom.llm.search import bundled, counted_lists, linked_pairs, meeting, runs
 from ontoloom.llm.shared import BROADCAST_ROWS, Tables, batches, semi, ship
 from ontoloom.llm.words import shingles, signed
 
-#: Lists are long beyond so many members. For the order of tokens the bound rises with them, so that at most 2**20 stand last. Members of
-#: shorter lists are compared by counts before any text is shipped, which costs at most so many numbers a member.
-LONG, MOST_LONG = 512, 20
+#: Lists are long beyond so many members; members of shorter lists are brought to each other, which costs at most so many numbers a member.
+#: In the order of tokens those of ORDERED times as long lists stand last; that bound rises with them, so that they are at most 2**20.
+LONG, ORDERED, MOST_LONG = 64, 8, 20
 #: Characters of a block of documents that are searched for each other.
 BLOCK_CHARS = 4_000_000
 #: Tokens of a block, with some eight characters for each.
@@ -180,6 +181,16 @@ def can_link(n: Column, m: Column, c: Column, percent: int) -> Column:
     return (c + F.greatest(rest(n), rest(m)) >= needed) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
+def least_shared(n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the tokens kept in lists a set of n tokens must share with sets of m tokens to link, by all that ``can_link`` and the least count
+    ask for; of sets that cannot link by their sizes, more than they have."""
+    some = lambda x: np.maximum(1, (x * SHARE).astype(np.int64))
+    n = np.full(len(m), n)
+    rest = np.maximum(-(-n * percent // 100) - some(n), -(-m * percent // 100) - some(m))
+    out = np.maximum(some(np.minimum(n, m)), -(-(n + m) * percent // (100 + percent)) - rest)
+    return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * percent, out, n + m)
+
+
 def _partners(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Short lists' rows (token, key, n, label) sorted by token, n and key, to one row a member: (key, need, list): the members after it
     with other labels, and how often one must be met in all such lists. No list has more than LONG members."""
@@ -277,7 +288,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     both = tables.write(docs.mapInArrow(_sets(words), "doc_id long, n long, key long, token long"))
     rows = both.filter("token is null").drop("token")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bound = max(LONG, total >> MOST_LONG)
+    bound = max(LONG * ORDERED, total >> MOST_LONG)
     counts = both.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= bound)
     long_ = counts.toPandas().sort_values("token")  # at most total / bound, so 2**20 rows
     long_lists = spark.sparkContext.broadcast((long_["token"].to_numpy(np.int64), long_["n"].to_numpy(np.int64)))
@@ -319,21 +330,24 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, with_sets: bool =
     labelled = tables.write(labelled)
     per_list = labelled.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     per_list = tables.write(per_list.select("token", (F.col("members") > LONG).alias("long")))
-    # long lists: every pair that meets in one is found there, whatever else it shares
-    long_members = semi(labelled, per_list.filter("long").select("token"), "token").select("token", "key", "n", "label")
+    tables.drop(lists)
+    # long lists: pairs that meet in one are counted in blocks, with all that they share in lists of either kind
+    mixed = tables.write(meeting(labelled, per_list, "token"))
+    tables.drop(labelled, per_list)
+    long_members = mixed.filter("long").select("token", "key", "n", "label")
     sizes = long_members.select("key", "n").distinct()
     long_members = tables.write(of_a_size(bundled(tables, long_members.select("token", "key", "label")).join(sizes, "key"), percent))
-    texts = texts_of(long_members.select("key").distinct())
-    links = links.union(linked_lists(tables, long_members, texts, to_sets, percent, BLOCK_CHARS))
+    keys = tables.write(long_members.select("key").distinct())
+    sets = tables.write(semi(mixed.select("key", "n", "token"), keys, "key").groupBy("key", "n").agg(F.collect_list("token").alias("tokens")))
+    near = counted_lists(tables, long_members, sets, lambda n, m: least_shared(n, m, percent), BLOCK_CHARS // 8)
     # short lists: of each set the lists are merged with counts
-    short = semi(labelled, per_list.filter("not long").select("token"), "token").select("token", "key", "n", "label")
-    met = tables.write(short_partners(short))
+    met = tables.write(short_partners(mixed.filter("not long").select("token", "key", "n", "label")))
+    tables.drop(mixed, sets, long_members)
     # pairs that meet in a long list were found there; of the rest only those that what they share leaves possible are looked at
     sizes = tables.write(semi(rows.filter("key is not null").select("key", "n"), met.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key").distinct())
     sized = meeting(meeting(met, sizes.toDF("u", "n"), "u"), sizes.toDF("v", "m"), "v")
-    links = links.union(verified(sized.filter(can_link(F.col("n"), F.col("m"), F.col("c"), percent)).select("u", "v")))
+    links = links.union(verified(sized.filter(can_link(F.col("n"), F.col("m"), F.col("c"), percent)).select("u", "v").union(near).distinct()))
     found = tables.write(components(links))
-    tables.drop(lists, labelled, long_members, texts, per_list)
     # the class of a row, and the least id of the class's component
     labelled = tables.write(meeting(rows, found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root")))
     least_id = tables.write(labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))

@@ -10,6 +10,7 @@ were looked at; of the links inside a list, those that earlier ones imply are le
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from ontoloom.llm.shared import BROADCAST_ROWS, Tables
 MU, FEW = 0.1, 4
 #: Members that one copy of a pair's first set serves.
 SERVED = 2048
+#: Pairs that a task gives out at a time.
+GIVEN = 200_000
+#: Characters that are shuffled at once for pairs, if all texts together are fewer; else twice those.
+ROUND_CHARS = 1 << 30
 
 #: Texts to the set of each, in turn.
 ToSets = Callable[[list[str]], Iterator[np.ndarray]]
@@ -136,8 +141,9 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked_pairs(tables: Tables, pairs: DataFrame, texts: DataFrame, to_sets: ToSets, percent: int) -> DataFrame:
-    """pairs (u, v) and texts (key, text) to the pairs whose texts' sets are similar. A set u is made once and probed with each
-    of its v; a u with many is dealt to several tasks."""
+    """pairs (u, v) and texts (key, text, size) to the pairs whose texts' sets are similar. A set u is made once and probed with each
+    of its v; a u with many is dealt to several tasks. A text goes to each of its pairs; pairs whose texts are more at once than twice all texts
+    go one share after the other, so that what lies on disk does not grow with the pairs of a text."""
     hot = pairs.groupBy("u").agg(F.ceil(F.count("*") / SERVED).cast("int").alias("parts")).filter("parts > 1")  # at most 1 a SERVED pairs
     dealt = meeting(pairs, tables.write(hot), "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = tables.write(dealt.select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v"))
@@ -156,10 +162,17 @@ def linked_pairs(tables: Tables, pairs: DataFrame, texts: DataFrame, to_sets: To
                     keep[k] = similar(overlap(head, s), len(head), len(s), percent)
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(key[keep])], ["u", "v"])
 
-    sent = with_texts(rows, texts).repartition("u", "part").sortWithinPartitions("u", "part", "late")
-    out = tables.write(sent.select("u", "part", "late", "key", "text").mapInArrow(run, "u long, v long"))
-    tables.drop(dealt, rows)
-    return out
+    sizes = tables.write(texts.select("key", "size"))
+    whole = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sent = meeting(rows.groupBy("key").agg(F.count("*").alias("times")), sizes, "key").agg(F.coalesce(F.sum(F.col("times") * F.col("size")), F.lit(0))).first()[0]
+    rounds = max(1, -(-sent // max(ROUND_CHARS, 2 * whole)))
+    parts = []
+    for k in range(rounds):
+        some = rows if rounds == 1 else tables.write(rows.filter(F.pmod(F.xxhash64("part", "u"), F.lit(rounds)) == k))
+        sent = with_texts(some, texts).repartition("u", "part").sortWithinPartitions("u", "part", "late")
+        parts.append(tables.write(sent.select("u", "part", "late", "key", "text").mapInArrow(run, "u long, v long")))
+    tables.drop(dealt, rows, sizes)
+    return reduce(DataFrame.union, parts)
 
 
 def bundled(tables: Tables, members: DataFrame) -> DataFrame:
@@ -175,14 +188,14 @@ def bundled(tables: Tables, members: DataFrame) -> DataFrame:
     return out
 
 
-def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_sets: ToSets, percent: int, block: int) -> DataFrame:
-    """members (bundle, key, label) and texts (key, text, size) to links (u, v) that connect all keys of a bundle which similar sets
-    connect. Members outside a bundle's most frequent label are cut into blocks that meet each other and the blocks of that
-    label's members, which need not meet among themselves; a block has about so many characters, and a task holds two."""
+def in_blocks(tables: Tables, members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """members (bundle, key, label), sizes (key, size) to rows (bundle, i, j, block, key, label): what is in block i or j of a bundle, for all blocks
+    that meet. Members outside a bundle's most frequent label are cut into blocks that meet each other and the blocks of that label's
+    members, which need not meet among themselves; the sizes of a block add up to about the given one."""
     most = members.groupBy("bundle", "label").agg(F.count("*").alias("n")).groupBy("bundle").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    sized = meeting(meeting(members, tables.write(texts.select("key", "size")), "key"), tables.write(most), "bundle").withColumn("out", F.col("label") != F.col("main"))
+    sized = meeting(meeting(members, tables.write(sizes), "key"), tables.write(most), "bundle").withColumn("out", F.col("label") != F.col("main"))
     sized = tables.write(sized.select("bundle", "key", "label", "size", "out"))
-    many = lambda own, chars: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("size"))) / chars)).cast("int")
+    many = lambda own, most: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("size"))) / most)).cast("int")
     blocks = sized.groupBy("bundle").agg(many(F.col("out"), block).alias("few"), many(~F.col("out"), block).alias("rest"))
     dealt = meeting(sized, tables.write(blocks), "bundle").withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("out"), F.col("few")).otherwise(F.col("rest"))).cast("int"))
     outside = "concat(transform(sequence(0, few - 1), k -> struct(least(own, k) as i, greatest(own, k) as j)), transform(sequence(0, rest - 1), k -> struct(own as i, few + k as j)))"
@@ -190,6 +203,74 @@ def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_sets:
     rows = dealt.withColumn("at", F.explode(F.expr(f"if(out, {outside}, {inside})"))).select("bundle", "at.i", "at.j", F.expr("if(out, own, few + own)").alias("block"), "key", "label")
     rows = tables.write(rows)
     tables.drop(sized)
+    return rows
+
+
+def counted_lists(tables: Tables, members: DataFrame, sets: DataFrame, least: Callable, block: int) -> DataFrame:
+    """members (bundle, key, label) and sets (key, n, tokens) to the pairs (u, v) of a bundle with other labels that share enough of the tokens.
+    Only tokens are sent, a block has about so many, and pairs are counted where their blocks meet. least(n, m): how many a set of n tokens
+    in all and those of m tokens or more must share, as two arrays."""
+    rows = in_blocks(tables, members, sets.select("key", F.size("tokens").alias("size")), block)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(it, 3):
+            table = pa.Table.from_batches(group).combine_chunks()
+            key, label, own, n = (table.column(c).to_numpy() for c in ("key", "label", "block", "n"))
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            if len(key) < 2 or not (label != label[0]).any():
+                continue
+            size = table.column("tokens").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            _, token = np.unique(table.column("tokens").combine_chunks().flatten().to_numpy(), return_inverse=True)
+            ends = np.cumsum(size)
+            asks, answers = np.ones(len(key), bool), np.ones(len(key), bool)
+            if i < j:  # the block of fewer members asks the other
+                asks = own == i if (own == i).sum() * 2 <= len(key) else own == j
+                answers = ~asks
+            held = np.repeat(answers, size)
+            holder, at = np.repeat(np.arange(len(key)), size)[held], token[held]
+            holder = holder[np.argsort(at, kind="stable")]
+            length = np.bincount(at, minlength=int(token.max()) + 1)
+            starts = np.cumsum(length) - length
+            left, right, found = [], [], 0
+            for x in np.flatnonzero(asks):
+                mine = token[ends[x] - size[x] : ends[x]]
+                many = length[mine]
+                last = np.cumsum(many)
+                places = np.arange(last[-1] if len(last) else 0) + np.repeat(starts[mine] - last + many, many)
+                y, c = np.unique(holder[places], return_counts=True) if len(places) * 8 < len(key) else (None, np.bincount(holder[places], minlength=len(key)))
+                if y is None:
+                    y = np.flatnonzero(c)
+                    c = c[y]
+                ok = label[y] != label[x]
+                if i == j:
+                    ok &= y > x
+                y, c = y[ok], c[ok]
+                y = y[c >= least(n[x], n[y])] if len(y) else y
+                if len(y):
+                    left.append(np.full(len(y), key[x]))
+                    right.append(key[y])
+                    found += len(y)
+                if found > GIVEN:
+                    yield _pairs(left, right)
+                    left, right, found = [], [], 0
+            if found:
+                yield _pairs(left, right)
+
+    sent = rows.join(sets, "key").repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "key")
+    out = tables.write(sent.select("bundle", "i", "j", "block", "key", "label", "n", "tokens").mapInArrow(run, "u long, v long"))
+    tables.drop(rows)
+    return out
+
+
+def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(left), np.concatenate(right)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
+def linked_lists(tables: Tables, members: DataFrame, texts: DataFrame, to_sets: ToSets, percent: int, block: int) -> DataFrame:
+    """members (bundle, key, label) and texts (key, text, size) to links (u, v) that connect all keys of a bundle which similar sets
+    connect. Blocks are as ``in_blocks`` makes them of so many characters, and a task holds two."""
+    rows = in_blocks(tables, members, texts.select("key", "size"), block)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(it, 3):

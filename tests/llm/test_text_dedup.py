@@ -302,3 +302,32 @@ def test_heads_are_the_least_keys():
     assert t.tolist() == list(held) and k.tolist() == [v[0] for v in held.values()]
     assert list(zip(mt.tolist(), mh.tolist(), mk.tolist(), strict=True)) == [(x, v[0], y) for x, v in held.items() for y in v[1:]]
     assert [len(x) for x in lines._heads(token[:0], key[:0])] == [0] * 5
+
+
+def test_long_lists_send_tokens(spark, monkeypatch):
+    """Long lists of texts that do not link: pairs are counted by tokens in blocks, whatever the order of sizes, and no text goes to a block."""
+    monkeypatch.setattr(jaccard, "LONG", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 800)
+    sent = []
+    monkeypatch.setattr(search, "with_texts", lambda rows, texts, old=search.with_texts: sent.append(rows.count()) or old(rows, texts))
+    common = " ".join(f"c{k}" for k in range(24))
+    texts = [f"{common} " + " ".join(f"w{d}x{k}" for k in range(30)) for d in range(40)]  # they share 20 of 50 shingles
+    texts += [texts[d] + " and more" for d in range(0, 40, 4)] + [f"{common} tail{d}" for d in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    assert got == roots(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])])
+    assert sum(sent) < 20 * len(texts)  # in blocks of texts each would go to all others
+
+
+def test_pairs_in_rounds(spark, monkeypatch):
+    from ontoloom.llm.shared import Tables
+
+    tables, texts = Tables(spark), [(k, "x" * (5 + k % 3), 5 + k % 3) for k in range(30)]
+    pairs = tables.write(spark.createDataFrame([(a, b) for a in range(30) for b in range(a + 1, 30)], "u long, v long"))
+    known = tables.write(spark.createDataFrame(texts, "key long, text string, size int"))
+    find = lambda: sorted(map(tuple, search.linked_pairs(tables, pairs, known, lambda ts: (np.arange(len(t)) for t in ts), 85).collect()))
+    whole = find()
+    monkeypatch.setattr(search, "ROUND_CHARS", 100)
+    made = []
+    monkeypatch.setattr(search, "with_texts", lambda rows, texts, old=search.with_texts: made.append(rows.count()) or old(rows, texts))
+    assert find() == whole and whole and len(made) > 5 and sum(made) == 435 + 29
