@@ -84,5 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = tables.write(stage(spark, docs, sf_dir))
+        last = docs
+        docs = tables.write(stage(spark, last, sf_dir))
+        tables.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)

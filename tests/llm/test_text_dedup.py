@@ -331,3 +331,15 @@ def test_pairs_in_rounds(spark, monkeypatch):
     made = []
     monkeypatch.setattr(search, "with_texts", lambda rows, texts, old=search.with_texts: made.append(rows.count()) or old(rows, texts))
     assert find() == whole and whole and len(made) > 5 and sum(made) == 435 + 29
+
+
+def test_shuffles_go_with_their_table(spark, tmp_path):
+    """What a table was written of leaves no shuffle files, though the driver has not collected its garbage."""
+    from pathlib import Path
+
+    from ontoloom.llm.shared import CLEAN, Tables
+
+    left = lambda: {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in map(str, Path(d).rglob("shuffle_*.data"))}
+    before, told = left(), spark.conf.get(CLEAN, None)
+    Tables(spark).write(spark.range(10_000).repartition(3, "id"))
+    assert left() <= before and spark.conf.get(CLEAN, None) == told
